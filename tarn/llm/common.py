@@ -49,3 +49,11 @@ def text_of(column: str = "text") -> Column:
 
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of at most ``rows`` rows, so that a batch of very long texts fits a Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tarn.llm.chat import format_examples, read_back
 from tarn.llm.common import table
 from tarn.llm.exact_dedup import mark_copies
+from tarn.llm.pieces import encode_decode
+from tarn.llm.spot_signatures import edited_likeness
 from tarn.llm.url_rules import Rule, judge_urls
 
 URL_RULES = (
@@ -36,10 +38,26 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"), piece_model(), ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+def op9_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_url_rules": op5_url_rules,
+    "op7_pieces": op7_pieces,
+    "op9_spot_signatures": op9_spot_signatures,
 }
 
 ORACLE_SQL: dict[str, str] = {
