@@ -34,6 +34,8 @@ def rocksdb_state(spark: SparkSession):
     settings = {
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        # Else each of many small stores holds megabytes of preallocated files.
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     }
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
@@ -92,7 +94,7 @@ def mark_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256, ke
         F.monotonically_increasing_id().alias("locator"),
         digest(norm).alias("digest"),
         F.octet_length(norm).cast("long").alias("n_bytes"),
-    ).write.parquet(landed)
+    ).write.option("compression", "zstd").parquet(landed)
     rows = spark.read.parquet(landed)
     run_state(spark, landed, rows.schema, checkpoint)
     groups = written(read_state(spark, checkpoint).where("group_size > 1"), "dedup-groups")
