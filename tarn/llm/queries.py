@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from tarn.llm.chat import format_examples, read_back
 from tarn.llm.common import table
 from tarn.llm.exact_dedup import mark_copies
+from tarn.llm.html_model import extract_text
 from tarn.llm.pieces import encode_decode
 from tarn.llm.spot_signatures import edited_likeness
 from tarn.llm.url_rules import Rule, judge_urls
+from tarn.llm.warc import archived_pages
 
 URL_RULES = (
     Rule("block", "com/en/"),
@@ -29,6 +31,10 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_examples(turns))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(table(spark, sf_dir, "pages")).drop("target_uri")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return mark_copies(docs).select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -48,15 +54,21 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), piece_model(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op8_html_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op9_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
+    "op2_warc": op2_warc,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_url_rules": op5_url_rules,
     "op7_pieces": op7_pieces,
+    "op8_html_model": op8_html_model,
     "op9_spot_signatures": op9_spot_signatures,
 }
 
@@ -87,6 +99,15 @@ SELECT conv_id,
   CAST(sum(CASE WHEN role = 'assistant' OR i = n THEN upto ELSE 0 END) AS BIGINT) AS formatted_chars,
   count(*) FILTER (WHERE role = 'assistant' OR i = n) AS n_examples
 FROM summed GROUP BY conv_id
+""",
+    "op2_warc": r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS keep FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> keep THEN keep END AS refers_to
+FROM g
 """,
     "op3_exact_dedup": r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce("text", ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
