@@ -11,8 +11,11 @@ from tarn.llm.chat import format_examples, read_back
 from tarn.llm.common import table
 from tarn.llm.exact_dedup import mark_copies
 from tarn.llm.html_model import extract_text
+from tarn.llm.mixing import mixed
 from tarn.llm.pieces import encode_decode
 from tarn.llm.spot_signatures import edited_likeness
+from tarn.llm.toxicity import fit as fit_toxicity
+from tarn.llm.toxicity import score as score_toxicity
 from tarn.llm.url_rules import Rule, judge_urls
 from tarn.llm.warc import archived_pages
 
@@ -44,6 +47,11 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def piece_model() -> str:
     import public_tokenizers
 
@@ -62,14 +70,22 @@ def op9_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rated, domains = mixed(docs, table(spark, sf_dir, "labels"))
+    return rated.select("doc_id", "tokens", *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)], "rate", "expected_tokens", "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_warc": op2_warc,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_url_rules": op5_url_rules,
+    "op6_toxicity": op6_toxicity,
     "op7_pieces": op7_pieces,
     "op8_html_model": op8_html_model,
     "op9_spot_signatures": op9_spot_signatures,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
