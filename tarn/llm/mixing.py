@@ -18,7 +18,7 @@ from tarn.llm.common import SPACE_RUN, written
 from tarn.llm.linear import MAX_LABELLED, Indexer, Rows, adam, class_counts, features_with, labelled_sample, select_features, small_batches
 
 #: Shares of the tokens that each domain (quality and toxic label) is to have.
-DOMAIN_WEIGHTS = {"q1t0": 0.86, "q0t0": 0.12, "q1t1": 0.02, "q0t1": 0.01}
+DOMAIN_WEIGHTS = {"q1t0": 0.93, "q0t0": 0.05, "q1t1": 0.015, "q0t1": 0.005}
 MAX_ROUNDS = 40
 TOLERANCE = 1e-6
 
@@ -90,7 +90,7 @@ def memberships(docs: DataFrame, model: DomainModel, keep: list[str] | None = No
         for texts in batches:
             yield pd.Series([of(t).tolist() for t in texts])
 
-    p = F.pandas_udf(posteriors, "array<double>", F.PandasUDFType.SCALAR_ITER)
+    p = F.pandas_udf(posteriors, "array<double>")
     tokens = F.size(F.filter(F.split("text", SPACE_RUN), lambda w: w != "")).cast("long")
     out = ["row"] if keep is not None else []
     return rows.withColumn("p", p("text")).select(*out, F.col("row.doc_id").alias("doc_id"), tokens.alias("tokens"), "p")

@@ -120,7 +120,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None)
         for texts in batches:
             yield pd.Series([s(t) for t in texts], dtype="float64")
 
-    value = F.pandas_udf(scores, "double", F.PandasUDFType.SCALAR_ITER)
+    value = F.pandas_udf(scores, "double")
     scored = rows.withColumn("score", value("text"))
     held = ~is_training(F.col("row.doc_id")) & F.col("row.doc_id").isNotNull()
     out = ["row"] if keep is not None else []
