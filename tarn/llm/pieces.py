@@ -40,16 +40,29 @@ class PieceTable:
                 self.bytes[int(text[1:-1], 16)] = i
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.piece[i], self.score[text], self.ids[text] = text, sp.get_score(i), i
-        # No piece has a space behind another character: then words are encoded apart.
+        # If no piece has a space behind another character, words are encoded apart; so are line ends that no piece has.
         self.words_apart = not any(re.search(f"[^{SPACE}]{SPACE}", t) for t in self.ids)
+        self.joined = {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
+        self.words = re.compile(self._word_pattern())
         self.automaton = ahocorasick.Automaton()
         for text, i in self.ids.items():
             if self._merged(text) == [text]:
-                self.automaton.add_word(text, (len(text), text))
+                self.automaton.add_word(text, text)
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.part_cache: dict[str, list[int]] = {}
         self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
 
+    def _word_pattern(self) -> str:
+        """Cuts a text only where no piece reaches over: before spaces, around line ends, and between a letter and a sign that no piece has behind a letter."""
+        if not self.words_apart or any("\n" in t for t in self.ids):
+            return r"(?s:.+)"
+        letter = r"[^\W\d_]"
+        behind = {b[1] for b in self.joined if re.match(letter, b[0])}
+        signs = "".join(re.escape(chr(c)) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in behind)
+        other = rf"(?:(?!{letter})[^{SPACE}\n])"
+        return rf"(?=[^\n]){SPACE}*{other}*{letter}*(?:[^{signs}{SPACE}\n][^{SPACE}\n]*)?|\n"
+
     def _merged(self, text: str) -> list[str]:
         """Repeatedly joins the neighbours whose joined piece has the highest score, of ties the leftmost. For strings of at most two pieces."""
         parts = list(text)
@@ -76,24 +89,33 @@ class PieceTable:
 
     def last_tokens(self, text: str) -> list[str]:
         """Of each non-empty prefix the last token: a piece, or a single character that no piece is."""
-        ending: list[list[tuple[int, str]]] = [[] for _ in text]
-        for at, found in self.automaton.iter(text):
-            ending[at].append(found)
-        last: list[str] = []
-        for at, char in enumerate(text):
-            token = char
-            for size, piece in sorted(ending[at], reverse=True):
-                start = at + 1 - size
-                if start == 0:
-                    token = piece
-                    break
+        last = list(text)
+        done, pairs, compatible, known = -1, self.pairs, self.compatible, self.ids
+        for at, piece in self.automaton.iter(text):
+            if at == done:  # the token that ends a prefix is unique
+                continue
+            start = at + 1 - len(piece)
+            if start:
                 before = last[start - 1]
-                if before not in self.ids or self.compatible(before, piece):
-                    token = piece
-                    break
-            last.append(token)
+                fits = pairs.get((before, piece))
+                if fits is None:
+                    fits = before not in known or compatible(before, piece)
+                if not fits:
+                    continue
+            last[at] = piece
+            done = at
         return last
 
+    def parts(self, word: str) -> list[str]:
+        """Cuts between characters that stand side by side in no piece: no token reaches over them."""
+        joined, out, at = self.joined, [], 0
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in joined:
+                out.append(word[at:i])
+                at = i
+        out.append(word[at:])
+        return out
+
     def pieces(self, text: str) -> list[str]:
         last, out, at = self.last_tokens(text), [], len(text)
         while at > 0:
@@ -109,12 +131,22 @@ class PieceTable:
             out.extend([i] if i is not None else [self.bytes[b] for b in token.encode("utf-8", "surrogatepass")])
         return out
 
+    def _part(self, part: str) -> list[int]:
+        known = self.part_cache.get(part)
+        if known is None:
+            if len(self.part_cache) >= CACHED_WORDS:
+                self.part_cache.clear()
+            known = self._ids_of(part)
+            if len(part) <= 64:
+                self.part_cache[part] = known
+        return known
+
     def _word(self, word: str) -> tuple[tuple[int, ...], str]:
         known = self.cache.get(word)
         if known is None:
             if len(self.cache) >= CACHED_WORDS:
                 self.cache.clear()
-            ids = tuple(self._ids_of(word))
+            ids = tuple(i for part in self.parts(word) for i in self._part(part))
             known = (ids, " ".join(map(str, ids)))
             if len(word) <= 64:
                 self.cache[word] = known
@@ -125,7 +157,7 @@ class PieceTable:
         if not text:
             return [self.end], str(self.end)
         text = SPACE + text.replace(" ", SPACE)
-        words = re.findall(f"{SPACE}+[^{SPACE}]*", text) if self.words_apart else [text]
+        words = self.words.findall(text)
         cache, own = self.cache, self._word
         found = [cache.get(w) or own(w) for w in words]
         ids = [i for f in found for i in f[0]]
