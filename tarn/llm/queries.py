@@ -12,6 +12,7 @@ from tarn.llm.common import table
 from tarn.llm.exact_dedup import mark_copies
 from tarn.llm.html_model import extract_text
 from tarn.llm.mixing import mixed
+from tarn.llm.ngram_groups import link_components
 from tarn.llm.pieces import encode_decode
 from tarn.llm.spot_signatures import edited_likeness
 from tarn.llm.toxicity import fit as fit_toxicity
@@ -43,6 +44,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_copies(docs).select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op4_ngram_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_warc": op2_warc,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_ngram_groups": op4_ngram_groups,
     "op5_url_rules": op5_url_rules,
     "op6_toxicity": op6_toxicity,
     "op7_pieces": op7_pieces,
