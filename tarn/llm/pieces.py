@@ -51,7 +51,8 @@ class PieceTable:
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.part_cache: dict[str, list[int]] = {}
-        self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.cache: dict[str, tuple[list[int], str]] = {}
+        self.text = [str(i) for i in range(sp.get_piece_size())]
 
     def _word_pattern(self) -> str:
         """Cuts a text only where no piece reaches over: before spaces, around line ends, and between a letter and a sign that no piece has behind a letter."""
@@ -106,17 +107,9 @@ class PieceTable:
             done = at
         return last
 
-    def parts(self, word: str) -> list[str]:
-        """Cuts between characters that stand side by side in no piece: no token reaches over them."""
-        joined, out, at = self.joined, [], 0
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in joined:
-                out.append(word[at:i])
-                at = i
-        out.append(word[at:])
-        return out
-
     def pieces(self, text: str) -> list[str]:
+        if len(text) == 1:
+            return [text]
         last, out, at = self.last_tokens(text), [], len(text)
         while at > 0:
             token = last[at - 1]
@@ -132,25 +125,30 @@ class PieceTable:
         return out
 
     def _part(self, part: str) -> list[int]:
-        known = self.part_cache.get(part)
-        if known is None:
-            if len(self.part_cache) >= CACHED_WORDS:
-                self.part_cache.clear()
-            known = self._ids_of(part)
-            if len(part) <= 64:
-                self.part_cache[part] = known
+        if len(self.part_cache) >= CACHED_WORDS:
+            self.part_cache.clear()
+        known = self._ids_of(part)
+        if len(part) <= 64:
+            self.part_cache[part] = known
         return known
 
-    def _word(self, word: str) -> tuple[tuple[int, ...], str]:
-        known = self.cache.get(word)
-        if known is None:
+    def _word(self, word: str) -> tuple[list[int], str]:
+        """Encodes the parts between characters that stand side by side in no piece: no token reaches over them."""
+        joined, known, part_ids, ids, at = self.joined, self.part_cache.get, self._part, [], 0
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in joined:
+                part = word[at:i]
+                ids += known(part) or part_ids(part)
+                at = i
+        part = word[at:]
+        ids += known(part) or part_ids(part)
+        text = self.text
+        found = (ids, " ".join([text[i] for i in ids]))
+        if len(word) <= 64:
             if len(self.cache) >= CACHED_WORDS:
                 self.cache.clear()
-            ids = tuple(i for part in self.parts(word) for i in self._part(part))
-            known = (ids, " ".join(map(str, ids)))
-            if len(word) <= 64:
-                self.cache[word] = known
-        return known
+            self.cache[word] = found
+        return found
 
     def encoded(self, text: str) -> tuple[list[int], str]:
         """The ids, the end id last, and the decimal ids joined by one space."""
