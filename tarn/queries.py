@@ -1,4 +1,482 @@
-"""Queries of the library's own operators and the SQL that they are compared with."""
+"""Queries of the library's own operators over the tables, and the SQL that they are compared with."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tarn.functions import text as X
+from tarn.functions.chunk_rules import chunk_type, rule_flags
+from tarn.functions.vectors import literal
+from tarn.operators import agent, context, fusion, reconcile, relational, telemetry, terms
+from tarn.session import table
+from tarn.streaming import windows
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def shared(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir; a temporary folder only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tarn-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+# -- relational --------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey, o_orderpriority, o_orderdate FROM orders WHERE o_orderstatus = 'O'
+ORDER BY o_orderpriority = '1-URGENT' DESC, o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 20""")
+def notes_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = relational.optional_filters(table(spark, sf_dir, "orders"), o_orderstatus="O", o_custkey=None)
+    order = [(F.col("o_orderpriority") == "1-URGENT").desc(), F.col("o_orderdate").desc(), F.col("o_orderkey")]
+    return relational.page(rows, order, 20, 50).select("o_orderkey", "o_orderpriority", "o_orderdate")
+
+
+_STEM = """CASE WHEN ends_with(w, 'ies') AND length(w) > 4 THEN substr(w, 1, length(w) - 3) || 'y'
+WHEN regexp_matches(w, '(ches|shes|ses|xes|zes)$') AND length(w) > 4 THEN substr(w, 1, length(w) - 2)
+WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') AND length(w) > 3 THEN substr(w, 1, length(w) - 1) ELSE w END"""
+_STOPS = ", ".join(f"'{w}'" for w in relational.STOP_WORDS)
+
+
+@query(f"""WITH t AS (SELECT doc_id, source, list_transform(list_filter(regexp_extract_all(lower(coalesce("text", '')), '[a-z0-9_]+'),
+  lambda w: length(w) > 1 AND w NOT IN ({_STOPS})), lambda w: {_STEM}) AS terms FROM documents)
+SELECT doc_id, source ILIKE '%rc1%' AS in_title, list_has_all(terms, ['inea', 'edon']) AS in_text FROM t""")
+def notes_ilike_or_fts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", relational.contains_text("source", "rc1").alias("in_title"), relational.full_text(F.col("text"), "the ineas of edons").alias("in_text"))
+
+
+@query("""WITH names AS (SELECT l_orderkey, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS tags
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey)
+SELECT o_orderkey, coalesce(tags, '') AS tags FROM orders LEFT JOIN names ON o_orderkey = l_orderkey""")
+def tag_agg_per_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bridge = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"))
+    out = relational.with_names(table(spark, sf_dir, "orders"), bridge, table(spark, sf_dir, "part"), "o_orderkey", "p_partkey", "p_brand", "tags")
+    return out.select("o_orderkey", F.array_join("tags", ",").alias("tags"))
+
+
+@query("""WITH d AS (SELECT l_orderkey, max(l_linenumber) AS indexed_version FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey, o_orderkey % 7 AS version, indexed_version FROM orders LEFT JOIN d ON o_orderkey = l_orderkey
+WHERE indexed_version IS NULL OR indexed_version < o_orderkey % 7""")
+def stale_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 7).alias("version"))
+    docs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_linenumber").alias("indexed_version"))
+    return reconcile.stale_notes(notes, docs, ["o_orderkey"], None)
+
+
+@query("""SELECT doc_id, quality, toxic FROM labels l
+WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND CASE WHEN d.n_chars < 500 THEN '' ELSE d."text" END <> '')""")
+def orphan_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("n_chars") < 500, "").otherwise(F.col("text")).alias("text"))
+    return reconcile.orphans(table(spark, sf_dir, "labels"), notes, ["doc_id"], "text")
+
+
+@query("""SELECT DISTINCT l_orderkey AS doc_id, CAST(l_linenumber AS VARCHAR) AS chunk_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  WHERE l_shipdate BETWEEN TIMESTAMP '1997-03-01' AND TIMESTAMP '1997-04-01'
+UNION SELECT o_orderkey, '*' FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1997-03-01' AND TIMESTAMP '1997-04-01'""")
+def identity_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dates = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("string").alias("chunk_id"), F.col("l_shipdate").alias("date_value"))
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("updated_at"))
+    at = lambda d: F.lit(d).cast("timestamp_ntz")
+    return reconcile.date_identities(dates, docs, at("1997-03-01"), at("1997-04-01"))
+
+
+@query("""SELECT n_regionkey, count(*) AS folders, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey""")
+def folders_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = F.array_join(F.sort_array(F.collect_list("n_name")), ",")
+    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count("*").alias("folders"), lists.alias("names"))
+
+
+@query("""SELECT conv_id, turn, role FROM conversations WHERE role IN ('user', 'assistant') AND trim(coalesce("text", '')) <> ''""")
+def message_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.eligible_messages(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role")
+
+
+@query("""SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events) WHERE place <= 3""")
+def last_n_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    return relational.last_n(events, "user_id", [F.col("ts").desc(), F.col("event_id").desc()], 3).select("event_id", "user_id", "event_type")
+
+
+@query("""SELECT user_id, arg_max(event_id, (epoch_us(ts), event_id)) AS event_id, arg_max(event_type, (epoch_us(ts), event_id)) AS event_type FROM events GROUP BY user_id""")
+def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.struct("ts", "event_id")
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_id", w).alias("event_id"), F.max_by("event_type", w).alias("event_type"))
+
+
+@query("""SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal,
+CASE WHEN c_custkey % 3 = 1 THEN upper(c_mktsegment) || '!' ELSE c_mktsegment END AS c_mktsegment FROM customer""")
+def partial_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    which = F.col("c_custkey") % 3
+    changes = rows.where(which < 2).select(
+        "c_custkey",
+        F.lit(None).cast("double").alias("c_acctbal"),
+        F.concat(F.upper("c_mktsegment"), F.lit("!")).alias("c_mktsegment"),
+        F.when(which == 0, F.array(F.lit("c_acctbal"))).otherwise(F.array(F.lit("c_mktsegment"))).alias("fields"),
+    )
+    return relational.partial_update(rows, changes, "c_custkey", ["c_acctbal", "c_mktsegment"])
+
+
+@query("""SELECT 'nation' AS kind, count(*) AS n FROM nation WHERE n_regionkey <> 0
+UNION ALL SELECT 'customer', count(*) FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0)
+UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 0)""")
+def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
+    tables = {
+        "nation": t("nation").select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation")),
+        "customer": t("customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("customer")),
+        "orders": t("orders").select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("order")),
+    }
+    gone = t("region").where("r_regionkey = 0").select(F.col("r_regionkey").alias("region"))
+    left = relational.cascade_delete(tables, gone, [("nation", "region", "nation"), ("customer", "nation", "customer"), ("orders", "customer", "order")])
+    out = None
+    for name in tables:
+        one = left[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""WITH new AS (SELECT vec_id, label + 100 AS label, 2 AS version FROM embeddings WHERE vec_id % 4 = 0)
+SELECT e.vec_id, coalesce(n.label, e.label) AS label, coalesce(n.version, 1) AS version FROM embeddings e LEFT JOIN new n USING (vec_id)
+UNION ALL SELECT -1, 7, 2""")
+def upsert_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.lit(1).alias("version"))
+    new = points.where("vec_id % 4 = 0").select("vec_id", (F.col("label") + 100).alias("label"), F.lit(2).alias("version"))
+    extra = spark.sql("SELECT -1L AS vec_id, 7 AS label, 2 AS version")
+    return relational.upsert(points, new.unionByName(extra), ["vec_id"], "version")
+
+
+@query("""SELECT l_orderkey AS doc_id, l_linenumber AS chunk_id, 'old' AS state FROM lineitem WHERE l_orderkey % 5 <> 0
+UNION ALL SELECT o_orderkey, 0, 'new' FROM orders WHERE o_orderkey % 5 = 0""")
+def replace_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("chunk_id"), F.lit("old").alias("state"))
+    new = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("chunk_id"), F.lit("new").alias("state"))
+    return relational.replace_documents(points, new)
+
+
+@query("""SELECT l_orderkey AS doc_id, CAST(l_linenumber AS VARCHAR) AS chunk_id, l_quantity FROM lineitem
+WHERE l_orderkey % 11 = 3 OR (l_orderkey % 11 = 4 AND l_linenumber = 2)""")
+def identity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("string").alias("chunk_id"), "l_quantity")
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    whole = keys.where("doc_id % 11 = 3").withColumn("chunk_id", F.lit("*"))
+    return relational.by_identity(points, whole.unionByName(keys.where("doc_id % 11 = 4").withColumn("chunk_id", F.lit("2"))))
+
+
+@query("""WITH t AS (SELECT DISTINCT source AS name, lang AS server FROM documents)
+SELECT name, server, CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN server || ':' || name ELSE name END AS qualified FROM t""")
+def qualified_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tools = table(spark, sf_dir, "documents").select(F.col("source").alias("name"), F.col("lang").alias("server")).distinct()
+    return relational.qualified_names(tools)
+
+
+@query("""SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus IN ('O', 'F') AND o_orderstatus NOT IN ('F')""")
+def allow_deny(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.keep_allowed(table(spark, sf_dir, "orders"), "o_orderstatus", ["O", "F"], ["F"]).select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+@query("""WITH a AS (SELECT o_orderkey AS doc_id, o_orderkey % 7 AS version, CASE WHEN o_orderkey % 2 = 0 THEN 'delete' ELSE 'upsert' END AS action FROM orders),
+s AS (SELECT l_orderkey AS doc_id, max(l_linenumber) AS stored_version FROM lineitem GROUP BY 1)
+SELECT a.doc_id, a.version, a.action, coalesce(a.version < stored_version, false) OR (action = 'upsert' AND stored_version IS NULL) AS stale FROM a LEFT JOIN s USING (doc_id)""")
+def stale_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    arrivals = table(spark, sf_dir, "orders").select(k.alias("doc_id"), (k % 7).alias("version"), F.when(k % 2 == 0, "delete").otherwise("upsert").alias("action"))
+    stored = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.max("l_linenumber").alias("version"))
+    return reconcile.stale_arrivals(arrivals, stored).drop("stored_version")
+
+
+@query("""WITH f(path, own) AS (VALUES ('app', true), ('app.chat', true), ('app.chat.stream', true), ('app.ingest', false), ('app.ingest.dates', true), ('logs', true))
+SELECT a.path, bool_and(b.own) AS effective FROM f a JOIN f b ON a.path = b.path OR starts_with(a.path, b.path || '.') GROUP BY a.path""")
+def flag_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = spark.sql("SELECT * FROM VALUES ('app', true), ('app.chat', true), ('app.chat.stream', true), ('app.ingest', false), ('app.ingest.dates', true), ('logs', true) AS f(path, own)")
+    return resolved_flags(flags)
+
+
+def resolved_flags(flags: DataFrame) -> DataFrame:
+    """A flag holds if it and all its ancestors do. Each flag meets its ancestors by equal paths, not by all pairs."""
+    parts = F.split("path", r"\.")
+    up = flags.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))).alias("ancestor"))
+    return up.join(flags.select(F.col("path").alias("ancestor"), "own"), "ancestor").groupBy("path").agg(F.bool_and("own").alias("effective"))
+
+
+# -- text --------------------------------------------------------------------------------------------------------
+
+
+@query(r"""SELECT doc_id, sha256(regexp_replace(coalesce("text", ''), '([A-Za-z0-9_])-[ \t\n\r\f\v]*\n[ \t\n\r\f\v]*([A-Za-z0-9_])', '\1\2', 'g')) AS repaired FROM documents""")
+def ocr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.repair_hyphenation(F.coalesce("text", F.lit(""))), 256).alias("repaired"))
+
+
+@query("""SELECT sha256(coalesce("text", '')) AS id, substr(sha256(coalesce("text", '')), 1, 16) AS fingerprint, source || '-' || CAST(doc_id AS VARCHAR) AS doc FROM documents""")
+def sha_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select(F.sha2(text, 256).alias("id"), X.fingerprint(text).alias("fingerprint"), F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("doc"))
+
+
+@query(r"""WITH f AS (SELECT doc_id, trim(regexp_replace(coalesce("text", ''), '[ \t\n\r\f\v]+', ' ', 'g')) AS t FROM documents)
+SELECT doc_id, CASE WHEN length(t) <= 240 THEN t ELSE rtrim(substr(t, 1, 237)) || '...' END AS preview, length(t) > 240 AS truncated FROM f""")
+def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", X.preview(text).alias("preview"), (F.length(F.trim(F.regexp_replace(text, r"\s+", " "))) > 240).alias("truncated"))
+
+
+_LINES = r"""list_filter(list_transform(string_split_regex(coalesce("text", ''), '\r\n|[\n\r\x0B\x0C\x{85}\x{2028}\x{2029}]'), lambda x: regexp_replace(regexp_replace(x, '^[ \t\n\r\f\v]+', ''), '[ \t\n\r\f\v]+$', '')), lambda x: x <> '')"""
+
+
+def _n(pattern: str) -> str:
+    return f"len(list_filter(ls, lambda x: regexp_matches(x, '{pattern}')))"
+
+
+_ORDERED = r"^(?:\d+\.\s+\S|\d+\.\d+(?:\.\d+)?\s+\S|[A-Z]\.\s+\S|[A-Z]\)\s+\S|\([ivxlcdmIVXLCDM]+\)\s+\S|[ivxlcdm]+\.\s+\S|[IVX]+\.\s+\S)"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_LINES} AS ls FROM documents), h AS (SELECT *, len(list_filter(ls, lambda x: regexp_matches(x, '^#{{1,6}}\\s+\\S'))) AS headings FROM d)
+SELECT doc_id, len(ls) > 0 AND headings = len(ls) AS heading_only,
+ {_n('(?i)^(Q[.:]\\s|Question[.:]\\s)')} >= 1 AND {_n('(?i)^(A[.:]\\s|Answer[.:]\\s)')} >= 1
+  AND abs({_n('(?i)^(Q[.:]\\s|Question[.:]\\s)')} - {_n('(?i)^(A[.:]\\s|Answer[.:]\\s)')}) <= 1 AS faq,
+ len(list_filter(ls, lambda x: length(x) - length(replace(x, '|', '')) >= 2 AND NOT regexp_matches(x, '^[|\\s:\\-]+$'))) >= 2
+  AND len(list_filter(ls, lambda x: length(x) - length(replace(x, '|', '')) >= 2)) >= 0.6 * len(ls) AS "table",
+ {_n(_ORDERED)} >= 2 AND {_n(_ORDERED)} >= 0.4 * len(ls) AS structured_list,
+ {_n('^[-*+]\\s+(\\[[ xX]\\]\\s+)?.+')} >= 2 AND {_n('^[-*+]\\s+(\\[[ xX]\\]\\s+)?.+')} >= 0.6 * len(ls) AS list
+FROM h""")
+def rule_flags_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = rule_flags(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", *[flags[k].alias(k) for k in ("heading_only", "faq", "table", "structured_list", "list")])
+
+
+@query()
+def chunk_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", chunk_type(F.col("text")).alias("chunk_type"))
+
+
+@query()
+def described_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("|")))
+    return docs.select("doc_id", F.array_join(X.table_headers(F.col("text")), ",").alias("headers"), F.size(X.table_cells(F.col("text"))).alias("cells"), X.described_table(F.col("text")).alias("described"))
+
+
+@query(f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce("text", '')), '[a-z0-9_]+')) AS w FROM documents)
+SELECT w AS word, {_STEM} AS stem FROM w WHERE length(w) > 1""")
+def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select(F.explode(X.tokens(F.coalesce("text", F.lit("")))).alias("word")).distinct()
+    return words.select("word", X.stem(F.col("word")).alias("stem"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce("text", ''), chr(10))) AS line, generate_subscripts(string_split(coalesce("text", ''), chr(10)), 1) AS section FROM documents),
+w AS (SELECT doc_id, section, unnest(regexp_extract_all(line, '[A-Za-z]+')) AS term FROM l),
+g AS (SELECT doc_id, lower(term) AS key, count(*) AS occurrences, count(DISTINCT section) AS sections FROM w GROUP BY 1, 2 HAVING count(DISTINCT section) >= 2),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sections DESC, occurrences DESC, length(key) DESC, key) AS place FROM g)
+SELECT doc_id, key, occurrences, sections, place FROM p WHERE place <= 40""")
+def term_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("section", "line"))
+    words = lines.select("doc_id", "section", F.posexplode(F.regexp_extract_all("line", F.lit("[A-Za-z]+"), 0)).alias("at", "term"))
+    placed = words.withColumn("position", F.struct("section", "at"))
+    return terms.ranked_terms(placed, "doc_id", "section", "position").select("doc_id", "key", "occurrences", "sections", "place")
+
+
+# -- vectors and fusion ------------------------------------------------------------------------------------------
+
+
+def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    """The vector of point 0 stands for an embedded question."""
+    return [float(x) for x in table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0]]
+
+
+_COSINE = "list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0))"
+
+
+@query(f"SELECT vec_id, round(score, 6) AS score FROM (SELECT vec_id, {_COSINE} AS score FROM embeddings) ORDER BY score DESC, vec_id LIMIT 50")
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = fusion.cosine_top_k(table(spark, sf_dir, "embeddings"), query_vector(spark, sf_dir), 50, "vec_id")
+    return top.withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT vec_id, round(score, 6) AS score FROM (SELECT vec_id, {_COSINE} AS score FROM embeddings WHERE label IN (1, 3)) ORDER BY score DESC, vec_id LIMIT 10")
+def cosine_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = fusion.cosine_top_k(table(spark, sf_dir, "embeddings"), query_vector(spark, sf_dir), 10, "vec_id", where=F.col("label").isin(1, 3))
+    return top.withColumn("score", F.round("score", 6))
+
+
+_TF = """t AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(coalesce("text", '')), '[a-z0-9_]+'), lambda w: length(w) > 1)) AS term FROM documents),
+c AS (SELECT doc_id, term, count(*) AS weight FROM t WHERE term IN ('inea', 'thble', 'eauou') GROUP BY 1, 2),
+i AS (SELECT term, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM c GROUP BY 1),
+s AS (SELECT doc_id, sum(weight * idf * CASE term WHEN 'inea' THEN 1.0 WHEN 'thble' THEN 0.5 ELSE 0.7 END) AS score FROM c JOIN i USING (term) GROUP BY 1)"""
+SPARSE_QUERY = {"inea": 1.0, "thble": 0.5, "eauou": 0.7}
+
+
+def sparse_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    words = docs.select("doc_id", F.explode(F.filter(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9_]+"), 0), lambda t: t.isin(*SPARSE_QUERY))).alias("term"))
+    postings = words.groupBy("doc_id", "term").agg(F.count("*").alias("weight"))
+    return fusion.sparse_scores(postings, SPARSE_QUERY, docs.count(), "doc_id").orderBy(F.round("score", 9).desc(), "doc_id").limit(50)
+
+
+@query(f"WITH {_TF} SELECT doc_id, round(score, 6) AS score FROM s ORDER BY round(score, 9) DESC, doc_id LIMIT 50")
+def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse_hits(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_TF},
+d AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM (SELECT vec_id, {_COSINE} AS score FROM embeddings) ORDER BY r LIMIT 50),
+k AS (SELECT doc_id AS id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS r FROM s ORDER BY r LIMIT 50),
+u AS (SELECT id, 1.0 / (60 + r) AS part FROM d UNION ALL SELECT id, 0.9 / (60 + r) FROM k)
+SELECT id, round(sum(part), 9) AS rrf, count(*) AS sources FROM u GROUP BY id ORDER BY rrf DESC, id LIMIT 30""")
+def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense = fusion.cosine_top_k(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id"), query_vector(spark, sf_dir), 50, "id")
+    sparse = sparse_hits(spark, sf_dir).withColumnRenamed("doc_id", "id").withColumn("score", F.round("score", 9))
+    hits, _ = fusion.multi_source({"dense": lambda: dense, "sparse": lambda: sparse}, ["id"])
+    fused = fusion.rank_fused(hits, ["id"], top=None).select("id", F.round("rrf", 9).alias("rrf"), F.size("contributions").alias("sources"))
+    return fused.orderBy(F.col("rrf").desc(), "id").limit(30)
+
+
+@query(f"""WITH s AS (SELECT vec_id, label, {_COSINE} AS score FROM embeddings), l AS (SELECT label FROM s GROUP BY label ORDER BY round(avg(score), 9) DESC, label LIMIT 3)
+SELECT vec_id, label, round(score, 6) AS score FROM s WHERE label IN (SELECT label FROM l) ORDER BY score DESC, vec_id LIMIT 30""")
+def two_stage_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, v = table(spark, sf_dir, "embeddings"), query_vector(spark, sf_dir)
+    from tarn.functions.vectors import cosine
+
+    scored = points.select("vec_id", "label", cosine(F.col("embedding"), literal(v)).alias("score"))
+    best = scored.groupBy("label").agg(F.round(F.avg("score"), 9).alias("s")).orderBy(F.col("s").desc(), "label").limit(3)
+    return scored.join(best.select("label"), "label", "left_semi").orderBy(F.col("score").desc(), "vec_id").limit(30).withColumn("score", F.round("score", 6))
+
+
+# -- context -----------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT conv_id, turn, lag(turn) OVER w AS prev_id, lead(turn) OVER w AS next_id, row_number() OVER w - 1 AS ordinal, count(*) OVER (PARTITION BY conv_id) AS total
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.linked(table(spark, sf_dir, "conversations").select("conv_id", "turn"), ["conv_id"], "turn", "turn")
+
+
+@query("""WITH RECURSIVE m AS (SELECT conv_id, turn, length(coalesce("text", '')) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations),
+f AS (SELECT conv_id, 0 AS back, 0 AS used, 0 AS taken, '' AS places FROM (SELECT DISTINCT conv_id FROM m)
+ UNION ALL SELECT m.conv_id, m.back, CASE WHEN ok THEN f.used + m.n ELSE f.used END, CASE WHEN ok THEN f.taken + 1 ELSE f.taken END,
+  CASE WHEN ok THEN CAST(m.turn AS VARCHAR) || CASE WHEN f.places = '' THEN '' ELSE ',' || f.places END ELSE f.places END
+ FROM f JOIN (SELECT * FROM m) m ON m.conv_id = f.conv_id AND m.back = f.back + 1, LATERAL (SELECT f.used + m.n <= 900 AND f.taken < 6 AS ok) o)
+SELECT conv_id, arg_max(places, back) AS places FROM f GROUP BY conv_id""")
+def bounded_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    out = context.bounded_history(turns, "conv_id", "turn", F.length(F.coalesce("text", F.lit(""))), budget=900)
+    return out.select("conv_id", F.array_join(F.col("places").cast("array<string>"), ",").alias("places"))
+
+
+@query("""WITH RECURSIVE m AS (SELECT conv_id, turn, length(coalesce("text", '')) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+f AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS turn, 0 AS batch, 0 AS cnt, CAST(0 AS BIGINT) AS used FROM (SELECT DISTINCT conv_id FROM m)
+ UNION ALL SELECT m.conv_id, m.i, m.turn, CASE WHEN c THEN f.batch + 1 ELSE f.batch END, CASE WHEN c THEN 1 ELSE f.cnt + 1 END, CASE WHEN c THEN m.n ELSE f.used + m.n END
+ FROM f JOIN m ON m.conv_id = f.conv_id AND m.i = f.i + 1, LATERAL (SELECT f.cnt > 0 AND (f.cnt >= 3 OR f.used + m.n > 700) AS c) o)
+SELECT conv_id, turn, batch FROM f WHERE i > 0""")
+def batch_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length(F.coalesce("text", F.lit(""))).alias("n")))).alias("items"))
+    zipped = F.arrays_zip(F.transform("items", lambda x: x["turn"]).alias("turn"), context.packed(F.col("items"), 3, 700).alias("batch"))
+    return turns.select("conv_id", F.inline(zipped).alias("turn", "batch"))
+
+
+@query("""SELECT l_orderkey AS note, min(l_linenumber) AS first_seen, max(l_quantity) AS best, count(*) AS matches, string_agg(DISTINCT l_linenumber::VARCHAR, ',' ORDER BY l_linenumber::VARCHAR) AS chunks FROM lineitem GROUP BY l_orderkey""")
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("note"), F.col("l_linenumber").cast("string").alias("chunk"), F.col("l_quantity").alias("score"), F.col("l_linenumber").alias("place"))
+    return context.references(hits, "note", "chunk", "score", "place").withColumn("chunks", F.array_join(F.array_sort("chunks"), ","))
+
+
+# -- agent -------------------------------------------------------------------------------------------------------
+
+_TOKENS = "list_distinct(list_filter(regexp_extract_all(lower(coalesce(\"text\", '')), '[a-z0-9_]+'), lambda w: length(w) > 1))"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, {_TOKENS} AS own FROM conversations),
+p AS (SELECT a.conv_id, a.turn, max(CASE WHEN len(b.own) > 0 THEN len(list_intersect(a.own, b.own)) / CAST(len(list_distinct(list_concat(a.own, b.own))) AS DOUBLE) END) AS best
+ FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn < a.turn GROUP BY 1, 2)
+SELECT t.conv_id, t.turn, round(CASE WHEN p.turn IS NULL THEN 1.0 WHEN len(t.own) = 0 THEN 0.5 ELSE 1 - coalesce(best, 0) END, 6) AS uniqueness
+FROM t LEFT JOIN p ON t.conv_id = p.conv_id AND t.turn = p.turn""")
+def artifact_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", X.tokens(F.coalesce("text", F.lit(""))).alias("own"))
+    earlier = F.collect_list("own").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    return turns.withColumn("earlier", earlier).select("conv_id", "turn", F.round(agent.uniqueness(F.col("own"), F.col("earlier")), 6).alias("uniqueness"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_TOKENS} AS own FROM documents)
+SELECT doc_id, round(least(len(list_intersect(own, ['inea', 'the', 'onble'])) / sqrt(len(own) + 1.0), 1.0), 6) AS score FROM t""")
+def tool_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = F.array(*[F.lit(x) for x in ("inea", "the", "onble")])
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(agent.tool_overlap(X.tokens(F.coalesce("text", F.lit(""))), asked), 6).alias("score"))
+
+
+@query("""SELECT event_id, round(exp(-greatest(epoch(TIMESTAMP '2024-02-01') - epoch(ts), 0) / 86400.0), 6) AS freshness FROM events""")
+def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    age = F.lit(1706745600) - F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return table(spark, sf_dir, "events").select("event_id", F.round(agent.freshness(age, 86400.0), 6).alias("freshness"))
+
+
+@query("""SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS place FROM events) WHERE place <= 5""")
+def keep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agent.keep_best(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "value", "event_id", 5)
+
+
+# -- telemetry ---------------------------------------------------------------------------------------------------
+
+
+def events_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("SELECT date_trunc('minute', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def log_count_by_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.counts_by_window(events_utc(spark, sf_dir), "ts", "1 minute", ["event_type"])
+
+
+@query("SELECT user_id, 100.0 * count(*) FILTER (WHERE event_type = 'error') / count(*) AS error_percent FROM events GROUP BY user_id")
+def log_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(telemetry.percent(F.col("event_type") == "error", F.lit(True)).alias("error_percent"))
+
+
+@query("SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, round(quantile_cont(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def log_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = telemetry.value_by_window(events_utc(spark, sf_dir), "ts", "5 minutes", "value")
+    return out.select("window_start", F.round("p95", 6).alias("p95"), F.round("mean", 6).alias("mean"))
+
+
+_LE = ", ".join(f"count(*) FILTER (WHERE value <= {b}) AS le_{b:g}" for b in telemetry.BUCKETS)
+
+
+@query(f'SELECT event_type, {_LE}, count(*) AS "count", round(sum(value), 4) AS "sum" FROM events GROUP BY event_type')
+def http_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.histogram(table(spark, sf_dir, "events"), "value", ["event_type"]).withColumn("sum", F.round("sum", 4))
+
+
+@query("SELECT event_id, event_type FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
+def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = events_utc(spark, sf_dir)
+    now = events.agg(F.max("ts").alias("t")).first()["t"]
+    return telemetry.within_retention(events, "ts", F.lit(now).cast("timestamp_ntz")).select("event_id", "event_type")
+
+
+@query("SELECT date_trunc('minute', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(at.schema).parquet(f"{sf_dir}/events.parquet*")  # a pattern: a single file is no base path
+    out, checkpoint = shared(spark, "window-counts"), shared(spark, "window-checkpoint")
+    windows.run_to_table(windows.window_counts(stream, "ts", "1 minute", ["event_type"]), out, checkpoint)
+    return spark.read.parquet(out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("""SELECT conv_id, string_agg(coalesce("text", ''), '' ORDER BY turn) AS text, min(turn) AS first_at, count(*) AS deltas FROM conversations GROUP BY conv_id""")
+def delta_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    return windows.accumulated(turns, "conv_id", "turn", "text", "turn")
