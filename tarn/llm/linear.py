@@ -23,8 +23,9 @@ MAX_FEATURES = 4096
 #: Features whose counts differ between classes by fewer standard errors are left out.
 LEAST_Z = 3.5
 PREFIXES = (4, 5, 6)
-CACHED_WORDS = 300_000
 _WORD = re.compile(r"\w+")
+_DIGIT = re.compile(r"[0-9]")
+_SIGN = re.compile(r"[#*%$&]|http")
 
 
 def word_features(word: str) -> list[str]:
@@ -44,9 +45,9 @@ def shape_features(text: str, words: list[str]) -> list[str]:
         "length": min(14, int(sum(map(len, words)) / max(1, n))),
         "lines": int(10 * len(set(lines)) / len(lines)),
         "bars": min(9, int(100 * text.count("|") / chars)),
-        "digits": min(9, int(40 * sum(map(text.count, "0123456789")) / chars)),
+        "digits": min(9, int(40 * len(_DIGIT.findall(text)) / chars)),
         "stops": min(9, int(200 * (text.count(".") + text.count(",")) / chars)),
-        "signs": min(9, int(60 * (text.count("#") + text.count("*") + text.count("%") + text.count("$") + text.count("&") + text.count("http")) / chars)),
+        "signs": min(9, int(60 * len(_SIGN.findall(text)) / chars)),
         "linebreaks": min(9, int(200 * (len(lines) - 1) / chars)),
         "again": min(9, int(10 * sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, n))),
     }
@@ -116,30 +117,28 @@ def select_features(sample: DataFrame, features_of: Callable[[str], set[str]], c
 
 
 class Indexer:
-    """Texts to sorted ids of selected features, through a bounded cache of words."""
+    """Texts to sorted ids of selected features. Words whose first letters begin no selected feature cost one look-up."""
 
     def __init__(self, features: list[str], shapes: bool = False):
-        self.ids = {f: i for i, f in enumerate(features)}
+        ids = {f: i for i, f in enumerate(features)}
+        self.words = {f[2:]: i for f, i in ids.items() if f[0] == "w"}
+        self.prefixes = {f[2:]: i for f, i in ids.items() if f[0] == "p"}
+        self.forms = {f: i for f, i in ids.items() if f[0] == "s"}
+        self.starts = {w[: PREFIXES[0]] for w in (*self.words, *self.prefixes)}
         self.shapes = shapes
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        if len(self.cache) >= CACHED_WORDS:
-            self.cache.clear()
-        found = self.cache[word] = tuple(i for f in word_features(word) if (i := self.ids.get(f)) is not None)
-        return found
 
     def __call__(self, text: str) -> list[int]:
         words = _WORD.findall(text.lower())
-        cache, own, out = self.cache, self._word, set()
+        first, starts, out = PREFIXES[0], self.starts, set()
         for w in set(words):
-            ids = cache.get(w)
-            if ids is None:
-                ids = own(w)
-            if ids:
-                out.update(ids)
+            if w[:first] in starts:
+                out.add(self.words.get(w))
+                for n in PREFIXES:
+                    if len(w) >= n:
+                        out.add(self.prefixes.get(w[:n]))
         if self.shapes:
-            out.update(i for f in shape_features(text, words) if (i := self.ids.get(f)) is not None)
+            out.update(map(self.forms.get, shape_features(text, words)))
+        out.discard(None)
         return sorted(out)
 
 

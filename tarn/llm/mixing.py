@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.common import SPACE_RUN, written
-from tarn.llm.linear import MAX_LABELLED, Indexer, Rows, adam, class_counts, features_with, labelled_sample, select_features, small_batches
+from tarn.llm.linear import Indexer, Rows, adam, class_counts, features_with, labelled_sample, select_features, small_batches
 
 #: Shares of the tokens that each domain (quality and toxic label) is to have.
 DOMAIN_WEIGHTS = {"q1t0": 0.93, "q0t0": 0.05, "q1t1": 0.015, "q0t1": 0.005}
+#: Bounds of the domain classifier: labelled rows and features.
+MAX_DOMAIN_ROWS = 10_000
+MAX_DOMAIN_FEATURES = 1024
 MAX_ROUNDS = 40
 TOLERANCE = 1e-6
 
@@ -49,14 +52,14 @@ class DomainModel:
         return of
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, l2: float = 0.002) -> DomainModel:
+def fit_domains(docs: DataFrame, labels: DataFrame, bound: int = MAX_DOMAIN_ROWS, l2: float = 0.002) -> DomainModel:
     """Fitted to at most ``bound`` labelled rows; without any there is one domain, ``all``."""
     sample = labelled_sample(small_batches(docs), labels, domain_of(), bound)
     counts = class_counts(sample)
     if len(counts) < 2:
         return DomainModel(sorted(counts) or ["all"], bias=[0.0])
     domains = sorted(counts)
-    features = select_features(sample, features_with(True), counts, bound=2048)
+    features = select_features(sample, features_with(True), counts, bound=MAX_DOMAIN_FEATURES)
 
     def index_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = Indexer(features, shapes=True)
@@ -76,7 +79,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, l
         g = np.stack([x.transposed_times(d[:, j]) for j in range(k)], axis=1) + l2 * p[:-1]
         return np.vstack([g, d.sum(axis=0)]).ravel()
 
-    p = adam(gradient, np.zeros((width + 1) * k), 250).reshape(width + 1, k)
+    p = adam(gradient, np.zeros((width + 1) * k), 120, 0.1).reshape(width + 1, k)
     return DomainModel(domains, features, p[:-1].tolist(), p[-1].tolist())
 
 

@@ -11,6 +11,7 @@ Sets are named by 128 bits of hashes of their tokens; tokens are 64-bit hashes o
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ WORDS = 5
 PERCENT = 80
 #: Members, and queries, that meet in one unit of work.
 UNIT = 64
+#: The largest set of a group is at most so many times as large as the smallest.
+GROUP_SPREAD = 1.06
 #: So many of the most frequent tokens have their document frequency known; it orders the prefixes and bounds what is broadcast (16 bytes each). The result does not depend on it.
 FREQUENT_TOKENS = 65_536
 LEAST_FREQUENCY = 10
@@ -172,21 +175,22 @@ def prefix_of(tokens: np.ndarray, frequent: np.ndarray, df: np.ndarray, percent:
 
 
 def shared_postings(docs: DataFrame, text: str, frequent: np.ndarray, df: np.ndarray) -> DataFrame:
-    """(token, df, s1, s2): prefix tokens that stand in the prefixes of two or more distinct sets.
+    """(token, df, n, s1, s2): prefix tokens that stand in the prefixes of two or more distinct sets whose sizes allow a link.
 
     Tokens of known frequency are shared by their count and are dealt by set, so a very common one fills no single
-    task; the others are dealt by token and passed in order, each row compared with its neighbours.
+    task; the others are dealt by token and passed in order of size, each row compared with its neighbours, which
+    are nearest in size.
     """
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast((frequent, df))
-    schema = pa.schema([("token", pa.int64()), ("df", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
-    ddl = "token long, df long, s1 long, s2 long"
+    schema = pa.schema([("token", pa.int64()), ("df", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64())])
+    ddl = "token long, df long, n int, s1 long, s2 long"
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = table.value
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            token, freq, s1, s2 = [], [], [], []
+            token, freq, n, s1, s2 = [], [], [], [], []
             for t in batch.column(0):
                 tokens = shingles(t.as_py() or "")
                 s = signature(tokens)
@@ -196,12 +200,13 @@ def shared_postings(docs: DataFrame, text: str, frequent: np.ndarray, df: np.nda
                 p, f = prefix_of(tokens, known, counts)
                 token.append(p)
                 freq.append(f)
+                n.append(np.full(len(p), len(tokens), np.int32))
                 s1.append(np.full(len(p), s[0], np.int64))
                 s2.append(np.full(len(p), s[1], np.int64))
             if len(seen) > 1_000_000:
                 seen.clear()
             if token:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(freq)), pa.array(np.concatenate(s1)), pa.array(np.concatenate(s2))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(freq)), pa.array(np.concatenate(n)), pa.array(np.concatenate(s1)), pa.array(np.concatenate(s2))], schema=schema)
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried: list[np.ndarray] | None = None  # the last distinct row, and whether its token has been seen in another set
@@ -216,12 +221,12 @@ def shared_postings(docs: DataFrame, text: str, frequent: np.ndarray, df: np.nda
                 cols = [np.concatenate([a, b]) for a, b in zip(carried, cols, strict=True)]
             if not len(cols[0]):
                 continue
-            token, freq, s1, s2 = cols
+            token, freq, n, s1, s2 = cols
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])
             cols = [c[new] for c in cols]
-            token, freq = cols[0], cols[1]
-            same = token[1:] == token[:-1]
+            token, freq, n = cols[0], cols[1], cols[2].astype(np.int64)
+            same = (token[1:] == token[:-1]) & (100 * n[:-1] >= PERCENT * n[1:])
             share = freq > 0
             share[1:] |= same
             share[:-1] |= same
@@ -233,21 +238,41 @@ def shared_postings(docs: DataFrame, text: str, frequent: np.ndarray, df: np.nda
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     postings = docs.select(F.col(text).alias("t")).mapInArrow(emit, ddl)
-    dealt = postings.repartition(parts, F.when(F.col("df") > 0, F.xxhash64("token", "s1")).otherwise(F.col("token"))).sortWithinPartitions("token", "s1", "s2")
+    dealt = postings.repartition(parts, F.when(F.col("df") > 0, F.xxhash64("token", "s1")).otherwise(F.col("token"))).sortWithinPartitions("token", "n", "s1", "s2")
     return written(dealt.mapInArrow(neighbours, ddl), "ngram-postings")
 
 
 # -- groups ------------------------------------------------------------------------------------------------------
 
 
-def group_pairs(postings: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Pairs (g, h), g < h, of groups with members that share a prefix token."""
+def group_name(token: Column, n: Column) -> Column:
+    """Sets around one token and of about one size: the narrower a group's sizes, the sharper the bound on what it can share."""
+    return F.xxhash64(token, F.floor(F.log(n.cast("double")) / F.log(F.lit(GROUP_SPREAD))))
+
+
+def least_shared(small: Column, large: Column) -> Column:
+    """How many prefix tokens two linked sets at least share, for sizes within [small, large].
+
+    Two sets of sizes n >= m link only with an overlap of 4 (n + m) / 9. Behind the shorter prefix, in the global
+    order, at most 0.8 n tokens are left, so the rest lies in both prefixes. Two tokens are allowed for rounding.
+    """
+    share = PERCENT / (100 + PERCENT)
+    return F.greatest(F.lit(1.0), share * small - (PERCENT / 100 - share) * large - 2)
+
+
+def token_groups(postings: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The prefix part of the token-group matrix: (token, g, members)."""
+    return written(postings.select("token", "s1", "s2").join(grouped.select("s1", "s2", "g"), ["s1", "s2"]).groupBy("token", "g").agg(F.count("*").alias("members")), "ngram-matrix")
+
+
+def group_pairs(matrix: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs (g, h), g <= h, of groups whose rows share so many prefix tokens that members can link; (g, g) if members of one group can."""
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        token, run, found = None, [], set()
+        token, run, found = None, [], Counter()
 
         def frame() -> pd.DataFrame:
-            df = pd.DataFrame(list(found), columns=["g", "h"], dtype="int64")
+            df = pd.DataFrame([(g, h, n) for (g, h), n in found.items()], columns=["g", "h", "shared"], dtype="int64")
             found.clear()
             return df
 
@@ -255,17 +280,20 @@ def group_pairs(postings: DataFrame, grouped: DataFrame) -> DataFrame:
             for t, g in zip(b["token"].tolist(), b["g"].tolist(), strict=True):
                 if t != token:
                     token, run = t, []
-                found.update((min(g, o), max(g, o)) for o in run)
+                found.update((o, g) for o in run)
                 run.append(g)
             if len(found) > 100_000:
                 yield frame()
         if found:
             yield frame()
 
-    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_token = postings.select("token", "s1", "s2").join(grouped.select("s1", "s2", "g"), ["s1", "s2"]).groupBy("token", "g").agg(F.count("*").alias("members"))
-    # A token all of whose sets are in one group brings no pair.
-    return by_token.select("token", "g").repartition(parts, "token").sortWithinPartitions("token", "g").mapInPandas(pairs, "g long, h long").distinct()
+    parts = int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cross = matrix.select("token", "g").repartition(parts, "token").sortWithinPartitions("token", "g").mapInPandas(pairs, "g long, h long, shared long").groupBy("g", "h").agg(F.sum("shared").alias("shared"))
+    own = matrix.where("members > 1").groupBy("g").agg(F.count("*").alias("shared")).select("g", F.col("g").alias("h"), "shared")
+    size = groups.select("g", "n_min", "n_max")
+    sized = cross.unionByName(own).join(size, "g").join(size.select(F.col("g").alias("h"), F.col("n_min").alias("h_min"), F.col("n_max").alias("h_max")), "h")
+    fits = (100 * F.col("n_max") >= PERCENT * F.col("h_min")) & (100 * F.col("h_max") >= PERCENT * F.col("n_min"))
+    return written(sized.where(fits & (F.col("shared") >= least_shared(F.least("n_min", "h_min"), F.greatest("n_max", "h_max")))).select("g", "h"), "ngram-pairs")
 
 
 def _jaccard_links(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -324,61 +352,70 @@ def unit_links(pdf: pd.DataFrame) -> pd.DataFrame:
     m1, m2 = members["s1"].tolist(), members["s2"].tolist()
     out = []
 
-    def visit(s1: int, s2: int, tokens: np.ndarray, skip: int = -1) -> None:
+    root: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def top(x: tuple[int, int]) -> tuple[int, int]:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    def visit(s: tuple[int, int], tokens: np.ndarray, skip: int = -1) -> None:
         found = unit.opened(tokens)
         star = found[unit.connected[found]]
         for i in [*star[:1], *found[~unit.connected[found]]]:
-            if (s1, s2) != (m1[i], m2[i]) and i > skip:
-                out.append((s1, s2, m1[i], m2[i]))
+            a, b = top(s), top((m1[i], m2[i]))
+            if i > skip and a != b:  # a link within what is connected already tells nothing
+                root[a] = b
+                out.append((*s, m1[i], m2[i]))
 
     if len(members) and bool(members["whole"].iloc[0]):
         for i, t in enumerate(unit.sets):
-            visit(m1[i], m2[i], t, i)
+            visit((m1[i], m2[i]), t, i)
     for s1, s2, text in zip(queries["s1"].tolist(), queries["s2"].tolist(), queries["text"], strict=True):
-        visit(s1, s2, shingles(text))
+        visit((s1, s2), shingles(text))
     return pd.DataFrame(out, columns=["a1", "a2", "b1", "b2"], dtype="int64")
 
 
 def active_texts(docs: DataFrame, key: str, text: str, sets: DataFrame, grouped: DataFrame) -> DataFrame:
-    """(s1, s2, g, text) of the sets that are in groups; a text is taken from the smallest doc_id of its set and checked by the set's name."""
+    """(s1, s2, text) of the sets that are in groups; a text is taken from the smallest doc_id of its set and checked by the set's name."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keep = [signature(shingles(t)) == (x, y) for t, x, y in zip(b["text"], b["s1"], b["s2"], strict=True)]
             yield b[keep]
 
-    wanted = grouped.join(sets.select("s1", "s2", "doc_id"), ["s1", "s2"]).select("s1", "s2", "g", "doc_id")
+    wanted = grouped.join(sets.select("s1", "s2", "doc_id"), ["s1", "s2"]).select("s1", "s2", "doc_id")
     texts = docs.select(F.col(key).alias("own"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = texts.join(wanted, texts["own"].eqNullSafe(wanted["doc_id"])).select("s1", "s2", "g", "text")
-    return written(found.mapInPandas(check, "s1 long, s2 long, g long, text string"), "ngram-texts")
+    found = texts.join(wanted, texts["own"].eqNullSafe(wanted["doc_id"])).select("s1", "s2", "text")
+    return written(found.mapInPandas(check, "s1 long, s2 long, text string"), "ngram-texts")
 
 
-def find_links(texts: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
+def find_links(texts: DataFrame, members: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
     """All links that connect components, as (a1, a2, b1, b2).
 
-    ``groups`` has g, size and the central set (c1, c2) of each group. Of a pair of groups, the members of the
-    smaller one are queries to the larger. In a group of more than ``UNIT`` members every member and every query
-    is first compared with the central set; what links with it is connected through it, and only what does not
-    visits all of the group's units, in chunks of bounded size.
+    ``members`` has s1, s2, g; ``groups`` has g, size and the central set (c1, c2) of each group. Of a pair of
+    groups, the members of the smaller one are queries to the larger. In a group of more than ``UNIT`` members every
+    member and every query is first compared with the central set; what links with it is connected through it, and
+    only what does not visits all of the group's units, in chunks of bounded size. Units are planned over names of
+    sets alone; texts join them at the end.
     """
     size = groups.select("g", "size")
-    sided = pairs.join(size, "g").join(size.select(F.col("g").alias("h"), F.col("size").alias("size_h")), "h")
-    from_small = F.when((F.col("size") < F.col("size_h")) | ((F.col("size") == F.col("size_h")) & (F.col("g") < F.col("h"))), True).otherwise(False)
-    visits = sided.select(F.when(from_small, F.col("g")).otherwise(F.col("h")).alias("g"), F.when(from_small, F.col("h")).otherwise(F.col("g")).alias("to"))
-    own = texts.select("s1", "s2", "text", F.col("g").alias("to"), F.lit(True).alias("own"))
-    cross = texts.join(visits, "g").select("s1", "s2", "text", "to", F.lit(False).alias("own"))
-    everyone = own.unionByName(cross).join(groups.withColumnRenamed("g", "to"), "to")
-    small = everyone.where(F.col("size") <= UNIT)
+    sided = pairs.where("g <> h").join(size, "g").join(size.select(F.col("g").alias("h"), F.col("size").alias("size_h")), "h")
+    from_g = F.col("size") < F.col("size_h")
+    visits = sided.select(F.when(from_g, F.col("g")).otherwise(F.col("h")).alias("g"), F.when(from_g, F.col("h")).otherwise(F.col("g")).alias("to"))
+    own = members.select("s1", "s2", F.col("g").alias("to"), F.lit(True).alias("own"))
+    cross = members.join(visits, "g").select("s1", "s2", "to", F.lit(False).alias("own"))
+    everyone = written(own.unionByName(cross).join(groups.select(F.col("g").alias("to"), "size", "c1", "c2"), "to"), "ngram-visits")
     large = everyone.where(F.col("size") > UNIT)
-    central = texts.join(groups.where(F.col("size") > UNIT).select("g", "c1", "c2"), "g").where("s1 = c1 AND s2 = c2").select(F.col("g").alias("to"), F.col("text").alias("central"))
-    met = written(large.join(central, "to").withColumn("near", links_to(F.col("text"), F.col("central"))).drop("central"), "ngram-central")
+    central = groups.where(F.col("size") > UNIT).select(F.col("g").alias("to"), F.col("c1").alias("s1"), F.col("c2").alias("s2")).join(texts, ["s1", "s2"]).select("to", F.col("text").alias("central"))
+    met = written(large.join(texts, ["s1", "s2"]).join(central, "to").withColumn("near", links_to(F.col("text"), F.col("central"))).drop("central", "text"), "ngram-central")
     star = met.where("near AND NOT (s1 = c1 AND s2 = c2)").select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("c1").alias("b1"), F.col("c2").alias("b2"))
-    units = small_units(small).unionByName(large_units(met))
+    units = small_units(everyone.where(F.col("size") <= UNIT)).unionByName(large_units(met)).join(texts, ["s1", "s2"])
     found = units.groupBy("to", "unit", "chunk").applyInPandas(unit_links, "a1 long, a2 long, b1 long, b2 long")
     return found.unionByName(star)
 
 
-_UNIT_COLUMNS = ["to", "unit", "chunk", "role", "star", "whole", "s1", "s2", "text"]
+_UNIT_COLUMNS = ["to", "unit", "chunk", "role", "star", "whole", "s1", "s2"]
 
 
 def _slot(n: Column) -> Column:
@@ -446,11 +483,16 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sets = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"))
     frequent, df = frequent_tokens(counts)
     postings = shared_postings(docs, text, frequent, df)
-    grouped = written(postings.groupBy("s1", "s2").agg(F.max(F.struct("df", "token")).alias("top"), F.count("*").alias("shared")).select("s1", "s2", F.col("top.token").alias("g"), "shared"), "ngram-groups")
-    groups = written(grouped.groupBy("g").agg(F.count("*").alias("size"), F.max(F.struct("shared", "s1", "s2")).alias("c")).select("g", "size", F.col("c.s1").alias("c1"), F.col("c.s2").alias("c2")), "ngram-sizes")
-    pairs = written(group_pairs(postings, grouped), "ngram-pairs")
-    texts = active_texts(docs, key, text, sets, grouped)
-    linked_sets = components(find_links(texts, groups, pairs))
+    grouped = written(
+        postings.groupBy("s1", "s2").agg(F.max(F.struct("df", "token")).alias("top"), F.count("*").alias("shared"), F.max("n").alias("n")).select("s1", "s2", group_name(F.col("top.token"), F.col("n")).alias("g"), "shared", "n"), "ngram-groups"
+    )
+    groups = grouped.groupBy("g").agg(F.count("*").alias("size"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max(F.struct("shared", "s1", "s2")).alias("c"))
+    groups = written(groups.select("g", "size", "n_min", "n_max", F.col("c.s1").alias("c1"), F.col("c.s2").alias("c2")), "ngram-sizes")
+    pairs = group_pairs(token_groups(postings, grouped), groups)
+    alive = pairs.select(F.explode(F.array("g", "h")).alias("g")).distinct()
+    members = written(grouped.join(alive, "g").select("s1", "s2", "g"), "ngram-members")
+    texts = active_texts(docs, key, text, sets, members)
+    linked_sets = components(find_links(texts, members, groups, pairs))
     named = sets.join(linked_sets, ["s1", "s2"], "left").withColumn("label", F.coalesce("label", F.struct("s1", "s2")))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_set = written(named.join(least, "label").select("s1", "s2", "component_id"), "ngram-components")

@@ -57,7 +57,7 @@ class ToxicityModel:
         return lambda text: float(1 / (1 + np.exp(-np.clip(bias + w[index(text)].sum(), -50, 50))))
 
 
-def fit_rows(rows: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], list[int]]], width: int, l2: float = 0.02, counterfactual: float = 20.0, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit_rows(rows: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], list[int]]], width: int, l2: float = 0.005, counterfactual: float = 20.0, steps: int = 400) -> tuple[np.ndarray, float]:
     """Logistic loss, rarer class weighted by the root of the imbalance, plus l2 and ``counterfactual`` times the mean squared score change of the pairs."""
     x, n1 = Rows(rows, width), max(1.0, float(y.sum()))
     weight = np.where(y == 1, np.sqrt(max(1.0, (len(y) - n1) / n1)), 1.0)
@@ -78,7 +78,7 @@ def fit_rows(rows: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int],
     return p[:-1], float(p[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, counterfactual: float = 20.0, l2: float = 0.02) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, counterfactual: float = 20.0, l2: float = 0.005) -> ToxicityModel:
     """Learns ``labels.toxic`` from the texts of at most ``bound`` labelled rows outside the held-out fold.
 
     Without labelled rows every score is near 0; with one class only, scores are its smoothed share.
