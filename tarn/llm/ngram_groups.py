@@ -11,7 +11,8 @@ Sets are named by 128 bits of hashes of their tokens; tokens are 64-bit hashes o
 
 from __future__ import annotations
 
-from collections import Counter
+import math
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -247,7 +248,15 @@ def shared_postings(docs: DataFrame, text: str, frequent: np.ndarray, df: np.nda
 
 def group_name(token: Column, n: Column) -> Column:
     """Sets around one token and of about one size: the narrower a group's sizes, the sharper the bound on what it can share."""
-    return F.xxhash64(token, F.floor(F.log(n.cast("double")) / F.log(F.lit(GROUP_SPREAD))))
+    return F.xxhash64(token, size_class(n))
+
+
+def size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(GROUP_SPREAD))).cast("int")
+
+
+#: Classes of sizes that can link are at most so far apart.
+CLASSES_APART = math.ceil(math.log(100 / PERCENT) / math.log(GROUP_SPREAD)) + 1
 
 
 def least_shared(small: Column, large: Column) -> Column:
@@ -261,15 +270,16 @@ def least_shared(small: Column, large: Column) -> Column:
 
 
 def token_groups(postings: DataFrame, grouped: DataFrame) -> DataFrame:
-    """The prefix part of the token-group matrix: (token, g, members)."""
-    return written(postings.select("token", "s1", "s2").join(grouped.select("s1", "s2", "g"), ["s1", "s2"]).groupBy("token", "g").agg(F.count("*").alias("members")), "ngram-matrix")
+    """The prefix part of the token-group matrix: (token, g, size_class, members)."""
+    named = grouped.select("s1", "s2", "g", size_class(F.col("n")).alias("size_class"))
+    return written(postings.select("token", "s1", "s2").join(named, ["s1", "s2"]).groupBy("token", "g", "size_class").agg(F.count("*").alias("members")), "ngram-matrix")
 
 
 def group_pairs(matrix: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs (g, h), g <= h, of groups whose rows share so many prefix tokens that members can link; (g, g) if members of one group can."""
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        token, run, found = None, [], Counter()
+        token, run, found = None, deque(), Counter()
 
         def frame() -> pd.DataFrame:
             df = pd.DataFrame([(g, h, n) for (g, h), n in found.items()], columns=["g", "h", "shared"], dtype="int64")
@@ -277,18 +287,21 @@ def group_pairs(matrix: DataFrame, groups: DataFrame) -> DataFrame:
             return df
 
         for b in batches:
-            for t, g in zip(b["token"].tolist(), b["g"].tolist(), strict=True):
+            for t, c, g in zip(b["token"].tolist(), b["size_class"].tolist(), b["g"].tolist(), strict=True):
                 if t != token:
-                    token, run = t, []
-                found.update((o, g) for o in run)
-                run.append(g)
+                    token = t
+                    run.clear()
+                while run and run[0][0] < c - CLASSES_APART:
+                    run.popleft()
+                found.update((min(o, g), max(o, g)) for _, o in run)
+                run.append((c, g))
             if len(found) > 100_000:
                 yield frame()
         if found:
             yield frame()
 
     parts = int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cross = matrix.select("token", "g").repartition(parts, "token").sortWithinPartitions("token", "g").mapInPandas(pairs, "g long, h long, shared long").groupBy("g", "h").agg(F.sum("shared").alias("shared"))
+    cross = matrix.select("token", "size_class", "g").repartition(parts, "token").sortWithinPartitions("token", "size_class", "g").mapInPandas(pairs, "g long, h long, shared long").groupBy("g", "h").agg(F.sum("shared").alias("shared"))
     own = matrix.where("members > 1").groupBy("g").agg(F.count("*").alias("shared")).select("g", F.col("g").alias("h"), "shared")
     size = groups.select("g", "n_min", "n_max")
     sized = cross.unionByName(own).join(size, "g").join(size.select(F.col("g").alias("h"), F.col("n_min").alias("h_min"), F.col("n_max").alias("h_max")), "h")
@@ -344,15 +357,13 @@ class Unit:
         return np.flatnonzero(100 * both >= PERCENT * (len(query) + self.sizes - both))
 
 
-def unit_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links within one unit: between queries and members, and between members where the unit is a whole group. Of members that are known to be connected one link is enough."""
-    members = pdf[pdf["role"] == 0].drop_duplicates(["s1", "s2"])
-    queries = pdf[pdf["role"] == 1].drop_duplicates(["s1", "s2"])
-    unit = Unit([shingles(t) for t in members["text"]], members["star"].tolist())
-    m1, m2 = members["s1"].tolist(), members["s2"].tolist()
-    out = []
+def unit_links(members: list[tuple], queries: list[tuple], whole: bool) -> list[tuple[int, int, int, int]]:
+    """Links within one unit, as far as they connect: between queries and members, and between members where the unit is a whole group.
 
-    root: dict[tuple[int, int], tuple[int, int]] = {}
+    Members are (s1, s2, star, text); of the star ones, which are known to be connected, one link is enough.
+    """
+    unit = Unit([shingles(m[3]) for m in members], [m[2] for m in members])
+    out, root = [], {}
 
     def top(x: tuple[int, int]) -> tuple[int, int]:
         while (up := root.get(x, x)) != x:
@@ -363,17 +374,49 @@ def unit_links(pdf: pd.DataFrame) -> pd.DataFrame:
         found = unit.opened(tokens)
         star = found[unit.connected[found]]
         for i in [*star[:1], *found[~unit.connected[found]]]:
-            a, b = top(s), top((m1[i], m2[i]))
-            if i > skip and a != b:  # a link within what is connected already tells nothing
+            other = members[i][:2]
+            a, b = top(s), top(other)
+            if i > skip and a != b:
                 root[a] = b
-                out.append((*s, m1[i], m2[i]))
+                out.append((*s, *other))
 
-    if len(members) and bool(members["whole"].iloc[0]):
+    if whole:
         for i, t in enumerate(unit.sets):
-            visit((m1[i], m2[i]), t, i)
-    for s1, s2, text in zip(queries["s1"].tolist(), queries["s2"].tolist(), queries["text"], strict=True):
-        visit((s1, s2), shingles(text))
-    return pd.DataFrame(out, columns=["a1", "a2", "b1", "b2"], dtype="int64")
+            visit(members[i][:2], t, i)
+    for q in queries:
+        visit(q[:2], shingles(q[3]))
+    return out
+
+
+def all_unit_links(units: DataFrame) -> DataFrame:
+    """``unit_links`` of each (to, unit, chunk). A task streams its units in order and holds one at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, sets, whole, out = None, ({}, {}), False, []
+
+        def frame() -> pd.DataFrame:
+            df = pd.DataFrame(out, columns=["a1", "a2", "b1", "b2"], dtype="int64")
+            out.clear()
+            return df
+
+        for b in batches:
+            for *k, role, star, w, s1, s2, text in zip(*(b[c].tolist() for c in (*_UNIT_COLUMNS, "text")), strict=True):
+                if k != key:
+                    if sets[0] and (sets[1] or whole):
+                        out += unit_links(list(sets[0].values()), list(sets[1].values()), whole)
+                    key, sets, whole = k, ({}, {}), False
+                sets[role][s1, s2] = (s1, s2, star, text)
+                whole |= w
+            if out:
+                yield frame()
+        if sets[0] and (sets[1] or whole):
+            out += unit_links(list(sets[0].values()), list(sets[1].values()), whole)
+        if out:
+            yield frame()
+
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = units.select(*_UNIT_COLUMNS, "text").repartition(parts, "to", "unit", "chunk").sortWithinPartitions("to", "unit", "chunk")
+    return dealt.mapInPandas(run, "a1 long, a2 long, b1 long, b2 long")
 
 
 def active_texts(docs: DataFrame, key: str, text: str, sets: DataFrame, grouped: DataFrame) -> DataFrame:
@@ -411,8 +454,7 @@ def find_links(texts: DataFrame, members: DataFrame, groups: DataFrame, pairs: D
     met = written(large.join(texts, ["s1", "s2"]).join(central, "to").withColumn("near", links_to(F.col("text"), F.col("central"))).drop("central", "text"), "ngram-central")
     star = met.where("near AND NOT (s1 = c1 AND s2 = c2)").select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("c1").alias("b1"), F.col("c2").alias("b2"))
     units = small_units(everyone.where(F.col("size") <= UNIT)).unionByName(large_units(met)).join(texts, ["s1", "s2"])
-    found = units.groupBy("to", "unit", "chunk").applyInPandas(unit_links, "a1 long, a2 long, b1 long, b2 long")
-    return found.unionByName(star)
+    return all_unit_links(units).unionByName(star)
 
 
 _UNIT_COLUMNS = ["to", "unit", "chunk", "role", "star", "whole", "s1", "s2"]
