@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions.text import HEADING, full_lines, lines, share, strip
@@ -54,12 +54,17 @@ def body_of(text: Column) -> Column:
     return F.when(first > 0, strip(F.array_join(F.slice(all_lines, first.cast("int"), F.size(all_lines)), "\n"))).otherwise(F.lit(""))
 
 
-def rule_flags(text: Column) -> dict[str, Column]:
-    """Each rule's condition, in the order in which they are tried. Null counts as empty."""
+def parts_of(text: Column) -> Column:
+    """What the rules look at: the stripped text, the text behind its headings (or all of it), and the full lines of both. Null counts as empty."""
     text = strip(F.coalesce(text, F.lit("")))
     body = body_of(text)
     target = F.when(body != "", body).otherwise(text)
-    own, inner = full_lines(text), full_lines(target)
+    return F.struct(text.alias("text"), target.alias("target"), full_lines(text).alias("own"), full_lines(target).alias("inner"))
+
+
+def rule_flags(parts: Column) -> dict[str, Column]:
+    """Each rule's condition over ``parts_of`` a text, in the order in which they are tried."""
+    text, target, own, inner = (parts[k] for k in ("text", "target", "own", "inner"))
     n_own, n_inner = F.size(own), F.size(inner)
     wrapped = (target.startswith("{") & target.endswith("}")) | (target.startswith("[") & target.endswith("]"))
     asks, answers = _count(own, _is(QUESTION)), _count(own, _is(ANSWER))
@@ -101,9 +106,18 @@ def transcript_flag(own: Column) -> Column:
 RULE_TYPES = {"json_fenced": "json", "code_fenced": "code"}
 
 
-def chunk_type(text: Column) -> Column:
+def chunk_type(parts: Column) -> Column:
     out = None
-    for rule, flag in rule_flags(text).items():
+    for rule, flag in rule_flags(parts).items():
         kind = F.lit(RULE_TYPES.get(rule, rule))
         out = F.when(flag, kind) if out is None else out.when(flag, kind)
-    return F.when(strip(F.coalesce(text, F.lit(""))) == "", F.lit("content")).otherwise(out.otherwise(F.lit("content")))
+    return F.when(parts["text"] == "", F.lit("content")).otherwise(out.otherwise(F.lit("content")))
+
+
+def with_parts(df: DataFrame, text: str, out: str = "_parts") -> DataFrame:
+    """Computes the parts once a row: the optimizer does not copy an expression through a generator into each rule."""
+    return df.select("*", F.explode(F.array(parts_of(F.col(text)))).alias(out))
+
+
+def with_chunk_type(df: DataFrame, text: str, out: str = "chunk_type") -> DataFrame:
+    return with_parts(df, text).withColumn(out, chunk_type(F.col("_parts"))).drop("_parts")

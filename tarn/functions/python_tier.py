@@ -1,0 +1,242 @@
+"""Functions that built-in expressions cannot state, as Arrow-batched pandas functions. None keeps state between rows."""
+
+from __future__ import annotations
+
+import json
+import re
+import unicodedata
+import uuid
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def mapped(f: Callable, returns: str) -> Callable[[Column], Column]:
+    """A column function that applies ``f`` to each value, nulls included."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([f(None if x is None or x is pd.NA or x != x else x) for x in s], dtype=object)
+
+    return lambda c: F.pandas_udf(run, returns)(c)  # made when it is called, as types need a session
+
+
+def _nfkc(text: str | None) -> str | None:
+    return None if text is None else unicodedata.normalize("NFKC", text).strip()
+
+
+def _uuid5(name: str | None) -> str | None:
+    return None if name is None else str(uuid.uuid5(uuid.NAMESPACE_URL, name))
+
+
+#: Editor nodes that end a line.
+_BLOCKS = frozenset("paragraph heading blockquote codeBlock listItem taskItem bulletList orderedList taskList horizontalRule tableRow".split())
+
+
+def _tree_text(raw: str | None) -> str:
+    """Text of an editor document: texts in order, a line end behind each block and at hard breaks. Anything but such a document gives the empty text."""
+    try:
+        root = json.loads(raw or "null")
+    except ValueError:
+        return ""
+    out: list[str] = []
+    todo: list = [root]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):
+            out.append(node)
+        elif isinstance(node, dict):
+            if node.get("type") == "hardBreak":
+                out.append("\n")
+            if isinstance(node.get("text"), str):
+                out.append(node["text"])
+            if node.get("type") in _BLOCKS:
+                todo.append("\n")
+            children = node.get("content")
+            todo.extend(reversed(children if isinstance(children, list) else []))
+    return re.sub(r"\n{2,}", "\n", "".join(out)).strip()
+
+
+def _json_objects(reply: str | None) -> list[dict]:
+    """Every JSON object that stands in a text, nested ones only with their outermost."""
+    found, at, decoder = [], 0, json.JSONDecoder()
+    text = reply or ""
+    while (at := text.find("{", at)) >= 0:
+        try:
+            value, end = decoder.raw_decode(text, at)
+        except ValueError:
+            at += 1
+            continue
+        found.append(value)
+        at = end
+    return found
+
+
+def _keyword_rows(reply: str | None) -> list[dict]:
+    """chunk_id and keywords of each object that has both, also inside lists of an outer object; the first of an id counts."""
+    rows: dict[str, list[str]] = {}
+    todo = _json_objects(reply)[::-1]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, dict):
+            if "chunk_id" in x and isinstance(x.get("keywords"), list):
+                rows.setdefault(str(x["chunk_id"]), [str(k).strip() for k in x["keywords"] if str(k).strip()])
+            else:
+                todo += [v for v in x.values() if isinstance(v, dict | list)][::-1]
+        elif isinstance(x, list):
+            todo += x[::-1]
+    return [{"chunk_id": k, "keywords": v} for k, v in rows.items()]
+
+
+def truncated_result(limit_items: int = 10, limit_text: int = 500) -> Callable[[Column], Column]:
+    """A tool's JSON result cut to so many list items and characters, as JSON text with ``truncated``; text that is no JSON is cut as text."""
+
+    def cut(value, state: dict):
+        if isinstance(value, str):
+            if len(value) > limit_text:
+                state["cut"] = True
+                return value[: limit_text - 3] + "..."
+            return value
+        if isinstance(value, list):
+            state["cut"] |= len(value) > limit_items
+            return [cut(v, state) for v in value[:limit_items]]
+        if isinstance(value, dict):
+            return {k: cut(v, state) for k, v in value.items()}
+        return value
+
+    def run(raw: str | None) -> str | None:
+        if raw is None:
+            return None
+        state = {"cut": False}
+        try:
+            value = json.loads(raw)
+        except ValueError:
+            value = raw
+        out = cut(value, state)
+        return json.dumps({"result": out, "truncated": state["cut"]}, ensure_ascii=False, sort_keys=True)
+
+    return mapped(run, "string")
+
+
+_SECTION = re.compile(r"^#{1,6}\s+(.*?)\s*#*$")
+_ITEM = re.compile(r"^\s*(?:[-*+]|\d+[.)])\s+(.*)$")
+
+
+def _sections(text: str | None) -> list[dict]:
+    """The sections of a Markdown reply: title (empty before the first heading), items of its lists, and other text."""
+    out: list[dict] = []
+    for line in (text or "").splitlines():
+        if m := _SECTION.match(line):
+            out.append({"title": m[1], "items": [], "text": ""})
+            continue
+        if not out:
+            out.append({"title": "", "items": [], "text": ""})
+        if m := _ITEM.match(line):
+            out[-1]["items"].append(m[1].strip())
+        elif line.strip():
+            out[-1]["text"] = f"{out[-1]['text']}\n{line.strip()}".strip()
+    return out
+
+
+_FENCE = re.compile(r"^(`{3,}|~{3,})")
+_HEADING = re.compile(r"^(#{1,6})\s+\S")
+_RULE = re.compile(r"^(?:-{3,}|\*{3,}|_{3,}|={3,})$")
+
+
+def line_kind(line: str) -> tuple[str, int]:
+    """The kind of a stripped line outside fences, and a heading's depth."""
+    if m := _FENCE.match(line):
+        return "fence", len(m[1])
+    if not line:
+        return "blank", 0
+    if _RULE.match(line):
+        return "divider", 0
+    if m := _HEADING.match(line):
+        return "heading", len(m[1])
+    return ("table" if line.count("|") >= 2 else "prose"), 0
+
+
+def _blocks(text: str | None) -> list[dict]:
+    """Structural blocks in order: heading (with depth), code, json, table, prose, divider. Fenced lines stay together, to the end if the fence never closes."""
+    out: list[dict] = []
+    kind, lines, fence = "", [], ""
+
+    def close() -> None:
+        nonlocal kind
+        body = "\n".join(lines).strip()
+        if body:
+            is_json = kind == "code" and re.match(r"(?i)^```json\b", body)
+            out.append({"kind": "json" if is_json else kind, "text": body, "depth": 0})
+        lines.clear()
+        kind = ""
+
+    for line in (text or "").splitlines():
+        bare = line.strip()
+        if fence:
+            lines.append(line)
+            if bare and set(bare) == {fence} and len(bare) >= 3:
+                fence = ""
+                close()
+            continue
+        now, depth = line_kind(bare)
+        if now != kind:
+            close()
+        if now == "fence":
+            kind, fence = "code", bare[0]
+            lines.append(line)
+        elif now == "heading":
+            out.append({"kind": "heading", "text": bare, "depth": depth})
+        elif now == "divider":
+            out.append({"kind": "divider", "text": "", "depth": 0})
+        elif now != "blank":
+            kind = now
+            lines.append(line)
+    close()
+    return out
+
+
+def _windows(size: int, overlap: int) -> Callable[[str | None], list[str]]:
+    """Windows of whole sentences of at most ``size`` words; a fenced block or a longer sentence is split only if it exceeds a window. Table parts repeat the header."""
+
+    def run(text: str | None) -> list[str]:
+        out: list[str] = []
+        for block in _blocks(text):
+            rows = block["text"].splitlines()
+            if block["kind"] == "table" and len(block["text"].split()) > size:
+                head = rows[: 2 if len(rows) > 1 and re.match(r"^[|\s:-]+$", rows[1]) else 1]
+                units, lead, joint = rows[len(head) :], "\n".join(head), "\n"
+            elif block["kind"] in ("code", "json"):
+                units, lead, joint = ([block["text"]] if len(block["text"].split()) <= size else rows), "", "\n"
+            else:
+                units, lead, joint = re.split(r"(?<=[.!?])\s+", block["text"]), "", " "
+            pieces = [p for u in units for p in _cut_words(u, size)] if not lead else units
+            held: list[str] = []
+            for p in pieces:
+                if held and sum(len(h.split()) for h in held) + len(p.split()) > size:
+                    out.append(joint.join(([lead] if lead else []) + held))
+                    held = held[-overlap:] if overlap and len(held) > overlap else []
+                held.append(p)
+            if held:
+                out.append(joint.join(([lead] if lead else []) + held))
+        return out
+
+    return run
+
+
+def _cut_words(unit: str, size: int) -> list[str]:
+    words = unit.split()
+    return [unit] if len(words) <= size else [" ".join(words[i : i + size]) for i in range(0, len(words), size)]
+
+
+nfkc = mapped(_nfkc, "string")
+uuid5 = mapped(_uuid5, "string")
+tree_text = mapped(_tree_text, "string")
+keyword_rows = mapped(_keyword_rows, "array<struct<chunk_id:string,keywords:array<string>>>")
+sections = mapped(_sections, "array<struct<title:string,items:array<string>,text:string>>")
+blocks = mapped(_blocks, "array<struct<kind:string,text:string,depth:int>>")
+
+
+def windows(size: int = 200, overlap: int = 0) -> Callable[[Column], Column]:
+    return mapped(_windows(size, overlap), "array<string>")

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tarn.functions import text as X
-from tarn.functions.chunk_rules import chunk_type
+from tarn.functions.chunk_rules import with_chunk_type
 
 CASES = {
     "heading_only": "# Plan\n\n## Part two",
@@ -22,12 +22,12 @@ CASES = {
 
 
 def test_types(spark):
-    rows = spark.createDataFrame([(k, v) for k, v in CASES.items()], "want string, text string").select("want", chunk_type(F.col("text")).alias("got")).collect()
+    rows = with_chunk_type(spark.createDataFrame([(k, v) for k, v in CASES.items()], "want string, text string"), "text", "got").collect()
     assert {r["want"]: r["got"] for r in rows} == {k: k for k in CASES}
 
 
 def test_blank_and_null_are_content(spark):
-    rows = spark.createDataFrame([(None,), ("",), ("  \n ",)], "text string").select(chunk_type(F.col("text")).alias("t")).collect()
+    rows = with_chunk_type(spark.createDataFrame([(None,), ("",), ("  \n ",)], "text string"), "text", "t").collect()
     assert [r["t"] for r in rows] == ["content"] * 3
 
 
