@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from tarn.functions import text as X
 from tarn.functions.chunk_rules import rule_flags, with_chunk_type, with_parts
 from tarn.functions.vectors import literal
-from tarn.operators import agent, context, fusion, reconcile, relational, telemetry, terms
+from tarn.operators import agent, assist, context, fusion, reconcile, relational, telemetry, terms
+from tarn.plans import ingest
 from tarn.session import table
+from tarn.sources import logs
 from tarn.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -480,3 +482,59 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def delta_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     return windows.accumulated(turns, "conv_id", "turn", "text", "turn")
+
+
+# -- around a retrieval ------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", assist.json_lookup(F.col("props"), "k").alias("k"))
+
+
+@query("""SELECT conv_id, count(*) AS messages, CAST(sum(len(regexp_extract_all(coalesce("text", ''), '[A-Za-z0-9_]+|[^A-Za-z0-9_ \\t\\n\\r\\f\\v]')) + 4) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id""")
+def message_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assist.message_tokens(table(spark, sf_dir, "conversations"), "conv_id")
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, length(coalesce("text", '')) AS score, {_TOKENS} AS words, left(coalesce("text", ''), 40) AS snippet FROM conversations),
+k AS (SELECT conv_id, array_to_string(list_sort(list_distinct(flatten(list(words))))[1:25], ',') AS keywords, max(score) AS best, count(*) AS matches FROM t GROUP BY conv_id),
+s AS (SELECT conv_id, snippet, min(turn) AS seen FROM t GROUP BY 1, 2), f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY seen) AS place FROM s)
+SELECT k.conv_id, best, matches, keywords, string_agg(snippet, '~' ORDER BY seen) AS snippets FROM k JOIN f ON k.conv_id = f.conv_id AND place <= 3 GROUP BY ALL""")
+def note_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    hits = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(text).alias("score"), X.tokens(text).alias("words"), F.substring(text, 1, 40).alias("snippet"))
+    out = assist.note_evidence(hits, "conv_id", "score", "turn", "words", "snippet")
+    return out.withColumn("keywords", F.array_join("keywords", ",")).withColumn("snippets", F.array_join("snippets", "~"))
+
+
+@query("""SELECT event_id, 'event: ' || event_type || chr(10) || 'data: ' || props || chr(10) || chr(10) AS frame FROM events""")
+def sse_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", logs.sse("event_type", "props").alias("frame"))
+
+
+@query("SELECT event_id, epoch_us(ts) * 1000 AS nanos FROM events")
+def iso_nanos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("nanos"))
+
+
+@query(r"""SELECT doc_id, left(trim(regexp_replace(lower(coalesce("text", '')), '[ \t\n\r\f\v]+', ' ', 'g')), 300) AS cache_key, octet_length(encode(coalesce("text", ''))) AS note_size FROM documents""")
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", X.cache_key(text).alias("cache_key"), F.octet_length(text).cast("long").alias("note_size"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_filter([p_brand, '', p_type], lambda t: trim(t) <> ''), ',') AS tags FROM part""")
+def tag_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = F.filter(F.array("p_brand", F.lit(""), "p_type"), lambda t: F.trim(t) != "")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(tags, ",").alias("tags"))
+
+
+@query()
+def typed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.typed_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def index_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.index_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -77,3 +77,19 @@ def test_version_guard(spark, tmp_path):
         windows.run_to_table(guarded, str(tmp_path / "out"), str(tmp_path / "ck"), "append")
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [(1, 1, False), (1, 2, True), (2, 1, True), (2, 5, True)]
+
+
+def test_assist(spark):
+    from tarn.operators import assist
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    raw = F.lit('{"a": {"b": [1, 2]}, "n": 3, "s": "t", "ok": true}')
+    assert one(assist.json_lookup(raw, "a.b.1")) == "2" and one(assist.json_lookup(raw, "a.__class__")) is None
+    assert one(assist.json_lookup(raw, "a.b.c.d.e.f.g.h.i")) is None
+    assert [one(assist.json_kind(F.lit(x))) for x in ('{"a":1}', "[1]", '"s"', "2.5", "true", "null", "{")] == ["object", "array", "string", "number", "boolean", "null", "invalid"]
+    assert one(assist.argument_errors(raw, {"n": "string", "s": "string", "q": "number"}, ["q"])) == ["n should be string, not number", "q is missing"]
+    assert [r["text"] for r in one(assist.dates_in(F.lit("on 2024-05-01, 2024-13-01 and 2024-05-01")))] == ["2024-05-01"]
+    assert one(assist.grounded(F.lit("It is so."), F.array(F.lit("note 4")))) == "It is so.\n\nSources: note 4"
+    assert one(assist.usage_delta(F.create_map(F.lit("in"), F.lit(3)), F.create_map(F.lit("in"), F.lit(5), F.lit("out"), F.lit(2)))) == {"in": 2, "out": 2}
+    assert one(assist.is_simple_query(F.lit("when is the regatta?"))) and not one(assist.is_simple_query(F.lit("compare the two hulls")))
+    assert assist.rendered("Hi {name}", name="Ada") == "Hi Ada"
