@@ -79,3 +79,23 @@ def test_api(spark):
     left = store.delete_folder("u", "f")
     assert left.tables["notes"].count() == 1 and left.tables["notetags"].count() == 0
     assert [r["name"] for r in store.list_tags("u").collect()] == ["a", "z"]
+
+
+def test_enrichment(spark):
+    from tarn.plans import enrich
+
+    chunks = spark.createDataFrame(
+        [("a", 0, "0", "content", 4, "Tide tables of 2024-02-03 say tide."), ("a", 1, "1", "code", 9, "x = 1"), ("a", 2, "2", "content", 7, "Second part. More of it here today."), ("b", 0, "0", "content", 6, "Short note about rain and rain.")],
+        "doc_id string, chunk_index int, chunk_id string, chunk_type string, tokens int, text string",
+    )
+    got = {(r["doc_id"], r["chunk_index"]): r["batch"] for r in enrich.batches(chunks, "doc_id", 2, 12).collect()}
+    assert got == {("a", 0): 0, ("a", 1): 1, ("a", 2): 2, ("b", 0): 0}
+    assert [r["keywords"][0] for r in enrich.keywords(chunks).orderBy("doc_id", "chunk_index").collect() if r["keywords"]] == ["tide", "here", "rain"]
+    sums = {r["doc_id"]: (r["groups"], r["summary"]) for r in enrich.summaries(chunks, "doc_id", budget=6).collect()}
+    assert sums == {"a": (1, "Second part. More of it here today."), "b": (1, "Short note about rain and rain.")}
+    assert [(r["chunk_id"], r["date_text"]) for r in enrich.chunk_dates(chunks, "doc_id").collect()] == [("0", "2024-02-03")]
+    texts = ["", "--- !", "# Head", "two words", "- bullet of some words", "A full line of text."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    assert [r["v"] for r in df.select("i", enrich.verdict(F.col("t")).alias("v")).orderBy("i").collect()] == ["discard", "discard", "merge", "merge", "merge", "valid"]
+    reason = df.select(enrich.keyword_skip_reason(F.lit("content"), F.lit("12 34"), F.lit("")).alias("x")).first()["x"]
+    assert reason == "non_lexical"
