@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from tarn.llm.common import bounded_batches
 
 SPACE = "▁"
-#: Cached words of one worker; beyond that the cache starts anew.
-CACHED_WORDS = 400_000
+#: Words in each of the two caches of one worker.
+CACHED_WORDS = 500_000
+CACHED_PARTS = 300_000
 CACHED_PAIRS = 600_000
 
 
@@ -51,7 +52,9 @@ class PieceTable:
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.part_cache: dict[str, list[int]] = {}
-        self.cache: dict[str, tuple[list[int], str]] = {}
+        # Words that were met of late are in the one or the other; the older goes when the newer is full.
+        self.cache: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         self.text = [str(i) for i in range(sp.get_piece_size())]
 
     def _word_pattern(self) -> str:
@@ -125,42 +128,40 @@ class PieceTable:
         return out
 
     def _part(self, part: str) -> list[int]:
-        if len(self.part_cache) >= CACHED_WORDS:
+        if len(self.part_cache) >= CACHED_PARTS:
             self.part_cache.clear()
         known = self._ids_of(part)
         if len(part) <= 64:
             self.part_cache[part] = known
         return known
 
-    def _word(self, word: str) -> tuple[list[int], str]:
-        """Encodes the parts between characters that stand side by side in no piece: no token reaches over them."""
-        joined, known, part_ids, ids, at = self.joined, self.part_cache.get, self._part, [], 0
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in joined:
-                part = word[at:i]
-                ids += known(part) or part_ids(part)
-                at = i
-        part = word[at:]
-        ids += known(part) or part_ids(part)
-        text = self.text
-        found = (ids, " ".join([text[i] for i in ids]))
+    def _word(self, word: str) -> str:
+        """The ids of a word as text. Encodes the parts between characters that stand side by side in no piece: no token reaches over them."""
+        found = self.older.get(word)
+        if found is None:
+            joined, known, part_ids, ids, at = self.joined, self.part_cache.get, self._part, [], 0
+            for i in range(1, len(word)):
+                if word[i - 1 : i + 1] not in joined:
+                    part = word[at:i]
+                    ids += known(part) or part_ids(part)
+                    at = i
+            part = word[at:]
+            ids += known(part) or part_ids(part)
+            text = self.text
+            found = " ".join([text[i] for i in ids])
         if len(word) <= 64:
             if len(self.cache) >= CACHED_WORDS:
-                self.cache.clear()
+                self.older, self.cache = self.cache, {}
             self.cache[word] = found
         return found
 
-    def encoded(self, text: str) -> tuple[list[int], str]:
-        """The ids, the end id last, and the decimal ids joined by one space."""
+    def encoded(self, text: str) -> str:
+        """The decimal ids joined by one space; the end id is the last."""
         if not text:
-            return [self.end], str(self.end)
+            return str(self.end)
         text = SPACE + text.replace(" ", SPACE)
-        words = self.words.findall(text)
-        cache, own = self.cache, self._word
-        found = [cache.get(w) or own(w) for w in words]
-        ids = [i for f in found for i in f[0]]
-        ids.append(self.end)
-        return ids, " ".join([f[1] for f in found]) + f" {self.end}"
+        get, own = self.cache.get, self._word
+        return " ".join([get(w) or own(w) for w in self.words.findall(text)]) + f" {self.end}"
 
     def decoded(self, ids: list[int]) -> str:
         return self.sp.decode(ids)
@@ -196,16 +197,19 @@ def encode_decode(docs: DataFrame, model_path: str, outputs: tuple[str, ...] = (
         model = f.read()
     bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
+    needs_text = "decoded" in outputs or "decoded_sha256" in outputs
+    needs_ids = needs_text or "ids" in outputs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(model)
         for batch in batches:
             out: dict[str, list] = {name: [] for name in outputs}
             for value in batch.column(1):
-                ids, joined = table.encoded(value.as_py() or "")
-                decoded = table.decoded(ids) if "decoded" in out or "decoded_sha256" in out else ""
+                joined = table.encoded(value.as_py() or "")
+                ids = list(map(int, joined.split(" "))) if needs_ids else []
+                decoded = table.decoded(ids) if needs_text else ""
                 for name in outputs:
-                    out[name].append(len(ids) if name == "n_tokens" else ids if name == "ids" else decoded if name == "decoded" else _sha(joined) if name == "ids_sha256" else _sha(decoded))
+                    out[name].append(joined.count(" ") + 1 if name == "n_tokens" else ids if name == "ids" else decoded if name == "decoded" else _sha(joined) if name == "ids_sha256" else _sha(decoded))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[n], OUTPUTS[n]) for n in outputs)], ["k", *outputs])
 
     schema = f"k {kind}, " + ", ".join(f"{n} {_SQL[n]}" for n in outputs)
