@@ -154,12 +154,11 @@ def features_with(shapes: bool) -> Callable[[str], set[str]]:
 
 
 class Rows:
-    """Sparse presence rows."""
+    """Sparse presence rows, given as the bytes of 32-bit ids."""
 
-    def __init__(self, rows: list[list[int]], width: int):
-        self.sizes = np.array([len(r) for r in rows], dtype=np.int64)
-        self.at = np.repeat(np.arange(len(rows)), self.sizes)
-        self.ids = np.fromiter((i for r in rows for i in r), dtype=np.int64, count=int(self.sizes.sum()))
+    def __init__(self, rows: list[bytes], width: int):
+        self.ids = np.frombuffer(b"".join(rows), dtype=np.int32)
+        self.at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) // 4 for r in rows])
         self.n, self.width = len(rows), width
 
     def times(self, w: np.ndarray) -> np.ndarray:
@@ -169,6 +168,10 @@ class Rows:
         return np.bincount(self.ids, weights=g[self.at], minlength=self.width)
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    return np.array(ids, dtype=np.int32).tobytes()
+
+
 def adam(gradient: Callable[[np.ndarray], np.ndarray], start: np.ndarray, steps: int = 400, rate: float = 0.05) -> np.ndarray:
     """Minimises by adaptive steps whose rate falls to zero."""
     x, m, v = start.astype(float), np.zeros_like(start, dtype=float), np.zeros_like(start, dtype=float)

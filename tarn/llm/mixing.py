@@ -15,14 +15,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.common import SPACE_RUN, written
-from tarn.llm.linear import Indexer, Rows, adam, class_counts, features_with, labelled_sample, select_features, small_batches
+from tarn.llm.linear import Indexer, Rows, adam, as_bytes, class_counts, features_with, labelled_sample, select_features, small_batches
 
 #: Shares of the tokens that each domain (quality and toxic label) is to have.
-DOMAIN_WEIGHTS = {"q1t0": 0.93, "q0t0": 0.05, "q1t1": 0.015, "q0t1": 0.005}
+DOMAIN_WEIGHTS = {"q1t0": 0.92, "q0t0": 0.06, "q1t1": 0.015, "q0t1": 0.005}
+#: A domain with a smaller share of the labelled rows has no target: a few stray rows are no basis for one.
+LEAST_SHARE = 0.01
+#: No document is repeated more often, whatever the targets ask.
+MAX_RATE = 4.0
 #: Bounds of the domain classifier: labelled rows and features.
 MAX_DOMAIN_ROWS = 10_000
 MAX_DOMAIN_FEATURES = 1024
-MAX_ROUNDS = 40
+MAX_ROUNDS = 16
 TOLERANCE = 1e-6
 
 
@@ -56,20 +60,23 @@ def fit_domains(docs: DataFrame, labels: DataFrame, bound: int = MAX_DOMAIN_ROWS
     """Fitted to at most ``bound`` labelled rows; without any there is one domain, ``all``."""
     sample = labelled_sample(small_batches(docs), labels, domain_of(), bound)
     counts = class_counts(sample)
+    counts = {d: n for d, n in counts.items() if n >= LEAST_SHARE * sum(counts.values())}
     if len(counts) < 2:
         return DomainModel(sorted(counts) or ["all"], bias=[0.0])
+    sample = sample.where(F.col("y").isin(*counts))
     domains = sorted(counts)
     features = select_features(sample, features_with(True), counts, bound=MAX_DOMAIN_FEATURES)
 
     def index_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = Indexer(features, shapes=True)
         for b in batches:
-            yield pd.DataFrame({"y": b["y"], "ids": [index(t) for t in b["text"]]})
+            yield pd.DataFrame({"y": b["y"], "ids": [as_bytes(index(t)) for t in b["text"]]})
 
-    got = sample.mapInPandas(index_rows, "y string, ids array<int>").collect()
-    x, k, width = Rows([r["ids"] for r in got], len(features)), len(domains), len(features)
+    got = sample.mapInPandas(index_rows, "y string, ids binary").collect()
+    x, k, width = Rows([bytes(r["ids"]) for r in got], len(features)), len(domains), len(features)
     y = np.zeros((len(got), k))
     y[np.arange(len(got)), [domains.index(r["y"]) for r in got]] = 1
+    del got
 
     def gradient(p: np.ndarray) -> np.ndarray:
         p = p.reshape(width + 1, k)
@@ -110,7 +117,7 @@ def rate_column(history: list[np.ndarray]) -> Column:
     rate = F.lit(1.0)
     for step in history:
         move = sum((F.get("p", F.lit(k)) * float(c) for k, c in enumerate(step)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - move)
+        rate = F.least(F.greatest(F.lit(0.0), rate - move), F.lit(MAX_RATE))
     return rate
 
 
@@ -118,8 +125,8 @@ def fit_rates(members: DataFrame, domains: list[str], weights: Mapping[str, floa
     """The steps, the domain totals that they reach, and the targets.
 
     Minimises the squared distance of the totals from their targets, in the metric of the token-weighted second
-    moments of the posteriors (in which the step length is 1), by gradient steps projected to rates of at least 0.
-    A step's numbers are as many as there are domains, and so is what each distributed sum sends to the driver.
+    moments of the posteriors (in which the step length is 1), by gradient steps projected to rates in [0, MAX_RATE].
+    Targets that these bounds do not allow are approached; the fit ends where a step gains no more. A step's numbers are as many as there are domains, and so is what each distributed sum sends to the driver.
     """
     k = len(domains)
     p = [F.get("p", F.lit(i)) for i in range(k)]
@@ -131,13 +138,21 @@ def fit_rates(members: DataFrame, domains: list[str], weights: Mapping[str, floa
     g = np.array([[moments[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
     g += 1e-9 * total * np.eye(k)
     history: list[np.ndarray] = []
+    before, last = np.inf, goal
     for _ in range(rounds + 1):
         rated = members.select("tokens", "p", rate_column(history).alias("rate"))
         row = rated.agg(*[F.sum(F.col("tokens") * F.col("rate") * F.get("p", F.lit(i))).alias(f"t{i}") for i in range(k)]).first()
         reached = np.array([row[f"t{i}"] for i in range(k)])
-        if np.abs(reached - goal).max() <= tolerance * total or len(history) == rounds:
+        off = reached - goal
+        step = np.linalg.solve(g, off)
+        if off @ step >= before * 0.999 and history:  # at their bounds the rates reach no further
+            history.pop()
+            reached = last
             break
-        history.append(np.linalg.solve(g, reached - goal))
+        if np.abs(off).max() <= tolerance * total or len(history) == rounds:
+            break
+        before, last = off @ step, reached
+        history.append(step)
     return history, reached, goal
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.linear import MAX_LABELLED, Indexer, Rows, adam, class_counts, features_with, is_training, labelled_sample, select_features, small_batches, word_features
+from tarn.llm.linear import MAX_LABELLED, Indexer, Rows, adam, as_bytes, class_counts, features_with, is_training, labelled_sample, select_features, small_batches, word_features
 
 #: Identity terms by kind; a swap stays within its kind.
 IDENTITIES = tuple(
@@ -57,7 +57,7 @@ class ToxicityModel:
         return lambda text: float(1 / (1 + np.exp(-np.clip(bias + w[index(text)].sum(), -50, 50))))
 
 
-def fit_rows(rows: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], list[int]]], width: int, l2: float = 0.005, counterfactual: float = 20.0, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit_rows(rows: list[bytes], y: np.ndarray, pairs: list[tuple[bytes, bytes]], width: int, l2: float = 0.005, counterfactual: float = 20.0, steps: int = 400) -> tuple[np.ndarray, float]:
     """Logistic loss, rarer class weighted by the root of the imbalance, plus l2 and ``counterfactual`` times the mean squared score change of the pairs."""
     x, n1 = Rows(rows, width), max(1.0, float(y.sum()))
     weight = np.where(y == 1, np.sqrt(max(1.0, (len(y) - n1) / n1)), 1.0)
@@ -98,11 +98,11 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, counterfa
         index = Indexer(features)
         for b in batches:
             other = [swapped(t) for t in b["text"]]
-            yield pd.DataFrame({"y": (b["y"] == "1").astype("int32"), "ids": [index(t) for t in b["text"]], "other": [None if t is None else index(t) for t in other]})
+            yield pd.DataFrame({"y": (b["y"] == "1").astype("int32"), "ids": [as_bytes(index(t)) for t in b["text"]], "other": [None if t is None else as_bytes(index(t)) for t in other]})
 
-    got = sample.mapInPandas(index_rows, "y int, ids array<int>, other array<int>").collect()
-    rows = [r["ids"] for r in got]
-    pairs = [(r["ids"], r["other"]) for r in got if r["other"] is not None]
+    got = sample.mapInPandas(index_rows, "y int, ids binary, other binary").collect()
+    rows = [bytes(r["ids"]) for r in got]
+    pairs = [(bytes(r["ids"]), bytes(r["other"])) for r in got if r["other"] is not None]
     w, bias = fit_rows(rows, np.array([r["y"] for r in got]), pairs, len(features), l2, counterfactual)
     return ToxicityModel(features, w.tolist(), bias)
 
