@@ -443,9 +443,9 @@ def log_count_by_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.counts_by_window(events_utc(spark, sf_dir), "ts", "1 minute", ["event_type"])
 
 
-@query("SELECT user_id, 100.0 * count(*) FILTER (WHERE event_type = 'error') / count(*) AS error_percent FROM events GROUP BY user_id")
+@query("SELECT user_id, round(100.0 * count(*) FILTER (WHERE event_type = 'error') / count(*), 6) AS error_percent FROM events GROUP BY user_id")
 def log_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(telemetry.percent(F.col("event_type") == "error", F.lit(True)).alias("error_percent"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(telemetry.percent(F.col("event_type") == "error", F.lit(True)), 6).alias("error_percent"))
 
 
 @query("SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, round(quantile_cont(value, 0.95), 6) AS p95, round(avg(value), 6) AS mean FROM events GROUP BY 1")
