@@ -36,6 +36,10 @@ def rocksdb_state(spark: SparkSession):
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         # Else each of many small stores holds megabytes of preallocated files.
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+        # One bound for all stores of an executor; each store's buffers are taken in eighths of the buffer size.
+        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+        "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
     }
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():

@@ -20,9 +20,9 @@ from tarn.llm.common import bounded_batches
 
 SPACE = "▁"
 #: Words in each of the two caches of one worker.
-CACHED_WORDS = 500_000
-CACHED_PARTS = 300_000
-CACHED_PAIRS = 600_000
+CACHED_WORDS = 300_000
+CACHED_PARTS = 200_000
+CACHED_PAIRS = 300_000
 
 
 class PieceTable:
