@@ -204,6 +204,38 @@ def test_rates_stop_at_their_bounds(spark):
     assert (np.abs(reached - goal) > 0).any()
 
 
+def soft_members(seed, n=300, k=4):
+    r = np.random.default_rng(seed)
+    return [(i, int(t), (x / x.sum()).tolist()) for i, (t, x) in enumerate(zip(r.choice([0, 5, 50, 500], n), r.dirichlet([3.0, 1.0, 0.3, 0.1], n) + 1e-4, strict=True))]
+
+
+@pytest.mark.parametrize("weights", [(0.6, 0.25, 0.1, 0.05), (0.3, 0.3, 0.3, 0.1), (0.92, 0.06, 0.015, 0.005)])
+def test_rates_are_the_optimum(spark, monkeypatch, weights):
+    monkeypatch.setattr(mixing, "MAX_RATE", 4.0)
+    members = soft_members(4)
+    df = spark.createDataFrame(members, "doc_id long, tokens long, p array<double>").coalesce(1).cache()
+    history, reached, goal = mixing.fit_rates(df, list("abcd"), dict(zip("abcd", weights, strict=True)))
+    t, p = np.array([m[1] for m in members], dtype=float), np.array([m[2] for m in members])
+    rate = np.ones(len(t))
+    for step in history:
+        rate = np.clip(rate - p @ step, 0, 4)
+    assert np.allclose((rate * t) @ p, reached)
+    # No rates in the box reach totals further towards the targets: the duality gap bounds the squared distance from the optimum.
+    metric = np.linalg.inv((p * t[:, None]).T @ p)
+    towards = metric @ (goal - reached)
+    gap = (t * 4 * np.maximum(0, p @ towards)).sum() - towards @ reached
+    assert gap <= 1e-5 * (goal @ metric @ goal)
+    if weights[0] == 0.6:  # these the box allows
+        assert np.abs(reached - goal).max() <= 1e-6 * t.sum()
+
+
+def test_rates_meet_targets_closely(spark):
+    members = soft_members(7)
+    df = spark.createDataFrame(members, "doc_id long, tokens long, p array<double>").coalesce(1).cache()
+    _, reached, goal = mixing.fit_rates(df, list("abcd"), {"a": 0.75, "b": 0.19, "c": 0.05, "d": 0.01})
+    assert np.abs(reached - goal).max() <= 1e-5 * sum(m[1] for m in members)
+
+
 def test_mixing_whole_table(spark):
     docs, labels = labelled(spark)
     rated, domains = mixing.mixed(docs, labels)
