@@ -20,8 +20,6 @@ from tarn.llm.linear import Indexer, Rows, adam, as_bytes, class_counts, feature
 
 #: Shares of the tokens that each domain (quality and toxic label) is to have.
 DOMAIN_WEIGHTS = {"q1t0": 0.92, "q0t0": 0.06, "q1t1": 0.015, "q0t1": 0.005}
-#: A domain with a smaller share of the labelled rows has no target: a few stray rows are no basis for one.
-LEAST_SHARE = 0.01
 #: No document is repeated more often, whatever the targets ask.
 MAX_RATE = 4.0
 #: Bounds of the domain classifier: labelled rows and features.
@@ -31,7 +29,7 @@ MAX_DOMAIN_FEATURES = 1024
 MAX_ROUNDS = 200
 TOLERANCE = 1e-6
 #: Weights of the rates' distance from 1 against the totals' distance from their targets: where the fit starts, and ends.
-FIRST_EASE, LAST_EASE = 1e-3, 1e-10
+FIRST_EASE, LAST_EASE = 1e-3, 1e-8
 
 
 def domain_of() -> Column:
@@ -61,14 +59,20 @@ class DomainModel:
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, bound: int = MAX_DOMAIN_ROWS, l2: float = 0.002) -> DomainModel:
-    """Fitted to at most ``bound`` labelled rows; without any there is one domain, ``all``."""
+    """Fitted to at most ``bound`` labelled rows; without any there is one domain, ``all``.
+
+    Every domain of the labelled table is one of the model. One without a row among those has no text to learn from:
+    its posterior is 0 everywhere, and its target stays unmet.
+    """
     sample = labelled_sample(small_batches(docs), labels, domain_of(), bound)
     counts = class_counts(sample)
-    counts = {d: n for d, n in counts.items() if n >= LEAST_SHARE * sum(counts.values())}
-    if len(counts) < 2:
-        return DomainModel(sorted(counts) or ["all"], bias=[0.0])
-    sample = sample.where(F.col("y").isin(*counts))
+    if not counts:
+        return DomainModel(["all"], bias=[0.0])
+    unseen = sorted({r["y"] for r in labels.select(domain_of().alias("y")).where("y IS NOT NULL").distinct().collect()} - set(counts))
+    never = [-np.inf] * len(unseen)
     domains = sorted(counts)
+    if len(domains) < 2:
+        return DomainModel(domains + unseen, bias=[0.0, *never])
     features = select_features(sample, features_with(True), counts, bound=MAX_DOMAIN_FEATURES)
 
     def index_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,7 +95,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, bound: int = MAX_DOMAIN_ROWS
         return np.vstack([g, d.sum(axis=0)]).ravel()
 
     p = adam(gradient, np.zeros((width + 1) * k), 120, 0.1).reshape(width + 1, k)
-    return DomainModel(domains, features, p[:-1].tolist(), p[-1].tolist())
+    return DomainModel(domains + unseen, features, np.hstack([p[:-1], np.zeros((width, len(unseen)))]).tolist(), p[-1].tolist() + never)
 
 
 def memberships(docs: DataFrame, model: DomainModel, keep: list[str] | None = None) -> DataFrame:
@@ -136,7 +140,8 @@ def fit_rates(members: DataFrame, domains: list[str], weights: Mapping[str, floa
     moments of the posteriors, those nearest to 1: least squares with a slight weight on the distance from 1, which
     falls to ``LAST_EASE`` as the fit goes on. The dual has one number a domain and is convex and piecewise quadratic;
     Newton steps with a line search solve it. The fit ends when each total is within ``tolerance`` of all tokens of its target, or, where the bounds do not allow
-    that, when the dual's gradient is that small, which proves the totals the nearest. What each distributed sum sends
+    that, when the dual's gradient is that small or a Newton step can gain no more than the sums' rounding, which proves
+    the totals the nearest. What each distributed sum sends
     to the driver is of the order of the squared number of domains.
     """
     k = len(domains)
@@ -173,22 +178,27 @@ def fit_rates(members: DataFrame, domains: list[str], weights: Mapping[str, floa
     span = span[:, size > 1e-12 * total]
     metric, ease, fall = g, FIRST_EASE, 0.1
     steps, straight = 0, True
+
+    def newton(slope: np.ndarray) -> np.ndarray:
+        return -span @ np.linalg.solve(span.T @ (g + ease * metric) @ span, span.T @ slope)
+
     for n in range(rounds + 1):
         off = np.abs(reached - goal).max()
         slope = span @ (span.T @ (goal - reached + ease * (metric @ at)))
         if off <= tolerance * total:
             break
-        if np.abs(slope).max() <= (tolerance * total if ease <= LAST_EASE else max(tolerance * total, 1e-3 * off)):
+        step = newton(slope)
+        if np.abs(slope).max() <= (tolerance * total if ease <= LAST_EASE else max(tolerance * total, 1e-3 * off)) or -(slope @ step) <= 1e-13 * abs(value):
             if ease <= LAST_EASE:
                 break
             fall = max(1e-4, fall * fall) if straight and steps <= 2 else 0.1
             ease, steps, straight = max(LAST_EASE, ease * fall), 0, True
             slope = span @ (span.T @ (goal - reached + ease * (metric @ at)))
+            step = newton(slope)
         if n == rounds:
             warnings.warn(f"rates given up after {rounds} steps: totals {reached.tolist()}, targets {goal.tolist()}", stacklevel=2)
             break
-        step = -span @ np.linalg.solve(span.T @ (g + ease * metric) @ span, span.T @ slope)
-        enough = dual(value, at) + 1e-4 * (slope @ step) + 1e-12 * total
+        enough = dual(value, at) + 1e-4 * (slope @ step) + 1e-12 * total + 1e-14 * abs(value)
         _, value, reached, g = sums(at + step)
         if dual(value, at + step) > enough:
             # Too far: of several shorter steps, all tried in one pass, the best.

@@ -247,6 +247,21 @@ def test_mixing_whole_table(spark):
     assert {x["rate"] for x in mixing.mixed(docs, labels.limit(0))[0].collect()} == {1.0}
 
 
+def test_rare_and_unseen_domains_keep_their_targets(spark):
+    docs, labels = labelled(spark)
+    # The first is a training row; the other has no text.
+    more = spark.createDataFrame([(10003, 7, 0), (10_002, 8, 0)], "doc_id long, quality int, toxic int")
+    rare = spark.createDataFrame([(10003, "an odd rare text", "k")], docs.schema)
+    model = mixing.fit_domains(docs.union(rare), labels.union(more))
+    assert model.domains == ["q0t0", "q0t1", "q1t0", "q1t1", "q7t0", "q8t0"]
+    p = model.posteriors()("an odd rare text")
+    assert p[4] > 0 and p[5] == 0 and abs(p.sum() - 1) < 1e-9
+    weights = {"q1t0": 0.6, "q0t0": 0.2, "q1t1": 0.1, "q0t1": 0.05, "q7t0": 0.01, "q8t0": 0.04}
+    _, reached, goal = mixing.fit_rates(mixing.written(mixing.memberships(docs.union(rare), model), "memberships"), model.domains, weights)
+    assert np.allclose(goal / goal.sum(), [weights[d] for d in model.domains]) and reached[5] == 0
+    assert np.abs(reached - goal)[5] == goal[5]
+
+
 def test_sparse_rows():
     x = Rows([as_bytes(r) for r in ([0, 2], [], [1])], 3)
     assert x.times(np.array([1.0, 2.0, 4.0])).tolist() == [5.0, 0.0, 2.0]
