@@ -11,9 +11,13 @@ import html as html_lib
 import math
 import random
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +43,10 @@ CLOSED_BY = {
 SCOPE = frozenset("html body table td th ul ol dl div section article main aside nav header footer form button select".split())
 #: Names of class or id by which a page marks its main container; a page without one has features of its own.
 MAIN_NAMES = frozenset("article content entry main post story".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*(?:>|\Z)|<(?=/?[a-zA-Z])[^<>]*\Z|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|<[!?][^>]*(?:>|\Z)|[^<]+|<", re.S)
+#: Where a quote is never closed, tags end at the next ``>`` from there on.
+_UNQUOTED = re.compile(r"<!--.*?(?:-->|\Z)|</?[a-zA-Z][^>]*>|<[!?][^>]*(?:>|\Z)|[^<]+|<", re.S)
+_OPENS = re.compile(r"</?[a-zA-Z]")
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 _NAME = re.compile(r"[a-z]+")
@@ -59,7 +66,7 @@ class Page:
         return [edge_kind(self.tags[p] if p >= 0 else "", t) for p, t in zip(self.parents, self.tags, strict=True)]
 
 
-def _attributes(tag: str) -> tuple[tuple[str, ...], int | None]:
+def _attributes(tag: str, labelled: bool) -> tuple[tuple[str, ...], int | None]:
     names: list[str] = []
     label = None
     for key, *values in _ATTR.findall(tag.partition(" ")[2] if " " in tag else ""):
@@ -68,68 +75,127 @@ def _attributes(tag: str) -> tuple[tuple[str, ...], int | None]:
             names += _NAME.findall(value)
         elif key == "hidden" or key == "style" and "display:none" in value.replace(" ", ""):
             names.append("hidden")
-        elif key == "data-label":
+        elif labelled and key == "data-label":
             label = int(value)
     return tuple(dict.fromkeys(names)), label
 
 
-def parse(html: str) -> Page:
-    """A tolerant tree: unclosed, misnested and cut tags never fail; a tag that the end of the page cuts is dropped."""
+def _tokens(html: str) -> Iterator[re.Match]:
+    """Tags, comments and texts. After a tag that the end of the page cuts there is nothing; the caller may send a place to go on from."""
+    pattern, at, last = _TOKEN, 0, html.rfind(">")
+    while at < len(html):
+        m = pattern.match(html, at)
+        if m.end() == at + 1 and html[at] == "<" and _OPENS.match(html, at):
+            if at > last:
+                return
+            if pattern is _TOKEN:
+                pattern = _UNQUOTED
+                continue
+        at = (yield m) or m.end()
+
+
+class _Open:
+    """The open elements, with counts by tag, so that an end tag without a start costs nothing, and those an opening tag may close."""
+
+    def __init__(self, page: Page, root: int):
+        self.page, self.stack = page, [root]
+        self.count: Counter[str] = Counter()
+        self.closable: list[list[int]] = [[]]  # by scope: places in the stack of elements whose end may be implied
+
+    def push(self, node: int) -> None:
+        tag = self.page.tags[node]
+        self.stack.append(node)
+        self.count[tag] += 1
+        if tag in SCOPE:
+            self.closable.append([])
+        if tag in CLOSED_BY:
+            self.closable[-1].append(len(self.stack) - 1)
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            tag = self.page.tags[self.stack.pop()]
+            self.count[tag] -= 1
+            if tag in CLOSED_BY:
+                self.closable[-1].pop()
+            if tag in SCOPE:
+                self.closable.pop()
+
+    def end(self, tag: str) -> None:
+        if self.count[tag]:
+            at = len(self.stack) - 1
+            while self.page.tags[self.stack[at]] != tag:
+                at -= 1
+            self.cut(at)
+
+    def implied_ends(self, tag: str) -> None:
+        for at in reversed(self.closable[-1]):
+            if tag in CLOSED_BY[self.page.tags[self.stack[at]]]:
+                self.cut(at)
+                return
+
+
+def parse(html: str, labelled: bool = False) -> Page:
+    """A tolerant tree in time linear in the page: unclosed, misnested and cut tags never fail.
+
+    A tag that the end of the page cuts is dropped. A self-closed raw element ends at once unless its end tag is the
+    next tag; one without an end tag holds nothing, but for script and style, which run to the end of the page.
+    Attributes are read for names only; ``data-label`` counts in own training pages (``labelled``) alone.
+    """
     page = Page()
-    stack: list[int] = []
 
-    def push(tag: str, names: tuple[str, ...] = (), label: int | None = None) -> int:
+    def add(tag: str, names: tuple[str, ...] = (), label: int | None = None) -> int:
         page.tags.append(tag)
-        page.parents.append(stack[-1] if stack else -1)
+        page.parents.append(opened.stack[-1] if len(page.tags) > 1 else -1)
         page.names.append(names)
         page.labels.append(label)
         return len(page.tags) - 1
 
-    stack.append(push("#root"))
-    tokens = _TOKEN.finditer(html)
-    skip_to = 0
-    for m in tokens:
-        if m.start() < skip_to:
-            continue
-        token = m.group()
+    opened = _Open(page, 0)
+    add("#root")
+    ends: dict[str, int] = {}  # the next end of a raw element, as far as known
+    tokens = _tokens(html)
+    go_on = None
+    while True:
+        try:
+            m = tokens.send(go_on)
+        except StopIteration:
+            return page
+        go_on, token = None, m.group()
         if token[0] != "<" or token == "<":
-            page.texts.append((stack[-1], token))
+            page.texts.append((opened.stack[-1], token))
             continue
-        if token[-1] != ">" or token[1] in "!?":
+        if token[1] in "!?":
             continue
         tag = _TAG.match(token).group(1).lower()
+        if tag not in INLINE:
+            page.texts.append(None)
         if token[1] == "/":
-            if tag not in INLINE:
-                page.texts.append(None)
-            for at in range(len(stack) - 1, 0, -1):
-                if page.tags[stack[at]] == tag:
-                    del stack[at:]
-                    break
+            opened.end(tag)
             continue
         if tag not in INLINE:
-            page.texts.append(None)
-            for at in range(len(stack) - 1, 0, -1):
-                open_tag = page.tags[stack[at]]
-                if tag in CLOSED_BY.get(open_tag, ()):
-                    del stack[at:]
-                    break
-                if open_tag in SCOPE:
-                    break
-        names, label = _attributes(token) if len(token) > len(tag) + 2 else ((), None)
-        node = push(tag, names, label)
-        if tag in VOID or token.endswith("/>") and tag not in RAW:
+            opened.implied_ends(tag)
+        names, label = _attributes(token, labelled) if len(token) > len(tag) + 2 else ((), None)
+        node = add(tag, names, label)
+        if tag in VOID:
             continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\b", re.I).search(html, m.end())
-            skip_to = end.start() if end else len(html)
-            stack.append(node)
+        if tag not in RAW:
+            if not token.endswith("/>"):
+                opened.push(node)
             continue
-        stack.append(node)
-    return page
+        if ends.get(tag, -1) < m.end():
+            end = re.compile(rf"</{tag}(?![\w-])", re.I).search(html, m.end())
+            ends[tag] = end.start() if end else len(html)
+        at = ends[tag]
+        if token.endswith("/>") and html.find("<", m.end()) != at or at == len(html) and tag not in ("script", "style"):
+            continue
+        opened.push(node)
+        if at > m.end():
+            page.texts.append((node, html[m.end() : at]))
+            go_on = at
 
 
 def _bucket(n: float, bounds: tuple[float, ...]) -> int:
-    return sum(n >= b for b in bounds)
+    return bisect_right(bounds, n)
 
 
 def node_features(page: Page) -> list[tuple[str, ...]]:
@@ -147,15 +213,16 @@ def node_features(page: Page) -> list[tuple[str, ...]]:
             below[page.parents[i]] += below[i]
             linked[page.parents[i]] += linked[i]
     bare = not any(t in ("article", "main") for t in page.tags) and not any(MAIN_NAMES & set(x) for x in page.names if x)
-    out = []
-    for i in range(n):
-        share = linked[i] / below[i] if below[i] else 0.0
-        f = [f"t:{page.tags[i]}", f"o{_bucket(own[i], (1, 25, 80, 250))}", f"b{_bucket(below[i], (1, 80, 400, 1500))}", f"l{_bucket(share, (0.01, 0.3, 0.7))}"]
-        f += [f"n:{x}" for x in page.names[i]]
-        if bare:
-            f += [f"x:{page.tags[i]}", f"x{f[1]}", f"x{f[3]}"]
-        out.append(tuple(f))
-    return out
+    return [
+        _features(page.tags[i], _bucket(own[i], (1, 25, 80, 250)), _bucket(below[i], (1, 80, 400, 1500)), _bucket(linked[i] / below[i] if below[i] else 0.0, (0.01, 0.3, 0.7)), page.names[i], bare)
+        for i in range(n)
+    ]
+
+
+@lru_cache(50_000)
+def _features(tag: str, own: int, below: int, linked: int, names: tuple[str, ...], bare: bool) -> tuple[str, ...]:
+    f = [f"t:{tag}", f"o{own}", f"b{below}", f"l{linked}"] + [f"n:{x}" for x in names]
+    return tuple(f + [f"x:{tag}", f"xo{own}", f"xl{linked}"] if bare else f)
 
 
 def edge_kind(parent: str, tag: str) -> str:
@@ -194,7 +261,12 @@ class TreeModel:
         return below, cavity, total
 
     def marginals(self, page: Page) -> list[float]:
-        unaries = [self.unary(f) for f in node_features(page)]
+        known: dict[tuple[str, ...], float] = {}
+        unaries = []
+        for f in node_features(page):
+            if (u := known.get(f)) is None:
+                u = known[f] = self.unary(f)
+            unaries.append(u)
         return [_sigmoid(x) for x in self.messages(page, unaries)[2]]
 
 
@@ -211,52 +283,56 @@ def _sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
 
-def fit(pages: list[Page], rounds: int = 120, rate: float = 0.5, l2: float = 0.0002) -> TreeModel:
-    """Exact gradient ascent (adaptive steps) on the labels of all elements; an element without a label has its parent's."""
-    data = []
+KINDS = ("block", "inline", "text", "top")
+
+
+def fit(pages: list[Page], rounds: int = 150, rate: float = 0.5, l2: float = 0.0002) -> TreeModel:
+    """Exact gradient ascent (adaptive steps) on the labels of all elements; an element without a label has its parent's.
+
+    The messages of all pages run together, one depth of the trees at a time.
+    """
+    parent, kind, label, depth, names, at_name, at_element = [], [], [], [], {}, [], []
     for page in pages:
-        labels = page.labels[:]
-        for i, y in enumerate(labels):
-            labels[i] = y if y is not None else labels[page.parents[i]] if page.parents[i] >= 0 else 0
-        data.append((page, node_features(page), labels))
-    kinds = ("block", "inline", "text", "top")
-    model = TreeModel({f: 0.0 for _, fs, _ in data for x in fs for f in x}, {k: [[0.5, 0.0], [0.0, 0.5]] for k in kinds})
-    square: dict = {}
+        start = len(parent)
+        for i, (p, k, f, y) in enumerate(zip(page.parents, page.kinds(), node_features(page), page.labels, strict=True)):
+            parent.append(start + p if p >= 0 else -1)
+            kind.append(KINDS.index(k))
+            depth.append(depth[start + p] + 1 if p >= 0 else 0)
+            label.append(y if y is not None else label[start + p] if p >= 0 else 0)
+            at_name += [names.setdefault(x, len(names)) for x in f]
+            at_element += [start + i] * len(f)
+    parent, kind, label, depth, at_name, at_element = map(np.array, (parent, kind, label, depth, at_name, at_element))
+    n, inner = len(parent), np.flatnonzero(parent >= 0)
+    levels = [np.flatnonzero(depth == d) for d in range(1, depth.max() + 1)]
+    seen = np.zeros((len(KINDS), 2, 2))
+    np.add.at(seen, (kind[inner], label[parent[inner]], label[inner]), 1)
+    weights, tables = np.zeros(len(names)), np.tile(np.array([[0.5, 0.0], [0.0, 0.5]]), (len(KINDS), 1, 1))
+    square_w, square_t = np.zeros_like(weights), np.zeros_like(tables)
     for _ in range(rounds):
-        g: dict = {}
-        for page, features, labels in data:
-            below, cavity, total = model.messages(page, [model.unary(f) for f in features])
-            kinds_of = page.kinds()
-            for i, f in enumerate(features):
-                d = labels[i] - _sigmoid(total[i])
-                for x in f:
-                    g[x] = g.get(x, 0.0) + d
-                if i:
-                    kind = kinds_of[i]
-                    t = model.tables[kind]
-                    logs = [t[p][c] + cavity[i] * p + below[i] * c for p in (0, 1) for c in (0, 1)]
-                    top = max(logs)
-                    e = [math.exp(v - top) for v in logs]
-                    z = sum(e)
-                    for j in range(4):
-                        k = (kind, j)
-                        g[k] = g.get(k, 0.0) - e[j] / z
-                    k = (kind, 2 * labels[page.parents[i]] + labels[i])
-                    g[k] = g.get(k, 0.0) + 1
-        for k, v in g.items():
-            now = model.weights[k] if isinstance(k, str) else model.tables[k[0]][k[1] >> 1][k[1] & 1]
-            v -= l2 * len(data) * now
-            square[k] = square.get(k, 0.0) + v * v
-            step = rate * v / math.sqrt(square[k] + 1e-9)
-            if isinstance(k, str):
-                model.weights[k] += step
-            else:
-                model.tables[k[0]][k[1] >> 1][k[1] & 1] += step
-    return model
-
-
-def labelled_pages(count: int = 200, seed: int = 11) -> list[str]:
-    """Own labelled pages of many layouts; ``data-label`` marks content (1) and the rest (0)."""
+        below = np.bincount(at_element, weights=weights[at_name], minlength=n)
+        up, cavity, t = np.zeros(n), np.zeros(n), tables[kind]
+        for i in reversed(levels):
+            up[i] = np.logaddexp(t[i, 1, 0], t[i, 1, 1] + below[i]) - np.logaddexp(t[i, 0, 0], t[i, 0, 1] + below[i])
+            below += np.bincount(parent[i], weights=up[i], minlength=n)
+        total = below.copy()
+        for i in levels:
+            cavity[i] = total[parent[i]] - up[i]
+            total[i] += np.logaddexp(t[i, 0, 1], t[i, 1, 1] + cavity[i]) - np.logaddexp(t[i, 0, 0], t[i, 1, 0] + cavity[i])
+        both = t[inner] + cavity[inner, None, None] * np.array([[0], [1]]) + below[inner, None, None] * np.array([0, 1])
+        both = np.exp(both - both.max(axis=(1, 2), keepdims=True))
+        both /= both.sum(axis=(1, 2), keepdims=True)
+        g_t = seen - l2 * len(pages) * tables
+        np.add.at(g_t, kind[inner], -both)
+        g_w = np.bincount(at_name, weights=(label - 1 / (1 + np.exp(-np.clip(total, -500, 500))))[at_element], minlength=len(names)) - l2 * len(pages) * weights
+        square_w += g_w**2
+        square_t += g_t**2
+        weights += rate * g_w / np.sqrt(square_w + 1e-9)
+        tables += rate * g_t / np.sqrt(square_t + 1e-9)
+    return TreeModel(dict(zip(names, weights.tolist(), strict=True)), dict(zip(KINDS, tables.tolist(), strict=True)))
+
+
+def labelled_pages(count: int = 320, seed: int = 11) -> list[str]:
+    """Own labelled pages of many layouts; ``data-label`` marks content (1) and the rest (0). In a third of them no class, id or tag tells what a box is."""
     r = random.Random(seed)
     syllables = "ba be do fi ga hu jo ka le mi no pu ra so ti vu wa xe yo zu".split()
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
@@ -331,8 +407,27 @@ def labelled_pages(count: int = 200, seed: int = 11) -> list[str]:
             lambda: f'<section data-label="0" class="{r.choice(["newsletter", "subscribe", "related", "promo"])}"><p>{say(3, 25)}</p></section>',
         ][k]()
 
+    def plain_page() -> str:
+        box = lambda y, text: f'<{(tag := r.choice(["div", "div", "section"]))} data-label="{y}" {r.choice(["class", "id"])}="{word()}{r.choice(["", "-" + word()])}">{text}</{tag}>'
+        rest = lambda: box(0, r.choice([
+            lambda: f"<ul>{links(r.randint(2, 9))}</ul>",
+            lambda: " ".join(f'<a href="/{word()}">{word()}</a>' for _ in range(r.randint(2, 8))),
+            lambda: f"<h4>{say(1, 3)}</h4><ul>{links(r.randint(1, 6))}</ul>",
+            lambda: f"&copy; {word()} {say(0, 6)}" if r.random() < 0.5 else f'<a href="/">{word()}</a>',
+            lambda: f'<p>&copy; {word()} {say(1, 4)} <a href="/">{word()}</a></p>',
+        ])())
+        parts = [f"<h1>{say(2, 9)}</h1>"] if r.random() < 0.8 else []
+        parts += [f"<p>{say(6, 60)}</p>" if r.random() < 0.85 else f"<h2>{say(1, 6)}</h2><p>{say(8, 60)}</p>" for _ in range(r.randint(1, 8))]
+        body = "".join(rest() for _ in range(r.randint(1, 3))) + box(1, "".join(parts)) + "".join(rest() for _ in range(r.randint(1, 3)))
+        if r.random() < 0.6:
+            body = box(0, body)
+        return f'<html data-label="0"><head data-label="0"><title>{say(2, 8)}</title></head><body data-label="0">{body}</body></html>'
+
     out = []
-    for _ in range(count):
+    for n in range(count):
+        if n % 3 == 2:
+            out.append(plain_page())
+            continue
         before = [f'<nav data-label="0"><ul>{links(r.randint(1, 8))}</ul></nav>' if r.random() < 0.8 else "", f'<header data-label="0"><h1>{say(1, 3)}</h1><p>{say(2, 12)}</p></header>' if r.random() < 0.4 else ""]
         if r.random() < 0.2:
             before.append(f'<div data-label="0" class="{r.choice(["header", "topbar", "navbar", "menu"])}"><ul>{links(3)}</ul></div>')
@@ -351,7 +446,7 @@ _MODEL: list[TreeModel] = []
 def trained_model() -> TreeModel:
     """Fitted once a process to ``labelled_pages``."""
     if not _MODEL:
-        _MODEL.append(fit([parse(p) for p in labelled_pages()]))
+        _MODEL.append(fit([parse(p, labelled=True) for p in labelled_pages()]))
     return _MODEL[0]
 
 
@@ -363,7 +458,11 @@ def main_text(html: str, model: TreeModel, threshold: float = 0.5) -> str:
 
 
 def extract_text(pages: DataFrame, model: TreeModel | None = None, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, url, text, n_chars) of every row. Null html counts as empty and gives the empty text; so does a page without content."""
+    """(key, url, text, n_chars) of every row of ``pages``; other columns, whatever their names, are not looked at.
+
+    Null html counts as empty and gives the empty text; so does a page without content. Null keys and urls stay null,
+    repeated rows stay, an empty table gives no rows. Pages of any length are taken whole, in time linear in them.
+    """
     model = model or trained_model()
     bounded_batches(pages.sparkSession)
 

@@ -65,7 +65,7 @@ def test_main_text_of_layouts():
 def test_held_out_layouts():
     model, right, total = html_model.trained_model(), 0, 0
     for html in html_model.labelled_pages(60, seed=77):
-        page = html_model.parse(html)
+        page = html_model.parse(html, labelled=True)
         labels = page.labels[:]
         for i, y in enumerate(labels):
             labels[i] = y if y is not None else labels[page.parents[i]] if i else 0
@@ -95,3 +95,50 @@ def test_extract_odd_rows(spark):
     assert len(got) == 6 and by[1]["text"] == by[2]["text"] == by[4]["text"] == "" and by[3]["text"] == "cut &am"
     assert max(r["n_chars"] for r in got) == 50_000 * 6 - 1
     assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_any_attribute_and_self_closed_elements():
+    model = html_model.trained_model()
+    one, two = "The harbour froze in March, and boats stayed on land.", "Nobody went to sea before the thaw of the ice."
+    for between in ('<table><tr><td data-label="Price">', '<p data-label="0">', '<svg viewBox="0 0"/><p>', '<iframe src="x"><p>', '<script src="x"/><p>', "<noscript/><p>", '<a href="x><i></i></a><p>', "<template><p>"):
+        assert html_model.main_text(f"<article><p>{one}</p>{between}{two}", model) == f"{one} {two}", between
+    assert html_model.main_text(f"<article><p>{one}</p><script src='a'/>var a;</script><svg/><style>p</style><p>{two}</p></article>", model) == f"{one} {two}"
+
+
+def test_long_odd_pages_take_linear_time():
+    import time
+
+    model, began = html_model.trained_model(), time.time()
+    n = 100_000
+    for html in ("<div>" * n + "</p>" * n, '<a "' * n, "<a" * n, "<svg>" * n, "<section><p><section>" + "<b>" * n + "<h1></h1>" * n, "<!--" * n, "<li>" * n, "<p><x-y>" * n):
+        assert html_model.main_text(html, model) == ""
+    assert time.time() - began < 60
+
+
+def test_unseen_names_and_no_names():
+    model = html_model.trained_model()
+    text = ["A frozen harbour", "The harbour froze in March, and the boats stayed on land for weeks.", "Nobody went to sea before the thaw, and prices in the market rose by half."]
+    links = "".join(f'<li><a href="/{i}">topic {i}</a></li>' for i in range(6))
+    for attr in ("", ' class="zq1"', ' id="qqr-7"'):
+        html = f"<body><div{attr}><ul>{links}</ul></div><div{attr}><h1>{text[0]}</h1><p>{text[1]}</p><p>{text[2]}</p></div><div{attr}>&copy; 2020 them</div></body>"
+        assert html_model.main_text(html, model) == " ".join(text)
+
+
+def test_pages_equal_their_articles(spark):
+    """The tables mark the article by its element; a plain cut of the page is the truth."""
+    import html as html_lib
+    import re
+
+    pages_of = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    raw = {r["page_id"]: r["html"] for r in pages_of.collect()}
+    rows = html_model.extract_text(pages_of).collect()
+    assert len(rows) == len(raw)
+    for r in rows:
+        article = re.search(r"<article>(.*?)</article>", raw[r["page_id"]], re.S)[1]
+        assert r["text"] == " ".join(html_lib.unescape(re.sub(r"<[^>]+>", " ", re.sub(r"</?b>", "", article))).split())
+
+
+def test_extract_from_nothing(spark):
+    assert html_model.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    rows = html_model.extract_text(spark.createDataFrame([(None, None, None), (None, None, None)], "page_id long, url string, html string")).collect()
+    assert [tuple(r) for r in rows] == [(None, None, "", 0)] * 2
