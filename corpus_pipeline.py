@@ -12,13 +12,17 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import table, written
 from tarn.llm.exact_dedup import deduplicated
-from tarn.llm.mixing import mixed_documents
+from tarn.llm.mixing import domain_of, mixed_documents
 from tarn.llm.ngram_groups import link_components
 from tarn.llm.pieces import encode_decode
 from tarn.llm.queries import piece_model
 from tarn.llm.toxicity import without_toxic
 
 
+#: Shares of the tokens that documents of quality 1 and 0 are to have.
+QUALITY_WEIGHTS = {"q1": 0.94, "q0": 0.06}
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the counterfactually regularised classifier rejects go."""
     return without_toxic(docs, table(spark, sf_dir, "labels"))
@@ -36,8 +40,11 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate asks."""
-    return mixed_documents(docs, table(spark, sf_dir, "labels"))
+    """Each document as often as its rate asks. Toxic documents have gone, so the domains that remain are those of quality.
+
+    Empty and null texts have a rate like others of their posterior; null ids are told apart by their texts.
+    """
+    return mixed_documents(docs, table(spark, sf_dir, "labels"), QUALITY_WEIGHTS, domain_of(q="quality"))
 
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,11 +20,10 @@ from tarn.llm.linear import Indexer, Rows, adam, as_bytes, class_counts, feature
 
 #: Shares of the tokens that each domain (quality and toxic label) is to have.
 DOMAIN_WEIGHTS = {"q1t0": 0.92, "q0t0": 0.06, "q1t1": 0.015, "q0t1": 0.005}
-#: No document is repeated more often, whatever the targets ask.
-MAX_RATE = 4.0
-#: Bounds of the domain classifier: labelled rows and features.
+#: Bounds of the domain classifier: labelled rows, features, and steps of its fit.
 MAX_DOMAIN_ROWS = 10_000
-MAX_DOMAIN_FEATURES = 1024
+MAX_DOMAIN_FEATURES = 2048
+DOMAIN_STEPS = 250
 #: Newton steps after which the fit is given up with a warning; it takes 10 to 30.
 MAX_ROUNDS = 200
 TOLERANCE = 1e-6
@@ -32,9 +31,12 @@ TOLERANCE = 1e-6
 FIRST_EASE, LAST_EASE = 1e-3, 1e-8
 
 
-def domain_of() -> Column:
-    """The domain that a row of the labelled table names; null if a label is."""
-    return F.when(F.col("quality").isNotNull() & F.col("toxic").isNotNull(), F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string")))
+def domain_of(**labels: str) -> Column:
+    """The domain that a row of the labelled table names, its labels' values behind their letters; null if a label is.
+
+    By default quality and toxic: ``q1t0``. A corpus without toxic documents is mixed by quality alone: ``domain_of(q="quality")``.
+    """
+    return F.concat(*(F.concat(F.lit(letter), F.col(c).cast("string")) for letter, c in (labels or {"q": "quality", "t": "toxic"}).items()))
 
 
 @dataclass
@@ -58,22 +60,25 @@ class DomainModel:
         return of
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, bound: int = MAX_DOMAIN_ROWS, l2: float = 0.002) -> DomainModel:
-    """Fitted to at most ``bound`` labelled rows; without any there is one domain, ``all``.
+def fit_domains(
+    docs: DataFrame, labels: DataFrame, bound: int = MAX_DOMAIN_ROWS, l2: float = 0.002, domain: Column | None = None, most_features: int = MAX_DOMAIN_FEATURES, steps: int = DOMAIN_STEPS
+) -> DomainModel:
+    """Fitted to at most ``bound`` labelled rows and ``most_features`` features; without any row there is one domain, ``all``.
 
     Every domain of the labelled table is one of the model. One without a row among those has no text to learn from:
     its posterior is 0 everywhere, and its target stays unmet.
     """
-    sample = labelled_sample(small_batches(docs), labels, domain_of(), bound)
+    domain = domain_of() if domain is None else domain
+    sample = labelled_sample(small_batches(docs), labels, domain, bound)
     counts = class_counts(sample)
     if not counts:
         return DomainModel(["all"], bias=[0.0])
-    unseen = sorted({r["y"] for r in labels.select(domain_of().alias("y")).where("y IS NOT NULL").distinct().collect()} - set(counts))
+    unseen = sorted({r["y"] for r in labels.select(domain.alias("y")).where("y IS NOT NULL").distinct().collect()} - set(counts))
     never = [-np.inf] * len(unseen)
     domains = sorted(counts)
     if len(domains) < 2:
         return DomainModel(domains + unseen, bias=[0.0, *never])
-    features = select_features(sample, features_with(True), counts, bound=MAX_DOMAIN_FEATURES)
+    features = select_features(sample, features_with(True), counts, bound=most_features)
 
     def index_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = Indexer(features, shapes=True)
@@ -94,12 +99,12 @@ def fit_domains(docs: DataFrame, labels: DataFrame, bound: int = MAX_DOMAIN_ROWS
         g = np.stack([x.transposed_times(d[:, j]) for j in range(k)], axis=1) + l2 * p[:-1]
         return np.vstack([g, d.sum(axis=0)]).ravel()
 
-    p = adam(gradient, np.zeros((width + 1) * k), 120, 0.1).reshape(width + 1, k)
+    p = adam(gradient, np.zeros((width + 1) * k), steps, 0.1).reshape(width + 1, k)
     return DomainModel(domains + unseen, features, np.hstack([p[:-1], np.zeros((width, len(unseen)))]).tolist(), p[-1].tolist() + never)
 
 
 def memberships(docs: DataFrame, model: DomainModel, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, tokens (words apart by white space), p (posterior of each domain) of every row, and a struct ``row`` of the columns in ``keep``."""
+    """doc_id, tokens (words apart by white space), p (posterior of each domain), share (the id as a number in [0, 1), of a null id the text) of every row, and a struct ``row`` of the columns in ``keep``."""
     names = keep if keep is not None else ["doc_id"]
     rows = small_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -111,7 +116,9 @@ def memberships(docs: DataFrame, model: DomainModel, keep: list[str] | None = No
     p = F.pandas_udf(posteriors, "array<double>")
     tokens = F.size(F.filter(F.split("text", SPACE_RUN), lambda w: w != "")).cast("long")
     out = ["row"] if keep is not None else []
-    return rows.withColumn("p", p("text")).select(*out, F.col("row.doc_id").alias("doc_id"), tokens.alias("tokens"), "p")
+    named = F.xxhash64("row.doc_id", F.when(F.col("row.doc_id").isNull(), F.col("text")))
+    share = F.pmod(named, F.lit(1 << 53)) / float(1 << 53)
+    return rows.withColumn("p", p("text")).select(*out, F.col("row.doc_id").alias("doc_id"), tokens.alias("tokens"), "p", share.alias("share"))
 
 
 def targets(domains: list[str], weights: Mapping[str, float], total: float) -> np.ndarray:
@@ -124,25 +131,25 @@ def unbounded_rate(step: np.ndarray) -> Column:
     return F.lit(1.0) - sum((F.get("p", F.lit(k)) * float(c) for k, c in enumerate(step)), F.lit(0.0))
 
 
-def bounded_rate(rate: Column) -> Column:
-    return F.least(F.greatest(F.lit(0.0), rate), F.lit(MAX_RATE))
+def not_negative(rate: Column) -> Column:
+    return F.greatest(F.lit(0.0), rate)
 
 
 def rate_column(history: list[np.ndarray]) -> Column:
     """The rate of a document: it follows from its posterior and the fit's few numbers, of which there is one step or none."""
-    return bounded_rate(unbounded_rate(history[0])) if history else F.lit(1.0)
+    return not_negative(unbounded_rate(history[0])) if history else F.lit(1.0)
 
 
 def fit_rates(members: DataFrame, domains: list[str], weights: Mapping[str, float], rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """The step from rate 1 (none where the targets are met as it is), the domain totals that it reaches, and the targets.
 
-    Of all rates in [0, MAX_RATE] whose totals are nearest to the targets, in the metric of the token-weighted second
+    Of all rates that are not negative whose totals are nearest to the targets, in the metric of the token-weighted second
     moments of the posteriors, those nearest to 1: least squares with a slight weight on the distance from 1, which
     falls to ``LAST_EASE`` as the fit goes on. The dual has one number a domain and is convex and piecewise quadratic;
-    Newton steps with a line search solve it. The fit ends when each total is within ``tolerance`` of all tokens of its target, or, where the bounds do not allow
-    that, when the dual's gradient is that small or a Newton step can gain no more than the sums' rounding, which proves
-    the totals the nearest. What each distributed sum sends
-    to the driver is of the order of the squared number of domains.
+    Newton steps with a line search solve it. The fit ends when each total is within ``tolerance`` of all tokens of its
+    target, or, where no rates reach them, when the dual's gradient is that small or a Newton step can gain no more than
+    the sums' rounding, which proves the totals the nearest; a warning tells of a miss. What each distributed sum sends to
+    the driver is of the order of the squared number of domains.
     """
     k = len(domains)
     p = [F.get("p", F.lit(i)) for i in range(k)]
@@ -150,14 +157,14 @@ def fit_rates(members: DataFrame, domains: list[str], weights: Mapping[str, floa
 
     def conjugate(at: np.ndarray) -> Column:
         free = unbounded_rate(at)
-        return F.sum(F.col("tokens") * bounded_rate(free) * (free - bounded_rate(free) / 2))
+        return F.sum(F.col("tokens") * not_negative(free) * (free - not_negative(free) / 2))
 
     def sums(at: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
-        """All tokens, the dual's sum, the domain totals, and the second moments of the rows between their bounds."""
+        """All tokens, the dual's sum, the domain totals, and the second moments of the rows whose rate is above 0."""
         rated = members.select(F.col("tokens").cast("double").alias("tokens"), "p", unbounded_rate(at).alias("free"))
-        rated = rated.select("tokens", "p", "free", (F.col("tokens") * bounded_rate(F.col("free"))).alias("out"), F.when((F.col("free") > 0) & (F.col("free") < MAX_RATE), F.col("tokens")).otherwise(0.0).alias("between"))
+        rated = rated.select("tokens", "p", "free", (F.col("tokens") * not_negative(F.col("free"))).alias("out"), F.when(F.col("free") > 0, F.col("tokens")).otherwise(0.0).alias("between"))
         row = rated.agg(
-            F.sum("tokens").alias("n"), F.sum(F.col("out") * (F.col("free") - bounded_rate(F.col("free")) / 2)).alias("value"),
+            F.sum("tokens").alias("n"), F.sum(F.col("out") * (F.col("free") - not_negative(F.col("free")) / 2)).alias("value"),
             *[F.sum(F.col("out") * p[i]).alias(f"t{i}") for i in range(k)], *[F.sum(F.col("between") * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in upper],
         ).first()
         if not row["n"]:
@@ -196,7 +203,6 @@ def fit_rates(members: DataFrame, domains: list[str], weights: Mapping[str, floa
             slope = span @ (span.T @ (goal - reached + ease * (metric @ at)))
             step = newton(slope)
         if n == rounds:
-            warnings.warn(f"rates given up after {rounds} steps: totals {reached.tolist()}, targets {goal.tolist()}", stacklevel=2)
             break
         enough = dual(value, at) + 1e-4 * (slope @ step) + 1e-12 * total + 1e-14 * abs(value)
         _, value, reached, g = sums(at + step)
@@ -208,25 +214,36 @@ def fit_rates(members: DataFrame, domains: list[str], weights: Mapping[str, floa
             _, value, reached, g = sums(at + step)
             straight = False
         at, steps = at + step, steps + 1
+    if np.abs(reached - goal).max() > tolerance * total:
+        warnings.warn(f"no rates reach the targets after {n} steps: totals {dict(zip(domains, reached, strict=True))}, targets {dict(zip(domains, goal, strict=True))}", stacklevel=2)
     return [at] if at.any() else [], reached, goal
 
 
-def mixed(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = DOMAIN_WEIGHTS, keep: list[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """Per row: doc_id, tokens, p, rate, expected_tokens, copies (and ``row``), and the domains' names.
+@dataclass
+class Mix:
+    """What a fit was asked for and what it reached: expected tokens in each domain."""
+
+    domains: list[str]
+    targets: np.ndarray
+    reached: np.ndarray
+
+
+def mixed(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = DOMAIN_WEIGHTS, keep: list[str] | None = None, domain: Column | None = None) -> tuple[DataFrame, Mix]:
+    """Per row: doc_id, tokens, p, share, rate, expected_tokens, copies (and ``row``); and the targets with what was reached.
 
-    ``copies`` rounds the rate to a whole number of times by a hash of the id, so its expected value is the rate.
-    Empty and null texts have no tokens but a rate like others of their posterior; all rows, repeated ones too, get one.
+    ``copies`` rounds the rate to a whole number of times by a hash of the id (of the text where the id is null), so its
+    expected value is the rate. Empty and null texts have no tokens but a rate like others of their posterior; all rows,
+    repeated ones too, get one, and rows that repeat an id round alike. No rows: none. Texts of any length are read whole.
     """
-    model = fit_domains(docs, labels)
+    model = fit_domains(docs, labels, domain=domain)
     members = written(memberships(docs, model, keep), "memberships")
-    history, _, _ = fit_rates(members, model.domains, weights)
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)) / float(1 << 53)
+    history, reached, goal = fit_rates(members, model.domains, weights)
     rated = members.withColumn("rate", rate_column(history))
-    rated = rated.withColumn("expected_tokens", F.col("rate") * F.col("tokens")).withColumn("copies", (F.floor("rate") + (share < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
-    return rated, model.domains
+    rated = rated.withColumn("expected_tokens", F.col("rate") * F.col("tokens")).withColumn("copies", (F.floor("rate") + (F.col("share") < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
+    return rated, Mix(model.domains, goal, reached)
 
 
-def mixed_documents(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = DOMAIN_WEIGHTS) -> DataFrame:
+def mixed_documents(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = DOMAIN_WEIGHTS, domain: Column | None = None) -> DataFrame:
     """The rows of ``docs``, each as often as its rate asks."""
-    rated, _ = mixed(docs, labels, weights, docs.columns)
+    rated, _ = mixed(docs, labels, weights, docs.columns, domain)
     return rated.where("copies > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy")).select("row.*")

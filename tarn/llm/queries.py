@@ -77,8 +77,10 @@ def op9_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rated, domains = mixed(docs, table(spark, sf_dir, "labels"))
-    return rated.select("doc_id", "tokens", *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)], "rate", "expected_tokens", "copies")
+    rated, mix = mixed(docs, table(spark, sf_dir, "labels"))
+    posteriors = [F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(mix.domains)]
+    totals = [F.lit(float(x)).alias(f"{name}_{d}") for name, values in (("target", mix.targets), ("reached", mix.reached)) for d, x in zip(mix.domains, values, strict=True)]
+    return rated.select("doc_id", "tokens", *posteriors, "rate", "expected_tokens", "copies", *totals)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
