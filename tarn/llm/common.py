@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 #: White space of the contracts: the space and U+0009 to U+000D.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -42,6 +44,34 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def hot_keys(df: DataFrame, on: list[str], count: str | None = None, floor: int = 64) -> DataFrame | None:
+    """The keys whose rows exceed an even share of a shuffle partition, with the number of ``salts`` that splits them into such shares.
+
+    There are at most as many of them as shuffle partitions, so they are fetched and may be broadcast. ``df`` has one
+    row a key with its ``count``, or is counted here.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sized = df.select(*on, F.col(count).cast("long").alias("n")) if count else df.groupBy(*on).agg(F.count("*").alias("n"))
+    total = sized.agg(F.sum("n")).first()[0] or 0
+    found = sized.where(F.col("n") > max(floor, total / parts)).collect()
+    if not found:
+        return None
+    schema = df.select(*on).schema.add("salts", IntegerType())
+    return spark.createDataFrame([(*(r[c] for c in on), math.ceil(r["n"] * parts / total)) for r in found], schema)
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """``left.join(right, on, how)`` (inner or left), the left rows of ``hot`` keys dealt to several tasks and the right ones repeated for each."""
+    if hot is None:
+        return left.join(right, on, how)
+    hot = F.broadcast(hot)
+    salt = F.when(F.col("salts").isNull(), F.lit(0)).otherwise((F.rand(11) * F.col("salts")).cast("int"))
+    dealt = left.join(hot, on, "left").withColumn("_salt", salt).drop("salts")
+    again = right.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return dealt.join(again, [*on, "_salt"], how).drop("_salt")
+
+
 def text_of(column: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

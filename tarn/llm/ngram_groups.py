@@ -6,11 +6,13 @@ matrix: the union of its members' tokens. A query set is tested against the row
 bound can reach the threshold is the group opened and the query compared with its members. Groups beyond
 ``UNIT`` members are split into units of bounded size, after a comparison of every member with one central set.
 
-Sets are named by 128 bits of hashes of their tokens; tokens are 64-bit hashes of shingles.
+A token is a 64-bit hash of a shingle, made of keyed hashes of its words, and a set is named by 128 bits of a digest
+of its tokens. Before a link between sets of different names counts, their shingles are compared word by word.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter, deque
 from collections.abc import Iterator
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import bounded_batches, shared_folder, written
+from tarn.llm.common import bounded_batches, hot_keys, salted_join, shared_folder, written
 
 WORDS = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -36,26 +38,23 @@ LEAST_FREQUENCY = 10
 #: Tokens that a task holds to count them.
 HELD_TOKENS = 2_000_000
 
-_R = np.random.default_rng(20240501)
-_VALUES = _R.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ODD = _R.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = int(_ODD[0])
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+_ODD = np.random.default_rng(20240501).integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_KEY = b"tarn n-gram words"
+#: Words whose hashes a worker remembers.
+CACHED_WORDS = 250_000
 
 
-def _power_table(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(4096, 1 << (n - 1).bit_length())
-        with np.errstate(over="ignore"):
-            have = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)]), dtype=np.uint64)
-        _powers[base] = have
-    return have[:n]
+class _WordHashes(dict):
+    """Keyed 64-bit hashes of words; a bounded memory of them."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=_KEY).digest(), "little")
+        return h
+
+
+_HASHES = _WordHashes()
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -64,35 +63,40 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def words_of(text: str) -> list[bytes]:
+    """A-Z lower-cased; words apart by the space and U+0009 to U+000D, which is what bytes split at."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit tokens: A-Z lower-cased, words apart by the space and U+0009 to U+000D; fewer words than ``words`` make one token, none no token."""
-    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    if not len(b):
-        return np.empty(0, np.uint64)
-    b = _LOWER[b]
-    edge = np.diff(np.concatenate([[True], _SPACE[b], [True]]).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(start):
+    """Sorted distinct 64-bit tokens; fewer words than ``words`` make one token, none no token."""
+    found = words_of(text)
+    if not found:
         return np.empty(0, np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[b] * _power_table(_BASE, len(b)), dtype=np.uint64)])
-    word = _mix((sums[end] - sums[start]) * _power_table(_INVERSE, len(b) + 1)[start])
+    word = np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
     k = min(words, len(word))
     n = len(word) - k + 1
-    h = np.full(n, np.uint64(k) * _ODD[15], dtype=np.uint64)
-    for i in range(k):
-        h += word[i : i + n] * _ODD[1 + i]
-    return np.unique(_mix(h))
+    h = word[:n] * _ODD[0] + np.uint64(k)
+    for i in range(1, k):
+        h += word[i : i + n] * _ODD[i]
+    h = _mix(h)
+    h.sort()
+    if (again := h[1:] == h[:-1]).any():
+        h = h[np.concatenate([[True], ~again])]
+    return h
 
 
-def signature(tokens: np.ndarray) -> tuple[int, int]:
-    """128 bits that name a set, as two signed longs."""
-    a = int(np.sum(_mix(tokens + _ODD[10]), dtype=np.uint64))
-    b = int(np.sum(_mix(tokens ^ _ODD[11]) ^ _ODD[12], dtype=np.uint64))
-    return _signed(a), _signed(b)
+def real_shingles(text: str, words: int = WORDS) -> frozenset[tuple[bytes, ...]]:
+    """The set itself, without any hash of ours."""
+    found = words_of(text)
+    k = min(words, len(found))
+    return frozenset(zip(*(found[i : len(found) - k + 1 + i] for i in range(k)), strict=True)) if k else frozenset()
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def signature(tokens: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set, as two signed longs."""
+    a, b = np.frombuffer(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), np.int64)
+    return int(a), int(b)
 
 
 def needed(size: int, percent: int = PERCENT) -> int:
@@ -310,16 +314,20 @@ def group_pairs(matrix: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _jaccard_links(left: pd.Series, right: pd.Series) -> pd.Series:
-    out, last, last_tokens = [], None, None
+    out, last, last_tokens, last_real = [], None, None, None
     for a, b in zip(left, right, strict=True):
         if b != last:
-            last, last_tokens = b, shingles(b)
+            last, last_tokens, last_real = b, shingles(b), real_shingles(b)
         t = shingles(a)
         both = len(np.intersect1d(t, last_tokens, assume_unique=True))
-        out.append(linked(both, len(t), len(last_tokens)))
+        out.append(linked(both, len(t), len(last_tokens)) and really_linked(real_shingles(a), last_real))
     return pd.Series(out, dtype=bool)
 
 
+def really_linked(a: frozenset, b: frozenset) -> bool:
+    return linked(len(a & b), len(a), len(b))
+
+
 def links_to(text: Column, other: Column) -> Column:
     def f(a: pd.Series, b: pd.Series) -> pd.Series:
         return _jaccard_links(a, b)
@@ -363,28 +371,34 @@ def unit_links(members: list[tuple], queries: list[tuple], whole: bool) -> list[
     Members are (s1, s2, star, text); of the star ones, which are known to be connected, one link is enough.
     """
     unit = Unit([shingles(m[3]) for m in members], [m[2] for m in members])
-    out, root = [], {}
+    out, root, real = [], {}, {}
+
+    def words(s: tuple) -> frozenset:
+        if s[:2] not in real:
+            real[s[:2]] = real_shingles(s[3])
+        return real[s[:2]]
 
     def top(x: tuple[int, int]) -> tuple[int, int]:
         while (up := root.get(x, x)) != x:
             root[x] = x = root.get(up, up)
         return x
 
-    def visit(s: tuple[int, int], tokens: np.ndarray, skip: int = -1) -> None:
-        found = unit.opened(tokens)
-        star = found[unit.connected[found]]
-        for i in [*star[:1], *found[~unit.connected[found]]]:
-            other = members[i][:2]
-            a, b = top(s), top(other)
-            if i > skip and a != b:
-                root[a] = b
-                out.append((*s, *other))
+    def visit(s: tuple, tokens: np.ndarray, skip: int = -1) -> None:
+        joined = False  # to one of the star
+        for i in unit.opened(tokens):
+            star = unit.connected[i]
+            a, b = top(s[:2]), top(members[i][:2])
+            if i <= skip or a == b or star and joined or not really_linked(words(s), words(members[i])):
+                continue
+            root[a] = b
+            joined |= star
+            out.append((*s[:2], *members[i][:2]))
 
     if whole:
         for i, t in enumerate(unit.sets):
-            visit(members[i][:2], t, i)
+            visit(members[i], t, i)
     for q in queries:
-        visit(q[:2], shingles(q[3]))
+        visit(q, shingles(q[3]))
     return out
 
 
@@ -443,17 +457,20 @@ def find_links(texts: DataFrame, members: DataFrame, groups: DataFrame, pairs: D
     sets alone; texts join them at the end.
     """
     size = groups.select("g", "size")
+    large_groups = hot_keys(groups, ["g"], "size")
     sided = pairs.where("g <> h").join(size, "g").join(size.select(F.col("g").alias("h"), F.col("size").alias("size_h")), "h")
     from_g = F.col("size") < F.col("size_h")
     visits = sided.select(F.when(from_g, F.col("g")).otherwise(F.col("h")).alias("g"), F.when(from_g, F.col("h")).otherwise(F.col("g")).alias("to"))
-    own = members.select("s1", "s2", F.col("g").alias("to"), F.lit(True).alias("own"))
-    cross = members.join(visits, "g").select("s1", "s2", "to", F.lit(False).alias("own"))
-    everyone = written(own.unionByName(cross).join(groups.select(F.col("g").alias("to"), "size", "c1", "c2"), "to"), "ngram-visits")
+    own = members.select("s1", "s2", "g", F.col("g").alias("to"), F.lit(True).alias("own"))
+    cross = salted_join(members, visits, ["g"], hot=large_groups).select("s1", "s2", "g", "to", F.lit(False).alias("own"))
+    plan = written(own.unionByName(cross), "ngram-visits")
+    visited = hot_keys(plan, ["to"])
+    everyone = written(salted_join(plan, groups.select(F.col("g").alias("to"), "size", "c1", "c2"), ["to"], hot=visited).drop("g"), "ngram-visits")
     large = everyone.where(F.col("size") > UNIT)
     central = groups.where(F.col("size") > UNIT).select(F.col("g").alias("to"), F.col("c1").alias("s1"), F.col("c2").alias("s2")).join(texts, ["s1", "s2"]).select("to", F.col("text").alias("central"))
-    met = written(large.join(texts, ["s1", "s2"]).join(central, "to").withColumn("near", links_to(F.col("text"), F.col("central"))).drop("central", "text"), "ngram-central")
+    met = written(salted_join(large.join(texts, ["s1", "s2"]), central, ["to"], hot=visited).withColumn("near", links_to(F.col("text"), F.col("central"))).drop("central", "text"), "ngram-central")
     star = met.where("near AND NOT (s1 = c1 AND s2 = c2)").select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("c1").alias("b1"), F.col("c2").alias("b2"))
-    units = small_units(everyone.where(F.col("size") <= UNIT)).unionByName(large_units(met)).join(texts, ["s1", "s2"])
+    units = small_units(everyone.where(F.col("size") <= UNIT), visited).unionByName(large_units(met, visited)).join(texts, ["s1", "s2"])
     return all_unit_links(units).unionByName(star)
 
 
@@ -464,18 +481,18 @@ def _slot(n: Column) -> Column:
     return F.pmod(F.xxhash64("s1", "s2"), n).cast("int")
 
 
-def small_units(rows: DataFrame) -> DataFrame:
+def small_units(rows: DataFrame, visited: DataFrame | None) -> DataFrame:
     """A group of at most UNIT members is one unit, repeated for each chunk of its queries; the first chunk also compares the members."""
     counts = rows.where("NOT own").groupBy("to").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("chunks"))
     rows = rows.where("size > 1 OR NOT own").unionByName(rows.where("size = 1 AND own").join(counts.select("to"), "to", "left_semi"))
-    rows = rows.join(counts, "to", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    rows = salted_join(rows, counts, ["to"], "left", visited).withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     members = rows.where("own").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     members = members.withColumn("role", F.lit(0)).withColumn("whole", F.col("chunk") == 0)
     queries = rows.where("NOT own").withColumn("chunk", _slot(F.col("chunks"))).withColumn("role", F.lit(1)).withColumn("whole", F.lit(False))
     return members.unionByName(queries).withColumn("unit", F.lit(0)).withColumn("star", F.lit(False)).select(*_UNIT_COLUMNS)
 
 
-def large_units(met: DataFrame) -> DataFrame:
+def large_units(met: DataFrame, visited: DataFrame | None) -> DataFrame:
     """Units of large groups: members near the central set, and the others. What is near it visits only the others, unless it is a member itself."""
     at_least = lambda c: F.greatest(F.ceil(c / UNIT), F.lit(1)).cast("int")
     counts = met.groupBy("to").agg(
@@ -485,7 +502,7 @@ def large_units(met: DataFrame) -> DataFrame:
         F.count_if(~F.col("near") | ~F.col("own")).alias("all_visits"),
     )
     sized = counts.select("to", at_least(F.col("n_near")).alias("near_units"), F.ceil(F.col("n_far") / UNIT).cast("int").alias("far_units"), F.ceil(F.col("far_visits") / UNIT).cast("int").alias("near_chunks"), F.ceil(F.col("all_visits") / UNIT).cast("int").alias("far_chunks"))
-    rows = met.join(sized, "to")
+    rows = salted_join(met, sized, ["to"], hot=visited)
     span = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     near = rows.where("own AND near").withColumn("unit", _slot(F.col("near_units"))).withColumn("chunk", F.explode(span(F.col("near_chunks"))))
     far = rows.where("own AND NOT near").withColumn("unit", F.col("near_units") + _slot(F.greatest("far_units", F.lit(1)))).withColumn("chunk", F.explode(span(F.col("far_chunks"))))
@@ -500,15 +517,20 @@ def large_units(met: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(s1, s2, label) of every linked set: the least set of its component. Least labels spread along links and jump to their label's label, one written table a round."""
+    """(s1, s2, label) of every linked set: the least set of its component.
+
+    Least labels spread along links and jump to their label's label, one written table a round. Sets with very many
+    links and labels of very many sets are split over tasks.
+    """
     a, b = F.struct(F.col("a1").alias("s1"), F.col("a2").alias("s2")), F.struct(F.col("b1").alias("s1"), F.col("b2").alias("s2"))
     edges = written(links.select(a.alias("a"), b.alias("b")).unionByName(links.select(b.alias("a"), a.alias("b"))).where("a <> b").distinct(), "ngram-edges")
+    hubs = hot_keys(edges, ["b"])
     labels = written(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "ngram-labels")
     while True:
-        spread = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        least = labels.join(spread.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "near").alias("new"))
-        jump = labels.select(F.col("node").alias("new"), F.col("label").alias("further"))
-        moved = written(least.join(jump, "new", "left").select("node", F.coalesce(F.least("new", "further"), "new").alias("new"), "label"), "ngram-labels")
+        near = salted_join(edges, labels.withColumnRenamed("node", "b"), ["b"], hot=hubs).groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
+        further = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        jumped = salted_join(labels, further, ["label"], "left", hot_keys(labels, ["label"]))
+        moved = written(jumped.join(near, "node").select("node", F.least("label", "near", "further").alias("new"), "label"), "ngram-labels")
         labels = moved.select("node", F.col("new").alias("label"))
         if moved.where("new <> label").isEmpty():
             return labels.select("node.s1", "node.s2", "label")
@@ -535,8 +557,10 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     members = written(grouped.join(alive, "g").select("s1", "s2", "g"), "ngram-members")
     texts = active_texts(docs, key, text, sets, members)
     linked_sets = components(find_links(texts, members, groups, pairs))
-    named = sets.join(linked_sets, ["s1", "s2"], "left").withColumn("label", F.coalesce("label", F.struct("s1", "s2")))
+    named = written(sets.join(linked_sets, ["s1", "s2"]), "ngram-named")
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_set = written(named.join(least, "label").select("s1", "s2", "component_id"), "ngram-components")
-    joined = rows.where("n > 0").join(of_set, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    of_set = written(salted_join(named, least, ["label"], hot=hot_keys(named, ["label"])).select("s1", "s2", "component_id"), "ngram-components")
+    of_set = written(sets.withColumnRenamed("doc_id", "own_id").join(of_set.withColumn("linked", F.lit(True)), ["s1", "s2"], "left").select("s1", "s2", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("own_id")).alias("component_id")), "ngram-components")
+    alive = rows.where("n > 0")
+    joined = salted_join(alive, of_set, ["s1", "s2"], hot=hot_keys(alive, ["s1", "s2"])).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return joined.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

@@ -303,3 +303,23 @@ def test_near_pairs(spark):
     want = {tuple(sorted((a, b))) for a, b in itertools.combinations(by.values(), 2) if spot_signatures.likeness(sets[a], sets[b]) >= 0.8}
     got = {tuple(sorted((r["a"], r["b"]))) for r in spot_signatures.near_pairs(spot_signatures.fingerprints(df)).collect()}
     assert got == want
+
+
+def test_words_of_equal_sums_are_told_apart(spark):
+    """Words that polynomial hashes modulo a power of two confuse: a sequence of a and b, and the one with both swapped."""
+    word = "a"
+    for _ in range(9):
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = ["one two three four five", *(f"{w} is a word that hashes may well confuse" for w in (word, word.translate(str.maketrans("ab", "ba"))))]
+    got = ngram_groups.link_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r["doc_id"] == r["component_id"] for r in got)
+    assert ngram_groups.real_shingles("A b\tC d e f") == {(b"a", b"b", b"c", b"d", b"e"), (b"b", b"c", b"d", b"e", b"f")}
+    assert ngram_groups.real_shingles(" A  b") == {(b"a", b"b")} and not ngram_groups.real_shingles(" \n")
+
+
+def test_components_of_hot_labels(spark):
+    """Many links into one node, and a chain behind it."""
+    links = [(i, i, 0, 0) for i in range(1, 900)] + [(i, 0, i + 1, 0) for i in range(1000, 1040)] + [(1000, 0, 5, 5)] + [(5000 + i, 0, 6000, 0) for i in range(3)]
+    got = {(r["s1"], r["s2"]): tuple(r["label"]) for r in ngram_groups.components(spark.createDataFrame(links, "a1 long, a2 long, b1 long, b2 long")).collect()}
+    assert len(got) == 900 + 41 + 4
+    assert {v for k, v in got.items() if k[0] < 5000} == {(0, 0)} and {v for k, v in got.items() if k[0] >= 5000} == {(5000, 0)}
