@@ -52,21 +52,24 @@ def hot_keys(df: DataFrame, on: list[str], count: str | None = None, floor: int
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sized = df.select(*on, F.col(count).cast("long").alias("n")) if count else df.groupBy(*on).agg(F.count("*").alias("n"))
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    found = sized.where(F.col("n") > max(floor, total / parts)).collect()
+    sized = df.select(*on, F.col(count).cast("long").alias("_rows")) if count else df.groupBy(*on).agg(F.count("*").alias("_rows"))
+    total = sized.agg(F.sum("_rows")).first()[0] or 0
+    found = sized.where(F.col("_rows") > max(floor, total / parts)).collect()
     if not found:
         return None
     schema = df.select(*on).schema.add("salts", IntegerType())
-    return spark.createDataFrame([(*(r[c] for c in on), math.ceil(r["n"] * parts / total)) for r in found], schema)
+    return spark.createDataFrame([(*(r[c] for c in on), math.ceil(r["_rows"] * parts / total)) for r in found], schema)
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
-    """``left.join(right, on, how)`` (inner or left), the left rows of ``hot`` keys dealt to several tasks and the right ones repeated for each."""
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """``left.join(right, on, how)`` (inner or left), the left rows of ``hot`` keys dealt to several tasks and the right ones repeated for each.
+
+    A row's task follows from a hash of its columns ``by``, so that a repeated attempt deals it to the same one.
+    """
     if hot is None:
         return left.join(right, on, how)
     hot = F.broadcast(hot)
-    salt = F.when(F.col("salts").isNull(), F.lit(0)).otherwise((F.rand(11) * F.col("salts")).cast("int"))
+    salt = F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*by), F.col("salts")).cast("int"))
     dealt = left.join(hot, on, "left").withColumn("_salt", salt).drop("salts")
     again = right.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
     return dealt.join(again, [*on, "_salt"], how).drop("_salt")

@@ -1,8 +1,9 @@
 """Exact deduplication by a stream whose disk-backed state never expires.
 
-The state keeps, for each digest of a normalised text, the stable identifier and the content locator of the row
-that stays, and how many rows have come. Each row that hits a digest is compared with the row behind the locator
-by its full bytes before it counts as a copy.
+The state keeps, for each digest of a normalised text, the stable identifier and the content locator (file and row in
+the store) of the row that stays, and how many rows have come. Each row that hits a digest is compared with the row
+behind the locator by its full bytes before it counts as a copy. A store outlives the call: what arrives later is met
+with the same state.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import SPACE_RUN, shared_folder, written
+from tarn.llm.common import SPACE_RUN, hot_keys, salted_join, shared_folder, written
 
 #: A stream reads at most so much in one micro-batch.
 BYTES_PER_BATCH = 64 << 30
@@ -51,6 +52,11 @@ def rocksdb_state(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def located(rows: DataFrame) -> DataFrame:
+    """Rows of the store with their locator: the name of the file, which is never written again, and the row in it."""
+    return rows.withColumn("locator", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")))
+
+
 def first_of_digest(arrivals: DataFrame) -> DataFrame:
     """A streaming (or batch) aggregation over (digest, n_bytes, doc_id, locator): the smallest doc_id (null last) with its locator, and the count."""
     return arrivals.groupBy("digest", "n_bytes").agg(
@@ -64,7 +70,7 @@ def run_state(spark: SparkSession, landed: str, schema, checkpoint: str, bytes_p
     stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(landed)
     with rocksdb_state(spark):
         query = (
-            first_of_digest(stream.select("digest", "n_bytes", "doc_id", "locator"))
+            first_of_digest(located(stream).select("digest", "n_bytes", "doc_id", "locator"))
             .writeStream.outputMode("update")
             .format("noop")
             .option("checkpointLocation", checkpoint)
@@ -82,31 +88,37 @@ def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     return state.select("key.digest", "key.n_bytes", first["doc_id"].alias("keep_id"), first["locator"].alias("keep_locator"), size.alias("group_size"))
 
 
-def mark_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows of ``docs`` with what was decided: a struct ``row`` of the original columns, doc_id, keep_id, group_size, kept, digest.
+def mark_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256, key: str = "doc_id", text: str = "text", store: str | None = None) -> DataFrame:
+    """Rows with what was decided: a struct ``row`` of the original columns, doc_id, keep_id, group_size, kept, digest.
 
     Of rows with equal normalised texts the one with the smallest doc_id stays (null ids come last; of rows that
     repeat that id, one). Null texts count as empty and are copies of each other. ``digest`` may be weak: rows
-    that share a digest but not the bytes are grouped by their bytes.
+    that share a digest but not the bytes are grouped by their bytes. Columns may have any names; texts any length.
+
+    ``docs`` is added to the ``store``, a folder that all executors reach (by default a new one), and the rows of all
+    that the store holds come back; the stream reads only what is new in it. Calls on one store must have the same
+    columns, key, text and digest.
     """
     spark = docs.sparkSession
-    landed, checkpoint = shared_folder(spark, "dedup-landed"), shared_folder(spark, "dedup-state")
+    store = store or shared_folder(spark, "dedup")
+    landed, checkpoint = f"{store}/rows", f"{store}/state"
     norm = normalised(F.col(text))
     docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col(key).alias("doc_id"),
-        F.monotonically_increasing_id().alias("locator"),
         digest(norm).alias("digest"),
         F.octet_length(norm).cast("long").alias("n_bytes"),
-    ).write.option("compression", "zstd").parquet(landed)
+    ).write.mode("append").option("compression", "zstd").parquet(landed)
     rows = spark.read.parquet(landed)
     run_state(spark, landed, rows.schema, checkpoint)
+    rows = located(rows)
     groups = written(read_state(spark, checkpoint).where("group_size > 1"), "dedup-groups")
+    hot = hot_keys(groups, ["digest", "n_bytes"], "group_size")
     unlike = unlike_rows(rows, groups, text)
     small = rows.select("row", "doc_id", "locator", "digest", "n_bytes")
-    marked = small.join(groups, ["digest", "n_bytes"], "left")
+    marked = salted_join(small, groups, ["digest", "n_bytes"], ["locator"], "left", hot)
     if not unlike.isEmpty():
-        marked = regrouped(marked, unlike)
+        marked = regrouped(marked, unlike, hot)
     return marked.select(
         "row",
         "doc_id",
@@ -118,21 +130,24 @@ def mark_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256, ke
 
 
 def unlike_rows(rows: DataFrame, groups: DataFrame, text: str = "text") -> DataFrame:
-    """The full-bytes check: rows whose normalised text differs from that behind the locator of their digest."""
-    hits = rows.select("locator", "doc_id", "digest", "n_bytes").join(groups, ["digest", "n_bytes"]).select("locator", "doc_id", "digest", "n_bytes", "keep_locator")
-    texts = rows.select("locator", F.col(f"row.`{text}`").alias("text"))
-    hit_texts = written(hits.join(texts, "locator").withColumn("text", normalised(F.col("text"))), "dedup-hits")
+    """The full-bytes check: rows whose normalised text differs from that behind the locator of their digest.
+
+    Texts of hits alone are moved, once; a large group's are spread over tasks, each with the text that stays.
+    """
+    hit_texts = salted_join(rows.select("locator", "doc_id", "digest", "n_bytes", F.col(f"row.`{text}`").alias("text")), groups, ["digest", "n_bytes"], ["locator"], hot=hot_keys(groups, ["digest", "n_bytes"], "group_size"))
+    hit_texts = written(hit_texts.select("locator", "doc_id", "digest", "n_bytes", "keep_locator", normalised(F.col("text")).alias("text")), "dedup-hits")
     kept = hit_texts.where("locator = keep_locator").select("keep_locator", F.col("text").alias("kept_text"))
     copies = hit_texts.where("locator <> keep_locator")
-    return written(copies.join(kept, "keep_locator").where("text <> kept_text").select("locator", "doc_id", "digest", "n_bytes", "text"), "dedup-unlike")
+    met = salted_join(copies, kept, ["keep_locator"], ["locator"], hot=hot_keys(groups, ["keep_locator"], "group_size"))
+    return written(met.where("text <> kept_text").select("locator", "doc_id", "digest", "n_bytes", "text"), "dedup-unlike")
 
 
-def regrouped(marked: DataFrame, unlike: DataFrame) -> DataFrame:
+def regrouped(marked: DataFrame, unlike: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Rows that only share a digest get groups by their bytes, and leave the size of the group that they were in."""
     own = unlike.groupBy("digest", "n_bytes", "text").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "locator")).alias("first"), F.count("*").alias("own_size"))
     moved = unlike.join(own, ["digest", "n_bytes", "text"]).select("locator", F.col("first.doc_id").alias("own_id"), F.col("first.locator").alias("own_locator"), "own_size")
     left = unlike.groupBy("digest", "n_bytes").agg(F.count("*").alias("gone"))
-    out = marked.join(moved, "locator", "left").join(left, ["digest", "n_bytes"], "left")
+    out = salted_join(marked.join(moved, "locator", "left"), left, ["digest", "n_bytes"], ["locator"], "left", hot)
     is_own = F.col("own_size").isNotNull()
     return out.select(
         "row",

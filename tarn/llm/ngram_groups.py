@@ -462,13 +462,13 @@ def find_links(texts: DataFrame, members: DataFrame, groups: DataFrame, pairs: D
     from_g = F.col("size") < F.col("size_h")
     visits = sided.select(F.when(from_g, F.col("g")).otherwise(F.col("h")).alias("g"), F.when(from_g, F.col("h")).otherwise(F.col("g")).alias("to"))
     own = members.select("s1", "s2", "g", F.col("g").alias("to"), F.lit(True).alias("own"))
-    cross = salted_join(members, visits, ["g"], hot=large_groups).select("s1", "s2", "g", "to", F.lit(False).alias("own"))
+    cross = salted_join(members, visits, ["g"], ["s1", "s2"], hot=large_groups).select("s1", "s2", "g", "to", F.lit(False).alias("own"))
     plan = written(own.unionByName(cross), "ngram-visits")
     visited = hot_keys(plan, ["to"])
-    everyone = written(salted_join(plan, groups.select(F.col("g").alias("to"), "size", "c1", "c2"), ["to"], hot=visited).drop("g"), "ngram-visits")
+    everyone = written(salted_join(plan, groups.select(F.col("g").alias("to"), "size", "c1", "c2"), ["to"], ["s1", "s2"], hot=visited).drop("g"), "ngram-visits")
     large = everyone.where(F.col("size") > UNIT)
     central = groups.where(F.col("size") > UNIT).select(F.col("g").alias("to"), F.col("c1").alias("s1"), F.col("c2").alias("s2")).join(texts, ["s1", "s2"]).select("to", F.col("text").alias("central"))
-    met = written(salted_join(large.join(texts, ["s1", "s2"]), central, ["to"], hot=visited).withColumn("near", links_to(F.col("text"), F.col("central"))).drop("central", "text"), "ngram-central")
+    met = written(salted_join(large.join(texts, ["s1", "s2"]), central, ["to"], ["s1", "s2"], hot=visited).withColumn("near", links_to(F.col("text"), F.col("central"))).drop("central", "text"), "ngram-central")
     star = met.where("near AND NOT (s1 = c1 AND s2 = c2)").select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("c1").alias("b1"), F.col("c2").alias("b2"))
     units = small_units(everyone.where(F.col("size") <= UNIT), visited).unionByName(large_units(met, visited)).join(texts, ["s1", "s2"])
     return all_unit_links(units).unionByName(star)
@@ -485,7 +485,7 @@ def small_units(rows: DataFrame, visited: DataFrame | None) -> DataFrame:
     """A group of at most UNIT members is one unit, repeated for each chunk of its queries; the first chunk also compares the members."""
     counts = rows.where("NOT own").groupBy("to").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("chunks"))
     rows = rows.where("size > 1 OR NOT own").unionByName(rows.where("size = 1 AND own").join(counts.select("to"), "to", "left_semi"))
-    rows = salted_join(rows, counts, ["to"], "left", visited).withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    rows = salted_join(rows, counts, ["to"], ["s1", "s2"], "left", visited).withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     members = rows.where("own").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     members = members.withColumn("role", F.lit(0)).withColumn("whole", F.col("chunk") == 0)
     queries = rows.where("NOT own").withColumn("chunk", _slot(F.col("chunks"))).withColumn("role", F.lit(1)).withColumn("whole", F.lit(False))
@@ -502,7 +502,7 @@ def large_units(met: DataFrame, visited: DataFrame | None) -> DataFrame:
         F.count_if(~F.col("near") | ~F.col("own")).alias("all_visits"),
     )
     sized = counts.select("to", at_least(F.col("n_near")).alias("near_units"), F.ceil(F.col("n_far") / UNIT).cast("int").alias("far_units"), F.ceil(F.col("far_visits") / UNIT).cast("int").alias("near_chunks"), F.ceil(F.col("all_visits") / UNIT).cast("int").alias("far_chunks"))
-    rows = salted_join(met, sized, ["to"], hot=visited)
+    rows = salted_join(met, sized, ["to"], ["s1", "s2"], hot=visited)
     span = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     near = rows.where("own AND near").withColumn("unit", _slot(F.col("near_units"))).withColumn("chunk", F.explode(span(F.col("near_chunks"))))
     far = rows.where("own AND NOT near").withColumn("unit", F.col("near_units") + _slot(F.greatest("far_units", F.lit(1)))).withColumn("chunk", F.explode(span(F.col("far_chunks"))))
@@ -527,9 +527,9 @@ def components(links: DataFrame) -> DataFrame:
     hubs = hot_keys(edges, ["b"])
     labels = written(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "ngram-labels")
     while True:
-        near = salted_join(edges, labels.withColumnRenamed("node", "b"), ["b"], hot=hubs).groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
+        near = salted_join(edges, labels.withColumnRenamed("node", "b"), ["b"], ["a"], hot=hubs).groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
         further = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        jumped = salted_join(labels, further, ["label"], "left", hot_keys(labels, ["label"]))
+        jumped = salted_join(labels, further, ["label"], ["node"], "left", hot_keys(labels, ["label"]))
         moved = written(jumped.join(near, "node").select("node", F.least("label", "near", "further").alias("new"), "label"), "ngram-labels")
         labels = moved.select("node", F.col("new").alias("label"))
         if moved.where("new <> label").isEmpty():
@@ -559,8 +559,8 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     linked_sets = components(find_links(texts, members, groups, pairs))
     named = written(sets.join(linked_sets, ["s1", "s2"]), "ngram-named")
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_set = written(salted_join(named, least, ["label"], hot=hot_keys(named, ["label"])).select("s1", "s2", "component_id"), "ngram-components")
+    of_set = written(salted_join(named, least, ["label"], ["s1", "s2"], hot=hot_keys(named, ["label"])).select("s1", "s2", "component_id"), "ngram-components")
     of_set = written(sets.withColumnRenamed("doc_id", "own_id").join(of_set.withColumn("linked", F.lit(True)), ["s1", "s2"], "left").select("s1", "s2", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("own_id")).alias("component_id")), "ngram-components")
     alive = rows.where("n > 0")
-    joined = salted_join(alive, of_set, ["s1", "s2"], hot=hot_keys(alive, ["s1", "s2"])).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    joined = salted_join(alive, of_set, ["s1", "s2"], ["doc_id"], hot=hot_keys(alive, ["s1", "s2"])).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return joined.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull
 
-from tarn.llm.common import bounded_batches, shared_folder, written
+from tarn.llm.common import bounded_batches, hot_keys, salted_join, shared_folder, written
 
 RECORD_URN = "<urn:x-page:{}>"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -69,10 +69,10 @@ def with_roles(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     """
     base = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.coalesce(html, F.lit("")).alias("payload"))
     base = base.withColumn("n", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    groups = base.select("key", "n", "digest").where(F.col("n") >= revisit_from).groupBy("digest", "n").agg(F.min("key").alias("keep"), F.count("*").alias("copies")).where("copies > 1 AND keep IS NOT NULL").drop("copies")
+    groups = base.select("key", "n", "digest").where(F.col("n") >= revisit_from).groupBy("digest", "n").agg(F.min("key").alias("keep"), F.count("*").alias("copies")).where("copies > 1 AND keep IS NOT NULL")
     # Written first: its true size is known then, and Spark broadcasts it only below its threshold.
     groups = written(groups, "warc-copies")
-    joined = base.join(groups, ["digest", "n"], "left")
+    joined = salted_join(base, groups.drop("copies"), ["digest", "n"], ["key"], "left", hot_keys(groups, ["digest", "n"], "copies"))
     again = F.col("keep").isNotNull() & ~F.col("key").eqNullSafe(F.col("keep"))
     return joined.select("key", "url", F.when(~again, F.col("payload")).alias("payload"), "n", "digest", F.when(again, F.col("keep")).alias("refers_to"))
 
@@ -329,25 +329,28 @@ def payload_of(row: dict, block: bytes) -> bytes | None:
 
 
 def read_archives(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Filters on header columns reach the source where the session has ``spark.sql.python.filterPushdown.enabled``, which is set here if it is not set at all."""
+    name = "spark.sql.python.filterPushdown.enabled"
+    if spark.conf.get(name, "false") != "true":
+        spark.conf.set(name, "true")
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(folder)
 
 
 def archived_pages(pages: DataFrame, folder: str | None = None, key: str = "page_id") -> DataFrame:
-    """Writes ``pages`` as archives and reads them back: (key, payload_bytes, payload_digest, record_type, refers_to, target_uri)."""
+    """Writes ``pages`` as archives and reads them back: (key, payload_bytes, payload_digest, record_type, refers_to, target_uri).
+
+    Responses and revisits are read apart, each with its record type pushed down; of revisits only headers are asked for.
+    Null html is an empty payload. Null keys come back null; rows that repeat a key are records of their own. An empty
+    table gives no rows. Payloads of any length are one record. Other columns, whatever their names, are not looked at.
+    """
     spark = pages.sparkSession
     folder = folder or shared_folder(spark, "warc")
     write_archives(with_roles(pages, key), folder)
-    back = read_archives(spark, folder)
-    number = lambda c: F.regexp_extract(c, r":([^:>]*)>$", 1)
-    is_copy = F.col("record_type") == "revisit"
     kind = dict(pages.dtypes)[key]
-    return back.select(
-        F.expr(f"try_cast(regexp_extract(record_id, ':([^:>]*)>$', 1) AS {kind})").alias(key),
-        F.when(is_copy, F.col("payload_length")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
-        F.when(is_copy, F.regexp_replace("payload_digest", "^sha256:", "")).otherwise(F.sha2("payload", 256)).alias("payload_digest"),
-        "record_type",
-        F.when(is_copy, number(F.col("refers_to")).cast(kind)).alias("refers_to"),
-        "target_uri",
-    )
+    number = lambda c: F.expr(f"try_cast(regexp_extract({c}, ':([^:>]*)>$', 1) AS {kind})")
+    responses = read_archives(spark, folder).where("record_type = 'response'")
+    revisits = read_archives(spark, folder, payload=False).where("record_type = 'revisit'")
+    whole = responses.select(number("record_id").alias(key), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", F.lit(None).cast(kind).alias("refers_to"), "target_uri")
+    again = revisits.select(number("record_id").alias(key), F.col("payload_length").alias("payload_bytes"), F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"), "target_uri")
+    return whole.unionByName(again)

@@ -96,15 +96,26 @@ def test_dedup_keeps_columns_and_takes_empty(spark):
     assert deduplicated(df.limit(0)).count() == 0
 
 
-def test_state_carries_on(spark, tmp_path):
-    schema = "doc_id long, locator long, digest string, n_bytes long"
-    landed, ck = f"file://{tmp_path}/in", f"file://{tmp_path}/ck"
-    for part in ([(5, 1, "d", 3)], [(2, 2, "d", 3), (6, 3, "e", 3)]):
-        df = spark.createDataFrame(part, schema)
-        df.write.mode("append").parquet(landed)
-        exact_dedup.run_state(spark, landed, df.schema, ck)
-    got = {r["digest"]: (r["keep_id"], r["keep_locator"], r["group_size"]) for r in exact_dedup.read_state(spark, ck).collect()}
-    assert got == {"d": (2, 2, 2), "e": (6, 3, 1)}
+def test_store_carries_on(spark, tmp_path):
+    """Rows that come in three calls are marked as if they had come at once; the stream reads each file once."""
+    store, got = f"file://{tmp_path}/store", None
+    for part in (DOCS[:5], DOCS[5:8], [], DOCS[8:]):
+        df = spark.createDataFrame([(*d, "x") for d in part], "doc_id long, text string, locator string")
+        got = mark_copies(df, store=store).collect()
+    assert sorted(((r["doc_id"] if r["doc_id"] is not None else -1, r["keep_id"], r["group_size"]) for r in got), key=str) == plain_dedup(DOCS)
+    state = exact_dedup.read_state(spark, f"{store}/state").collect()
+    assert sum(r["group_size"] for r in state) == len(DOCS)
+    files = {f.name for f in (tmp_path / "store" / "rows").glob("*.parquet")}
+    assert {r["keep_locator"]["file"] for r in state} <= files
+
+
+def test_dedup_of_hot_groups(spark):
+    """Half of the rows are copies of one text; a weak digest makes them meet others."""
+    docs = [(i, "same" if i % 2 else f"t{i}") for i in range(900)]
+    for digest in (exact_dedup.sha256, lambda c: F.lit("same")):
+        rows = mark_copies(spark.createDataFrame(docs, "doc_id long, text string"), digest).collect()
+        assert {r["doc_id"] for r in rows if r["kept"]} == {1, *range(0, 900, 2)}
+        assert all((r["keep_id"], r["group_size"]) == ((1, 450) if r["doc_id"] % 2 else (r["doc_id"], 1)) for r in rows)
 
 
 RULES = [Rule("block", "com/en/"), Rule("allow", "example.com/en/7"), Rule("block", "net/de/"), Rule("block", "example.net/de/8"), Rule("block", "org/es/"), Rule("allow", "org/"), Rule("block", "a.b.org/es/")]
