@@ -6,9 +6,11 @@ most ``MAX_FEATURES`` features.
 
 from __future__ import annotations
 
+import operator
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,8 +26,8 @@ MAX_FEATURES = 4096
 LEAST_Z = 3.5
 PREFIXES = (4, 5, 6)
 _WORD = re.compile(r"\w+")
-_DIGIT = re.compile(r"[0-9]")
-_SIGN = re.compile(r"[#*%$&]|http")
+#: Words whose features a worker remembers.
+CACHED_WORDS = 200_000
 
 
 def word_features(word: str) -> list[str]:
@@ -45,11 +47,11 @@ def shape_features(text: str, words: list[str]) -> list[str]:
         "length": min(14, int(sum(map(len, words)) / max(1, n))),
         "lines": int(10 * len(set(lines)) / len(lines)),
         "bars": min(9, int(100 * text.count("|") / chars)),
-        "digits": min(9, int(40 * len(_DIGIT.findall(text)) / chars)),
+        "digits": min(9, int(40 * sum(map(text.count, "0123456789")) / chars)),
         "stops": min(9, int(200 * (text.count(".") + text.count(",")) / chars)),
-        "signs": min(9, int(60 * len(_SIGN.findall(text)) / chars)),
+        "signs": min(9, int(60 * sum(map(text.count, ("#", "*", "%", "$", "&", "http"))) / chars)),
         "linebreaks": min(9, int(200 * (len(lines) - 1) / chars)),
-        "again": min(9, int(10 * sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, n))),
+        "again": min(9, int(10 * sum(map(operator.eq, words, words[1:])) / max(1, n))),
     }
     return [f"s:{k}:{v}" for k, v in ratios.items()]
 
@@ -78,8 +80,8 @@ def class_counts(sample: DataFrame) -> dict[str, int]:
     return {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
 
 
-def select_features(sample: DataFrame, features_of: Callable[[str], set[str]], classes: dict[str, int], bound: int = MAX_FEATURES, least_z: float = LEAST_Z, always: frozenset[str] = frozenset()) -> list[str]:
-    """The features whose document frequency in some class differs most from the rest, and those of ``always`` that occur."""
+def feature_counts(sample: DataFrame, features_of: Callable[[str], set[str]], classes: dict[str, int]) -> DataFrame:
+    """(f, and for each class in how many of its rows the feature is), written: several choices are made from it."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, Counter] = {}
@@ -97,7 +99,11 @@ def select_features(sample: DataFrame, features_of: Callable[[str], set[str]], c
         if held:
             yield rows()
 
-    counted = sample.mapInPandas(count, "f string, y string, n long").groupBy("f").pivot("y", sorted(classes)).agg(F.sum("n"))
+    return written(sample.mapInPandas(count, "f string, y string, n long").groupBy("f").pivot("y", sorted(classes)).agg(F.sum("n")), "features")
+
+
+def select_features(counted: DataFrame, classes: dict[str, int], bound: int = MAX_FEATURES, least_z: float = LEAST_Z, always: frozenset[str] = frozenset()) -> list[str]:
+    """The features whose document frequency in some class differs most from the rest, and those of ``always`` that occur."""
     total = sum(classes.values())
     seen = sum((F.coalesce(F.col(f"`{y}`"), F.lit(0)) for y in classes), F.lit(0))
     scores = []
@@ -116,29 +122,33 @@ def select_features(sample: DataFrame, features_of: Callable[[str], set[str]], c
     return sorted(kept)
 
 
+class _WordIds(dict):
+    """Ids of the selected features of a word; a bounded memory of them."""
+
+    def __init__(self, features: dict[str, int]):
+        super().__init__()
+        self.features = features
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        ids = self[word] = tuple(self.features[f] for f in word_features(word) if f in self.features)
+        return ids
+
+
 class Indexer:
-    """Texts to sorted ids of selected features. Words whose first letters begin no selected feature cost one look-up."""
+    """Texts to sorted ids of selected features."""
 
     def __init__(self, features: list[str], shapes: bool = False):
-        ids = {f: i for i, f in enumerate(features)}
-        self.words = {f[2:]: i for f, i in ids.items() if f[0] == "w"}
-        self.prefixes = {f[2:]: i for f, i in ids.items() if f[0] == "p"}
-        self.forms = {f: i for f, i in ids.items() if f[0] == "s"}
-        self.starts = {w[: PREFIXES[0]] for w in (*self.words, *self.prefixes)}
-        self.shapes = shapes
+        self.features = {f: i for i, f in enumerate(features)}
+        self.words, self.shapes = _WordIds(self.features), shapes
 
     def __call__(self, text: str) -> list[int]:
         words = _WORD.findall(text.lower())
-        first, starts, out = PREFIXES[0], self.starts, set()
-        for w in set(words):
-            if w[:first] in starts:
-                out.add(self.words.get(w))
-                for n in PREFIXES:
-                    if len(w) >= n:
-                        out.add(self.prefixes.get(w[:n]))
+        out = set(chain.from_iterable(map(self.words.__getitem__, set(words))))
         if self.shapes:
-            out.update(map(self.forms.get, shape_features(text, words)))
-        out.discard(None)
+            out.update(map(self.features.get, shape_features(text, words)))
+            out.discard(None)
         return sorted(out)
 
 
@@ -172,14 +182,32 @@ def as_bytes(ids: list[int]) -> bytes:
     return np.array(ids, dtype=np.int32).tobytes()
 
 
-def adam(gradient: Callable[[np.ndarray], np.ndarray], start: np.ndarray, steps: int = 400, rate: float = 0.05) -> np.ndarray:
-    """Minimises by adaptive steps whose rate falls to zero."""
-    x, m, v = start.astype(float), np.zeros_like(start, dtype=float), np.zeros_like(start, dtype=float)
-    for t in range(1, steps + 1):
-        g = gradient(x)
-        m = 0.9 * m + 0.1 * g
-        v = 0.999 * v + 0.001 * g * g
-        x = x - rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = 300, tolerance: float = 1e-6, memory: int = 12) -> np.ndarray:
+    """The minimum of a convex function, given with its gradient, by limited-memory quasi-Newton steps; it ends where no slope is above ``tolerance``."""
+    value, g = f(x)
+    past: deque[tuple[np.ndarray, np.ndarray]] = deque(maxlen=memory)
+    for _ in range(steps):
+        if np.abs(g).max(initial=0.0) <= tolerance:
+            break
+        d, weights = -g, []
+        for s, y in reversed(past):
+            weights.append(s @ d / (y @ s))
+            d = d - weights[-1] * y
+        d = d * (past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]) if past else 1 / np.abs(g).sum())
+        for (s, y), w in zip(past, reversed(weights), strict=True):
+            d = d + (w - y @ d / (y @ s)) * s
+        slope, size = g @ d, 1.0
+        while True:
+            new_value, new_g = f(x + size * d)
+            if new_value <= value + 1e-4 * size * slope or size < 1e-9:
+                break
+            size /= 3
+        if new_value >= value:
+            break
+        s, y = size * d, new_g - g
+        if y @ s > 1e-14:
+            past.append((s, y))
+        x, value, g = x + s, new_value, new_g
     return x
 
 

@@ -1,13 +1,15 @@
 """A toxicity classifier that is regularised by counterfactuals.
 
 Identity terms of labelled sentences are swapped for others of their kind, and the fit penalises the squared
-change of the score, so that a neutral mention of a group is not taken for toxicity.
+change of the score, so that a neutral mention of a group is not taken for toxicity. Beside the terms that are listed
+here, terms of the corpus are learnt: words that occur in toxic texts more often than elsewhere, but mostly outside
+them, as names of groups do that are talked of both neutrally and with abuse.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.linear import MAX_LABELLED, Indexer, Rows, adam, as_bytes, class_counts, features_with, is_training, labelled_sample, select_features, small_batches, word_features
+from tarn.llm.linear import MAX_FEATURES, MAX_LABELLED, Indexer, Rows, as_bytes, class_counts, feature_counts, features_with, is_training, labelled_sample, minimise, select_features, small_batches, word_features
 
 #: Identity terms by kind; a swap stays within its kind.
 IDENTITIES = tuple(
@@ -36,14 +38,46 @@ ausländer einwanderer flüchtlinge einheimische
 mujeres hombres chicas chicos
 musulmanes cristianos judíos budistas ateos""".splitlines()
 )
-_SWAP = {t: kind[(i + 1) % len(kind)] for kind in IDENTITIES for i, t in enumerate(kind)}
-_TERM = re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, _SWAP), key=len, reverse=True)) + r")\b", re.I)
+#: At most so many terms are learnt from the labelled rows.
+MAX_TERMS = 256
+#: A learnt term is in so many texts of either class, in at most this share of all, and at most this share of its texts are toxic.
+LEAST_TEXTS, MOST_TEXTS, MOST_TOXIC = 5, 0.2, 0.5
+_WORD = re.compile(r"\w+")
 
 
-def swapped(text: str) -> str | None:
+def swaps(kinds: Iterable[tuple[str, ...]]) -> dict[str, str]:
+    """Each term's successor in its kind; a term of several kinds keeps to the first."""
+    out: dict[str, str] = {}
+    for kind in kinds:
+        for i, t in enumerate(kind):
+            if len(kind) > 1:
+                out.setdefault(t, kind[(i + 1) % len(kind)])
+    return out
+
+
+def swapped(text: str, swap: dict[str, str]) -> str | None:
     """The text with each identity term swapped, or None if it has none."""
-    out, n = _TERM.subn(lambda m: _SWAP[m[0].lower()], text)
-    return out if n else None
+    out, n = [], 0
+    for m in _WORD.finditer(text):
+        other = swap.get(m[0].lower())
+        if other is not None:
+            out += [text[n : m.start()], other]
+            n = m.end()
+    return "".join(out) + text[n:] if out else None
+
+
+def learnt_kinds(counted: DataFrame, classes: dict[str, int], bound: int = MAX_TERMS) -> list[tuple[str, ...]]:
+    """Kinds of the corpus's own terms that are mentioned in texts of both classes; a kind holds terms that about equally many texts have."""
+    total, base = sum(classes.values()), classes["1"] / sum(classes.values())
+    toxic, clean = F.coalesce(F.col("`1`"), F.lit(0)), F.coalesce(F.col("`0`"), F.lit(0))
+    rows = counted.where(F.col("f").startswith("w:")).select(F.substring("f", 3, 1 << 30).alias("term"), toxic.alias("toxic"), (toxic + clean).alias("n"))
+    share = F.col("toxic") / F.col("n")
+    fit = (F.col("toxic") >= LEAST_TEXTS) & (F.col("n") - F.col("toxic") >= LEAST_TEXTS) & (F.col("n") <= MOST_TEXTS * total) & (share > base) & (share <= MOST_TOXIC)
+    got = rows.where(fit).orderBy(F.col("n").desc(), "term").limit(bound).collect()
+    kinds: dict[int, list[str]] = {}
+    for r in got:
+        kinds.setdefault(r["n"].bit_length(), []).append(r["term"])
+    return [tuple(sorted(k)) for k in kinds.values() if len(k) > 1]
 
 
 @dataclass
@@ -51,35 +85,42 @@ class ToxicityModel:
     features: list[str] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
     bias: float = -20.0
+    swap: dict[str, str] = field(default_factory=dict)
+    pairs: int = 0
 
     def scorer(self):
         index, w, bias = Indexer(self.features), np.array(self.weights + [0.0]), self.bias
         return lambda text: float(1 / (1 + np.exp(-np.clip(bias + w[index(text)].sum(), -50, 50))))
 
 
-def fit_rows(rows: list[bytes], y: np.ndarray, pairs: list[tuple[bytes, bytes]], width: int, l2: float = 0.005, counterfactual: float = 20.0, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit_rows(rows: list[bytes], y: np.ndarray, pairs: list[tuple[bytes, bytes]], width: int, l2: float = 0.005, counterfactual: float = 20.0, steps: int = 300) -> tuple[np.ndarray, float]:
     """Logistic loss, rarer class weighted by the root of the imbalance, plus l2 and ``counterfactual`` times the mean squared score change of the pairs."""
     x, n1 = Rows(rows, width), max(1.0, float(y.sum()))
     weight = np.where(y == 1, np.sqrt(max(1.0, (len(y) - n1) / n1)), 1.0)
     weight /= weight.sum()
     before, after = Rows([a for a, _ in pairs], width), Rows([b for _, b in pairs], width)
 
-    def gradient(p: np.ndarray) -> np.ndarray:
+    def loss(p: np.ndarray) -> tuple[float, np.ndarray]:
         w, b = p[:-1], p[-1]
-        s = 1 / (1 + np.exp(-np.clip(x.times(w) + b, -50, 50)))
-        d = (s - y) * weight
+        z = x.times(w) + b
+        d = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) * weight
+        value = float(((np.logaddexp(0, z) - y * z) * weight).sum() + l2 * (w @ w) / 20)
         g = x.transposed_times(d) + l2 * w / 10
         if pairs:
-            change = (before.times(w) - after.times(w)) * (2 * counterfactual / len(pairs))
+            change = before.times(w) - after.times(w)
+            value += float(change @ change) * counterfactual / len(pairs)
+            change *= 2 * counterfactual / len(pairs)
             g += before.transposed_times(change) - after.transposed_times(change)
-        return np.append(g, d.sum())
+        return value, np.append(g, d.sum())
 
-    p = adam(gradient, np.zeros(width + 1), steps)
+    p = minimise(loss, np.zeros(width + 1), steps)
     return p[:-1], float(p[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, counterfactual: float = 20.0, l2: float = 0.005) -> ToxicityModel:
-    """Learns ``labels.toxic`` from the texts of at most ``bound`` labelled rows outside the held-out fold.
+def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, counterfactual: float = 20.0, l2: float = 0.005, most_features: int = MAX_FEATURES, most_terms: int = MAX_TERMS) -> ToxicityModel:
+    """Learns ``labels.toxic`` from the texts of at most ``bound`` labelled rows outside the held-out fold, by at most ``most_features`` features.
+
+    Terms to swap are those of ``IDENTITIES`` and at most ``most_terms`` learnt ones; the model keeps them as ``swap``.
 
     Without labelled rows every score is near 0; with one class only, scores are its smoothed share.
     """
@@ -91,20 +132,21 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, counterfa
     if toxic in (0, total):
         share = (toxic + 0.5) / (total + 1)
         return ToxicityModel(bias=float(np.log(share / (1 - share))))
-    terms = frozenset(f for t in _SWAP for f in word_features(t))
-    features = select_features(sample, features_with(False), counts, always=terms)
+    counted = feature_counts(sample, features_with(False), counts)
+    swap = swaps([*IDENTITIES, *learnt_kinds(counted, counts, most_terms)])
+    features = select_features(counted, counts, most_features, always=frozenset(f for t in swap for f in word_features(t)))
 
     def index_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = Indexer(features)
         for b in batches:
-            other = [swapped(t) for t in b["text"]]
+            other = [swapped(t, swap) for t in b["text"]]
             yield pd.DataFrame({"y": (b["y"] == "1").astype("int32"), "ids": [as_bytes(index(t)) for t in b["text"]], "other": [None if t is None else as_bytes(index(t)) for t in other]})
 
     got = sample.mapInPandas(index_rows, "y int, ids binary, other binary").collect()
     rows = [bytes(r["ids"]) for r in got]
     pairs = [(bytes(r["ids"]), bytes(r["other"])) for r in got if r["other"] is not None]
     w, bias = fit_rows(rows, np.array([r["y"] for r in got]), pairs, len(features), l2, counterfactual)
-    return ToxicityModel(features, w.tolist(), bias)
+    return ToxicityModel(features, w.tolist(), bias, swap, len(pairs))
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None) -> DataFrame:

@@ -4,10 +4,12 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from tarn.llm import mixing, ngram_groups, spot_signatures, toxicity
 from tarn.llm.linear import Rows, as_bytes
@@ -151,8 +153,6 @@ def test_toxicity_learns_and_holds_out(spark):
     docs, labels = labelled(spark)
     rows = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
     truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
-    import zlib
-
     for r in rows:
         if r["doc_id"] is not None:
             assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
@@ -181,7 +181,24 @@ def test_counterfactuals_spare_neutral_mentions():
     fair, b1 = toxicity.fit_rows(rows, y, pairs, 3)
     assert abs(fair[0] - fair[2]) < 0.2 * abs(plain[0] - plain[2])
     assert b1 + fair[0] < 0 < b1 + fair[0] + fair[1]
-    assert toxicity.swapped("The women spoke") == "The men spoke" and toxicity.swapped("nobody") is None
+    swap = toxicity.swaps(toxicity.IDENTITIES)
+    assert toxicity.swapped("The Women spoke.", swap) == "The men spoke." and toxicity.swapped("nobody", swap) is None
+
+
+def test_learnt_terms_change_scores_less(spark):
+    """Terms of the tables themselves: their swaps move the scores of held-out rows less than without the penalty."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.join(labels.select("doc_id", "toxic"), "doc_id").select("doc_id", F.coalesce("text", F.lit("")), "toxic").collect()
+    held = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    change, right = [], []
+    for weight in (0.0, 20.0):
+        model = toxicity.fit(docs, labels, counterfactual=weight)
+        assert model.pairs > 100 and len(model.swap) > 100
+        score = model.scorer()
+        both = [(score(t), score(o)) for t, _ in held if (o := toxicity.swapped(t, model.swap)) is not None]
+        change.append(np.mean([abs(a - b) for a, b in both]))
+        right.append(np.mean([(score(t) >= 0.5) == bool(y) for t, y in held]))
+    assert len(both) > 20 and change[1] < 0.7 * change[0] and right[1] > 0.95
 
 
 def test_rates_meet_targets(spark):
