@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import bounded_batches
 
-#: Common words that open a chain, of four languages.
-ANCHORS = frozenset(
+#: Common words that open a chain, of four languages; so do the start of a text, the ends of its sentences and lines, and bars.
+ANCHORS = frozenset(".!?|\n") | frozenset(
     """the a an of and or to in on at by is are was were be been it that this for with as from not but have has had
     der die das den dem des ein eine einer und oder zu von mit auf ist nicht für im sich bei aus nach wie
     le la les du de un une et ou que qui dans pour par sur est pas au aux avec ce il elle son
@@ -27,18 +27,17 @@ ANCHORS = frozenset(
 )
 #: Content words in a chain.
 CHAIN = 2
-#: A text with fewer signatures gets its word triples too.
-FEW = 4
 CACHED_WORDS = 500_000
-_WORD = re.compile(r"\w+")
+_WORD = re.compile(r"\w+|[.!?|\n]")
+_START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
 class Spots:
     """Signature sets of texts; holds a bounded cache of word hashes."""
 
-    def __init__(self, anchors: frozenset[str] = ANCHORS, chain: int = CHAIN, few: int = FEW):
-        self.anchors, self.chain, self.few = anchors, chain, few
+    def __init__(self, anchors: frozenset[str] = ANCHORS, chain: int = CHAIN):
+        self.anchors, self.chain = anchors, chain
         self.cache: dict[str, int] = {}
 
     def _hash(self, word: str) -> int:
@@ -59,24 +58,22 @@ class Spots:
         return (h >> np.uint64(32)).astype(np.uint32)
 
     def signatures(self, text: str) -> np.ndarray:
-        """Sorted distinct signatures. Empty text: none. A text without any word has one, of its characters."""
-        words = _WORD.findall(text.lower())
-        if not words:
-            return np.array([int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little")] if text else [], dtype=np.uint32)
+        """Sorted distinct signatures: of each anchor with a word behind it, and of the start; a chain that the text's end cuts ends in a mark.
+
+        Empty text: none. A text without any word has one, of its characters.
+        """
         cache, own = self.cache, self._hash
-        h = np.array([cache.get(w) or own(w) for w in words], dtype=np.uint64)
+        h = np.array([cache.get(w) or own(w) for w in _WORD.findall(text.lower())], dtype=np.uint64)
         is_anchor = (h & np.uint64(1)).astype(bool)
         content = np.flatnonzero(~is_anchor)
+        if not len(content) and not is_anchor.any():
+            return np.array([int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little")] if text else [], dtype=np.uint32)
+        words = np.concatenate([h[content], np.full(self.chain, _END)])
         at = np.flatnonzero(is_anchor)
-        first = np.searchsorted(content, at)
-        fits = first + self.chain <= len(content)
-        at, first = at[fits], first[fits]
-        found = self._folded([h[at]] + [h[content[first + k]] for k in range(self.chain)]) if len(at) else np.empty(0, np.uint32)
-        if len(found) < self.few:
-            n = max(1, len(h) - 2)
-            triples = self._folded([h[:n]] + [h[k : k + n] if len(h) >= k + n else np.resize(h, n) for k in (1, 2)])
-            found = np.concatenate([found, triples])
-        return np.unique(found)
+        first = np.concatenate([[0], np.searchsorted(content, at)])
+        anchor = np.concatenate([[_START], h[at]])
+        fits = first < max(1, len(content))
+        return np.unique(self._folded([anchor[fits]] + [words[first[fits] + k] for k in range(self.chain)]))
 
 
 def packed(signatures: np.ndarray) -> str:

@@ -62,11 +62,38 @@ def test_edited_texts(spark):
     assert spot_signatures.edited_likeness(df.limit(0)).count() == 0
 
 
+def plain_signatures(text):
+    """Chains as words: the anchor (or the start) and the next two content words, as far as there are any."""
+    words = re.findall(r"\w+|[.!?|\n]", text.lower())
+    content = [i for i, w in enumerate(words) if w not in spot_signatures.ANCHORS]
+    out = set()
+    for i in range(-1, len(words)):
+        if i < 0 or words[i] in spot_signatures.ANCHORS:
+            chain = [words[j] for j in content if j > i][:2]
+            if chain or not content:
+                out.add((words[i] if i >= 0 else None, *chain))
+    return out
+
+
+def test_signatures_equal_plain_chains():
+    s, r = spot_signatures.Spots(), random.Random(8)
+    words = ["the", "of", "la", "und", "kite", "sea", "boat", "red", "old", "cold", ".", "\n", "|", "?"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(1, 60))) for _ in range(300)] + ["kite", "the", "the kite", "A longer text of it. " * 40]
+    plain = [plain_signatures(t) for t in texts]
+    sets = [s.signatures(t) for t in texts]
+    for t, a, b in zip(texts, sets, plain, strict=True):
+        assert len(a) == len(b), t
+    for i in range(0, 300, 2):
+        a, b = plain[i], plain[i + 1]
+        if a and b:
+            assert abs(spot_signatures.likeness(sets[i], sets[i + 1]) - len(a & b) / len(a | b)) < 1e-9
+
+
 def test_signature_chains():
-    s = spot_signatures.Spots(few=0)
+    s = spot_signatures.Spots()
     a, b = s.signatures("the kite of the sea"), s.signatures("THE kite, of the sea")
     assert len(a) and (a == b).all()
-    assert len(s.signatures("")) == 0 and len(s.signatures("!!")) == 1
+    assert len(s.signatures("")) == 0 and len(s.signatures("%%")) == 1
     assert spot_signatures.likeness(s.signatures(""), s.signatures("")) == 1.0
 
 
