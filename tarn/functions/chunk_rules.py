@@ -1,11 +1,19 @@
-"""Chunk types by ordered rules, as column expressions over whole texts. The first rule that matches names the type, else content."""
+"""Chunk types by ordered rules, each over the lines of a text. The first rule that matches names the type, else content.
+
+The rules run in Arrow batches, each with its patterns compiled once; they look at a line once a rule and keep nothing between texts.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+from functools import cached_property
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.functions.text import HEADING, full_lines, lines, share, strip
+from tarn.functions.text import HEADING
 
 #: Line patterns of the rules.
 FENCED_JSON = r"(?i)^```json(?:\s|$)"
@@ -35,89 +43,168 @@ BULLET = r"^[-*+]\s+(\[[ xX]\]\s+)?.+"
 TABLE_RULE_LINE = r"^[|\s\-:]+$"
 
 
-def _is(pattern: str):
-    return lambda x: F.rlike(x, F.lit(pattern))
-
-
-def _count(items: Column, test) -> Column:
-    return F.size(F.filter(items, test))
-
-
-def _bars(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
-
-
-def body_of(text: Column) -> Column:
-    """The text behind its leading heading lines; empty if there is nothing else."""
-    all_lines = lines(text)
-    first = F.array_position(F.transform(all_lines, lambda x: ~F.rlike(strip(x), F.lit(HEADING))), F.lit(True))
-    return F.when(first > 0, strip(F.array_join(F.slice(all_lines, first.cast("int"), F.size(all_lines)), "\n"))).otherwise(F.lit(""))
-
-
-def parts_of(text: Column) -> Column:
-    """What the rules look at: the stripped text, the text behind its headings (or all of it), and the full lines of both. Null counts as empty."""
-    text = strip(F.coalesce(text, F.lit("")))
-    body = body_of(text)
-    target = F.when(body != "", body).otherwise(text)
-    return F.struct(text.alias("text"), target.alias("target"), full_lines(text).alias("own"), full_lines(target).alias("inner"))
-
-
-def rule_flags(parts: Column) -> dict[str, Column]:
-    """Each rule's condition over ``parts_of`` a text, in the order in which they are tried."""
-    text, target, own, inner = (parts[k] for k in ("text", "target", "own", "inner"))
-    n_own, n_inner = F.size(own), F.size(inner)
-    wrapped = (target.startswith("{") & target.endswith("}")) | (target.startswith("[") & target.endswith("]"))
-    asks, answers = _count(own, _is(QUESTION)), _count(own, _is(ANSWER))
-    faq = (asks >= 1) & (answers >= 1) & (F.abs(asks - answers) <= 1)
-    contact = F.exists(own, _is(EMAIL)) | F.exists(own, _is(PHONE)) | F.exists(own, _is(CONTACT_LABEL))
-    quoted = lambda x: (x.startswith('"') & x.endswith('"') & (F.length(x) > 3)) | (x.startswith(">") & (F.length(x) > 1))
-    headings = F.filter(own, _is(HEADING))
-    street = F.exists(own, lambda x: F.rlike(x, F.lit(STREET)) | F.rlike(x, F.lit(STREET_BEFORE_NUMBER)))
-    return {
-        "heading_only": (n_own > 0) & F.forall(own, _is(HEADING)),
-        "json_fenced": F.rlike(text, F.lit(FENCED_JSON)),
-        "code_fenced": F.rlike(text, F.lit(FENCE)),
-        "json": wrapped & (F.rlike(target, F.lit('"[^"]+"\\s*:')) | (F.rlike(target, F.lit('"[^"]+"')) & (F.length(target) > 10))),
-        "code": (n_inner >= 3) & (share(inner, lambda x: F.rlike(x, F.lit(CODE_STARTS)) | F.rlike(x, F.lit(CODE_LINES))) >= 0.6),
-        "table": (_count(inner, lambda x: (_bars(x) >= 2) & ~F.rlike(x, F.lit(TABLE_RULE_LINE))) >= 2) & (share(inner, lambda x: _bars(x) >= 2) >= 0.6),
-        "faq": faq,
-        "transcript": transcript_flag(own),
-        "quote": (_count(inner, quoted) >= 1) & (_count(inner, lambda x: ~quoted(x) & ~F.rlike(x, F.lit(ATTRIBUTION))) == 0),
-        "contact": contact,
-        "address": ~contact & (street | F.exists(own, _is(CITY)) | (F.exists(own, _is(POSTAL)) & F.exists(own, _is(BUILDING)))),
-        "appendix": F.exists(F.slice(own, 1, 3), _is(APPENDIX)),
-        "glossary": ~faq & ((F.size(headings) == 0) | F.exists(headings, _is(GLOSSARY))) & (n_own >= 2) & (share(own, _is(DEFINITION)) >= 0.5) & (_count(own, _is(DEFINITION)) >= 2),
-        "structured_list": (_count(inner, _is(ORDERED)) >= 2) & (share(inner, _is(ORDERED)) >= 0.4),
-        "list": (_count(inner, _is(BULLET)) >= 2) & (share(inner, _is(BULLET)) >= 0.6),
-    }
-
-
-def transcript_flag(own: Column) -> Column:
-    """Two or more speakers, each named on a line before what they say, before a clock time, or behind a time stamp."""
-    after = lambda i: F.get(own, i + 1)
-    named = F.filter(F.transform(own, lambda x, i: F.when(F.rlike(x, F.lit(SPEAKER)) & after(i).isNotNull() & ~F.rlike(after(i), F.lit(NO_DIALOGUE)), F.lower(strip(F.regexp_replace(x, r":\s*$", ""))))), lambda x: x.isNotNull())
-    timed = F.filter(F.transform(own, lambda x, i: F.when(F.rlike(x, F.lit(r"^[A-Z][a-zA-Z\s]{1,30}$")) & F.rlike(after(i), F.lit(CLOCK)), F.lower(x))), lambda x: x.isNotNull())
-    stamped = F.transform(F.filter(own, _is(STAMPED)), lambda x: F.lower(strip(F.regexp_replace(F.regexp_replace(x, r"^\[[^\]]*\]", ""), r":\s*$", ""))))
-    distinct = lambda c: F.size(F.array_distinct(c))
-    return (distinct(named) >= 2) | (distinct(timed) >= 2) | (distinct(stamped) >= 2)
-
-
-#: What each rule names.
+_BLANKS = " \t\n\x0b\f\r"
+_LINE_END = re.compile("\r\n|[\n\x0b\f\r\x85\u2028\u2029]")
+
+
+def _test(pattern: str) -> Callable[[str], bool]:
+    found = re.compile(pattern, re.ASCII).search
+    return lambda x: found(x) is not None
+
+
+_heading, _question, _answer, _speaker, _clock, _stamped = map(_test, (HEADING, QUESTION, ANSWER, SPEAKER, CLOCK, STAMPED))
+_code_start, _code_line, _no_dialogue, _definition, _glossary, _appendix = map(_test, (CODE_STARTS, CODE_LINES, NO_DIALOGUE, DEFINITION, GLOSSARY, APPENDIX))
+_attribution, _email, _phone, _contact_label, _street, _street_before = map(_test, (ATTRIBUTION, EMAIL, PHONE, CONTACT_LABEL, STREET, STREET_BEFORE_NUMBER))
+_city, _postal, _building, _ordered, _bullet, _table_rule = map(_test, (CITY, POSTAL, BUILDING, ORDERED, BULLET, TABLE_RULE_LINE))
+_json_fence, _fence, _name, _json_key, _json_text = map(_test, (FENCED_JSON, FENCE, r"^[A-Z][a-zA-Z\s]{1,30}$", r'"[^"]+"\s*:', r'"[^"]+"'))
+
+
+def _quoted(x: str) -> bool:
+    return len(x) > 3 and x[0] == x[-1] == '"' or len(x) > 1 and x[0] == ">"
+
+
+class Parts:
+    """What the rules look at: the stripped text, its lines, and the text behind its leading headings (or all of it)."""
+
+    def __init__(self, text: str | None):
+        self.text = (text or "").strip(_BLANKS)
+
+    @cached_property
+    def lines(self) -> list[str]:
+        return [x.strip(_BLANKS) for x in _LINE_END.split(self.text)]
+
+    @cached_property
+    def own(self) -> list[str]:
+        return [x for x in self.lines if x]
+
+    @cached_property
+    def target(self) -> str:
+        raw = _LINE_END.split(self.text)
+        first = next((i for i, x in enumerate(self.lines) if not _heading(x)), len(raw))
+        return "\n".join(raw[first:]).strip(_BLANKS) or self.text
+
+    @cached_property
+    def inner(self) -> list[str]:
+        return self.own if self.target == self.text else [y for x in _LINE_END.split(self.target) if (y := x.strip(_BLANKS))]
+
+    @cached_property
+    def is_faq(self) -> bool:
+        asks, answers = sum(map(_question, self.own)), sum(map(_answer, self.own))
+        return asks >= 1 and answers >= 1 and abs(asks - answers) <= 1
+
+    @cached_property
+    def is_contact(self) -> bool:
+        return any(_email(x) or _phone(x) or _contact_label(x) for x in self.own)
+
+
+def _share(n: int, items: list[str]) -> float:
+    return n / len(items) if items else 0.0
+
+
+def _json(p: Parts) -> bool:
+    t = p.target
+    wrapped = t[:1] == "{" and t[-1:] == "}" or t[:1] == "[" and t[-1:] == "]"
+    return wrapped and (_json_key(t) or _json_text(t) and len(t) > 10)
+
+
+def _code(p: Parts) -> bool:
+    return len(p.inner) >= 3 and _share(sum(_code_start(x) or _code_line(x) for x in p.inner), p.inner) >= 0.6
+
+
+def _table(p: Parts) -> bool:
+    rows = [x for x in p.inner if x.count("|") >= 2]
+    return _share(len(rows), p.inner) >= 0.6 and sum(not _table_rule(x) for x in rows) >= 2
+
+
+def _transcript(p: Parts) -> bool:
+    """Two or more speakers, each named on a line before what they say, on the line before a clock time, or behind a time stamp."""
+    named, timed, stamped = set(), set(), set()
+    for i, x in enumerate(p.lines):
+        if x[-1:] == ":" and _speaker(x):
+            after = next((y for y in p.lines[i + 1 :] if y), None)
+            if after is not None and not _no_dialogue(after):
+                named.add(x[:-1].strip(_BLANKS).lower())
+        elif i and x[:1].isdigit() and _clock(x) and _name(p.lines[i - 1]):
+            timed.add(p.lines[i - 1].lower())
+        if x[:1] == "[" and _stamped(x):
+            stamped.add(x.partition("]")[2].strip(_BLANKS).rstrip(":").lower())
+    return max(len(named), len(timed), len(stamped)) >= 2
+
+
+def _address(p: Parts) -> bool:
+    own = p.own
+    return not p.is_contact and (any(_street(x) or _street_before(x) or _city(x) for x in own) or any(map(_postal, own)) and any(map(_building, own)))
+
+
+def _is_glossary(p: Parts) -> bool:
+    if p.is_faq or len(p.own) < 2:
+        return False
+    headings, terms = [x for x in p.own if _heading(x)], sum(map(_definition, p.own))
+    return terms >= 2 and _share(terms, p.own) >= 0.5 and (not headings or any(map(_glossary, headings)))
+
+
+def _quote(p: Parts) -> bool:
+    quoted = [x for x in p.inner if _quoted(x)]
+    return bool(quoted) and all(_quoted(x) or _attribution(x) for x in p.inner)
+
+
+def _most(test: Callable[[str], bool], least: float) -> Callable[[Parts], bool]:
+    def rule(p: Parts) -> bool:
+        n = sum(map(test, p.inner))
+        return n >= 2 and _share(n, p.inner) >= least
+
+    return rule
+
+
+#: In the order in which they are tried.
+RULES: dict[str, Callable[[Parts], bool]] = {
+    "heading_only": lambda p: bool(p.own) and all(map(_heading, p.own)),
+    "json_fenced": lambda p: _json_fence(p.text),
+    "code_fenced": lambda p: _fence(p.text),
+    "json": _json,
+    "code": _code,
+    "table": _table,
+    "faq": lambda p: p.is_faq,
+    "transcript": _transcript,
+    "quote": _quote,
+    "contact": lambda p: p.is_contact,
+    "address": _address,
+    "appendix": lambda p: any(map(_appendix, p.own[:3])),
+    "glossary": _is_glossary,
+    "structured_list": _most(_ordered, 0.4),
+    "list": _most(_bullet, 0.6),
+}
+#: What a rule names if not its own name.
 RULE_TYPES = {"json_fenced": "json", "code_fenced": "code"}
 
 
-def chunk_type(parts: Column) -> Column:
-    out = None
-    for rule, flag in rule_flags(parts).items():
-        kind = F.lit(RULE_TYPES.get(rule, rule))
-        out = F.when(flag, kind) if out is None else out.when(flag, kind)
-    return F.when(parts["text"] == "", F.lit("content")).otherwise(out.otherwise(F.lit("content")))
+def type_of(text: str | None) -> str:
+    parts = Parts(text)
+    if not parts.text:
+        return "content"
+    name = next((name for name, rule in RULES.items() if rule(parts)), "content")
+    return RULE_TYPES.get(name, name)
+
+
+def rule_flags(text: Column) -> Column:
+    """A struct of each rule's result, whether or not an earlier one matches."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            yield pd.DataFrame([[bool(rule(p)) for rule in RULES.values()] for p in map(Parts, s)], columns=list(RULES), dtype=bool)
+
+    return F.pandas_udf(run, ", ".join(f"{name} boolean" for name in RULES))(text)
+
+
+def chunk_type(text: Column) -> Column:
+    """Null and blank texts are content."""
 
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([type_of(t) for t in s], dtype=object)
 
-def with_parts(df: DataFrame, text: str, out: str = "_parts") -> DataFrame:
-    """Computes the parts once a row: the optimizer does not copy an expression through a generator into each rule."""
-    return df.select("*", F.explode(F.array(parts_of(F.col(text)))).alias(out))
+    return F.pandas_udf(run, "string")(text)
 
 
 def with_chunk_type(df: DataFrame, text: str, out: str = "chunk_type") -> DataFrame:
-    return with_parts(df, text).withColumn(out, chunk_type(F.col("_parts"))).drop("_parts")
+    return df.withColumn(out, chunk_type(F.col(text)))

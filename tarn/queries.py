@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import text as X
-from tarn.functions.chunk_rules import rule_flags, with_chunk_type, with_parts
+from tarn.functions.chunk_rules import rule_flags, with_chunk_type
 from tarn.functions.vectors import literal
 from tarn.operators import agent, assist, context, fusion, reconcile, relational, telemetry, terms
 from tarn.plans import ingest
@@ -259,8 +259,8 @@ SELECT doc_id, len(ls) > 0 AND headings = len(ls) AS heading_only,
  {_n('^[-*+]\\s+(\\[[ xX]\\]\\s+)?.+')} >= 2 AND {_n('^[-*+]\\s+(\\[[ xX]\\]\\s+)?.+')} >= 0.6 * len(ls) AS list
 FROM h""")
 def rule_flags_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = rule_flags(F.col("_parts"))
-    return with_parts(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", *[flags[k].alias(k) for k in ("heading_only", "faq", "table", "structured_list", "list")])
+    flagged = table(spark, sf_dir, "documents").select("doc_id", rule_flags(F.col("text")).alias("f"))
+    return flagged.select("doc_id", *[F.col(f"f.{k}").alias(k) for k in ("heading_only", "faq", "table", "structured_list", "list")])
 
 
 @query()
