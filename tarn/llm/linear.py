@@ -128,11 +128,13 @@ class _WordIds(dict):
     def __init__(self, features: dict[str, int]):
         super().__init__()
         self.features = features
+        self.starts = {f[2 : 2 + PREFIXES[0]] for f in features if f[0] in "wp"}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        ids = self[word] = tuple(self.features[f] for f in word_features(word) if f in self.features)
+        ids = tuple(self.features[f] for f in word_features(word) if f in self.features) if word[: PREFIXES[0]] in self.starts else ()
+        self[word] = ids
         return ids
 
 
