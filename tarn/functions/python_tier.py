@@ -23,6 +23,16 @@ def mapped(f: Callable, returns: str) -> Callable[[Column], Column]:
     return lambda c: F.pandas_udf(run, returns)(c)  # made when it is called, as types need a session
 
 
+def mapped_list(f: Callable, returns: str) -> Callable[[Column], Column]:
+    """Like ``mapped`` for arrays of structs, which come as lists of dicts."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([f(None if x is None else list(x)) for x in s], dtype=object)
+
+    return lambda c: F.pandas_udf(run, returns)(c)
+
+
 def _nfkc(text: str | None) -> str | None:
     return None if text is None else unicodedata.normalize("NFKC", text).strip()
 
@@ -31,32 +41,38 @@ def _uuid5(name: str | None) -> str | None:
     return None if name is None else str(uuid.uuid5(uuid.NAMESPACE_URL, name))
 
 
-#: Editor nodes that end a line.
-_BLOCKS = frozenset("paragraph heading blockquote codeBlock listItem taskItem bulletList orderedList taskList horizontalRule tableRow".split())
+#: Editor nodes that stand on lines of their own.
+_BLOCKS = frozenset("paragraph heading blockquote listItem codeBlock horizontalRule tableRow tableCell tableHeader".split())
+
+
+_EDGE = object()
 
 
 def _tree_text(raw: str | None) -> str:
-    """Text of an editor document: texts in order, a line end behind each block and at hard breaks. Anything but such a document gives the empty text."""
+    """Text of an editor document: texts in order, line ends before and behind each block and at hard breaks. Anything but such a document gives the empty text."""
     try:
         root = json.loads(raw or "null")
     except ValueError:
         return ""
     out: list[str] = []
-    todo: list = [root]
+    todo: list = [root] if isinstance(root, dict) else []
     while todo:
         node = todo.pop()
-        if isinstance(node, str):
-            out.append(node)
-        elif isinstance(node, dict):
-            if node.get("type") == "hardBreak":
+        if node is _EDGE:
+            if out and out[-1] != "\n":
                 out.append("\n")
-            if isinstance(node.get("text"), str):
-                out.append(node["text"])
-            if node.get("type") in _BLOCKS:
-                todo.append("\n")
+            continue
+        kind = node.get("type")
+        if kind == "text":
+            out += [node["text"]] if isinstance(node.get("text"), str) and node["text"] else []
+        elif kind == "hardBreak":
+            out.append("\n")
+        else:
             children = node.get("content")
-            todo.extend(reversed(children if isinstance(children, list) else []))
-    return re.sub(r"\n{2,}", "\n", "".join(out)).strip()
+            inner = [c for c in children if isinstance(c, dict)] if isinstance(children, list) else []
+            edge = [_EDGE] if kind in _BLOCKS else []
+            todo += edge + inner[::-1] + edge
+    return "".join(out).strip()
 
 
 def _json_objects(reply: str | None) -> list[dict]:
@@ -74,15 +90,20 @@ def _json_objects(reply: str | None) -> list[dict]:
     return found
 
 
-def _keyword_rows(reply: str | None) -> list[dict]:
-    """chunk_id and keywords of each object that has both, also inside lists of an outer object; the first of an id counts."""
+def _keyword_rows(reply: str | None, allowed: frozenset[str] | None = None, most: int | None = None) -> list[dict]:
+    """chunk_id and keywords of each object that has both, also inside lists of an outer object; the first of an id counts.
+
+    Ids that are not ``allowed`` are left out, keywords that differ in case only come once, and of the rest at most ``most``.
+    """
     rows: dict[str, list[str]] = {}
     todo = _json_objects(reply)[::-1]
     while todo:
         x = todo.pop()
         if isinstance(x, dict):
             if "chunk_id" in x and isinstance(x.get("keywords"), list):
-                rows.setdefault(str(x["chunk_id"]), [str(k).strip() for k in x["keywords"] if str(k).strip()])
+                words = {w.lower(): w for k in reversed(x["keywords"]) if isinstance(k, str) and (w := k.strip())}
+                if allowed is None or str(x["chunk_id"]) in allowed:
+                    rows.setdefault(str(x["chunk_id"]), list(reversed(words.values()))[:most])
             else:
                 todo += [v for v in x.values() if isinstance(v, dict | list)][::-1]
         elif isinstance(x, list):
@@ -167,7 +188,7 @@ def _blocks(text: str | None) -> list[dict]:
         nonlocal kind
         body = "\n".join(lines).strip()
         if body:
-            is_json = kind == "code" and re.match(r"(?i)^```json\b", body)
+            is_json = kind == "code" and not fence and re.match(r"(?i)^```json\b", body)
             out.append({"kind": "json" if is_json else kind, "text": body, "depth": 0})
         lines.clear()
         kind = ""
@@ -225,12 +246,134 @@ def _windows(size: int, overlap: int) -> Callable[[str | None], list[str]]:
     return run
 
 
+def _prose_parts(soft: int, least_sentences: int, most: int) -> Callable[[str | None], list[str]]:
+    """Long prose in runs of whole sentences: as much as ``soft`` words, or a third of the text, goes into one; a short last run joins the one before it."""
+
+    def run(text: str | None) -> list[str]:
+        clean = (text or "").strip()
+        total = len(clean.split())
+        sentences = re.split(r"(?<=[.!?])\s+", clean)
+        if total <= soft or len(sentences) < least_sentences:
+            return [clean] if clean else []
+        limit, parts = max(soft, (total + 2) // 3), [[]]
+        size = 0
+        for s in sentences:
+            n = len(s.split())
+            if parts[-1] and size + n > limit:
+                parts.append([])
+                size = 0
+            parts[-1].append(s)
+            size += n
+        out = [" ".join(p) for p in parts]
+        if len(out) > 1 and size < max(1, limit // 2) and len(out[-2].split()) + size <= most:
+            out[-2:] = [f"{out[-2]} {out[-1]}"]
+        return out
+
+    return run
+
+
+def _table_lines(text: str | None) -> str | None:
+    """Each row of a text's tables as a line of header and value; a header row or one that pairs with none is its cells, separators go."""
+    if text is None:
+        return None
+    out: list[str] = []
+    header: list[str] | None = None
+    for line in text.splitlines():
+        bare = line.strip()
+        if line_kind(bare)[0] != "table":
+            out.append(line)
+            header = None
+            continue
+        if re.fullmatch(r"[|\s:-]+", bare):
+            continue
+        cells = [c.strip() for c in bare.strip("|").split("|")]
+        if header is None:
+            header = cells
+            out.append(" ".join(c for c in cells if c))
+        else:
+            paired = [f"{h} {c}" for h, c in zip(header, cells, strict=False) if h and c]
+            out.append(" ".join(paired or cells))
+    return "\n".join(out)
+
+
+def _tool_payload(raw: str | None) -> str | None:
+    """What a tool's reply carries, as JSON: its structured result, data or items, else the texts of its content, parsed where they are JSON; any other reply as it is."""
+    try:
+        reply = json.loads(raw) if raw is not None else None
+    except ValueError:
+        return json.dumps(raw, ensure_ascii=False)
+    if not isinstance(reply, dict):
+        return None if raw is None else json.dumps(reply, ensure_ascii=False)
+    structured = reply.get("structuredContent")
+    if isinstance(structured, dict):
+        inner = next((structured[k] for k in ("result", "data", "items") if structured.get(k) is not None), None)
+        if inner is not None:
+            return json.dumps(inner, ensure_ascii=False)
+    elif structured is not None:
+        return json.dumps(structured, ensure_ascii=False)
+    content = reply.get("content")
+    texts = [t for x in content if isinstance(x, dict) and x.get("type") == "text" and (t := str(x.get("text") or "").strip())] if isinstance(content, list) else []
+    values = []
+    for t in texts:
+        try:
+            values.append(json.loads(t))
+        except ValueError:
+            values.append(t)
+    return json.dumps(reply if not values else values if len(values) > 1 else values[0], ensure_ascii=False)
+
+
+def _actionability(raw: str | None) -> float:
+    """How far a result can be acted on: objects with ids, success, rows and names count most, lists more than texts."""
+    try:
+        x = json.loads(raw or "null")
+    except ValueError:
+        x = raw
+    if isinstance(x, dict):
+        rows = x.get("rows") or x.get("items") or x.get("matches")
+        has = lambda names: any(k in x for k in names.split())
+        parts = (0.35 * has("id doc_id document_id card_id panel_id chunk_id"), 0.15 * (x.get("ok") is True), 0.2 * (isinstance(rows, list) and bool(rows)), 0.1 * has("name title url uri path"))
+        return min(1.0, 0.2 + sum(parts))
+    return 0.6 if isinstance(x, list) and x else 0.3 if isinstance(x, str) and x.strip() else 0.1
+
+
+#: Types whose neighbours in one section are joined.
+_JOINED = (frozenset({"address", "contact"}), frozenset({"quote"}), frozenset({"list", "structured_list"}))
+_BESIDE_APPENDIX = frozenset({"appendix", "content", "list", "structured_list"})
+
+
+def merge_sections(most: int) -> Callable[[list | None], list[dict]]:
+    """Of a document's chunks in order those that go on in the same section and a like type are joined within ``most`` words, and typed anew."""
+    from tarn.functions.chunk_rules import type_of
+
+    def fits(a: dict, b: dict) -> bool:
+        x, y = a["chunk_type"], b["chunk_type"]
+        if not a["path"] or a["path"] != b["path"]:
+            return False
+        alike = any(x in g and y in g for g in _JOINED) or x in ("faq", "glossary") and y == "content"
+        return alike or "appendix" in (x, y) and {x, y} <= _BESIDE_APPENDIX
+
+    def run(chunks) -> list[dict]:
+        out: list[dict] = []
+        for c in chunks if chunks is not None else []:
+            c = dict(c)
+            if out and fits(out[-1], c) and len((text := f"{out[-1]['text']}\n\n{c['text']}".strip()).split()) <= most:
+                out[-1] |= {"text": text, "chunk_type": type_of(text)}
+            else:
+                out.append(c)
+        return out
+
+    return run
+
+
 def _cut_words(unit: str, size: int) -> list[str]:
     words = unit.split()
     return [unit] if len(words) <= size else [" ".join(words[i : i + size]) for i in range(0, len(words), size)]
 
 
 nfkc = mapped(_nfkc, "string")
+table_lines = mapped(_table_lines, "string")
+tool_payload = mapped(_tool_payload, "string")
+actionability = mapped(_actionability, "double")
 uuid5 = mapped(_uuid5, "string")
 tree_text = mapped(_tree_text, "string")
 keyword_rows = mapped(_keyword_rows, "array<struct<chunk_id:string,keywords:array<string>>>")
@@ -238,5 +381,13 @@ sections = mapped(_sections, "array<struct<title:string,items:array<string>,text
 blocks = mapped(_blocks, "array<struct<kind:string,text:string,depth:int>>")
 
 
+def prose_parts(soft: int = 100, least_sentences: int = 13, most: int = 1600) -> Callable[[Column], Column]:
+    return mapped(_prose_parts(soft, least_sentences, most), "array<string>")
+
+
+def keyword_rows_of(allowed: frozenset[str] | None = None, most: int | None = None) -> Callable[[Column], Column]:
+    return mapped(lambda reply: _keyword_rows(reply, allowed, most), "array<struct<chunk_id:string,keywords:array<string>>>")
+
+
 def windows(size: int = 200, overlap: int = 0) -> Callable[[Column], Column]:
     return mapped(_windows(size, overlap), "array<string>")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,8 +66,8 @@ def is_temporal(query: Column) -> Column:
 
 
 def invented_numbers(generated: Column, query: Column) -> Column:
-    """Numbers of a generated text that its query lacks."""
-    numbers = lambda c: F.regexp_extract_all(c, F.lit(NUMBER), 0)
+    """Numbers of a generated text that its query lacks; commas in them do not count."""
+    numbers = lambda c: F.transform(F.regexp_extract_all(F.lower(c), F.lit(NUMBER), 0), lambda x: F.replace(x, F.lit(","), F.lit("")))
     return F.array_except(numbers(generated), numbers(query))
 
 
@@ -140,18 +142,20 @@ def without_headings(text: Column) -> Column:
 
 
 def entity_context(text: Column, entity: Column, around: int = 100) -> Column:
-    """The entity with so many characters before and after its first place; the text's beginning if it is absent."""
+    """The entity with so many characters before and after its first place, or the text's first twice as many if it is absent; on one line."""
     at = F.instr(F.lower(text), F.lower(entity))
     start = F.greatest(at - around, F.lit(1))
-    return strip(F.substring(text, start, F.length(entity) + 2 * around))
+    found = F.substring(text, start, at + F.length(entity) + around - start)
+    return strip(F.replace(F.when(at > 0, found).otherwise(F.substring(text, 1, 2 * around)), F.lit("\n"), F.lit(" ")))
+
+
+#: Parts of container names, and the services that they name.
+SERVICES = {"backend": "backend", "agent": "agent", "qdrant": "qdrant", "postgres": "postgres", "redis": "redis", "loki": "loki", "grafana": "grafana", "fluent-bit": "fluent-bit"}
 
 
-def service_of(tag: Column) -> Column:
+def service_of(tag: Column, services: Mapping[str, str] = SERVICES) -> Column:
     """The service that a log tag names, else other."""
-    out = F.lit("other")
-    for name, label in reversed([("backend", "backend"), ("frontend", "frontend"), ("agent", "agent"), ("worker", "worker"), ("postgres", "postgres"), ("redis", "redis")]):
-        out = F.when(F.contains(tag, F.lit(name)), F.lit(label)).otherwise(out)
-    return out
+    return F.coalesce(*[F.when(F.contains(tag, F.lit(name)), F.lit(label)) for name, label in services.items()], F.lit("other"))
 
 
 def cache_key(text: Column) -> Column:
@@ -163,6 +167,69 @@ def fingerprint(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
+def headings_separated(text: Column) -> Column:
+    """Heading lines and short labels as sentences, so that their words do not run into the next line's."""
+    bare = lambda x: F.regexp_replace(strip(x), r"^\d+(?:\.\d+)*\.?\s+", "")
+    label = lambda x: (F.length(bare(x)) <= 80) & (F.size(F.split(bare(x), r"\s+")) <= 8) & ~F.rlike(strip(x), F.lit(r"[\t|]")) & F.rlike(bare(x), F.lit(r"^[A-Z][^.!?]*:?$"))
+    closed = lambda x: F.regexp_replace(strip(x), ":+$", "")
+    full = lambda x: F.when(F.rlike(closed(x), F.lit(r"[^.?!]$")), F.concat(closed(x), F.lit("."))).otherwise(x)
+    return F.array_join(F.transform(lines(text), lambda x: F.when(F.rlike(strip(x), F.lit(HEADING)) | label(x), full(x)).otherwise(x)), "\n")
+
+
+def heading_prefix(text: Column) -> Column:
+    """(headings, body): the heading lines that open a text, with empty lines between them, and what follows."""
+    every = lines(text)
+    is_heading = lambda x: F.rlike(strip(x), F.lit(HEADING))
+    first = F.array_position(F.transform(every, lambda x: ~is_heading(x) & (strip(x) != "")), F.lit(True)).cast("int")
+    opened = is_heading(F.coalesce(F.get(every, F.lit(0)), F.lit("")))
+    head = F.when(first > 0, F.slice(every, 1, F.greatest(first - 1, F.lit(0)))).otherwise(every)
+    body = F.when(first > 0, strip(F.array_join(F.slice(every, F.greatest(first, F.lit(1)), F.size(every)), "\n"))).otherwise(F.lit(""))
+    joined = F.array_join(F.filter(F.transform(head, strip), lambda x: x != ""), "\n\n")
+    return F.struct(F.when(opened, joined).otherwise(F.lit("")).alias("headings"), F.when(opened, body).otherwise(strip(text)).alias("body"))
+
+
+#: Openings of refusals and placeholders.
+USELESS_SUMMARY = r"(?i)\b(i (?:cannot|can't|am unable to)|no (?:content|text|information) (?:was )?(?:provided|available)|as an ai)\b"
+LIST_LINE = r"(?m)^\s*(?:[-*•·]|\d+[.)])\s"
+LEAST_SUMMARY_WORDS = 5
+
+
+def repaired_summary(text: Column) -> Column:
+    """A reply as one paragraph: list marks go, lines are joined, and it ends with its last full sentence (or gets a full stop if it has none)."""
+    bare = F.transform(full_lines(text), lambda x: strip(F.regexp_replace(x, r"^(?:[-*•·]|\d+[.)])\s*", "")))
+    flat = strip(F.regexp_replace(F.array_join(F.filter(bare, lambda x: x != ""), " "), r"\s+", " "))
+    whole = F.regexp_extract(flat, r"^(.*[.!?])(?=\s|$)", 1)
+    return F.when((flat == "") | F.rlike(flat, F.lit(r"[.!?]$")), flat).when(whole != "", whole).otherwise(F.concat(flat, F.lit(".")))
+
+
+def valid_summary(text: Column, no_lists: bool = False, whole_sentence: bool = False) -> Column:
+    """The summary on one line, or the empty text if it is too short, a refusal, or (where asked) a list or cut off."""
+    flat = strip(F.regexp_replace(text, r"\s+", " "))
+    bad = (flat == "") | (F.size(F.split(flat, " ")) < LEAST_SUMMARY_WORDS) | F.rlike(flat, F.lit(USELESS_SUMMARY))
+    if no_lists or whole_sentence:
+        bad = bad | F.rlike(flat, F.lit(LIST_LINE))
+    if whole_sentence:
+        bad = bad | ~F.rlike(flat, F.lit(r"[.!?]$"))
+    return F.when(bad, F.lit("")).otherwise(flat)
+
+
+def allowed_terms(reply: Column, allowed: Column, most: int | None = None) -> Column:
+    """Lines of a reply, list marks stripped, that are allowed terms whatever their case: in the allowed form, each once."""
+    said = F.transform(full_lines(reply), lambda x: F.lower(strip(F.regexp_replace(x, r"^(?:[-*]|\d+[.)])\s*", ""))))
+    found = F.transform(F.array_distinct(said), lambda x: F.get(F.filter(allowed, lambda t: F.lower(t) == x), F.lit(0)))
+    out = F.filter(found, lambda t: t.isNotNull())
+    return out if most is None else F.slice(out, 1, most)
+
+
+def month_or_day(day: Column, phrase: Column, zone: Column) -> Column:
+    """(start, end) of the time that a phrase with the found ``day`` names: of a month without a day its first instant in the user's zone to the next month's, in UTC; else one UTC day."""
+    whole_month = F.rlike(phrase, F.lit(MONTH)) & ~F.rlike(phrase, F.lit(r"\b\d{1,2}(?:st|nd|rd|th)?\b(?!\d)"))
+    first = F.trunc(day, "month")
+    start = F.when(whole_month, F.to_utc_timestamp(first.cast("timestamp"), zone)).otherwise(day.cast("timestamp"))
+    end = F.when(whole_month, F.to_utc_timestamp(F.add_months(first, 1).cast("timestamp"), zone)).otherwise(F.date_add(day, 1).cast("timestamp"))
+    return F.struct(start.alias("start"), end.alias("end"))
+
+
 def date_precision(phrase: Column) -> Column:
     """day, month, year or relative, from the phrase's form."""
     return (

@@ -43,6 +43,6 @@ def catalog_score(tool_tokens: Column, query_tokens: Column, text: Column, phras
 
 
 def keep_best(artifacts: DataFrame, key: str, score: str, order: str, n: int) -> DataFrame:
-    """The n best artifacts of each key, ties to the earlier, in their original order."""
+    """The n best artifacts of each key, ties to the earlier; ``order`` tells their original order."""
     w = Window.partitionBy(key).orderBy(F.col(score).desc(), F.col(order))
-    return artifacts.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= n).drop("_place").orderBy(key, order)
+    return artifacts.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= n).drop("_place")

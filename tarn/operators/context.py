@@ -43,7 +43,11 @@ def budget_fill(items: Column, budget: int, most: int | None = None) -> Column:
 
 
 def bounded_history(messages: DataFrame, key: str, order: str, size: Column, budget: int = CONTEXT_BUDGET, most: int = HISTORY_MESSAGES) -> DataFrame:
-    """(key, places): the newest messages that fit, newest first while filling, oldest first in the result. A conversation's last messages only are gathered."""
+    """(key, places): the newest messages that fit, newest first while filling, oldest first in the result.
+
+    One that does not fit is passed over, so how far back the fill reaches is not known before: the sizes and places
+    (not the texts) of all of a conversation's messages are gathered in a row.
+    """
     recent = messages.select(key, F.col(order).alias("place"), size.alias("n")).withColumn("_back", F.row_number().over(Window.partitionBy(key).orderBy(F.col("place").desc())))
     arrays = recent.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_back", "place", "n"))).alias("items"))
     kept = budget_fill(F.col("items"), budget, most)

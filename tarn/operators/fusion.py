@@ -57,12 +57,16 @@ def reranked(hits: DataFrame, scores: DataFrame | None, key: Sequence[str], thre
     return by_fusion if kept.isEmpty() else kept.drop("rerank")
 
 
-def multi_source(searches: Mapping[str, Callable[[], DataFrame]], key: Sequence[str]) -> tuple[DataFrame | None, dict[str, str]]:
-    """The ranked union of the searches, and the error of each that could not be planned; such a source is empty."""
+def multi_source(searches: Mapping[str, Callable[[], DataFrame]], key: Sequence[str], most: int = 1000) -> tuple[DataFrame | None, dict[str, str]]:
+    """The ranked union of the searches, and the error of each that could not be planned or run; such a source is empty.
+
+    Each search is a top list, of which at most ``most`` rows are fetched, so that one that fails does so alone.
+    """
     parts, errors = [], {}
     for source, search in searches.items():
         try:
-            parts.append(ranked(search(), source, key))
+            hits = ranked(search().limit(most), source, key)
+            parts.append(hits.sparkSession.createDataFrame(hits.collect(), hits.schema))
         except Exception as e:  # one source's failure leaves the others
             errors[source] = f"{type(e).__name__}: {e}"
     out = None

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.operators import relational
+from tarn.operators import reconcile, relational
+from tarn.streaming import changes
 
 
 @dataclass
@@ -46,6 +47,20 @@ class Notes:
         messages = self.tables["messages"].select(F.col("conversation_id").alias("id"), F.col("created_at").alias("at"), "role", "text")
         return relational.ordered_children(self.get("conversations", user, id_), messages, "id", ["at"], ["role", "text"], "messages")
 
+    def ingest(self, requests: DataFrame) -> tuple[Notes, DataFrame]:
+        """The index after requests (doc_id, version, action, text, ...) to index or delete documents, and each request with its ``status``.
+
+        ``documents`` holds doc_id, version and text. Stale requests are answered as such and change nothing; of
+        several for one document the newest counts.
+        """
+        documents = self.tables["documents"]
+        judged = reconcile.stale_arrivals(requests, documents)
+        columns = ["doc_id", "version", "action", "text"]
+        fresh = judged.where("NOT stale OR (action = 'upsert' AND stored_version IS NULL)").select(*columns)
+        after = changes.apply_changes(documents.select("doc_id", "version", "text"), fresh, "doc_id", "version")
+        status = F.when(F.col("stale") & F.col("stored_version").isNotNull(), "stale").when(F.col("action") == "delete", "deleted").otherwise("indexed")
+        return Notes({**self.tables, "documents": after}), judged.select("doc_id", "version", "action", status.alias("status"))
+
     def create(self, table: str, rows: DataFrame) -> Notes:
         return Notes({**self.tables, table: self.tables[table].unionByName(rows)})
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.functions.text import HEADING, full_lines, is_table_line, lines, question_list, strip, tokens
+from tarn.functions.text import HEADING, allowed_terms, full_lines, is_table_line, lines, question_list, strip, table_cells, table_headers, tokens
 from tarn.operators.assist import dates_in
 from tarn.operators.context import packed
 from tarn.operators.terms import MOST_TERMS
@@ -13,7 +13,7 @@ from tarn.providers import Offline
 
 #: Chunks and tokens that one keyword request takes, and tokens that one summary request takes.
 BATCH_CHUNKS, BATCH_TOKENS, SUMMARY_TOKENS = 8, 1200, 3000
-LEAST_SUMMARY_TOKENS = 5
+LEAST_SUMMARY_TOKENS = 10
 STRUCTURAL = ("code", "json", "heading_only")
 
 
@@ -22,12 +22,12 @@ def keyword_skip_reason(kind: Column, text: Column, quality: Column) -> Column:
     return F.when(quality != "", F.concat(F.lit("quality:"), quality)).when(kind.isin(*STRUCTURAL), F.concat(F.lit("structural:"), kind)).when(~F.rlike(text, F.lit(r"\p{L}")), "non_lexical").otherwise("")
 
 
-def in_summary(kind: Column, tokens_: Column, quality: Column) -> Column:
-    return ~kind.isin(*STRUCTURAL) & (tokens_ >= LEAST_SUMMARY_TOKENS) & ~F.contains(quality, F.lit("ocr"))
+def in_summary(kind: Column, tokens_: Column, quality: Column, least: int = LEAST_SUMMARY_TOKENS) -> Column:
+    return ~kind.isin(*STRUCTURAL) & (tokens_ >= least) & ~F.contains(quality, F.lit("ocr"))
 
 
 def wants_entities(kind: Column, text: Column) -> Column:
-    return ~kind.isin(*STRUCTURAL) & F.rlike(text, F.lit(r"\p{Lu}\p{Ll}"))
+    return ~kind.isin(*STRUCTURAL) & F.rlike(text, F.lit(r"\p{L}"))
 
 
 def verdict(text: Column) -> Column:
@@ -56,10 +56,10 @@ def keywords(chunks: DataFrame, most: int = MOST_TERMS) -> DataFrame:
     return chunks.withColumn("keywords", F.slice(F.transform(F.array_sort(counted), lambda x: x["w"]), 1, most))
 
 
-def summaries(chunks: DataFrame, doc: str, provider: Offline | None = None, budget: int = SUMMARY_TOKENS) -> DataFrame:
-    """(doc, summary, groups): a document within the budget is summarised at once; a longer one in groups whose summaries are summarised."""
+def summaries(chunks: DataFrame, doc: str, provider: Offline | None = None, budget: int = SUMMARY_TOKENS, least: int = LEAST_SUMMARY_TOKENS) -> DataFrame:
+    """(doc, summary, groups): a document within the budget is summarised at once; a longer one in groups whose summaries are summarised. Chunks of fewer than ``least`` tokens are left out."""
     provider = provider or Offline()
-    own = chunks.where(in_summary(F.col("chunk_type"), F.col("tokens"), F.lit("")))
+    own = chunks.where(in_summary(F.col("chunk_type"), F.col("tokens"), F.lit(""), least))
     grouped = batches(own, doc, 1 << 30, budget).groupBy(doc, "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n").alias("text"))
     parts = grouped.withColumn("part", provider.summarise(F.col("text")))
     joined = parts.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("batch", "part"))), lambda x: x["part"]), "\n").alias("parts"), F.count("*").alias("groups"))
@@ -77,12 +77,22 @@ def chunk_dates(chunks: DataFrame, doc: str) -> DataFrame:
     return found.select(doc, "chunk_id", F.col("d.text").alias("date_text"), F.col("d.date").alias("date_value")).distinct()
 
 
-def table_terms(text: Column, terms: Column) -> Column:
-    """Terms that are no header of the text's table."""
-    from tarn.functions.text import table_headers
-
+def table_terms(text: Column, terms: Column, kind: Column) -> Column:
+    """Of a table's terms those that are none of its headers; other texts keep all."""
     headers = F.transform(table_headers(text), lambda h: F.lower(h))
-    return F.filter(terms, lambda t: ~F.array_contains(headers, F.lower(t)))
+    return F.when(kind == "table", F.filter(terms, lambda t: ~F.array_contains(headers, F.lower(t)))).otherwise(terms)
+
+
+def table_mentions(text: Column, mentions: Column, kind: Column) -> Column:
+    """Of a table's mentions those that are a cell or share no word with its headers; other texts keep all."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), 0)
+    cells, of_headers = F.transform(table_cells(text), lambda c: F.lower(c)), words(F.array_join(table_headers(text), " "))
+    return F.when(kind == "table", F.filter(mentions, lambda m: F.array_contains(cells, F.lower(m)) | ~F.arrays_overlap(words(m), of_headers))).otherwise(mentions)
+
+
+def selected_terms(ranked: Column, reply: Column, most: int = MOST_TERMS) -> Column:
+    """What a model's reply chose of the ranked terms; without a reply (null: the request failed) the first of them."""
+    return F.when(reply.isNull(), F.slice(ranked, 1, most)).otherwise(allowed_terms(reply, ranked, most))
 
 
 def overlapping(terms: Column, against: Column) -> Column:

@@ -6,15 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.chunk_rules import with_chunk_type
-from tarn.functions.python_tier import blocks, uuid5
-from tarn.functions.text import described_table, squeeze
+from tarn.functions.python_tier import blocks, mapped_list, merge_sections, prose_parts, table_lines, uuid5
+from tarn.functions.text import described_table, heading_prefix, squeeze
 from tarn.operators.context import linked
 from tarn.providers import Offline, Provider
 
 #: Types that are one chunk if a whole text without headings has them.
 ATOMIC = ("address", "contact", "faq", "glossary", "json", "list", "quote", "structured_list")
 LEVELS = 6
-LEAST_TOKENS = 3
+#: Chunks of fewer tokens are not indexed.
+LEAST_TOKENS = 10
+#: Words that a chunk holds at most; a sixteenth of it is the length from which prose is split.
+CHUNK_WORDS = 1600
 BARE_TYPES = ("faq", "glossary", "contact", "address", "code", "json")
 
 
@@ -74,12 +77,30 @@ def typed_chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
     return every.withColumn("chunk_index", F.row_number().over(w) - 1).withColumn("total", F.count("*").over(Window.partitionBy(doc))).drop("place")
 
 
-def skip_reason(kind: Column, tokens: Column, embed_text: Column, quality: Column) -> Column:
+def refined_chunks(chunks: DataFrame, doc: str = "doc_id", most: int = CHUNK_WORDS) -> DataFrame:
+    """``typed_chunks`` with long prose split into runs of sentences, each typed anew, and neighbours of one section and a like type joined.
+
+    The headings that open a chunk stay with its first part. What is gathered in one row are the chunks of one document.
+    """
+    own = F.when(F.col("chunk_type") == "content", heading_prefix(F.col("text")))
+    parted = chunks.withColumn("_own", own).withColumn("_parts", prose_parts(max(1, most // 16), max(6, most // 120), most)(F.col("_own.body")))
+    several = parted.where(F.size("_parts") > 1).select(doc, "chunk_index", F.posexplode("_parts").alias("part", "_text"), "_own", "path")
+    first = (F.col("part") == 0) & (F.col("_own.headings") != "")
+    several = several.select(doc, "chunk_index", "part", F.when(first, F.concat_ws("\n\n", "_own.headings", "_text")).otherwise(F.col("_text")).alias("text"), "path")
+    split = with_chunk_type(several, "text").unionByName(parted.where("_parts IS NULL OR size(_parts) <= 1").select(doc, "chunk_index", F.lit(0).alias("part"), "text", "path", "chunk_type"))
+    kind = "array<struct<chunk_index:int,part:int,text:string,path:string,chunk_type:string>>"
+    ordered = split.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col("chunk_index").cast("int").alias("chunk_index"), "part", "text", "path", "chunk_type"))).alias("chunks"))
+    merged = ordered.select(doc, mapped_list(merge_sections(most), kind)(F.col("chunks")).alias("chunks"))
+    return merged.select(doc, F.size("chunks").cast("long").alias("total"), F.posexplode("chunks").alias("chunk_index", "c")).select(doc, "chunk_index", "total", "c.chunk_type", "c.text", "c.path")
+
+
+def skip_reason(kind: Column, tokens: Column, embed_text: Column, quality: Column, least: int = LEAST_TOKENS, index_code: bool = False, index_json: bool = False) -> Column:
+    structural = [*(() if index_code else ("code",)), *(() if index_json else ("json",)), "heading_only"]
     return (
         F.when(F.trim(embed_text) == "", "empty_embed_text")
-        .when(kind.isin("code", "json", "heading_only"), F.concat(F.lit("structural:"), kind))
+        .when(kind.isin(*structural), F.concat(F.lit("structural:"), kind))
         .when(F.contains(F.lower(quality), F.lit("ocr")), F.concat(F.lit("quality:"), F.lower(quality)))
-        .when(tokens < LEAST_TOKENS, F.lit(f"quality:min_tokens<{LEAST_TOKENS}"))
+        .when(tokens < least, F.lit(f"quality:min_tokens<{least}"))
         .otherwise(F.lit(""))
     )
 
@@ -88,13 +109,13 @@ def embed_text(kind: Column, text: Column, path: Column) -> Column:
     """A table as sentences; bare types and texts that begin with a heading as they are; else the heading path before the text."""
     plain = squeeze(text)
     told = described_table(text, path)
-    return F.when((kind == "table") & (told != ""), squeeze(told)).when(kind.isin(*BARE_TYPES) | plain.startswith("#") | (path == ""), plain).otherwise(squeeze(F.concat(path, F.lit("\n\n"), plain)))
+    return F.when((kind == "table") & (told != ""), squeeze(told)).when(kind == "table", squeeze(table_lines(text))).when(kind.isin(*BARE_TYPES) | plain.startswith("#") | (path == ""), plain).otherwise(squeeze(F.concat(path, F.lit("\n\n"), plain)))
 
 
 def index_chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text", provider: Provider | None = None) -> DataFrame:
     """Index chunks with ids, links, token counts, embedding texts and skip reasons."""
     provider = provider or Offline()
-    chunks = typed_chunks(docs, doc, text).withColumn("chunk_id", F.col("chunk_index").cast("string"))
+    chunks = refined_chunks(typed_chunks(docs, doc, text), doc).withColumn("chunk_id", F.col("chunk_index").cast("string"))
     out = linked(chunks, [doc], "chunk_index", "chunk_id").drop("ordinal")
     out = out.withColumn("tokens", provider.count_tokens(F.col("text"))).withColumn("embed_text", embed_text(F.col("chunk_type"), F.col("text"), F.col("path")))
     quality = F.when(F.rlike("text", F.lit(r"(?:\b\w\s){8,}")), F.lit("ocr_noise")).otherwise(F.lit(""))

@@ -34,8 +34,12 @@ def query(sql: str | None = None):
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; a temporary folder only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tarn-")
+    """A new path in the folder of spark.checkpoint.dir; a temporary folder only where that is unset and all runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
+        base = "file://" + tempfile.mkdtemp(prefix="tarn-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

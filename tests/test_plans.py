@@ -61,9 +61,9 @@ def test_logs(spark, tmp_path):
     m = logs.metrics(spark.createDataFrame([('hits{method="GET",path="/a"} 3',), ("# HELP x",), ("up 1",)], "value string")).collect()
     assert [(x["name"], x["value"]) for x in m] == [("hits", 3.0), ("up", 1.0)] and m[0]["labels"] == {"method": "GET", "path": "/a"}
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "app.worker.log").write_text(line + "\n")
+    (tmp_path / "in" / "app.agent.log").write_text(line + "\n")
     logs.push(logs.parsed(logs.tail(spark, str(tmp_path / "in")), tag="tag"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    assert [r["service"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["worker"]
+    assert [r["service"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["agent"]
 
 
 def test_api(spark):
@@ -91,8 +91,9 @@ def test_enrichment(spark):
     got = {(r["doc_id"], r["chunk_index"]): r["batch"] for r in enrich.batches(chunks, "doc_id", 2, 12).collect()}
     assert got == {("a", 0): 0, ("a", 1): 1, ("a", 2): 2, ("b", 0): 0}
     assert [r["keywords"][0] for r in enrich.keywords(chunks).orderBy("doc_id", "chunk_index").collect() if r["keywords"]] == ["tide", "here", "rain"]
-    sums = {r["doc_id"]: (r["groups"], r["summary"]) for r in enrich.summaries(chunks, "doc_id", budget=6).collect()}
+    sums = {r["doc_id"]: (r["groups"], r["summary"]) for r in enrich.summaries(chunks, "doc_id", budget=6, least=5).collect()}
     assert sums == {"a": (1, "Second part. More of it here today."), "b": (1, "Short note about rain and rain.")}
+    assert enrich.summaries(chunks, "doc_id").count() == 0  # by default chunks of fewer than ten tokens are not summarised
     assert [(r["chunk_id"], r["date_text"]) for r in enrich.chunk_dates(chunks, "doc_id").collect()] == [("0", "2024-02-03")]
     texts = ["", "--- !", "# Head", "two words", "- bullet of some words", "A full line of text."]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
