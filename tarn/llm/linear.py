@@ -43,7 +43,7 @@ def shape_features(text: str, words: list[str]) -> list[str]:
     ratios = {
         "size": min(9, n.bit_length()),
         "distinct": int(10 * len(counts) / max(1, n)),
-        "top": int(10 * (counts.most_common(1)[0][1] if n else 0) / max(1, n)),
+        "top": int(10 * max(counts.values(), default=0) / max(1, n)),
         "length": min(14, int(sum(map(len, words)) / max(1, n))),
         "lines": int(10 * len(set(lines)) / len(lines)),
         "bars": min(9, int(100 * text.count("|") / chars)),
@@ -128,26 +128,26 @@ class _WordIds(dict):
     def __init__(self, features: dict[str, int]):
         super().__init__()
         self.features = features
-        self.starts = {f[2 : 2 + PREFIXES[0]] for f in features if f[0] in "wp"}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        ids = tuple(self.features[f] for f in word_features(word) if f in self.features) if word[: PREFIXES[0]] in self.starts else ()
-        self[word] = ids
+        ids = self[word] = tuple(self.features[f] for f in word_features(word) if f in self.features)
         return ids
 
 
 class Indexer:
-    """Texts to sorted ids of selected features."""
+    """Texts to sorted ids of selected features. Words whose first letters begin no selected feature cost one look-up."""
 
     def __init__(self, features: list[str], shapes: bool = False):
         self.features = {f: i for i, f in enumerate(features)}
+        self.starts = {f[2 : 2 + PREFIXES[0]] for f in features if f[0] in "wp"}
         self.words, self.shapes = _WordIds(self.features), shapes
 
     def __call__(self, text: str) -> list[int]:
         words = _WORD.findall(text.lower())
-        out = set(chain.from_iterable(map(self.words.__getitem__, set(words))))
+        starts, first = self.starts, PREFIXES[0]
+        out = set(chain.from_iterable(map(self.words.__getitem__, [w for w in set(words) if w[:first] in starts])))
         if self.shapes:
             out.update(map(self.features.get, shape_features(text, words)))
             out.discard(None)
