@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from tools.compare import canonical
 
+import tarn.library_queries  # noqa: F401  registers its queries
 import tarn.queries as q
 from tarn.session import TABLES
 
