@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,23 +21,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary folder is set."""
+_SCRATCH: ContextVar[str | None] = ContextVar("tarn scratch folder", default=None)
+
+
+def shared_folder(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the folder of ``scratch``, or (``keep``, or outside one) below ``spark.checkpoint.dir``.
+
+    Where that is unset, and all runs on one machine (tests), a temporary folder is set; on a cluster that is an error.
+    """
+    if not keep and _SCRATCH.get():
+        return f"{_SCRATCH.get()}/{name}-{uuid.uuid4().hex}"
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         if at.isDefined():
             base = at.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="tarn-")
             spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written within go when it ends, but for those that are kept. What is still to be run after it must not read them."""
+    path = shared_folder(spark, "scratch")
+    before = _SCRATCH.set(path)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(before)
+        remove(spark, path)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: it cuts the lineage and outlives executors."""
     spark = df.sparkSession
-    path = shared_folder(spark, name)
+    path = shared_folder(spark, name, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

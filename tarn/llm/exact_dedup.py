@@ -14,7 +14,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import SPACE_RUN, hot_keys, salted_join, shared_folder, written
+from tarn.llm.common import SPACE_RUN, hot_keys, salted_join, scratch, shared_folder, written
 
 #: A stream reads at most so much in one micro-batch.
 BYTES_PER_BATCH = 64 << 30
@@ -134,12 +134,13 @@ def unlike_rows(rows: DataFrame, groups: DataFrame, text: str = "text") -> DataF
 
     Texts of hits alone are moved, once; a large group's are spread over tasks, each with the text that stays.
     """
-    hit_texts = salted_join(rows.select("locator", "doc_id", "digest", "n_bytes", F.col(f"row.`{text}`").alias("text")), groups, ["digest", "n_bytes"], ["locator"], hot=hot_keys(groups, ["digest", "n_bytes"], "group_size"))
-    hit_texts = written(hit_texts.select("locator", "doc_id", "digest", "n_bytes", "keep_locator", normalised(F.col("text")).alias("text")), "dedup-hits")
-    kept = hit_texts.where("locator = keep_locator").select("keep_locator", F.col("text").alias("kept_text"))
-    copies = hit_texts.where("locator <> keep_locator")
-    met = salted_join(copies, kept, ["keep_locator"], ["locator"], hot=hot_keys(groups, ["keep_locator"], "group_size"))
-    return written(met.where("text <> kept_text").select("locator", "doc_id", "digest", "n_bytes", "text"), "dedup-unlike")
+    with scratch(rows.sparkSession):
+        hit_texts = salted_join(rows.select("locator", "doc_id", "digest", "n_bytes", F.col(f"row.`{text}`").alias("text")), groups, ["digest", "n_bytes"], ["locator"], hot=hot_keys(groups, ["digest", "n_bytes"], "group_size"))
+        hit_texts = written(hit_texts.select("locator", "doc_id", "digest", "n_bytes", "keep_locator", normalised(F.col("text")).alias("text")), "dedup-hits")
+        kept = hit_texts.where("locator = keep_locator").select("keep_locator", F.col("text").alias("kept_text"))
+        copies = hit_texts.where("locator <> keep_locator")
+        met = salted_join(copies, kept, ["keep_locator"], ["locator"], hot=hot_keys(groups, ["keep_locator"], "group_size"))
+        return written(met.where("text <> kept_text").select("locator", "doc_id", "digest", "n_bytes", "text"), "dedup-unlike", keep=True)
 
 
 def regrouped(marked: DataFrame, unlike: DataFrame, hot: DataFrame | None) -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import SPACE_RUN, written
+from tarn.llm.common import SPACE_RUN, scratch, written
 from tarn.llm.linear import Indexer, Rows, as_bytes, class_counts, feature_counts, features_with, labelled_sample, minimise, select_features, small_batches
 
 #: Shares of the tokens that each domain (quality and toxic label) is to have.
@@ -68,7 +68,11 @@ def fit_domains(
     Every domain of the labelled table is one of the model. One without a row among those has no text to learn from:
     its posterior is 0 everywhere, and its target stays unmet.
     """
-    domain = domain_of() if domain is None else domain
+    with scratch(docs.sparkSession):
+        return _fit_domains(docs, labels, bound, l2, domain_of() if domain is None else domain, most_features, steps)
+
+
+def _fit_domains(docs: DataFrame, labels: DataFrame, bound: int, l2: float, domain: Column, most_features: int, steps: int) -> DomainModel:
     sample = labelled_sample(small_batches(docs), labels, domain, bound)
     counts = class_counts(sample)
     if not counts:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import bounded_batches, hot_keys, salted_join, shared_folder, written
+from tarn.llm.common import bounded_batches, hot_keys, salted_join, scratch, shared_folder, written
 
 WORDS = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -544,23 +544,24 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     bounded_batches(docs.sparkSession)
     rows, counts = sketch(docs, key, text)
-    sets = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"))
-    frequent, df = frequent_tokens(counts)
-    postings = shared_postings(docs, text, frequent, df)
-    grouped = written(
-        postings.groupBy("s1", "s2").agg(F.max(F.struct("df", "token")).alias("top"), F.count("*").alias("shared"), F.max("n").alias("n")).select("s1", "s2", group_name(F.col("top.token"), F.col("n")).alias("g"), "shared", "n"), "ngram-groups"
-    )
-    groups = grouped.groupBy("g").agg(F.count("*").alias("size"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max(F.struct("shared", "s1", "s2")).alias("c"))
-    groups = written(groups.select("g", "size", "n_min", "n_max", F.col("c.s1").alias("c1"), F.col("c.s2").alias("c2")), "ngram-sizes")
-    pairs = group_pairs(token_groups(postings, grouped), groups)
-    alive = pairs.select(F.explode(F.array("g", "h")).alias("g")).distinct()
-    members = written(grouped.join(alive, "g").select("s1", "s2", "g"), "ngram-members")
-    texts = active_texts(docs, key, text, sets, members)
-    linked_sets = components(find_links(texts, members, groups, pairs))
-    named = written(sets.join(linked_sets, ["s1", "s2"]), "ngram-named")
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_set = written(salted_join(named, least, ["label"], ["s1", "s2"], hot=hot_keys(named, ["label"])).select("s1", "s2", "component_id"), "ngram-components")
-    of_set = written(sets.withColumnRenamed("doc_id", "own_id").join(of_set.withColumn("linked", F.lit(True)), ["s1", "s2"], "left").select("s1", "s2", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("own_id")).alias("component_id")), "ngram-components")
+    with scratch(docs.sparkSession):
+        sets = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"))
+        frequent, df = frequent_tokens(counts)
+        postings = shared_postings(docs, text, frequent, df)
+        grouped = written(
+            postings.groupBy("s1", "s2").agg(F.max(F.struct("df", "token")).alias("top"), F.count("*").alias("shared"), F.max("n").alias("n")).select("s1", "s2", group_name(F.col("top.token"), F.col("n")).alias("g"), "shared", "n"), "ngram-groups"
+        )
+        groups = grouped.groupBy("g").agg(F.count("*").alias("size"), F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.max(F.struct("shared", "s1", "s2")).alias("c"))
+        groups = written(groups.select("g", "size", "n_min", "n_max", F.col("c.s1").alias("c1"), F.col("c.s2").alias("c2")), "ngram-sizes")
+        pairs = group_pairs(token_groups(postings, grouped), groups)
+        alive = pairs.select(F.explode(F.array("g", "h")).alias("g")).distinct()
+        members = written(grouped.join(alive, "g").select("s1", "s2", "g"), "ngram-members")
+        texts = active_texts(docs, key, text, sets, members)
+        linked_sets = components(find_links(texts, members, groups, pairs))
+        named = written(sets.join(linked_sets, ["s1", "s2"]), "ngram-named")
+        least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+        of_set = written(salted_join(named, least, ["label"], ["s1", "s2"], hot=hot_keys(named, ["label"])).select("s1", "s2", "component_id"), "ngram-components")
+        of_set = written(sets.withColumnRenamed("doc_id", "own_id").join(of_set.withColumn("linked", F.lit(True)), ["s1", "s2"], "left").select("s1", "s2", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("own_id")).alias("component_id")), "ngram-components", keep=True)
     alive = rows.where("n > 0")
     joined = salted_join(alive, of_set, ["s1", "s2"], ["doc_id"], hot=hot_keys(alive, ["s1", "s2"])).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return joined.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.llm.common import scratch
 from tarn.llm.linear import MAX_FEATURES, MAX_LABELLED, Indexer, Rows, as_bytes, class_counts, feature_counts, features_with, is_training, labelled_sample, minimise, select_features, small_batches, word_features
 
 #: Identity terms by kind; a swap stays within its kind.
@@ -124,6 +125,11 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, counterfa
 
     Without labelled rows every score is near 0; with one class only, scores are its smoothed share.
     """
+    with scratch(docs.sparkSession):
+        return _fit(docs, labels, bound, counterfactual, l2, most_features, most_terms)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, bound: int, counterfactual: float, l2: float, most_features: int, most_terms: int) -> ToxicityModel:
     sample = labelled_sample(small_batches(docs), labels, F.col("toxic"), bound)
     counts = class_counts(sample)
     total, toxic = sum(counts.values()), counts.get("1", 0)
