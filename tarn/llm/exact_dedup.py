@@ -132,10 +132,11 @@ def mark_copies(docs: DataFrame, digest: Callable[[Column], Column] = sha256, ke
 def unlike_rows(rows: DataFrame, groups: DataFrame, text: str = "text") -> DataFrame:
     """The full-bytes check: rows whose normalised text differs from that behind the locator of their digest.
 
-    Texts of hits alone are moved, once; a large group's are spread over tasks, each with the text that stays.
+    Texts meet the groups of digests once, by a sort-merge join at every size (the groups grow with the rows, so they
+    are not broadcast while they happen to be few); a large group's are spread over tasks, each with the text that stays.
     """
     with scratch(rows.sparkSession):
-        hit_texts = salted_join(rows.select("locator", "doc_id", "digest", "n_bytes", F.col(f"row.`{text}`").alias("text")), groups, ["digest", "n_bytes"], ["locator"], hot=hot_keys(groups, ["digest", "n_bytes"], "group_size"))
+        hit_texts = salted_join(rows.select("locator", "doc_id", "digest", "n_bytes", F.col(f"row.`{text}`").alias("text")), groups.hint("merge"), ["digest", "n_bytes"], ["locator"], hot=hot_keys(groups, ["digest", "n_bytes"], "group_size"))
         hit_texts = written(hit_texts.select("locator", "doc_id", "digest", "n_bytes", "keep_locator", normalised(F.col("text")).alias("text")), "dedup-hits")
         kept = hit_texts.where("locator = keep_locator").select("keep_locator", F.col("text").alias("kept_text"))
         copies = hit_texts.where("locator <> keep_locator")
