@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Parts of a table, of which a batch rewrites those that it touches.
+BUCKETS = 64
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -26,27 +28,62 @@ def apply_changes(current: DataFrame, changes: DataFrame, key: str, version: str
     return alive.select(key, *[F.when(newer, F.col(f"_c.{c}")).otherwise(F.col(f"_o.{c}")).alias(c) for c in current.columns if c != key])
 
 
-def run_changes(stream: DataFrame, path: str, checkpoint: str, key: str, version: str, action: str = "action") -> None:
-    """Applies a stream's batches to the table at ``path``, one snapshot a batch (``path/v<n>``); a batch that is replayed writes the same snapshot again."""
+def run_changes(stream: DataFrame, path: str, checkpoint: str, key: str, version: str, action: str = "action", buckets: int = BUCKETS) -> None:
+    """Applies a stream's batches to the table at ``path``, which lies in buckets by key.
+
+    A batch reads and writes the buckets that it touches, as ``path/v<n>/_bucket=<k>``, and then a list of where each
+    bucket is newest. A batch that is replayed writes the same again. Versions that the last two lists do not name go.
+    """
     spark = stream.sparkSession
 
     def batch(changes: DataFrame, n: int) -> None:
-        before = snapshot(spark, path, n - 1)
-        columns = [c for c in changes.columns if c != action]
-        current = before if before is not None else spark.createDataFrame([], changes.select(*columns).schema)
-        apply_changes(current, changes, key, version, action).select(*columns).write.mode("overwrite").parquet(f"{path}/v{n}")
+        changes = changes.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = {r["_bucket"] for r in changes.select("_bucket").distinct().collect()}
+        before = listed(spark, path, n - 1)
+        columns = [c for c in changes.columns if c not in (action, "_bucket")]
+        current = _read(spark, path, {k: v for k, v in before.items() if k in touched})
+        current = current if current is not None else spark.createDataFrame([], changes.select(*columns).schema)
+        after = apply_changes(current.select(*columns), changes.drop("_bucket"), key, version, action).select(*columns)
+        after.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/v{n}")
+        full = {int(name.removeprefix("_bucket=")) for name in _names(spark, f"{path}/v{n}") if name.startswith("_bucket=")}
+        now = {k: v for k, v in before.items() if k not in touched} | dict.fromkeys(full, n)
+        spark.createDataFrame(list(now.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/_list/v{n}")
+        older = listed(spark, path, n - 2)
+        for k, v in older.items():
+            if before.get(k) != v and now.get(k) != v:
+                _delete(spark, f"{path}/v{v}/_bucket={k}")
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _fs(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def listed(spark: SparkSession, path: str, n: int) -> dict[int, int]:
+    """The newest version of each bucket as of batch n or the last one before it: at most one row a bucket."""
+    done = [v for name in _names(spark, f"{path}/_list") if name[:1] == "v" and (v := int(name[1:])) <= n]
+    return {r["bucket"]: r["version"] for r in spark.read.parquet(f"{path}/_list/v{max(done)}").collect()} if done else {}
+
+
+def _read(spark: SparkSession, path: str, where: dict[int, int]) -> DataFrame | None:
+    return spark.read.parquet(*[f"{path}/v{v}/_bucket={k}" for k, v in sorted(where.items())]) if where else None
+
+
 def snapshot(spark: SparkSession, path: str, n: int) -> DataFrame | None:
-    """The snapshot of batch n or the last one before it."""
-    jvm = spark._jvm.org.apache.hadoop.fs.Path
-    for at in range(n, -1, -1):
-        p = jvm(f"{path}/v{at}")
-        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-            return spark.read.parquet(f"{path}/v{at}")
-    return None
+    """The table as of batch n or the last one before it; the last two batches can be read."""
+    return _read(spark, path, listed(spark, path, n))
 
 
 def version_guard(stream: DataFrame, key: str, version: str) -> DataFrame:
