@@ -78,7 +78,7 @@ def hot_keys(df: DataFrame, on: list[str], count: str | None = None, floor: int
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sized = df.select(*on, F.col(count).cast("long").alias("_rows")) if count else df.groupBy(*on).agg(F.count("*").alias("_rows"))
-    total = sized.agg(F.sum("_rows")).first()[0] or 0
+    total = (sized.agg(F.sum("_rows")).first()[0] or 0) if count else df.count()
     found = sized.where(F.col("_rows") > max(floor, total / parts)).collect()
     if not found:
         return None
