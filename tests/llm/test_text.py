@@ -47,7 +47,7 @@ def test_encode_decode_query_columns(spark):
 
 
 def test_edited_texts(spark):
-    docs = [(7, "The red kite of the north flew over a cold grey sea and the old boat."), (3, "Le chat de la maison dort."), (9, None), (1, "zzz"), (3, "Le chat de la maison dort."), (None, "le null of the id")]
+    docs = [(7, "The red kite of the north flew over a cold grey sea and the old boat."), (3, "Le chat de la maison dort."), (9, None), (1, "zzz"), (3, "Le chat de la maison dort."), (None, "le null of the id"), (12, "the sea of a word. " * 40_000)]
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, r string")
     order = sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0), d[1] or ""))
     want = []
@@ -187,6 +187,8 @@ def test_toxicity_learns_and_holds_out(spark):
     known = [r for r in rows if truth.get(r["doc_id"]) is not None]
     assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in known if r["held_out"]]) > 0.97
     assert len(rows) == 404
+    long = spark.createDataFrame([(500, "river " * 200_000 + "vermin", "k"), (501, "river " * 200_000, "k")], docs.schema)
+    assert {r["doc_id"]: r["predicted"] for r in toxicity.score(long, toxicity.fit(docs, labels)).collect()} == {500: 1, 501: 0}
     left = toxicity.without_toxic(docs, labels)
     assert left.columns == docs.columns and left.where("doc_id = 0").count() == 0 and left.where("doc_id = 1").count() == 2
 
