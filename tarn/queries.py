@@ -272,9 +272,18 @@ def chunk_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_chunk_type(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "chunk_type")
 
 
-@query()
+_RULE = r"^\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)+\|?\s*$"
+_STRIP = r"regexp_replace(regexp_replace(x, '^[ \t\n\r\f\v]+', ''), '[ \t\n\r\f\v]+$', '')"
+
+
+@query(f"""WITH l AS (SELECT doc_id, list_filter({_LINES}, lambda x: length(x) - length(replace(x, '|', '')) >= 2 AND NOT regexp_matches(x, '{_RULE}')) AS ls FROM documents),
+r AS (SELECT doc_id, list_transform(ls, lambda y: list_filter(list_transform(string_split(regexp_replace(y, '^\\|+|\\|+$', '', 'g'), '|'), lambda x: {_STRIP}), lambda x: x <> '')) AS rs FROM l),
+b AS (SELECT doc_id, rs, rs[1] AS h, list_filter(rs[2:], lambda y: len(y) = len(rs[1])) AS body FROM r)
+SELECT doc_id, CASE WHEN len(rs) >= 2 THEN array_to_string(h, ',') ELSE '' END AS headers, CASE WHEN len(rs) >= 2 THEN len(flatten(rs[2:])) ELSE 0 END AS cells,
+ CASE WHEN len(rs) >= 2 AND len(body) > 0 THEN 'Columns: ' || array_to_string(h, ', ') || '. Contains ' || len(body) || CASE len(body) WHEN 1 THEN ' row. ' ELSE ' rows. ' END
+  || array_to_string(list_transform(body, lambda y: array_to_string(list_transform(list_zip(h, y), lambda z: z[1] || ' ' || z[2]), ', ') || '.'), ' ') ELSE '' END AS described FROM b""")
 def described_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("|")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return docs.select("doc_id", F.array_join(X.table_headers(F.col("text")), ",").alias("headers"), F.size(X.table_cells(F.col("text"))).alias("cells"), X.described_table(F.col("text")).alias("described"))
 
 
