@@ -23,6 +23,7 @@ CODE_LINES = r"^(?:(?:def |class |import |from |return |async def )|(?:const |le
 QUESTION = r"(?i)^(Q[.:]\s|Question[.:]\s)"
 ANSWER = r"(?i)^(A[.:]\s|Answer[.:]\s)"
 SPEAKER = r"^[A-Z][a-zA-Z\s]{1,30}:\s*$"
+NAME = r"^[A-Z][a-zA-Z\s]{1,30}$"
 CLOCK = r"(?i)^\d{1,2}:\d{2}\s*(AM|PM)?$"
 STAMPED = r"^\[\d{2}:\d{2}(:\d{2})?\]\s+\w.*:\s*$"
 NO_DIALOGUE = r"^(?:`|[-*+]\s|\d+[.)]\s|#{1,6}\s|~~~|[A-Za-z][A-Za-z\s]{0,40}:\s+\S)"
@@ -56,7 +57,7 @@ _heading, _question, _answer, _speaker, _clock, _stamped = map(_test, (HEADING,
 _code_start, _code_line, _no_dialogue, _definition, _glossary, _appendix = map(_test, (CODE_STARTS, CODE_LINES, NO_DIALOGUE, DEFINITION, GLOSSARY, APPENDIX))
 _attribution, _email, _phone, _contact_label, _street, _street_before = map(_test, (ATTRIBUTION, EMAIL, PHONE, CONTACT_LABEL, STREET, STREET_BEFORE_NUMBER))
 _city, _postal, _building, _ordered, _bullet, _table_rule = map(_test, (CITY, POSTAL, BUILDING, ORDERED, BULLET, TABLE_RULE_LINE))
-_json_fence, _fence, _name, _json_key, _json_text = map(_test, (FENCED_JSON, FENCE, r"^[A-Z][a-zA-Z\s]{1,30}$", r'"[^"]+"\s*:', r'"[^"]+"'))
+_json_fence, _fence, _name, _json_key, _json_text = map(_test, (FENCED_JSON, FENCE, NAME, r'"[^"]+"\s*:', r'"[^"]+"'))
 
 
 def _quoted(x: str) -> bool:

@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarn.functions import chunk_rules as R
 from tarn.functions import text as X
-from tarn.functions.chunk_rules import rule_flags, with_chunk_type
 from tarn.functions.vectors import literal
 from tarn.operators import agent, assist, context, fusion, reconcile, relational, telemetry, terms
 from tarn.plans import ingest
@@ -246,30 +246,65 @@ def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINES = r"""list_filter(list_transform(string_split_regex(coalesce("text", ''), '\r\n|[\n\r\x0B\x0C\x{85}\x{2028}\x{2029}]'), lambda x: regexp_replace(regexp_replace(x, '^[ \t\n\r\f\v]+', ''), '[ \t\n\r\f\v]+$', '')), lambda x: x <> '')"""
 
 
-def _n(pattern: str) -> str:
-    return f"len(list_filter(ls, lambda x: regexp_matches(x, '{pattern}')))"
+def _some(items: str, *patterns: str) -> str:
+    return f"len(list_filter({items}, lambda x: {' OR '.join(f"regexp_matches(x, '{p}')" for p in patterns)}))"
+
+
+_BARE = r"regexp_replace(regexp_replace({}, '^[ \t\n\r\f\v]+', ''), '[ \t\n\r\f\v]+$', '')"
+_BARS = "length(x) - length(replace(x, '|', '')) >= 2"
+_QUOTED = """((starts_with(x, '"') AND ends_with(x, '"') AND length(x) > 3) OR (starts_with(x, '>') AND length(x) > 1))"""
+#: The rules in SQL: al are all lines of a text, own those that are not blank, inn those behind its leading headings.
+_FLAGS = fr"""d AS (SELECT doc_id, {_BARE.format('coalesce("text", chr(32))')} AS t FROM documents),
+al AS (SELECT doc_id, t, list_transform(string_split_regex(t, '\r\n|[\n\r\x0B\x0C\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: {_BARE.format("x")}) AS al FROM d),
+own AS (SELECT *, list_filter(al, lambda x: x <> '') AS own, coalesce(list_position(list_transform(al, lambda x: NOT regexp_matches(x, '{R.HEADING}')), true), 0) AS k FROM al),
+inn AS (SELECT *, CASE WHEN k > 0 AND len(list_filter(al[k:], lambda x: x <> '')) > 0 THEN list_filter(al[k:], lambda x: x <> '') ELSE own END AS inn FROM own),
+n AS (SELECT *, array_to_string(inn, chr(10)) AS target, {_some("own", R.HEADING)} AS headings, {_some("own", R.QUESTION)} AS asks, {_some("own", R.ANSWER)} AS answers,
+  {_some("own", R.EMAIL, R.PHONE, R.CONTACT_LABEL)} > 0 AS contact, {_some("own", R.DEFINITION)} AS terms, len(list_filter(inn, lambda x: {_BARS})) AS bars FROM inn),
+q AS (SELECT *, asks >= 1 AND answers >= 1 AND abs(asks - answers) <= 1 AS faq FROM n),
+flags AS (SELECT doc_id, t, len(own) > 0 AND headings = len(own) AS heading_only, regexp_matches(t, '{R.FENCED_JSON}') AS json_fenced, regexp_matches(t, '{R.FENCE}') AS code_fenced,
+  ((starts_with(target, '{{') AND ends_with(target, '}}')) OR (starts_with(target, '[') AND ends_with(target, ']'))) AND (regexp_matches(target, '"[^"]+"\s*:') OR (regexp_matches(target, '"[^"]+"') AND length(target) > 10)) AS json,
+  len(inn) >= 3 AND {_some("inn", R.CODE_STARTS, R.CODE_LINES)} >= 0.6 * len(inn) AS code,
+  bars >= 0.6 * len(inn) AND len(list_filter(inn, lambda x: {_BARS} AND NOT regexp_matches(x, '{R.TABLE_RULE_LINE}'))) >= 2 AS "table", faq,
+  len(list_distinct(list_transform(list_filter(range(1, len(own)), lambda i: regexp_matches(own[i], '{R.SPEAKER}') AND NOT regexp_matches(own[i + 1], '{R.NO_DIALOGUE}')), lambda i: lower({_BARE.format("regexp_replace(own[i], ':$', '')")})))) >= 2
+   OR len(list_distinct(list_transform(list_filter(range(2, len(al) + 1), lambda i: regexp_matches(al[i], '{R.CLOCK}') AND regexp_matches(al[i - 1], '{R.NAME}')), lambda i: lower(al[i - 1])))) >= 2
+   OR len(list_distinct(list_transform(list_filter(own, lambda x: regexp_matches(x, '{R.STAMPED}')), lambda x: lower(regexp_replace({_BARE.format("regexp_replace(x, '^[^]]*]', '')")}, ':+$', ''))))) >= 2 AS transcript,
+  len(list_filter(inn, lambda x: {_QUOTED})) > 0 AND len(list_filter(inn, lambda x: {_QUOTED} OR regexp_matches(x, '{R.ATTRIBUTION}'))) = len(inn) AS quote, contact,
+  NOT contact AND ({_some("own", R.STREET, R.STREET_BEFORE_NUMBER, R.CITY)} > 0 OR ({_some("own", R.POSTAL)} > 0 AND {_some("own", R.BUILDING)} > 0)) AS address,
+  {_some("own[1:3]", R.APPENDIX)} > 0 AS appendix,
+  NOT faq AND len(own) >= 2 AND terms >= 2 AND terms >= 0.5 * len(own) AND (headings = 0 OR len(list_filter(own, lambda x: regexp_matches(x, '{R.HEADING}') AND regexp_matches(x, '{R.GLOSSARY}'))) > 0) AS glossary,
+  {_some("inn", R.ORDERED)} >= 2 AND {_some("inn", R.ORDERED)} >= 0.4 * len(inn) AS structured_list, {_some("inn", R.BULLET)} >= 2 AND {_some("inn", R.BULLET)} >= 0.6 * len(inn) AS list FROM q)"""
+
+
+@query(f"""WITH {_FLAGS} SELECT doc_id, {", ".join(f'"{k}"' for k in R.RULES)} FROM flags""")
+def rule_flags_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flagged = table(spark, sf_dir, "documents").select("doc_id", R.rule_flags(F.col("text")).alias("f"))
+    return flagged.select("doc_id", *[F.col(f"f.{k}").alias(k) for k in R.RULES])
 
 
-_ORDERED = r"^(?:\d+\.\s+\S|\d+\.\d+(?:\.\d+)?\s+\S|[A-Z]\.\s+\S|[A-Z]\)\s+\S|\([ivxlcdmIVXLCDM]+\)\s+\S|[ivxlcdm]+\.\s+\S|[IVX]+\.\s+\S)"
+_TYPE = "CASE WHEN t = '' THEN 'content' " + " ".join(f"WHEN \"{k}\" THEN '{R.RULE_TYPES.get(k, k)}'" for k in R.RULES) + " ELSE 'content' END"
 
 
-@query(f"""WITH d AS (SELECT doc_id, {_LINES} AS ls FROM documents), h AS (SELECT *, len(list_filter(ls, lambda x: regexp_matches(x, '^#{{1,6}}\\s+\\S'))) AS headings FROM d)
-SELECT doc_id, len(ls) > 0 AND headings = len(ls) AS heading_only,
- {_n('(?i)^(Q[.:]\\s|Question[.:]\\s)')} >= 1 AND {_n('(?i)^(A[.:]\\s|Answer[.:]\\s)')} >= 1
-  AND abs({_n('(?i)^(Q[.:]\\s|Question[.:]\\s)')} - {_n('(?i)^(A[.:]\\s|Answer[.:]\\s)')}) <= 1 AS faq,
- len(list_filter(ls, lambda x: length(x) - length(replace(x, '|', '')) >= 2 AND NOT regexp_matches(x, '^[|\\s:\\-]+$'))) >= 2
-  AND len(list_filter(ls, lambda x: length(x) - length(replace(x, '|', '')) >= 2)) >= 0.6 * len(ls) AS "table",
- {_n(_ORDERED)} >= 2 AND {_n(_ORDERED)} >= 0.4 * len(ls) AS structured_list,
- {_n('^[-*+]\\s+(\\[[ xX]\\]\\s+)?.+')} >= 2 AND {_n('^[-*+]\\s+(\\[[ xX]\\]\\s+)?.+')} >= 0.6 * len(ls) AS list
-FROM h""")
-def rule_flags_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flagged = table(spark, sf_dir, "documents").select("doc_id", rule_flags(F.col("text")).alias("f"))
-    return flagged.select("doc_id", *[F.col(f"f.{k}").alias(k) for k in ("heading_only", "faq", "table", "structured_list", "list")])
+@query(f"""WITH {_FLAGS} SELECT doc_id, {_TYPE} AS chunk_type FROM flags""")
+def chunk_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.with_chunk_type(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "chunk_type")
 
 
-@query()
-def chunk_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_chunk_type(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "chunk_type")
+_LINE_SAMPLES = (
+    "# Keel", "## Glossary", "", "Keel: the spine of a boat", "Mast - a pole", "Ana Lee:", "Ben:", "10:32 AM", "Cid Roe", "[10:20] Ana:", "[10:21:33] Ben:", "hello there", "1. one", "2.1 two", "(iv) four", "- item", "* [x] done", "> said",
+    '"quoted words"', "— a poet", "Q: why", "A: so", "Email: a@b.org", "a@b.org", "+49 30 123 45 67", "12 Long Street", "Hauptstraße 5", "Springfield, IL 12345", "12345", "Floor 3", "Appendix B: tables", "| a | b |", "|---|---|", "| c | d |", "pip install x",
+    "def f():", "x = 1", "return x", "SELECT 1", "{", '"k": 1,', "}", "[1]", "```json", "```sh", "```", "Words of plain prose here.", "~~~",
+)
+
+
+@query(f"""WITH documents AS (SELECT CAST(o_orderkey AS BIGINT) AS doc_id, array_to_string(list_transform(range(1, 7), lambda i: list_extract({list(_LINE_SAMPLES)!r}, CAST((o_orderkey * (2 * i + 1) + o_custkey * i * i) % {len(_LINE_SAMPLES)} + 1 AS INTEGER))), chr(10)) AS "text" FROM orders), {_FLAGS}
+SELECT doc_id, {_TYPE} AS chunk_type, {", ".join(f'"{k}"' for k in R.RULES)} FROM flags""")
+def rules_on_mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules on texts of six lines drawn from a list that has lines of every type."""
+    samples = F.array(*[F.lit(x) for x in _LINE_SAMPLES])
+    drawn = [F.element_at(samples, ((F.col("o_orderkey") * (2 * i + 1) + F.col("o_custkey") * i * i) % len(_LINE_SAMPLES) + 1).cast("int")) for i in range(1, 7)]
+    texts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat_ws("\n", *drawn).alias("text"))
+    flagged = R.with_chunk_type(texts, "text").select("doc_id", "chunk_type", R.rule_flags(F.col("text")).alias("f"))
+    return flagged.select("doc_id", "chunk_type", *[F.col(f"f.{k}").alias(k) for k in R.RULES])
 
 
 _RULE = r"^\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)+\|?\s*$"
