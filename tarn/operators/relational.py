@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.functions.text import stem, tokens
+from tarn.functions.text import PREVIEW_CHARS, preview, stem, tokens
 
 #: English words that full-text search leaves out.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
@@ -32,6 +32,29 @@ def optional_filters(df: DataFrame, **values) -> DataFrame:
     return df.where(all_of(*[F.col(k) == v if v is not None else None for k, v in values.items()]))
 
 
+def among(df: DataFrame, column: str, values: Sequence | None) -> DataFrame:
+    """Rows whose column is one of the values; no values are no filter. Lists are short; longer ones come as a table to join."""
+    return df.where(F.col(column).isin(*values)) if values else df
+
+
+def metadata_is(raw: Column, wanted: Mapping[str, object]) -> Column:
+    """Every named field of a JSON object has the wanted value, compared as text; nothing wanted is always true."""
+    def text(v: object) -> str:
+        return str(v).lower() if isinstance(v, bool) else str(v)
+
+    return all_of(*[F.get_json_object(raw, f"$['{k}']") == text(v) for k, v in wanted.items()])
+
+
+def public_fields(notes: DataFrame, hidden: Sequence[str], texts: Sequence[str], whole: bool = False) -> DataFrame:
+    """Notes without the hidden columns; texts as previews with ``<name>_truncated``, unless they are wanted whole."""
+    shown = notes.drop(*hidden)
+    if whole:
+        return shown
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    flags = {f"{c}_truncated": F.length(flat(c)) > PREVIEW_CHARS for c in texts}
+    return shown.withColumns(flags).withColumns({c: preview(F.coalesce(c, F.lit(""))) for c in texts})
+
+
 def contains_text(column: str, needle: str) -> Column:
     """Case-insensitive LIKE; % and _ of the needle stay wild cards."""
     return F.ilike(F.col(column), F.lit(f"%{needle}%"))

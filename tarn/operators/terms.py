@@ -47,6 +47,13 @@ def pruned(terms: Column) -> Column:
     return F.aggregate(terms, F.array().cast("array<string>"), step)
 
 
+def best_terms(terms: DataFrame, doc: str, section: str, position: str, term: str = "term", candidates: int = MOST_CANDIDATES, keep: int = MOST_TERMS) -> DataFrame:
+    """(doc, terms): all of a document's ranked terms are pruned, the first ``candidates`` of the rest are candidates, and the first ``keep`` of these stay."""
+    placed = ranked_terms(terms, doc, section, position, term, most=None)
+    ordered = placed.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]).alias("terms"))
+    return ordered.select(doc, F.slice(pruned(F.col("terms")), 1, min(candidates, keep)).alias("terms"))
+
+
 def entity_evidence(mentions: DataFrame, doc: str, entity: str, label: str, context: str, position: str) -> DataFrame:
     """Per entity the sorted labels and the first two distinct contexts."""
     first = F.transform(F.array_sort(F.collect_list(F.struct(position, context))), lambda x: x[context])

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +41,35 @@ def push(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.partitionBy("service").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def push_payloads(entries: DataFrame, labels: list[str], most: int = 200) -> DataFrame:
+    """(payload, entries): the bodies of requests to a log server, each with at most ``most`` entries of one set of labels.
+
+    ``entries`` has nanos, body and the labels. A task packs its own rows as they come, holding ``most`` of each set of
+    labels; nothing is shuffled.
+    """
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list] = {}
+
+        def request(key: tuple) -> dict:
+            values = held.pop(key)
+            return {"payload": json.dumps({"streams": [{"stream": dict(zip(labels, key, strict=True)), "values": values}]}, ensure_ascii=False), "entries": len(values)}
+
+        for b in batches:
+            full = []
+            for nanos, body, *key in zip(b["nanos"], b["body"], *(b[c] for c in labels), strict=True):
+                values = held.setdefault(tuple(key), [])
+                values.append([str(nanos), body])
+                if len(values) == most:
+                    full.append(request(tuple(key)))
+            if full:
+                yield pd.DataFrame(full)
+        if held:
+            yield pd.DataFrame([request(key) for key in list(held)])
+
+    return entries.select("nanos", "body", *labels).mapInPandas(pack, "payload string, entries long")
+
+
 def metrics(lines: DataFrame, column: str = "value") -> DataFrame:
     """Samples of a metrics page: name, labels and value; comments and broken lines are left out."""
     pattern = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(?:\{(.*)\})?\s+([-+0-9.eE]+|NaN|[-+]?Inf)"

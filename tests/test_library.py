@@ -191,3 +191,27 @@ def test_closed_windows(spark, tmp_path):
     stream = spark.readStream.schema("ts timestamp, k string").parquet(source)
     windows.run_to_table(windows.closed_counts(stream, "ts", "1 minute", ["k"], "1 minute"), f"{tmp_path}/out", f"{tmp_path}/ck", "append")
     assert [(r["window_start"].minute, r["n"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [(0, 1)]
+
+
+def test_filters_and_terms(spark):
+    from tarn.operators import relational, terms
+
+    notes = spark.createDataFrame([("a", '{"lang": "en", "pin": true}', "w " * 300, "secret"), ("b", '{"lang": "de"}', None, None), ("c", None, "short", "")], "doc_id string, meta string, body string, hash string")
+    ids = lambda df: sorted(r["doc_id"] for r in df.collect())
+    assert ids(relational.among(notes, "doc_id", [])) == ids(relational.among(notes, "doc_id", None)) == ["a", "b", "c"] and ids(relational.among(notes, "doc_id", ["b", "z"])) == ["b"]
+    assert ids(notes.where(relational.metadata_is(F.col("meta"), {"lang": "en", "pin": True}))) == ["a"] and ids(notes.where(relational.metadata_is(F.col("meta"), {}))) == ["a", "b", "c"]
+    shown = {r["doc_id"]: r for r in relational.public_fields(notes, ["hash"], ["body"]).collect()}
+    assert "hash" not in shown["a"].asDict() and shown["a"]["body_truncated"] and len(shown["a"]["body"]) <= 240 and shown["b"]["body"] == "" and not shown["c"]["body_truncated"]
+    rows = [("d", s, p, t) for p, (s, t) in enumerate([(1, "Oak keel"), (1, "keel"), (2, "keel"), (2, "oak keel"), (2, "old boat"), (3, "sail")])]
+    got = terms.best_terms(spark.createDataFrame(rows, "doc string, section int, place int, term string"), "doc", "section", "place").first()["terms"]
+    assert got == ["Oak keel", "old boat"]
+
+
+def test_push_payloads(spark):
+    from tarn.sources import logs
+
+    entries = spark.range(1, 506, numPartitions=2).select((F.col("id") * 1000).alias("nanos"), F.concat(F.lit("line "), F.col("id").cast("string")).alias("body"), F.when(F.col("id") % 2 == 0, "agent").otherwise("backend").alias("service"))
+    rows = logs.push_payloads(entries, ["service"], 100).collect()
+    assert sum(r["entries"] for r in rows) == 505 and max(r["entries"] for r in rows) <= 100
+    stream = json.loads(rows[0]["payload"])["streams"][0]
+    assert set(stream["stream"]) == {"service"} and len(stream["values"]) == rows[0]["entries"] and stream["values"][0][1].startswith("line ")
