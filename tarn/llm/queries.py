@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from tarn.llm.chat import format_examples, read_back
 from tarn.llm.common import table
 from tarn.llm.exact_dedup import mark_copies
+from tarn.llm.fim import fill_in_middle, restore
 from tarn.llm.html_model import extract_text
+from tarn.llm.lexical import search
 from tarn.llm.mixing import mixed
 from tarn.llm.ngram_groups import link_components
 from tarn.llm.pieces import encode_decode
+from tarn.llm.ppm import fit as fit_ppm
+from tarn.llm.ppm import predict
 from tarn.llm.spot_signatures import edited_likeness
 from tarn.llm.toxicity import fit as fit_toxicity
 from tarn.llm.toxicity import score as score_toxicity
@@ -83,6 +87,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", "tokens", *posteriors, "rate", "expected_tokens", "copies", *totals)
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = restore(fill_in_middle(table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return predict(docs, fit_ppm(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_warc": op2_warc,
@@ -94,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_model": op8_html_model,
     "op9_spot_signatures": op9_spot_signatures,
     "op10_mixing": op10_mixing,
+    "op11_lexical": op11_lexical,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_language": op13_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -152,5 +173,40 @@ WITH u AS (
   FROM u LEFT JOIN rules r ON (u.host = r.rule_host OR ends_with(u.host, '.' || r.rule_host)) AND starts_with(u.path, r.rule_path)
 )
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM hits WHERE place = 1
+""",
+    "op11_lexical": r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate("text", 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents WHERE "text" IS NOT NULL
+), counted AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+sized AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM counted GROUP BY doc_id),
+corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM sized),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM counted, corpus GROUP BY term, docs),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate("text", 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), queries AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY ALL),
+scored AS (
+  SELECT item_id, c.doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total))))::BIGINT AS score
+  FROM queries JOIN weights USING (term) JOIN counted c USING (term) JOIN sized USING (doc_id), corpus
+  GROUP BY item_id, c.doc_id
+)
+SELECT item_id, row_number() OVER w AS rank, doc_id, score FROM scored WHERE score > 0
+WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 20
+""",
+    "op12_fill_in_middle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce("text", '') AS txt, regexp_extract_all(coalesce("text", ''), '[^\n]*\n|[^\n]+') AS units, sha256('7:' || doc_id::VARCHAR) AS h FROM documents
+), drawn AS (
+  SELECT *, len(units) AS n, ('0x' || h[1:8])::BIGINT % (len(units) + 1) AS c1, ('0x' || h[9:16])::BIGINT % (len(units) + 1) AS c2, ('0x' || h[25:32])::BIGINT % 100 AS turn FROM d
+), cut AS (
+  SELECT *, array_to_string(units[1:least(c1, c2)], '') AS prefix, array_to_string(units[least(c1, c2) + 1:greatest(c1, c2)], '') AS middle, array_to_string(units[greatest(c1, c2) + 1:], '') AS suffix,
+    CASE WHEN txt = '' OR contains(txt, '<P>') OR contains(txt, '<S>') OR contains(txt, '<M>') THEN 'plain' WHEN turn < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN txt WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(txt) AS restored_sha256
+FROM cut
 """,
 }
