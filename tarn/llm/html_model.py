@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -466,10 +466,10 @@ def extract_text(pages: DataFrame, model: TreeModel | None = None, key: str = "p
     model = model or trained_model()
     bounded_batches(pages.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = [main_text(h, model) for h in b["h"]]
-            yield pd.DataFrame({"k": b["k"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [main_text(h, model) for h in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["k", "url", "text", "n_chars"])
 
     kind = dict(pages.dtypes)[key]
-    return pages.select(F.col(key).alias("k"), "url", F.coalesce(html, F.lit("")).alias("h")).mapInPandas(run, f"k {kind}, url string, text string, n_chars long").withColumnRenamed("k", key)
+    return pages.select(F.col(key).alias("k"), "url", F.coalesce(html, F.lit("")).alias("h")).mapInArrow(run, f"k {kind}, url string, text string, n_chars long").withColumnRenamed("k", key)

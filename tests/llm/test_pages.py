@@ -142,3 +142,10 @@ def test_extract_from_nothing(spark):
     assert html_model.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     rows = html_model.extract_text(spark.createDataFrame([(None, None, None), (None, None, None)], "page_id long, url string, html string")).collect()
     assert [tuple(r) for r in rows] == [(None, None, "", 0)] * 2
+
+
+def test_large_ids_beside_nulls_come_back_whole(spark):
+    ids = [(1 << 60) + 1, None, (1 << 60) + 3, -(1 << 63)]
+    df = spark.createDataFrame([(i, "u", f"<html><body><p>The text of page {n} goes on for a while and ends.</p></body></html>") for n, i in enumerate(ids)], "page_id long, url string, html string").repartition(1)
+    got = {r["text"].split()[4] if r["text"] else None: r["page_id"] for r in html_model.extract_text(df).collect()}
+    assert sorted(got.values(), key=str) == sorted(ids, key=str)
