@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.common import bounded_batches
@@ -109,14 +111,14 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """(key, fingerprint, n_signatures) of every row; null text counts as empty."""
     bounded_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = spots()
         for b in batches:
-            sets = [s.signatures(t or "") for t in b["t"]]
-            yield pd.DataFrame({"k": b["k"], "fingerprint": [packed(x) for x in sets], "n_signatures": [len(x) for x in sets]})
+            sets = [s.signatures(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([packed(x) for x in sets], pa.string()), pa.array([len(x) for x in sets], pa.int64())], ["k", "fingerprint", "n_signatures"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t")).mapInPandas(run, f"k {kind}, fingerprint string, n_signatures long").withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t")).mapInArrow(run, f"k {kind}, fingerprint string, n_signatures long").withColumnRenamed("k", key)
 
 
 def id_ranges(docs: DataFrame, key: str, ranges: int) -> list[int]:
@@ -126,54 +128,71 @@ def id_ranges(docs: DataFrame, key: str, ranges: int) -> list[int]:
     return sorted({int(x) for x in row["cuts"] or []}) if shares else []
 
 
+def hot_ids(rows: DataFrame) -> dict[int | None, int]:
+    """Ids (null too) with more rows than an even share of a shuffle partition, and into how many parts those are split; at most one id a partition."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = rows.count()
+    found = rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > max(64, total / parts)).collect()
+    return {r["k"]: math.ceil(r["n"] * parts / total) for r in found}
+
+
 def with_next(docs: DataFrame, run, schema: str, key: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
-    """Calls ``run(iterator of (key, text, next text))`` over all rows in descending order of the key.
+    """Calls ``run(iterator of (key, text, next text))`` over all rows in descending order of the key; ``run`` yields Arrow batches.
 
-    The text after the last row's is the first row's. Null keys come last; rows with equal keys are in order of
-    their texts. The ids are cut into ranges (at most 20,000) whose rows are streamed in order by one task each;
-    a range's last row looks ahead to one row that is sent along from the next range, so nothing is gathered.
+    The text after the last row's is the first row's. Null keys come last; rows with equal keys are in order of a hash
+    of their texts, then of the texts. The rows are cut into ranges (at most 20,000 and the parts of hot keys) that are
+    streamed in order by one task each; a key with very many rows, null too, is cut by the texts' hashes. A range's last
+    row looks ahead to one row that is sent along from the next range, so nothing is gathered.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = np.array(id_ranges(docs, key, ranges or min(20_000, 6 * parts)), dtype=np.int64)
+    keyed = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(text, F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    hot = hot_ids(keyed)
+    own = {x for k in hot if k is not None for x in (k - 1, k) if x >= -(1 << 63)}
+    cuts = np.array(sorted({*id_ranges(docs, key, ranges or min(20_000, 6 * parts)), *own}), dtype=np.int64)
 
     def number(keys: pd.Series) -> pd.Series:
-        """Range 0 has the largest ids; null ids go to the last range."""
-        missing = keys.isna()
-        got = len(cuts) - np.searchsorted(cuts, keys.fillna(0).astype("int64"), side="left")
-        return pd.Series(np.where(missing, len(cuts), got)).astype("int32")
-
-    range_of: Column = F.pandas_udf(number, "int")
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(text, F.lit("")).alias("t")).withColumn("r", range_of("k"))
-    heads = docs.select(F.col(key).cast("long").alias("k")).withColumn("r", range_of("k")).groupBy("r").agg(F.max("k").alias("k")).collect()
-    heads.sort(key=lambda x: x["r"])
-    before = [(heads[i - 1]["r"], x["k"]) for i, x in enumerate(heads)]
-    ahead = spark.createDataFrame(before, "to int, head long") if before else spark.createDataFrame([], "to int, head long")
-    extra = rows.join(F.broadcast(ahead), rows["k"].eqNullSafe(ahead["head"])).groupBy("to", "k").agg(F.min("t").alias("t")).select("k", "t", F.col("to").alias("r"), F.lit(True).alias("extra"))
-    dealt = rows.withColumn("extra", F.lit(False)).unionByName(extra).repartition(parts, "r").sortWithinPartitions("r", "extra", F.col("k").desc_nulls_last(), "t")
-
-    def pairs(batches: Iterator[pd.DataFrame]):
+        """Range 0 has the largest ids."""
+        return pd.Series(len(cuts) - np.searchsorted(cuts, keys.to_numpy(), side="left")).astype("int64")
+
+    # The null ids' range is the last one; the function only sees numbers, which stay whole.
+    range_of = F.when(F.col("k").isNull(), F.lit(len(cuts) + 1)).otherwise(F.pandas_udf(number, "long")(F.coalesce("k", F.lit(0))))
+    of_key = F.create_map(*(F.lit(x).cast("long") for k, n in hot.items() if k is not None for x in (k, n))) if hot.keys() - {None} else None
+    pieces = F.when(F.col("k").isNull(), F.lit(hot.get(None, 1))).otherwise(F.lit(1) if of_key is None else F.coalesce(of_key[F.col("k")], F.lit(1)))
+    piece = F.least(pieces - 1, F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * pieces))
+    rows = keyed.withColumn("r", range_of * (1 << 32) + piece)
+    first = F.min(F.struct(F.col("k").isNull().alias("none"), F.bitwise_not("k").alias("falling"), "h")).alias("x")
+    heads = sorted(rows.groupBy("r").agg(first).select("r", F.bitwise_not("x.falling").alias("k"), "x.h").collect(), key=lambda x: x["r"])
+    before = [(heads[i - 1]["r"], x["k"], x["h"]) for i, x in enumerate(heads)]
+    ahead = F.broadcast(spark.createDataFrame(before, "to long, head long, head_h long"))
+    extra = rows.join(ahead, rows["k"].eqNullSafe(ahead["head"]) & (rows["h"] == ahead["head_h"])).groupBy("to", "k", "h").agg(F.min("t").alias("t")).select("k", "t", "h", F.col("to").alias("r"), F.lit(True).alias("extra"))
+    dealt = rows.withColumn("extra", F.lit(False)).unionByName(extra).repartition(parts, "r").sortWithinPartitions("r", "extra", F.col("k").desc_nulls_last(), "h", "t")
+
+    def pairs(batches: Iterator[pa.RecordBatch]):
         waiting = None
         for b in batches:
-            for k, t, r, extra in zip(b["k"].astype(object).where(b["k"].notna(), None), b["t"], b["r"], b["extra"], strict=True):
+            for k, t, extra in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if waiting is not None:
                     yield waiting[0], waiting[1], t
-                waiting = None if extra else (k, t, r)
+                waiting = None if extra else (k, t)
 
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(pairs(batches))
 
-    return dealt.select("k", "t", "r", "extra").mapInPandas(go, schema)
+    return dealt.select("k", "t", "extra").mapInArrow(go, schema)
 
 
 def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures.
 
-    The edited text is ``half_edited`` with the next document's. Null texts count as empty; repeated rows stay.
+    The edited text is ``half_edited`` with the next document's. Null texts count as empty; repeated rows stay. Null ids
+    come last, and rows with equal ids in order of their texts' hashes, so which of them is next to which is fixed; other
+    columns are not looked at, and an empty table gives no rows.
     """
+    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((n, pa.string()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_signatures", pa.int64())])
 
-    def run(rows) -> Iterator[pd.DataFrame]:
+    def run(rows) -> Iterator[pa.RecordBatch]:
         s, out = spots(), []
         ahead_text, ahead = None, None
         for k, t, donor in rows:
@@ -189,11 +208,8 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         if out:
             yield frame(out)
 
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_signatures"]
-
-    def frame(out: list[tuple]) -> pd.DataFrame:
-        df = pd.DataFrame(out, columns=names)
-        return df.assign(doc_id=df["doc_id"].astype("Int64"))
+    def frame(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return with_next(docs, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long", key, text)
 
