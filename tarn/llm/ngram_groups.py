@@ -111,12 +111,21 @@ def linked(both: int, a: int, b: int, percent: int = PERCENT) -> bool:
 # -- scans -------------------------------------------------------------------------------------------------------
 
 
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def row_name(key: Column, h: Column) -> Column:
+    """What tells rows of unlike texts apart, whether or not they share an id or have none."""
+    return F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), h.cast("string"))
+
+
 def sketch(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """One pass: (doc_id, n, s1, s2) of every row, and (token, df) partial counts of tokens that recur within a task."""
+    """One pass: (doc_id, h, n, s1, s2) of every row, ``h`` a hash of its text, and (token, df) partial counts of tokens that recur within a task."""
     spark = docs.sparkSession
     path = shared_folder(spark, "ngram-sketch")
     kind = dict(docs.dtypes)[key]
-    schema = pa.schema([("kind", pa.int32()), ("k", pa.string()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
+    schema = pa.schema([("kind", pa.int32()), ("k", pa.string()), ("h", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -126,11 +135,11 @@ def sketch(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
         def recurring() -> pa.RecordBatch:
             token, count = np.unique(np.concatenate(held), return_counts=True)
             token, count = token[count > 1], count[count > 1]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), np.int32)), pa.nulls(len(token), pa.string()), pa.array(count.astype(np.int64)), pa.array(token.view(np.int64)), pa.nulls(len(token), pa.int64())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), np.int32)), pa.nulls(len(token), pa.string()), pa.nulls(len(token), pa.int64()), pa.array(count.astype(np.int64)), pa.array(token.view(np.int64)), pa.nulls(len(token), pa.int64())], schema=schema)
 
         for batch in batches:
             n, s1, s2 = [], [], []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 tokens = shingles(t.as_py() or "")
                 s = signature(tokens)
                 n.append(len(tokens))
@@ -140,7 +149,7 @@ def sketch(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
                     seen.add(s)
                     held.append(tokens)
                     size += len(tokens)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())], schema=schema)
             if size > HELD_TOKENS:
                 yield recurring()
                 held, size = [], 0
@@ -149,10 +158,10 @@ def sketch(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
         if held:
             yield recurring()
 
-    rows = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).mapInArrow(run, "kind int, k string, n long, s1 long, s2 long")
+    rows = docs.select(F.col(key).cast("string").alias("k"), text_hash(text).alias("h"), F.col(text).alias("t")).mapInArrow(run, "kind int, k string, h long, n long, s1 long, s2 long")
     rows.write.partitionBy("kind").parquet(path)
-    back = spark.read.schema("k string, n long, s1 long, s2 long, kind int").parquet(path)
-    return back.where("kind = 0").select(F.col("k").cast(kind).alias("doc_id"), "n", "s1", "s2"), back.where("kind = 1").select(F.col("s1").alias("token"), F.col("n").alias("df"))
+    back = spark.read.schema("k string, h long, n long, s1 long, s2 long, kind int").parquet(path)
+    return back.where("kind = 0").select(F.col("k").cast(kind).alias("doc_id"), "h", "n", "s1", "s2"), back.where("kind = 1").select(F.col("s1").alias("token"), F.col("n").alias("df"))
 
 
 def frequent_tokens(counts: DataFrame, bound: int = FREQUENT_TOKENS) -> tuple[np.ndarray, np.ndarray]:
@@ -279,11 +288,19 @@ def token_groups(postings: DataFrame, grouped: DataFrame) -> DataFrame:
     return written(postings.select("token", "s1", "s2").join(named, ["s1", "s2"]).groupBy("token", "g", "size_class").agg(F.count("*").alias("members")), "ngram-matrix")
 
 
+#: A matrix row meets those before it, is met by those behind it, or both.
+MEETS, IS_MET, BOTH = 0, 1, 2
+
+
 def group_pairs(matrix: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs (g, h), g <= h, of groups whose rows share so many prefix tokens that members can link; (g, g) if members of one group can."""
+    """Pairs (g, h), g <= h, of groups whose rows share so many prefix tokens that members can link; (g, g) if members of one group can.
+
+    The groups of a token pass in order of their sizes, and each meets those before it that are near enough in size.
+    Where a token has very many groups they are dealt to several tasks, and each of these sees all of them go by.
+    """
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        token, run, found = None, deque(), Counter()
+        key, run, found = None, deque(), Counter()
 
         def frame() -> pd.DataFrame:
             df = pd.DataFrame([(g, h, n) for (g, h), n in found.items()], columns=["g", "h", "shared"], dtype="int64")
@@ -291,21 +308,35 @@ def group_pairs(matrix: DataFrame, groups: DataFrame) -> DataFrame:
             return df
 
         for b in batches:
-            for t, c, g in zip(b["token"].tolist(), b["size_class"].tolist(), b["g"].tolist(), strict=True):
-                if t != token:
-                    token = t
+            for t, salt, c, g, role in zip(*(b[x].tolist() for x in ("token", "salt", "size_class", "g", "role")), strict=True):
+                if (t, salt) != key:
+                    key = t, salt
                     run.clear()
                 while run and run[0][0] < c - CLASSES_APART:
                     run.popleft()
-                found.update((min(o, g), max(o, g)) for _, o in run)
-                run.append((c, g))
-            if len(found) > 100_000:
-                yield frame()
+                if role != IS_MET:
+                    found.update((min(o, g), max(o, g)) for _, o in run)
+                if role != MEETS:
+                    run.append((c, g))
+                if len(found) > 100_000:
+                    yield frame()
         if found:
             yield frame()
 
     parts = int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cross = matrix.select("token", "size_class", "g").repartition(parts, "token").sortWithinPartitions("token", "size_class", "g").mapInPandas(pairs, "g long, h long, shared long").groupBy("g", "h").agg(F.sum("shared").alias("shared"))
+    rows = matrix.select("token", "size_class", "g")
+    hot = hot_keys(rows, ["token"])
+    if hot is None:
+        dealt = rows.select("*", F.lit(0).alias("salt"), F.lit(BOTH).alias("role"))
+    else:
+        salted = rows.join(F.broadcast(hot), "token", "left")
+        one = salted.where("salts IS NULL").select("token", "size_class", "g", F.lit(0).alias("salt"), F.lit(BOTH).alias("role"))
+        several = salted.where("salts IS NOT NULL")
+        meets = several.select("token", "size_class", "g", F.pmod(F.xxhash64("g"), F.col("salts")).cast("int").alias("salt"), F.lit(MEETS).alias("role"))
+        met = several.select("token", "size_class", "g", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(IS_MET).alias("role"))
+        dealt = one.unionByName(meets).unionByName(met)
+    dealt = dealt.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "size_class", "g", "role")
+    cross = dealt.mapInPandas(pairs, "g long, h long, shared long").groupBy("g", "h").agg(F.sum("shared").alias("shared"))
     own = matrix.where("members > 1").groupBy("g").agg(F.count("*").alias("shared")).select("g", F.col("g").alias("h"), "shared")
     size = groups.select("g", "n_min", "n_max")
     sized = cross.unionByName(own).join(size, "g").join(size.select(F.col("g").alias("h"), F.col("n_min").alias("h_min"), F.col("n_max").alias("h_max")), "h")
@@ -434,16 +465,25 @@ def all_unit_links(units: DataFrame) -> DataFrame:
 
 
 def active_texts(docs: DataFrame, key: str, text: str, sets: DataFrame, grouped: DataFrame) -> DataFrame:
-    """(s1, s2, text) of the sets that are in groups; a text is taken from the smallest doc_id of its set and checked by the set's name."""
+    """(s1, s2, text) of the sets that are in groups, each once.
+
+    A text is taken from the row that stands for its set, known by its id and its text's hash, so that rows that share
+    an id or have none meet their own set alone, and it is checked by the set's name. Rows that repeat both are as good
+    as each other: very many of them are dealt to several tasks, and one is taken.
+    """
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keep = [signature(shingles(t)) == (x, y) for t, x, y in zip(b["text"], b["s1"], b["s2"], strict=True)]
             yield b[keep]
 
-    wanted = grouped.join(sets.select("s1", "s2", "doc_id"), ["s1", "s2"]).select("s1", "s2", "doc_id")
-    texts = docs.select(F.col(key).alias("own"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = texts.join(wanted, texts["own"].eqNullSafe(wanted["doc_id"])).select("s1", "s2", "text")
+    wanted = grouped.join(sets.select("s1", "s2", "name", "repeats"), ["s1", "s2"]).select("s1", "s2", "name", "repeats")
+    texts = docs.select(row_name(F.col(key), text_hash(text)).alias("name"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    once, again = wanted.where("repeats = 1"), written(wanted.where("repeats > 1"), "ngram-repeated")
+    found = texts.join(once, "name").select("s1", "s2", "text")
+    if not again.isEmpty():
+        dealt = salted_join(texts.withColumn("i", F.monotonically_increasing_id()), again, ["name"], ["i"], hot=hot_keys(again, ["name"], "repeats"))
+        found = found.unionByName(dealt.groupBy("s1", "s2").agg(F.min("text").alias("text")))
     return written(found.mapInPandas(check, "s1 long, s2 long, text string"), "ngram-texts")
 
 
@@ -536,6 +576,13 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node.s1", "node.s2", "label")
 
 
+def stands_for(rows: DataFrame) -> DataFrame:
+    """Of each set (s1, s2): its smallest doc_id (null only if all are), the name of a row that has the text, and how many rows have that name."""
+    named = rows.groupBy("s1", "s2", "doc_id", "h").agg(F.count("*").alias("repeats"))
+    first = F.min_by(F.struct(row_name(F.col("doc_id"), F.col("h")).alias("name"), "repeats"), F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("row")
+    return named.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), first).select("s1", "s2", "doc_id", "row.name", "row.repeats")
+
+
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
@@ -545,7 +592,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     bounded_batches(docs.sparkSession)
     rows, counts = sketch(docs, key, text)
     with scratch(docs.sparkSession):
-        sets = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"))
+        sets = stands_for(rows.where("n > 0"))
         frequent, df = frequent_tokens(counts)
         postings = shared_postings(docs, text, frequent, df)
         grouped = written(
@@ -558,6 +605,7 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         members = written(grouped.join(alive, "g").select("s1", "s2", "g"), "ngram-members")
         texts = active_texts(docs, key, text, sets, members)
         linked_sets = components(find_links(texts, members, groups, pairs))
+        sets = sets.select("s1", "s2", "doc_id")
         named = written(sets.join(linked_sets, ["s1", "s2"]), "ngram-named")
         least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
         of_set = written(salted_join(named, least, ["label"], ["s1", "s2"], hot=hot_keys(named, ["label"])).select("s1", "s2", "component_id"), "ngram-components")

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -62,6 +63,37 @@ def test_edited_texts(spark):
     assert spot_signatures.edited_likeness(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("ranges", [None, 7])
+def test_large_null_and_repeated_ids_come_back_whole(spark, ranges):
+    """Ids that no double holds, beside nulls and at the cuts of ranges; a null and a repeated id have most of the rows."""
+    r = random.Random(ranges)
+    big = [(1 << 60) + i for i in range(40)] + [-(1 << 63), (1 << 63) - 1]
+    docs = [(d, f"text {d} of the sea.") for d in big] + [(None, f"the null {i}") for i in range(300)] + [((1 << 60) + 7, f"the copy {i}") for i in range(300)]
+    r.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    seen = []
+
+    def pairs(rows):
+        for k, t, donor in rows:
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([t]), pa.array([donor])], ["k", "t", "donor"])
+
+    for x in spot_signatures.with_next(df, pairs, "k long, t string, donor string", ranges=ranges).collect():
+        seen.append(tuple(x))
+    assert sorted([x[:2] for x in seen], key=str) == sorted(docs, key=str)
+    # One circle through all rows, which falls in its ids and ends with the nulls.
+    after, id_of = {t: donor for _, t, donor in seen}, {t: k for k, t in docs}
+    at, order = f"text {(1 << 63) - 1} of the sea.", []
+    for _ in docs:
+        order.append(id_of[at])
+        at = after[at]
+    assert order == sorted([d for d, _ in docs], key=lambda d: (d is None, -(d or 0)))
+    assert at == f"text {(1 << 63) - 1} of the sea."
+    got = spot_signatures.edited_likeness(df).select("doc_id").collect()
+    assert sorted([g[0] for g in got], key=str) == sorted([d for d, _ in docs], key=str)
+    prints = spot_signatures.fingerprints(df).collect()
+    assert sorted([g["doc_id"] for g in prints], key=str) == sorted([d for d, _ in docs], key=str)
+
+
 def plain_signatures(text):
     """Chains as words: the anchor (or the start) and the next two content words, as far as there are any."""
     words = re.findall(r"\w+|[.!?|\n]", text.lower())
@@ -153,6 +185,50 @@ def test_components_equal_brute_force(spark, monkeypatch, unit):
     assert got == plain_components(docs)
 
 
+def test_rows_without_or_with_one_id_meet_their_own_sets(spark):
+    """Unlike texts under a null id, near copies under one id, and rows that repeat an id and a text very often."""
+    near = near_texts()
+    docs = [(None, t) for t in near] + [(5, t) for t in near[:200]] + [(6, near[0])] * 300 + [(None, near[1])] * 300
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = sorted((tuple(r) for r in ngram_groups.link_components(df).collect()), key=str)
+    assert got == plain_components(docs)
+
+
+def test_texts_of_null_ids_grow_with_the_rows(spark):
+    """Each row meets its own set alone: as many rows come back as there are sets."""
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", F.lit("a text of its own"), F.col("id").cast("string"), F.lit("and"), (F.col("id") * 7).cast("string")).alias("text"))
+    names, _ = ngram_groups.sketch(rows, "doc_id", "text")
+    sets = ngram_groups.stands_for(names)
+    assert ngram_groups.active_texts(rows, "doc_id", "text", sets, sets.select("s1", "s2")).count() == 20_000
+
+
+def test_pairs_of_a_hot_token_equal_all_pairs(spark, monkeypatch):
+    """A token in the prefixes of very many groups is dealt to several tasks; the pairs are those of one."""
+    r = random.Random(2)
+    matrix = [(1, g, r.randint(50, 70), 1) for g in range(400)] + [(t, g, 50 + g % 20, 1) for t in range(2, 40) for g in r.sample(range(400), 5)]
+    sizes = {g: c for _, g, c, _ in matrix}
+    matrix = [(t, g, sizes[g], m) for t, g, _, m in matrix]
+    size_of = lambda c: int(ngram_groups.GROUP_SPREAD**c) + 1
+    groups = spark.createDataFrame([(g, 1, size_of(c), size_of(c)) for g, c in sizes.items()], "g long, size long, n_min int, n_max int")
+    frame = spark.createDataFrame(matrix, "token long, g long, size_class int, members long")
+    got = {tuple(x) for x in ngram_groups.group_pairs(frame, groups).collect()}
+    monkeypatch.setattr(ngram_groups, "hot_keys", lambda *a, **k: None)
+    assert got == {tuple(x) for x in ngram_groups.group_pairs(frame, groups).collect()}
+    shared = {}
+    by = {}
+    for t, g, _, _ in matrix:
+        by.setdefault(t, []).append(g)
+    for gs in by.values():
+        for a, b in itertools.combinations(sorted(gs), 2):
+            shared[a, b] = shared.get((a, b), 0) + 1
+    want = set()
+    for (a, b), n in shared.items():
+        small, large = sorted((size_of(sizes[a]), size_of(sizes[b])))
+        if 100 * small >= 80 * large and n >= max(1.0, 4 / 9 * small - (0.8 - 4 / 9) * large - 2):
+            want.add((a, b))
+    assert got == want and want
+
+
 def test_components_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_groups.link_components(df).count() == 0
