@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.functions.chunk_rules import with_chunk_type
-from tarn.functions.python_tier import blocks, mapped_list, merge_sections, prose_parts, table_lines, uuid5
-from tarn.functions.text import described_table, heading_prefix, squeeze
+from tarn.functions.chunk_rules import type_of, with_chunk_type
+from tarn.functions.python_tier import mapped_list, merge_sections, opening_headings, prose_parts, table_lines, uuid5
+from tarn.functions.semantic import Splitter
+from tarn.functions.text import described_table, heading_prefix, repair_hyphenation, squeeze
+from tarn.functions.typed_split import Chunk, typed_split, with_paths
 from tarn.operators.context import linked
 from tarn.providers import Offline, Provider
 
-#: Types that are one chunk if a whole text without headings has them.
-ATOMIC = ("address", "contact", "faq", "glossary", "json", "list", "quote", "structured_list")
-LEVELS = 6
 #: Chunks of fewer tokens are not indexed.
 LEAST_TOKENS = 10
 #: Words that a chunk holds at most; a sixteenth of it is the length from which prose is split.
@@ -27,54 +29,71 @@ def document_id(user: Column, note: Column) -> Column:
     return F.concat_ws("-", need(user, "user_id"), need(note, "note_id"))
 
 
-def scanned(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """One row a block: doc, place, kind, text, depth."""
-    return docs.select(doc, F.posexplode(blocks(F.col(text))).alias("place", "b")).select(doc, "place", "b.kind", "b.text", "b.depth")
+CHUNKS = "array<struct<chunk_type:string,text:string,path:string>>"
 
 
-def with_headings(rows: DataFrame, doc: str) -> DataFrame:
-    """Each block with its heading path: of each level the last heading that no shallower one has come after."""
-    w = Window.partitionBy(doc).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = {d: F.last(F.when((F.col("kind") == "heading") & (F.col("depth") == d), F.struct("place", "text")), ignorenulls=True).over(w) for d in range(1, LEVELS + 1)}
-    out = rows.withColumns({f"_h{d}": c for d, c in last.items()})
-    alive = []
-    for d in range(1, LEVELS + 1):
-        shallower = [F.coalesce(F.col(f"_h{k}.place"), F.lit(-1)) for k in range(1, d)]
-        ok = F.col(f"_h{d}.place") > (F.greatest(*shallower) if len(shallower) > 1 else shallower[0] if shallower else F.lit(-1))
-        alive.append(F.when(ok, F.regexp_replace(F.col(f"_h{d}.text"), r"^#+\s+", "")))
-    return out.withColumn("path", F.concat_ws(" > ", *alive[:3])).drop(*[f"_h{d}" for d in range(1, LEVELS + 1)])
+def listed(chunks: DataFrame, doc: str) -> DataFrame:
+    """One row a chunk, from one row a document with its ``chunks``."""
+    return chunks.select(doc, F.size("chunks").cast("long").alias("total"), F.posexplode("chunks").alias("chunk_index", "c")).select(doc, "chunk_index", "total", "c.chunk_type", "c.text", "c.path")
 
 
 def typed_chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, chunk_index, total, chunk_type, text, path).
+    """(doc, chunk_index, total, chunk_type, text, path), in one pass over the documents without a shuffle.
 
-    A text without headings of an atomic type is one chunk. Else blocks are classified one by one, headings go with
-    the block behind them (those without one are heading_only), and neighbouring content blocks without a heading or
-    divider between them are joined. Blank texts have no chunk.
+    A text that is of one piece by its type is one chunk. Else its blocks are folded in order: headings go with what they
+    head, those without are heading_only, and neighbouring prose is joined up to a heading or divider; then turns of a
+    dialogue and lists are gathered. Null and blank texts, and those of dividers alone, have no chunk; repeated rows and
+    null ids are documents like others.
     """
-    whole = docs.select(doc, F.col(text).alias("text")).where(F.trim(F.coalesce("text", F.lit(""))) != "")
-    whole = with_chunk_type(whole, "text", "type").withColumn("atomic", F.col("type").isin(*ATOMIC) & ~F.rlike("text", F.lit(r"(?m)^#{1,6}\s+\S")))
-    atoms = whole.where("atomic").select(doc, F.lit(0).alias("place"), F.col("type").alias("chunk_type"), squeeze(F.col("text")).alias("text"), F.lit("").alias("path"))
-    rows = with_headings(scanned(whole.where("NOT atomic"), doc, "text"), doc)
-    w = Window.partitionBy(doc).orderBy("place")
-    # Runs of headings go to the block behind them.
-    is_heading = F.col("kind") == "heading"
-    rows = rows.withColumn("slot", F.sum(F.when(F.coalesce(F.lag(is_heading).over(w), F.lit(False)), 0).otherwise(1)).over(w))
-    joined = rows.where("kind <> 'divider'").groupBy(doc, "slot").agg(
-        F.min("place").alias("place"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n\n").alias("text"), F.max_by("kind", "place").alias("kind"), F.bool_or(F.col("kind") == "heading").alias("headed"), F.max_by("path", "place").alias("path")
-    )
-    dividers = rows.where("kind = 'divider'").select(doc, F.col("place").alias("cut"))
-    kind = F.when(F.col("kind") == "heading", "heading_only").when(F.col("kind").isin("code", "json", "table"), F.col("kind")).otherwise(F.col("prose_type"))
-    typed = with_chunk_type(joined, "text", "prose_type").withColumn("chunk_type", kind)
-    cuts = dividers.groupBy(doc).agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
-    typed = typed.join(cuts, doc, "left").withColumn("part", F.size(F.filter(F.coalesce("cuts", F.array().cast("array<int>")), lambda c: c < F.col("place"))))
-    same = (F.col("chunk_type") == "content") & (F.lag("chunk_type").over(w) == "content") & ~F.col("headed") & (F.lag("part").over(w) == F.col("part"))
-    islands = typed.withColumn("island", F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(w))
-    merged = islands.groupBy(doc, "island").agg(
-        F.min("place").alias("place"), F.min_by("chunk_type", "place").alias("chunk_type"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n\n").alias("text"), F.min_by("path", "place").alias("path")
-    )
-    every = merged.select(doc, "place", "chunk_type", "text", "path").unionByName(atoms)
-    return every.withColumn("chunk_index", F.row_number().over(w) - 1).withColumn("total", F.count("*").over(Window.partitionBy(doc))).drop("place")
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([[_row(c) for c in typed_split(t)] for t in s], dtype=object)
+
+    return listed(docs.select(doc, F.pandas_udf(run, CHUNKS)(F.coalesce(F.col(text), F.lit(""))).alias("chunks")), doc)
+
+
+def _row(c: Chunk) -> dict:
+    return {"chunk_type": c.kind, "text": c.text, "path": c.path}
+
+
+def split_documents(texts: list[str], splitter: Splitter) -> list[list[Chunk]]:
+    """Of each text the typed chunks, long prose among them split by ``splitter`` and typed anew, and neighbours of one section and a like type joined within its budget.
+
+    The prose of all texts goes to the splitter together. The headings that open a chunk stay with its first part.
+    """
+    typed = [typed_split(t) for t in texts]
+    prose = [(i, j, *opening_headings(c.text)) for i, chunks in enumerate(typed) for j, c in enumerate(chunks) if c.kind == "content"]
+    parts = {(i, j): (head, p) for (i, j, head, _), p in zip(prose, splitter.prose([body for *_, body in prose]), strict=True)}
+    out = []
+    for i, chunks in enumerate(typed):
+        expanded: list[Chunk] = []
+        for j, c in enumerate(chunks):
+            head, several = parts.get((i, j), ("", []))
+            if not several:
+                expanded.append(Chunk(c.text, c.kind))
+                continue
+            first = f"{head}\n\n{several[0]}" if head else several[0]
+            expanded += [Chunk(p, type_of(p)) for p in (first, *several[1:])]
+        joined = merge_sections(splitter.most, splitter.tokenizer.count)([_row(c) for c in with_paths(expanded)])
+        out.append([Chunk(c["text"], c["chunk_type"], c["path"]) for c in joined])
+    return out
+
+
+def document_chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text", splitter: Splitter | None = None) -> DataFrame:
+    """(doc, chunk_index, total, chunk_type, text, path) of the final chunks, from texts with their hyphenation repaired, in one pass without a shuffle.
+
+    Null and blank texts have no chunk. An embedder of the splitter is asked by each worker for the prose of a batch of
+    documents together; where it fails, that batch and those of a while after it are split by runs of sentences.
+    """
+    chosen = splitter or Splitter()
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([[_row(c) for c in chunks] for chunks in split_documents(list(s), chosen)], dtype=object)
+
+    whole = repair_hyphenation(F.coalesce(F.col(text), F.lit("")))
+    return listed(docs.select(doc, F.pandas_udf(run, CHUNKS)(whole).alias("chunks")), doc)
 
 
 def refined_chunks(chunks: DataFrame, doc: str = "doc_id", most: int = CHUNK_WORDS) -> DataFrame:
@@ -115,7 +134,7 @@ def embed_text(kind: Column, text: Column, path: Column) -> Column:
 def index_chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text", provider: Provider | None = None) -> DataFrame:
     """Index chunks with ids, links, token counts, embedding texts and skip reasons."""
     provider = provider or Offline()
-    chunks = refined_chunks(typed_chunks(docs, doc, text), doc).withColumn("chunk_id", F.col("chunk_index").cast("string"))
+    chunks = document_chunks(docs, doc, text, provider.splitter()).withColumn("chunk_id", F.col("chunk_index").cast("string"))
     out = linked(chunks, [doc], "chunk_index", "chunk_id").drop("ordinal")
     out = out.withColumn("tokens", provider.count_tokens(F.col("text"))).withColumn("embed_text", embed_text(F.col("chunk_type"), F.col("text"), F.col("path")))
     quality = F.when(F.rlike("text", F.lit(r"(?:\b\w\s){8,}")), F.lit("ocr_noise")).otherwise(F.lit(""))

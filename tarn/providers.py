@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -12,7 +12,9 @@ import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tarn.functions.semantic import Splitter
 from tarn.functions.text import full_lines, jaccard, rough_token_count, strip, tokens
+from tarn.functions.tokens import Tokenizer, Words, token_count
 
 
 class Provider(Protocol):
@@ -20,6 +22,8 @@ class Provider(Protocol):
 
     def count_tokens(self, text: Column) -> Column: ...
 
+    def splitter(self) -> Splitter: ...
+
     def embed(self, text: Column) -> Column: ...
 
     def rerank(self, query: Column, text: Column) -> Column: ...
@@ -29,20 +33,30 @@ class Provider(Protocol):
     def entities(self, text: Column) -> Column: ...
 
 
-def hashed_embedding(dim: int) -> Callable[[Column], Column]:
+def hashed_vectors(dim: int) -> Callable[[Sequence[str]], np.ndarray]:
     """Signed hashing of words into ``dim`` places, scaled to length 1; texts without words give zeros."""
 
-    def one(text: str | None) -> list[float]:
-        v = np.zeros(dim, dtype=np.float32)
-        for w in (text or "").lower().split():
-            h = xxhash.xxh64_intdigest(w)
-            v[h % dim] += 1.0 if h >> 63 else -1.0
-        n = np.linalg.norm(v)
-        return (v / n if n else v).tolist()
+    def embed(texts: Sequence[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dim), dtype=np.float32)
+        for v, text in zip(out, texts, strict=True):
+            for w in (text or "").lower().split():
+                h = xxhash.xxh64_intdigest(w)
+                v[h % dim] += 1.0 if h >> 63 else -1.0
+            n = np.linalg.norm(v)
+            if n:
+                v /= n
+        return out
+
+    return embed
+
+
+def hashed_embedding(dim: int) -> Callable[[Column], Column]:
+    """``hashed_vectors`` over a column; null as empty."""
+    embed = hashed_vectors(dim)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series([one(t) for t in s], dtype=object)
+            yield pd.Series(embed(list(s)).tolist(), dtype=object)
 
     return F.pandas_udf(run, "array<float>")
 
@@ -53,9 +67,16 @@ class Offline:
 
     dim: int = 64
     summary_chars: int = 300
+    #: Counts and cuts tokens; without one, words and signs are counted by built-in expressions.
+    tokenizer: Tokenizer | None = None
+    #: Prose is split where its meaning turns, by the stand-in's vectors; off, by runs of sentences.
+    by_meaning: bool = True
 
     def count_tokens(self, text: Column) -> Column:
-        return rough_token_count(text)
+        return rough_token_count(text) if self.tokenizer is None else token_count(self.tokenizer, text)
+
+    def splitter(self) -> Splitter:
+        return Splitter(self.tokenizer or Words(), hashed_vectors(self.dim) if self.by_meaning else None)
 
     def embed(self, text: Column) -> Column:
         return hashed_embedding(self.dim)(text)

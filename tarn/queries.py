@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from tarn.functions import chunk_rules as R
 from tarn.functions import text as X
+from tarn.functions import tokens
 from tarn.functions.vectors import literal
 from tarn.operators import agent, assist, context, fusion, reconcile, relational, telemetry, terms
 from tarn.plans import ingest
+from tarn.providers import Offline
 from tarn.session import table
 from tarn.sources import logs
 from tarn.streaming import windows
@@ -578,11 +580,75 @@ def tag_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(tags, ",").alias("tags"))
 
 
-@query()
+def _gather_sql(name: str, of: str, chosen: str, when: str, kind: str = "arg_min(kind, i)") -> str:
+    """The chosen rows of ``of`` in a document, if there are two or more, joined where the first stands."""
+    return f"""{name}_m AS (SELECT *, {when} AND {chosen} AS m FROM {of}),
+{name}_c AS (SELECT *, count(*) FILTER (m) OVER d AS ms, min(i) FILTER (m) OVER d AS first FROM {name}_m WINDOW d AS (PARTITION BY doc_id)),
+{name} AS (SELECT doc_id, any_value(w) AS w, CASE WHEN m AND ms > 1 THEN first ELSE i END AS i, CASE WHEN bool_and(m AND ms > 1) THEN {kind} ELSE arg_min(kind, i) END AS kind, string_agg(x, chr(10) || chr(10) ORDER BY {name}_c.i) AS x
+  FROM {name}_c GROUP BY doc_id, CASE WHEN m AND ms > 1 THEN first ELSE i END)"""
+
+
+def _typed_sql(source: str) -> str:
+    """The typed split of texts without headings and fences, in SQL; ``source`` gives the relation ``documents``."""
+    told = f"""len(ls) > 2 AND ends_with(ls[1], ':') AND len(list_filter(ls[2:], lambda y: regexp_matches(y, '^[-*+]\\s+'))) = 0 AND len(list_filter(ls[2:], lambda y: regexp_matches(y, '^[A-Z][A-Za-z''’-]+\\s+\\S'))) > 1"""
+    atomic = "'address', 'contact', 'faq', 'glossary', 'json', 'list', 'quote', 'structured_list', 'heading_only', 'transcript'"
+    return f"""WITH whole AS (WITH {source}{_FLAGS} SELECT row_number() OVER () AS n, doc_id, t, {_TYPE} AS w FROM flags),
+ln AS (SELECT n, t, w, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM whole WHERE t <> ''),
+raw AS (SELECT n, w, t, i, string_split(t, chr(10))[i] AS raw, {_BARE.format("string_split(t, chr(10))[i]")} AS x FROM ln),
+k AS (SELECT *, CASE WHEN x = '' THEN 'blank' WHEN regexp_matches(x, '^[-*_]{{3,}}$') THEN 'divider' WHEN {_BARS} THEN 'table' ELSE 'prose' END AS kind FROM raw),
+r AS (SELECT *, CASE WHEN kind = lag(kind) OVER (PARTITION BY n ORDER BY i) THEN 0 ELSE 1 END AS new FROM k),
+b AS (SELECT *, sum(new) OVER (PARTITION BY n ORDER BY i) AS run FROM r),
+blocks AS (SELECT n, any_value(w) AS w, any_value(t) AS t, run, kind, {_BARE.format("string_agg(raw, chr(10) ORDER BY i)")} AS x, list(x ORDER BY i) AS ls FROM b WHERE kind <> 'blank' GROUP BY n, run, kind),
+prose AS (WITH documents AS (SELECT n * 1000000 + run AS doc_id, x AS "text" FROM blocks WHERE kind = 'prose'), {_FLAGS} SELECT doc_id AS id, {_TYPE} AS p FROM flags),
+typed AS (SELECT b.n, b.w, b.t, b.run, b.kind AS block, b.x, CASE WHEN b.kind <> 'prose' THEN b.kind WHEN {told} THEN 'transcript' ELSE p.p END AS kind, p.p FROM blocks b LEFT JOIN prose p ON p.id = b.n * 1000000 + b.run),
+one AS (SELECT n, bool_and(block = 'divider') AS none, (any_value(w) IN ('code', 'table') AND NOT contains(any_value(t), chr(10) || chr(10))) OR any_value(w) IN ({atomic}) OR (any_value(w) = 'content' AND bool_and(block = 'prose' AND p <> 'code')) AS whole FROM typed GROUP BY n),
+seq AS (SELECT *, lag(kind) OVER (PARTITION BY n ORDER BY run) AS before FROM typed WHERE n IN (SELECT n FROM one WHERE NOT whole AND NOT none)),
+cut AS (SELECT *, sum(CASE WHEN kind = 'content' AND before = 'content' THEN 0 ELSE 1 END) OVER (PARTITION BY n ORDER BY run) AS part FROM seq),
+fold AS (SELECT n AS doc_id, any_value(w) AS w, min(run) AS i, any_value(kind) AS kind, string_agg(x, chr(10) || chr(10) ORDER BY run) AS x FROM cut WHERE kind <> 'divider' GROUP BY n, part),
+{_gather_sql("g1", "fold", f"(kind = 'transcript' OR regexp_full_match(string_split(x, chr(10))[1], '(?:\\[\\d{{2}}:\\d{{2}}(?::\\d{{2}})?\\]\\s+)?[A-Z][^\\n:]{{0,60}}:\\s*'))", "w = 'transcript'", "'transcript'")},
+{_gather_sql("g2", "g1", "kind IN ('list', 'structured_list')", "true")},
+mixed AS (SELECT *, bool_or(kind IN ('code', 'json', 'table')) OVER d AS hard, bool_or(kind IN ('list', 'structured_list', 'transcript')) OVER d AS soft FROM g2 WINDOW d AS (PARTITION BY doc_id)),
+{_gather_sql("g3", "mixed", "kind = 'content'", "NOT hard AND soft")},
+every AS (SELECT doc_id AS n, i, kind, x FROM g3 UNION ALL SELECT n, 0, w, t FROM whole JOIN one USING (n) WHERE whole AND NOT none)
+SELECT doc_id, CAST(row_number() OVER d - 1 AS INTEGER) AS chunk_index, count(*) OVER (PARTITION BY every.n) AS total, kind AS chunk_type, x AS "text", '' AS path FROM every JOIN whole ON every.n = whole.n WINDOW d AS (PARTITION BY every.n ORDER BY i)"""
+
+
+@query(_typed_sql(""))
 def typed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.typed_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+_BLOCK_SAMPLES = (
+    "", "", "", "---", "-*-", "====", "Words of plain prose here.", "And more of them there.", "- item", "* [x] done", "1. one", "2. two", "| a | b |", "|---|---|", "| c | d |", "Ana Lee:", "Ben:", "hello there", "So they spoke:",
+    "Anna asked for it.", "Peter gave it.", "> said", "Q: why", "A: so", "Keel: the spine of a boat", "12 Long Street", "a@b.org", "pip install x", "x = 1", "return x", '"k": 1,', "{", "}",
+)
+_MIXED_BLOCKS = f"""documents AS (SELECT CAST(o_orderkey AS BIGINT) AS doc_id, array_to_string(list_transform(range(1, 13), lambda i: list_extract({list(_BLOCK_SAMPLES)!r}, CAST((o_orderkey * (2 * i + 1) + o_custkey * i * i) % {len(_BLOCK_SAMPLES)} + 1 AS INTEGER))), chr(10)) AS "text" FROM orders), """
+
+
+@query(_typed_sql(_MIXED_BLOCKS))
+def typed_chunks_of_mixed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed split of texts of twelve lines, blank ones, dividers and table rows among them, drawn by the keys of orders."""
+    samples = F.array(*[F.lit(x) for x in _BLOCK_SAMPLES])
+    drawn = [F.element_at(samples, ((F.col("o_orderkey") * (2 * i + 1) + F.col("o_custkey") * i * i) % len(_BLOCK_SAMPLES) + 1).cast("int")) for i in range(1, 13)]
+    return ingest.typed_chunks(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat_ws("\n", *drawn).alias("text")))
+
+
+def tokenizer(spark: SparkSession) -> tokens.BytePairs:
+    """Byte pairs by the ranks of a public vocabulary file."""
+    import public_tokenizers
+
+    return tokens.byte_pairs(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query()
+def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each text, and its windows of 400 with 40 of the one before: how many, and a digest of them in order."""
+    pairs = tokenizer(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", tokens.token_count(pairs, F.col("text")).alias("tokens"), tokens.token_windows(pairs, F.col("text"), 400, 40).alias("w"))
+    return docs.select("doc_id", "tokens", F.size("w").alias("windows"), F.sha2(F.array_join("w", "\n"), 256).alias("windows_sha256"))
+
+
 @query()
 def index_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.index_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    provider = Offline(tokenizer=tokenizer(spark))
+    return ingest.index_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), provider=provider)
