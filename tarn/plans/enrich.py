@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.functions.dates import dates_of
 from tarn.functions.text import HEADING, allowed_terms, full_lines, is_table_line, lines, question_list, strip, table_cells, table_headers, tokens
 from tarn.operators.assist import dates_in
 from tarn.operators.context import packed
@@ -77,6 +78,13 @@ def chunk_dates(chunks: DataFrame, doc: str) -> DataFrame:
     return found.select(doc, "chunk_id", F.col("d.text").alias("date_text"), F.col("d.date").alias("date_value")).distinct()
 
 
+def phrase_dates(chunks: DataFrame, doc: str, base: Column, zone: Column | str = "UTC") -> DataFrame:
+    """(doc, chunk_id, date_text, date_value, date_precision, date_type) of every date phrase, each once; ``base`` is when a chunk's text was written."""
+    found = chunks.select(doc, "chunk_id", F.explode(dates_of(F.col("text"), base, zone)).alias("d"))
+    kind = F.when(F.col("d.relative"), "relative").otherwise("absolute")
+    return found.select(doc, "chunk_id", F.col("d.text").alias("date_text"), F.col("d.value").alias("date_value"), F.col("d.precision").alias("date_precision"), kind.alias("date_type")).distinct()
+
+
 def table_terms(text: Column, terms: Column, kind: Column) -> Column:
     """Of a table's terms those that are none of its headers; other texts keep all."""
     headers = F.transform(table_headers(text), lambda h: F.lower(h))
