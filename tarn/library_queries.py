@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tarn.functions import python_tier as P
 from tarn.functions import text as X
-from tarn.operators import fusion, library
+from tarn.operators import fulltext, fusion, library
 from tarn.plans import ingest
-from tarn.queries import _COSINE, query, query_vector
+from tarn.queries import _COSINE, query, query_vector, shared
 from tarn.session import table
 
 
@@ -152,3 +152,33 @@ def scoped_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def refined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ingest.refined_chunks(ingest.typed_chunks(docs)).select("doc_id", "chunk_index", "chunk_type", F.sha2("text", 256).alias("text_sha256"))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fulltext.write_postings(fulltext.postings(table(spark, sf_dir, "documents")), shared(spark, "postings"))
+
+
+_WORDS = """WITH w AS (SELECT doc_id, source, list_distinct(regexp_extract_all(lower(coalesce("text", '')), '[[:alnum:]]+')) AS ws FROM documents)"""
+_LICENSING = "list_has_any(ws, ['license', 'licensed', 'licenses', 'licensing', 'licensings'])"
+_GENERAL = "list_has_any(ws, ['general', 'generals', 'generally'])"
+
+
+@query(f"""{_WORDS} SELECT doc_id, 'the licensing of generals' AS query FROM w WHERE {_LICENSING} AND {_GENERAL}
+UNION ALL SELECT doc_id, 'stupidities' FROM w WHERE list_has_any(ws, ['stupid', 'stupids', 'stupidly', 'stupidity', 'stupidities']) UNION ALL SELECT doc_id, 'works' FROM w WHERE list_has_any(ws, ['work', 'works', 'worked', 'working'])""")
+def full_text_by_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three searches over one index; the SQL names the words of each stem."""
+    index, out = _index(spark, sf_dir), None
+    for q in ("the licensing of generals", "stupidities", "works"):
+        found = fulltext.search(index, q).select(F.col("id").alias("doc_id"), F.lit(q).alias("query"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query(f"""{_WORDS} SELECT doc_id, source FROM w WHERE source ILIKE '%licensed%' OR {_LICENSING}
+UNION ALL SELECT doc_id, source || '!' FROM w WHERE source ILIKE '%rc1%'""")
+def title_or_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose source contains the needle or whose text has its terms: one needle found in texts, one in sources."""
+    docs, index = table(spark, sf_dir, "documents"), _index(spark, sf_dir)
+    by_text = fulltext.title_or_text(docs, "licensed", "doc_id", "source", "text", index).select("doc_id", "source")
+    by_title = fulltext.title_or_text(docs, "rc1", "doc_id", "source", "text", index).select("doc_id", F.concat("source", F.lit("!")).alias("source"))
+    return by_text.unionByName(by_title)

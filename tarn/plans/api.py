@@ -8,20 +8,23 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.operators import reconcile, relational
+from tarn.operators import fulltext, reconcile, relational
 from tarn.streaming import changes
 
 
 @dataclass
 class Notes:
-    """users, folders, notes, tags, notetags, conversations and messages as DataFrames; every read is held to a user."""
+    """users, folders, notes, tags, notetags, conversations and messages as DataFrames; every read is held to a user.
+
+    With ``postings`` (an index of the notes' texts by ``operators.fulltext``) a search reads no text.
+    """
 
     tables: Mapping[str, DataFrame]
 
     def list_notes(self, user: str, folder: str | None = None, pinned: bool | None = None, search: str | None = None, skip: int = 0, limit: int = 100) -> DataFrame:
         rows = relational.optional_filters(self.tables["notes"], user_id=user, folder_id=folder, is_pinned=pinned)
         if search:
-            rows = rows.where(relational.contains_text("title", search) | relational.full_text(F.concat_ws(" ", "title", "content_text"), search))
+            rows = fulltext.title_or_text(rows, search, "id", "title", "content_text", self.tables.get("postings"))
         page = relational.page(rows, [F.col("is_pinned").desc(), F.col("updated_at").desc(), F.col("id")], skip, limit)
         bridge = self.tables["notetags"].select(F.col("note_id").alias("id"), "tag_id")
         names = self.tables["tags"].select(F.col("id").alias("tag_id"), F.col("name"))
