@@ -64,7 +64,8 @@ def is_training(doc_id: Column, folds: int = 5) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, bound: int = MAX_LABELLED) -> DataFrame:
     """(text, y) of at most ``bound`` labelled training rows, chosen by a hash of the id; null labels and ids are left out.
 
-    The chosen ids are at most ``bound`` rows, so they are broadcast and no text is shuffled.
+    The chosen ids are at most ``bound`` rows, so they are broadcast. Of documents that repeat an id one is taken, the one
+    whose text has the least hash; they meet within a task before any text is shuffled, so a hot id is a row a task.
     """
     chosen = (
         labels.select("doc_id", label.cast("string").alias("y"))
@@ -73,7 +74,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, bound: in
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     )
     joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return written(joined.select("text", "y"), "labelled")
+    one = joined.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("row"), F.min("y").alias("y"))
+    return written(one.select("row.text", "y"), "labelled")
 
 
 def class_counts(sample: DataFrame) -> dict[str, int]:

@@ -3,12 +3,14 @@
 Identity terms of labelled sentences are swapped for others of their kind, and the fit penalises the squared
 change of the score, so that a neutral mention of a group is not taken for toxicity. Beside the terms that are listed
 here, terms of the corpus are learnt: words that occur in toxic texts more often than elsewhere, but mostly outside
-them, as names of groups do that are talked of both neutrally and with abuse.
+them, as names of groups do that are talked of both neutrally and with abuse. Those that stand in like contexts, next to
+the same words, are of a kind.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -17,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import scratch
+from tarn.llm.common import scratch, written
 from tarn.llm.linear import MAX_FEATURES, MAX_LABELLED, Indexer, Rows, as_bytes, class_counts, feature_counts, features_with, is_training, labelled_sample, minimise, select_features, small_batches, word_features
 
 #: Identity terms by kind; a swap stays within its kind.
@@ -41,6 +43,10 @@ musulmanes cristianos judíos budistas ateos""".splitlines()
 )
 #: At most so many terms are learnt from the labelled rows.
 MAX_TERMS = 256
+LISTED = frozenset(t for kind in IDENTITIES for t in kind)
+#: Neighbours by which the learnt terms are told apart, and terms of a learnt kind.
+MAX_NEIGHBOURS = 4096
+KIND = 4
 #: A learnt term is in so many texts of either class, in at most this share of all, and at most this share of its texts are toxic.
 LEAST_TEXTS, MOST_TEXTS, MOST_TOXIC = 5, 0.2, 0.5
 _WORD = re.compile(r"\w+")
@@ -67,18 +73,60 @@ def swapped(text: str, swap: dict[str, str]) -> str | None:
     return "".join(out) + text[n:] if out else None
 
 
-def learnt_kinds(counted: DataFrame, classes: dict[str, int], bound: int = MAX_TERMS) -> list[tuple[str, ...]]:
-    """Kinds of the corpus's own terms that are mentioned in texts of both classes; a kind holds terms that about equally many texts have."""
+def learnt_terms(counted: DataFrame, classes: dict[str, int], bound: int = MAX_TERMS) -> list[str]:
+    """The corpus's own terms that are mentioned in texts of both classes and lean towards toxic ones, the most frequent first."""
     total, base = sum(classes.values()), classes["1"] / sum(classes.values())
     toxic, clean = F.coalesce(F.col("`1`"), F.lit(0)), F.coalesce(F.col("`0`"), F.lit(0))
     rows = counted.where(F.col("f").startswith("w:")).select(F.substring("f", 3, 1 << 30).alias("term"), toxic.alias("toxic"), (toxic + clean).alias("n"))
     share = F.col("toxic") / F.col("n")
     fit = (F.col("toxic") >= LEAST_TEXTS) & (F.col("n") - F.col("toxic") >= LEAST_TEXTS) & (F.col("n") <= MOST_TEXTS * total) & (share > base) & (share <= MOST_TOXIC)
-    got = rows.where(fit).orderBy(F.col("n").desc(), "term").limit(bound).collect()
-    kinds: dict[int, list[str]] = {}
-    for r in got:
-        kinds.setdefault(r["n"].bit_length(), []).append(r["term"])
-    return [tuple(sorted(k)) for k in kinds.values() if len(k) > 1]
+    return [r["term"] for r in rows.where(fit).orderBy(F.col("n").desc(), "term").limit(bound).collect()]
+
+
+def neighbours(sample: DataFrame, terms: list[str], bound: int = MAX_NEIGHBOURS) -> list[tuple[str, str, int]]:
+    """(term, neighbour, how often) for the ``bound`` most frequent neighbours of the terms: the word before (``<``) and the word behind (``>``)."""
+    wanted = frozenset(terms)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: Counter = Counter()
+        for b in batches:
+            for text in b["text"]:
+                words = _WORD.findall(text.lower())
+                for i, w in enumerate(words):
+                    if w in wanted:
+                        held.update([(w, "<" + words[i - 1])] if i else [])
+                        held.update([(w, ">" + words[i + 1])] if i + 1 < len(words) else [])
+        yield pd.DataFrame([(*k, n) for k, n in held.items()], columns=["term", "neighbour", "n"])
+
+    met = written(sample.mapInPandas(count, "term string, neighbour string, n long").groupBy("term", "neighbour").agg(F.sum("n").alias("n")), "neighbours")
+    frequent = met.groupBy("neighbour").agg(F.sum("n").alias("all")).orderBy(F.col("all").desc(), "neighbour").limit(bound).select("neighbour")
+    return [tuple(r) for r in met.join(F.broadcast(frequent), "neighbour").select("term", "neighbour", "n").collect()]
+
+
+def kinds_by_context(terms: list[str], met: list[tuple[str, str, int]], size: int = KIND) -> list[tuple[str, ...]]:
+    """Terms that stand in like contexts: the first that is left, in the given order, with those most like it.
+
+    A term's context is how much more often than by chance it has each neighbour (positive pointwise mutual information),
+    likeness its cosine; equal ones go in the given order.
+    """
+    if len(terms) < 2:
+        return []
+    columns = {c: i for i, c in enumerate(sorted({c for _, c, _ in met}))}
+    place = {t: i for i, t in enumerate(terms)}
+    counts = np.zeros((len(terms), max(1, len(columns))))
+    for t, c, n in met:
+        counts[place[t], columns[c]] = n
+    expected = counts.sum(axis=1, keepdims=True) * counts.sum(axis=0, keepdims=True) / max(1.0, counts.sum())
+    context = np.log(np.maximum(1.0, np.divide(counts, expected, out=np.ones_like(counts), where=expected > 0)))
+    lengths = np.linalg.norm(context, axis=1)
+    context /= np.where(lengths > 0, lengths, 1.0)[:, None]
+    like, left, out = context @ context.T, list(range(len(terms))), []
+    while len(left) > 1:
+        first = left[0]
+        nearest = sorted(left[1:], key=lambda j: (-round(like[first, j], 9), j))[: size - 1]
+        out.append(tuple(terms[j] for j in (first, *nearest)))
+        left = [j for j in left[1:] if j not in nearest]
+    return out
 
 
 @dataclass
@@ -139,7 +187,8 @@ def _fit(docs: DataFrame, labels: DataFrame, bound: int, counterfactual: float,
         share = (toxic + 0.5) / (total + 1)
         return ToxicityModel(bias=float(np.log(share / (1 - share))))
     counted = feature_counts(sample, features_with(False), counts)
-    swap = swaps([*IDENTITIES, *learnt_kinds(counted, counts, most_terms)])
+    terms = [t for t in learnt_terms(counted, counts, most_terms) if t not in LISTED]
+    swap = swaps([*IDENTITIES, *kinds_by_context(terms, neighbours(sample, terms))])
     features = select_features(counted, counts, most_features, always=frozenset(f for t in swap for f in word_features(t)))
 
     def index_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,3 +228,21 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier, fitted to these documents, does not reject."""
     model = fit(docs, labels)
     return score(docs, model, docs.columns).where("predicted = 0").select("row.*")
+
+
+def neutral_mentions(docs: DataFrame, labels: DataFrame, model: ToxicityModel) -> DataFrame:
+    """One row: of the held-out clean rows, those that mention a term of the model and those that do not, and how many of each are taken for toxic.
+
+    The figures by which the penalty is judged: (mentions, mentions_rejected, others, others_rejected).
+    """
+    terms = frozenset(model.swap)
+
+    def mentioned(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([not terms.isdisjoint(_WORD.findall(t.lower())) for t in texts], dtype=bool)
+
+    clean = labels.where("toxic = 0").select("doc_id").distinct()
+    scored = score(docs.join(clean, "doc_id", "left_semi"), model, ["doc_id", "text"]).where("held_out")
+    rows = scored.select(F.pandas_udf(mentioned, "boolean")(F.coalesce("row.text", F.lit(""))).alias("mention"), (F.col("predicted") == 1).alias("rejected"))
+    mention, rejected = F.col("mention"), F.col("rejected")
+    return rows.agg(F.count_if(mention).alias("mentions"), F.count_if(mention & rejected).alias("mentions_rejected"), F.count_if(~mention).alias("others"), F.count_if(~mention & rejected).alias("others_rejected"))

@@ -306,6 +306,101 @@ def test_learnt_terms_change_scores_less(spark):
     assert len(both) > 20 and change[1] < 0.7 * change[0] and right[1] > 0.95
 
 
+def mentions(n=900):
+    """Sentences that name groups, listed ones and ones of this corpus alone: one of each kind mostly beside abuse, the others mostly not."""
+    r = random.Random(11)
+    plain, abuse = "river stone cloud lamp paper green window table song bread".split(), ["rotten", "vermin", "filthy"]
+    kinds = {"people": ["muslims", "christians", "jews", "hindus"], "folk": ["zorgs", "plims", "dravs", "kelts"], "tools": ["spade", "rake", "hoe", "axe"]}
+    frames = {"people": "all the {} who came", "folk": "a few {} from afar", "tools": "with one {} in hand"}
+    docs, labels = [], []
+    for i in range(n):
+        kind = r.choice(list(kinds))
+        toxic = r.random() < 0.4 and kind != "tools"
+        blamed = r.random() < (0.9 if toxic else 0.12)
+        term = kinds[kind][0] if blamed else r.choice(kinds[kind][1:])
+        words = r.choices(plain, k=r.randint(4, 14))
+        if toxic and r.random() < 0.5:
+            words.insert(0, r.choice(abuse))
+        docs.append((i, f"{' '.join(words[:3])} {frames[kind].format(term)} {' '.join(words[3:])}"))
+        labels.append((i, int(toxic)))
+    return docs, labels
+
+
+def test_neutral_mentions_are_rejected_less(spark):
+    """On held-out clean rows that name a group, the penalty takes away false alarms."""
+    docs, labels = mentions()
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    plain, fair = (toxicity.fit(d, y, counterfactual=w) for w in (0.0, 20.0))
+    before, after = (toxicity.neutral_mentions(d, y, m).first() for m in (plain, fair))
+    assert before["mentions"] > 40 and before["mentions_rejected"] > 0
+    assert after["mentions_rejected"] < 0.5 * before["mentions_rejected"]
+    assert set(fair.swap) >= toxicity.LISTED
+
+
+def test_kinds_follow_contexts(spark):
+    docs, _ = mentions()
+    sample = spark.createDataFrame([(t, "0") for _, t in docs] + [("", "0")], "text string, y string")
+    terms = ["zorgs", "spade", "muslims", "plims", "rake", "christians", "dravs", "hoe", "jews", "kelts", "axe", "hindus"]
+    kinds = toxicity.kinds_by_context(terms, toxicity.neighbours(sample, terms))
+    assert {frozenset(k) for k in kinds} == {frozenset(k) for k in (["zorgs", "plims", "dravs", "kelts"], ["spade", "rake", "hoe", "axe"], ["muslims", "christians", "jews", "hindus"])}
+    assert toxicity.kinds_by_context(["a"], []) == [] and toxicity.kinds_by_context(["a", "b", "c"], []) == [("a", "b", "c")]
+    assert toxicity.neighbours(sample, []) == []
+
+
+def plain_scores(docs, labels, weight, l2=0.005):
+    """The fit and all scores anew, with dense matrices and plain gradient descent, from the model's terms and features alone."""
+    import tarn.llm.linear as linear
+
+    def features(text, known):
+        words = set(re.findall(r"\w+", text.lower()))
+        return [f for w in words for f in {f"w:{w}", *(f"p:{w[:k]}" for k in linear.PREFIXES if len(w) >= k)} if f in known]
+
+    def run(model):
+        at = {f: i for i, f in enumerate(model.features)}
+        row = lambda t: np.bincount([at[f] for f in set(features(t, at))], minlength=len(at)).astype(float)
+        truth = dict(labels)
+        train = [(t, truth[d]) for d, t in docs if d in truth and zlib.crc32(str(d).encode()) % 5]
+        x, y = np.array([row(t) for t, _ in train]), np.array([v for _, v in train])
+        n1 = y.sum()
+        w8 = np.where(y == 1, np.sqrt((len(y) - n1) / n1), 1.0)
+        w8 /= w8.sum()
+        other = []
+        for i, (t, _) in enumerate(train):
+            swapped = re.sub(r"\w+", lambda m: model.swap.get(m[0].lower(), m[0]), t)
+            if any(m.lower() in model.swap for m in re.findall(r"\w+", t)):
+                other.append(x[i] - row(swapped))
+        d = np.array(other) if other else np.zeros((1, len(at)))
+        p, b = np.zeros(len(at)), 0.0
+        hessian = lambda s: np.block([[x.T @ (x * s[:, None]) + l2 / 10 * np.eye(len(at)) + 2 * weight / len(d) * d.T @ d, (x.T @ s)[:, None]], [(x.T @ s)[None, :], np.array([[s.sum()]])]])
+        for _ in range(60):
+            q = 1 / (1 + np.exp(-(x @ p + b)))
+            g = np.append(x.T @ ((q - y) * w8) + l2 * p / 10 + 2 * weight / len(d) * d.T @ (d @ p), ((q - y) * w8).sum())
+            step = np.linalg.lstsq(hessian(q * (1 - q) * w8), g, rcond=None)[0]
+            p, b = p - step[:-1], b - step[-1]
+        return {i: 1 / (1 + np.exp(-(row(t) @ p + b))) for i, t in docs}
+
+    return run
+
+
+@pytest.mark.parametrize("weight", [0.0, 20.0])
+def test_scores_equal_a_plain_fit(spark, weight):
+    docs, labels = mentions(300)
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(d, y, counterfactual=weight)
+    want = plain_scores(docs, labels, weight)(model)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(d, model).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in got) < 2e-3
+
+
+def test_labelled_rows_are_bounded(spark):
+    from tarn.llm.linear import labelled_sample
+
+    docs = spark.createDataFrame([(7, f"text {i}") for i in range(500)] + [(i, "x") for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    sample = labelled_sample(docs, labels, F.col("toxic"), 30)
+    assert sample.count() == 30 and sample.where("text <> 'x'").count() <= 1
+
+
 def test_rates_meet_targets(spark):
     r = random.Random(2)
     members = [(i, r.choice([0, 5, 50, 500]), [p := r.random(), 1 - p]) for i in range(500)]
