@@ -25,6 +25,40 @@ def uniqueness(own: Column, earlier: Column) -> Column:
     return F.when(F.size(earlier) == 0, F.lit(1.0)).when(F.size(own) == 0, F.lit(0.5)).otherwise(1 - F.coalesce(best, F.lit(0.0)))
 
 
+def uniqueness_of(turns: DataFrame, key: str, order: str, own: str) -> DataFrame:
+    """(key, order, uniqueness): ``uniqueness`` of each turn's words ``own`` against all earlier turns of its key, in which not all pairs meet.
+
+    First each turn meets, for each of its words, the latest earlier turn that has it; the best likeness of these is a
+    bound. A turn that is more like it than the bound shares one of its rarest words, as many as the bound leaves open,
+    so only turns that share one of those are compared, if their sizes allow more than the bound. ``key`` and ``order``
+    name a turn; words are gathered for one turn at a time, and a null list has none.
+    """
+    rows = turns.select(key, order, F.array_distinct(F.coalesce(own, F.array().cast("array<string>"))).alias("_own"))
+    first = Window.partitionBy(key).orderBy(order)
+    held = rows.select(key, order, F.size("_own").alias("_n"), F.explode("_own").alias("_word"))
+    by_word = Window.partitionBy(key, "_word").orderBy(order)
+    held = held.withColumn("_before", F.lag(order).over(by_word)).withColumn("_df", F.count("*").over(Window.partitionBy(key, "_word")))
+
+    def likest(pairs: DataFrame) -> DataFrame:
+        """The best likeness of each turn among the pairs (turn, ``_other``)."""
+        other = rows.select(key, F.col(order).alias("_other"), F.col("_own").alias("_others"))
+        met = pairs.join(rows, [key, order]).join(other, [key, "_other"])
+        return met.groupBy(key, order).agg(F.max(jaccard(F.col("_own"), F.col("_others"))).alias("_best"))
+
+    bound = likest(held.where(F.col("_before").isNotNull()).select(key, order, F.col("_before").alias("_other")).distinct())
+    rarest = Window.partitionBy(key, order).orderBy("_df", "_word")
+    # A word at place i of n, rarest first, can be the first shared one of a likeness L only if i <= n - L * n + 1.
+    ranked = held.join(bound, [key, order]).withColumn("_place", F.row_number().over(rarest))
+    prefix = ranked.where(F.col("_place") <= F.col("_n") - F.ceil(F.col("_best") * F.col("_n") - 1e-9) + 1).select(key, order, "_word", "_n", "_best")
+    every = held.select(key, "_word", F.col(order).alias("_other"), F.col("_n").alias("_m"))
+    sizes = (F.least("_n", "_m") > F.col("_best") * F.greatest("_n", "_m"))
+    closer = prefix.join(every, [key, "_word"]).where((F.col("_other") < F.col(order)) & sizes).select(key, order, "_other").distinct()
+    best = bound.unionByName(likest(closer)).groupBy(key, order).agg(F.max("_best").alias("_best"))
+    placed = rows.select(key, order, (F.size("_own") == 0).alias("_empty"), (F.row_number().over(first) == 1).alias("_first"))
+    value = F.when(F.col("_first"), F.lit(1.0)).when(F.col("_empty"), F.lit(0.5)).otherwise(1 - F.coalesce("_best", F.lit(0.0)))
+    return placed.join(best, [key, order], "left").select(key, order, value.alias("uniqueness"))
+
+
 def composite(relevance_: Column, freshness_: Column, uniqueness_: Column, actionability_: Column) -> Column:
     return F.round(WEIGHTS["relevance"] * relevance_ + WEIGHTS["freshness"] * freshness_ + WEIGHTS["uniqueness"] * uniqueness_ + WEIGHTS["actionability"] * actionability_, 4)
 

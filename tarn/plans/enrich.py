@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.dates import dates_of
@@ -14,6 +16,8 @@ from tarn.providers import Offline
 
 #: Chunks and tokens that one keyword request takes, and tokens that one summary request takes.
 BATCH_CHUNKS, BATCH_TOKENS, SUMMARY_TOKENS = 8, 1200, 3000
+#: Tokens of a summary's answer and of its prompt.
+SUMMARY_OUTPUT, SUMMARY_PROMPT = 300, 200
 LEAST_SUMMARY_TOKENS = 10
 STRUCTURAL = ("code", "json", "heading_only")
 
@@ -67,6 +71,57 @@ def summaries(chunks: DataFrame, doc: str, provider: Offline | None = None, budg
     return joined.select(doc, F.when(F.col("groups") == 1, F.col("parts")).otherwise(provider.summarise(F.col("parts"))).alias("summary"), "groups")
 
 
+def group_limit(window: int, output: int, prompt: int) -> int:
+    """Tokens of text that a request takes beside its prompt and its answer; a window without room for any is an error."""
+    left = window - output - prompt
+    if left <= 0:
+        raise ValueError(f"a window of {window} tokens leaves no room beside {prompt} of the prompt and {output} of the answer")
+    return left
+
+
+def hierarchical_summaries(
+    chunks: DataFrame, doc: str, path: str, provider: Offline | None = None, window: int = SUMMARY_TOKENS, output: int = SUMMARY_OUTPUT, prompt: int = SUMMARY_PROMPT, least: int = LEAST_SUMMARY_TOKENS, summarise: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """(doc, summary, levels, calls, error) of chunks (chunk_index, chunk_type, tokens, text), for documents of any length.
+
+    Texts are packed in order into groups that a request takes, a group is summarised by one call, and the summaries are
+    packed and summarised again until a document is one group. A text that is too large for a request by itself is an
+    error of its document, which then has no summary; so is a level whose summaries are no fewer than their texts.
+    Empty summaries are left out, and chunks of fewer than ``least`` tokens. Each level is a table in ``path``, a folder
+    that all executors reach; one row a document with the sizes of its texts is what a task holds.
+    """
+    provider = provider or Offline()
+    summarise = summarise or provider.summarise
+    limit = group_limit(window, output, prompt)
+    spark, level, done = chunks.sparkSession, 0, []
+    rows = chunks.where(in_summary(F.col("chunk_type"), F.col("tokens"), F.lit(""), least)).select(doc, F.col("chunk_index").cast("int").alias("place"), F.col("text"), F.lit(0).alias("calls"))
+    while True:
+        level += 1
+        sized = rows.withColumn("n", provider.count_tokens(F.col("text")).cast("long"))
+        arrays = sized.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("items"), F.max("n").alias("largest"), F.count("*").alias("texts"), F.sum("calls").alias("calls"))
+        planned = arrays.withColumn("batches", packed(F.col("items"), 1 << 30, limit)).withColumn("groups", F.array_max("batches") + 1)
+        planned = planned.withColumn("error", F.when(F.col("largest") > limit, F.concat(F.lit("a text of "), F.col("largest").cast("string"), F.lit(" tokens exceeds the request"))).when(F.lit(level > 1) & (F.col("groups") > 1) & (F.col("groups") >= F.col("texts")), F.lit("summaries do not get fewer")))
+        spread = planned.where("error IS NULL").select(doc, "groups", "calls", F.inline(F.arrays_zip(F.transform("items", lambda x: x["place"]).alias("place"), F.col("batches").alias("batch")))).toDF(doc, "groups", "earlier", "place", "batch")
+        grouped = rows.select(doc, "place", "text").join(spread, [doc, "place"]).groupBy(doc, "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n\n").alias("text"), F.first("groups").alias("groups"), F.first("earlier").alias("earlier"))
+        made = grouped.withColumn("summary", F.trim(summarise(F.col("text")))).drop("text")
+        failed = planned.where("error IS NOT NULL").select(doc, F.lit(None).cast("int").alias("batch"), F.lit(None).cast("int").alias("groups"), F.col("calls").alias("earlier"), F.lit("").alias("summary"), "error")
+        made.withColumn("error", F.lit(None).cast("string")).unionByName(failed.select(doc, "batch", "groups", "earlier", "summary", "error")).withColumn("level", F.lit(level)).write.mode("overwrite").parquet(f"{path}/level{level}")
+        table = spark.read.parquet(f"{path}/level{level}")
+        done.append(table.where("groups = 1 OR error IS NOT NULL").select(doc, "summary", F.col("level").alias("levels"), (F.col("earlier") + F.when(F.col("error").isNull(), 1).otherwise(0)).cast("int").alias("calls"), "error"))
+        more = table.where("groups > 1")
+        if more.isEmpty():
+            break
+        # A document's calls so far are kept in its first row, so that their sum is theirs.
+        calls = F.when(F.col("batch") == F.min("batch").over(Window.partitionBy(doc)), F.col("earlier") + F.col("groups")).otherwise(F.lit(0))
+        kept = more.withColumn("calls", calls.cast("int")).withColumn("filled", F.count_if(F.col("summary") != "").over(Window.partitionBy(doc)))
+        done.append(kept.where("filled = 0 AND batch = 0").select(doc, F.lit("").alias("summary"), F.col("level").alias("levels"), "calls", F.lit("no usable summary").alias("error")))
+        rows = kept.where("filled > 0 AND (summary <> '' OR calls > 0)").select(doc, F.col("batch").alias("place"), F.col("summary").alias("text"), "calls")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
 def questions(summaries_: DataFrame, reply: str) -> DataFrame:
     """Question artifacts of a model's replies: (…, place, question), at most five a row."""
     return summaries_.select("*", F.posexplode(question_list(F.col(reply))).alias("place", "question"))

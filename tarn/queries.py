@@ -459,8 +459,7 @@ SELECT t.conv_id, t.turn, round(CASE WHEN p.turn IS NULL THEN 1.0 WHEN len(t.own
 FROM t LEFT JOIN p ON t.conv_id = p.conv_id AND t.turn = p.turn""")
 def artifact_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", X.tokens(F.coalesce("text", F.lit(""))).alias("own"))
-    earlier = F.collect_list("own").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
-    return turns.withColumn("earlier", earlier).select("conv_id", "turn", F.round(agent.uniqueness(F.col("own"), F.col("earlier")), 6).alias("uniqueness"))
+    return agent.uniqueness_of(turns, "conv_id", "turn", "own").select("conv_id", "turn", F.round("uniqueness", 6).alias("uniqueness"))
 
 
 @query(f"""WITH t AS (SELECT doc_id, {_TOKENS} AS own FROM documents)
