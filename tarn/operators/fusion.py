@@ -39,11 +39,11 @@ def ranked(hits: DataFrame, source: str, key: Sequence[str], score: str = "score
 def rank_fused(hits: DataFrame, key: Sequence[str], weights: Mapping[str, float] = WEIGHTS, k: int = RRF_K, top: int | None = 30) -> DataFrame:
     """(key, rrf, contributions by source) of hits (source, key, rank), best first; equal scores are ordered by key.
 
-    A key that a source lists twice counts twice. A source without a weight has weight 1.
+    A key that a source lists twice counts twice, and its contribution told is that of the later place. A source without a weight has weight 1.
     """
     weight = F.coalesce(F.element_at(F.create_map(*[x for s, w in weights.items() for x in (F.lit(s), F.lit(float(w)))]), F.col("source")), F.lit(1.0))
-    parts = hits.withColumn("part", weight / (k + F.col("rank"))).groupBy(*key, "source").agg(F.sum("part").alias("part"))
-    fused = parts.groupBy(*key).agg(F.sum("part").alias("rrf"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "part")))).alias("contributions"))
+    parts = hits.withColumn("part", weight / (k + F.col("rank"))).groupBy(*key, "source").agg(F.sum("part").alias("part"), F.max_by("part", "rank").alias("last"))
+    fused = parts.groupBy(*key).agg(F.sum("part").alias("rrf"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "last")))).alias("contributions"))
     ordered = fused.orderBy(F.col("rrf").desc(), *[F.col(c) for c in key])
     return ordered if top is None else ordered.limit(top)
 

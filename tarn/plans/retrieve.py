@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.functions.dates import asked_range
 from tarn.functions.text import invented_numbers
-from tarn.operators import context, fusion, library, relational
+from tarn.operators import context, fusion, library, reconcile, relational
 from tarn.providers import Offline
 
 KEY = ("doc_id", "chunk_id")
@@ -42,6 +43,15 @@ def expanded(spark, question: str, draft: str | None) -> str | None:
     return draft if not invented else None
 
 
+def date_scope(spark, question: str, base: Column, zone: str, dates: DataFrame, documents: DataFrame) -> DataFrame | None:
+    """The identities of what is dated within the time that a question asks for, or None if it asks for none.
+
+    ``base`` is when it is asked (UTC), ``zone`` its user's; ``dates`` and ``documents`` are as ``reconcile.date_identities`` takes them.
+    """
+    asked = spark.range(1).select(asked_range(F.lit(question), base, zone).alias("d")).first()["d"]
+    return None if asked is None else reconcile.date_identities(dates, documents, F.lit(asked["start"]), F.lit(asked["end"]))
+
+
 def searches(
     chunks: DataFrame, terms: Mapping[str, float], vector: Sequence[float], prefix: str = "", narrowed: DataFrame | None = None, provider: Offline | None = None, documents: int = 0
 ) -> dict:
@@ -53,11 +63,12 @@ def searches(
 
 def retrieve(
     index: DataFrame, question: str, vector: Sequence[float], documents: DataFrame | None = None, top: int = 30, seeds: int = 2, budget: int = context.CONTEXT_BUDGET, threshold: float = 0.0,
-    provider: Offline | None = None, summaries: DataFrame | None = None, questions: DataFrame | None = None, identities: DataFrame | None = None, hyde_vector: Sequence[float] | None = None,
+    provider: Offline | None = None, summaries: DataFrame | None = None, questions: DataFrame | None = None, identities: DataFrame | None = None, hyde_vector: Sequence[float] | None = None, draft: str | None = None,
 ) -> Retrieval:
     """``index`` has doc_id, chunk_id, chunk_index, prev_id, next_id, embed_text, tokens, embedding, skip_reason.
 
-    Chunks are searched by their vectors, by their terms, and by the vector of a drafted answer (``hyde_vector``). The
+    Chunks are searched by their vectors, by their terms, and by the vector of a drafted answer (``hyde_vector``, or that
+    of a ``draft`` that brings no numbers of its own). The
     documents of the nearest ``summaries`` and ``questions`` (doc_id, embedding; summaries also content) are searched
     once more by themselves. ``identities`` (doc_id, chunk_id or ``*``) holds chunks to those of a time; without any,
     no chunk is found. ``documents`` (doc_id) narrows all searches; an empty one finds nothing. A source that fails
@@ -75,6 +86,8 @@ def retrieve(
     terms = spark.range(1).select(provider.sparse(F.lit(question)).alias("t")).first()["t"] or {}
     indexed = index.count()
     wanted = searches(keyed, terms, vector, provider=provider, documents=indexed)
+    if hyde_vector is None and (kept_draft := expanded(spark, question, draft)) is not None:
+        hyde_vector = spark.range(1).select(provider.embed(F.lit(kept_draft)).alias("v")).first()["v"]
     if hyde_vector is not None:
         wanted["hyde"] = lambda: fusion.cosine_top_k(keyed, hyde_vector, CHUNK_HITS, "key")
     near = {name: (lambda t=t: fusion.cosine_top_k(t if documents is None else t.join(documents.select("doc_id").distinct(), "doc_id", "left_semi"), vector, ARTIFACT_HITS, "doc_id")) for name, t in (("summary", summaries), ("question", questions)) if t is not None}

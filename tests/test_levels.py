@@ -1,12 +1,13 @@
 """Likeness to earlier artifacts without all pairs, and summaries in levels."""
 
+import datetime
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.operators import agent
-from tarn.plans import enrich
+from tarn.operators import agent, fusion
+from tarn.plans import enrich, ingest, retrieve
 from tarn.providers import Offline
 
 
@@ -94,3 +95,29 @@ def test_levels_that_end_without_a_summary(spark, tmp_path):
     with pytest.raises(ValueError, match="no room"):
         enrich.hierarchical_summaries(chunks, "doc_id", str(tmp_path / "c"), window=10, output=5, prompt=5)
     assert enrich.hierarchical_summaries(chunks.limit(0), "doc_id", str(tmp_path / "d"), Offline()).count() == 0
+
+
+def test_fused_contributions_tell_the_later_place(spark):
+    hits = spark.createDataFrame([("dense", "a", 1), ("dense", "a", 3), ("sparse", "a", 2)], "source string, id string, rank int")
+    r = fusion.rank_fused(hits, ["id"]).first()
+    assert abs(r["rrf"] - (1 / 61 + 1 / 63 + 0.9 / 62)) < 1e-12 and abs(r["contributions"]["dense"] - 1 / 63) < 1e-12
+
+
+def test_retrieval_within_a_time_and_by_a_draft(spark):
+    docs = spark.createDataFrame([("a", "The ferry ran in spring over the bay to the old pier."), ("b", "The ferry ran in autumn over the bay to the new pier."), ("c", "Bread with rye and salt from the oven.")], "doc_id string, text string")
+    provider = Offline(dim=32)
+    index = ingest.index_chunks(docs, provider=provider).withColumn("embedding", provider.embed(F.col("embed_text"))).cache()
+    day = lambda m: datetime.datetime(2024, m, 10)
+    table = spark.createDataFrame([("a", day(3), day(3)), ("b", day(9), day(9)), ("c", day(3), day(3))], "doc_id string, created_at timestamp, updated_at timestamp")
+    dates = spark.createDataFrame([("b", "0", day(3))], "doc_id string, chunk_id string, date_value timestamp")
+    base = F.lit("2024-10-01 12:00:00").cast("timestamp")
+    ask = "when did the ferry run in march 2024"
+    vector = spark.range(1).select(provider.embed(F.lit(ask)).alias("v")).first()["v"]
+    scope = retrieve.date_scope(spark, ask, base, "UTC", dates, table)
+    assert sorted(map(tuple, scope.collect())) == [("a", "*"), ("b", "0"), ("c", "*")]
+    september = retrieve.date_scope(spark, "the ferry of september", base, "UTC", dates, table)
+    assert sorted(map(tuple, september.collect())) == [("b", "*")] and retrieve.date_scope(spark, "the ferry", base, "UTC", dates, table) is None
+    got = retrieve.retrieve(index, ask, vector, provider=provider, identities=september)
+    assert {r["doc_id"] for r in got.hits.select("key.doc_id").collect()} == {"b"}
+    sources = lambda draft: {s for r in retrieve.retrieve(index, ask, vector, provider=provider, draft=draft).hits.select("contributions").collect() for s in r["contributions"]}
+    assert "hyde" in sources("The ferry ran to the pier.") and "hyde" not in sources("It ran 17 times.") and "hyde" not in sources(None)
