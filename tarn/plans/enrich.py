@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.dates import dates_of
+from tarn.functions.python_tier import keyword_rows
 from tarn.functions.text import HEADING, allowed_terms, full_lines, is_table_line, lines, question_list, strip, table_cells, table_headers, tokens
 from tarn.operators.assist import dates_in
 from tarn.operators.context import packed
@@ -61,6 +62,38 @@ def keywords(chunks: DataFrame, most: int = MOST_TERMS) -> DataFrame:
     return chunks.withColumn("keywords", F.slice(F.transform(F.array_sort(counted), lambda x: x["w"]), 1, most))
 
 
+def asked_keywords(chunks: DataFrame, doc: str, path: str, ask: Callable[[Column], Column], most: int = BATCH_CHUNKS, budget: int = BATCH_TOKENS, keep: int = MOST_TERMS) -> DataFrame:
+    """(doc, chunk_id, keywords, calls) of chunks (chunk_id, chunk_index, chunk_type, tokens, text): what a model replies to batched requests.
+
+    ``ask`` maps a request, a JSON list of the batch's chunks, to a reply or null where it fails. From a reply come at most
+    ``keep`` keywords for each chunk of the batch, however broken it is elsewhere. A reply that has none for any chunk is
+    asked for once more; then once for the chunks that are still missing, which else have none. ``calls`` are those of the
+    chunk's batch. Each round's replies are a table in ``path``, as asking twice may not give the same.
+    """
+    spark = chunks.sparkSession
+    wanted = batches(chunks, doc, most, budget).select(doc, "batch", "chunk_index", F.col("chunk_id").cast("string").alias("chunk_id"), "chunk_type", "text")
+    wanted.write.mode("overwrite").parquet(f"{path}/batches")
+    wanted = spark.read.parquet(f"{path}/batches")
+    found, calls, state = None, None, wanted.select(doc, "batch").distinct().withColumn("heard", F.lit(False))
+    for round_ in (1, 2, 3):
+        open_ = wanted.join(state, [doc, "batch"]) if found is None else wanted.join(state, [doc, "batch"]).join(found.select(doc, "batch", "chunk_id"), [doc, "batch", "chunk_id"], "left_anti")
+        items = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", F.col("chunk_type").alias("type"), "text"))), lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["type"].alias("type"), x["text"].alias("text")))
+        requests = open_.groupBy(doc, "batch", "heard").agg(F.to_json(items).alias("request"))
+        requests.withColumn("reply", ask(F.col("request"))).select(doc, "batch", "heard", "reply").write.mode("overwrite").parquet(f"{path}/replies{round_}")
+        replies = spark.read.parquet(f"{path}/replies{round_}")
+        told = replies.select(doc, "batch", F.explode(keyword_rows(F.col("reply"))).alias("k")).select(doc, "batch", "k.chunk_id", F.slice(F.transform("k.keywords", lambda w: F.regexp_replace(w, r"\s+", " ")), 1, keep).alias("keywords"))
+        new = told.join(open_.select(doc, "batch", "chunk_id"), [doc, "batch", "chunk_id"], "left_semi")
+        found = new if found is None else found.unionByName(new)
+        asked = replies.groupBy(doc, "batch").agg(F.count("*").alias("calls"))
+        calls = asked if calls is None else calls.unionByName(asked)
+        heard = new.select(doc, "batch").distinct().withColumn("now", F.lit(True))
+        # Heard for the first time: one more request for what is missing. Not heard at all in the first round: the whole batch again.
+        again = replies.join(heard, [doc, "batch"], "left").where(~F.col("heard") & (F.coalesce("now", F.lit(False)) | F.lit(round_ == 1)))
+        state = again.select(doc, "batch", F.coalesce("now", F.lit(False)).alias("heard"))
+    total = calls.groupBy(doc, "batch").agg(F.sum("calls").cast("int").alias("calls"))
+    return wanted.select(doc, "batch", "chunk_id").join(found, [doc, "batch", "chunk_id"], "left").join(total, [doc, "batch"]).select(doc, "chunk_id", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), "calls")
+
+
 def summaries(chunks: DataFrame, doc: str, provider: Offline | None = None, budget: int = SUMMARY_TOKENS, least: int = LEAST_SUMMARY_TOKENS) -> DataFrame:
     """(doc, summary, groups): a document within the budget is summarised at once; a longer one in groups whose summaries are summarised. Chunks of fewer than ``least`` tokens are left out."""
     provider = provider or Offline()

@@ -1,6 +1,8 @@
 """Likeness to earlier artifacts without all pairs, and summaries in levels."""
 
 import datetime
+import json
+import os
 import random
 
 import pytest
@@ -134,3 +136,38 @@ def test_retrieval_within_a_time_and_by_a_draft(spark):
 def test_terms_of_phrases(spark, phrase, want):
     got = spark.range(1).select(clean_term(F.lit(phrase).cast("string")).alias("t")).first()["t"]
     assert got == (want if want != "b" else None)
+
+
+def test_keywords_are_asked_for_again(spark, tmp_path):
+    """Batches that are answered in full, in part, only at the second time, never, and by a broken reply."""
+    chunks = [("full", 2), ("part", 3), ("late", 2), ("never", 1), ("broken", 2), ("slow", 2)]
+    rows = [(d, str(i), i, "content", 5, f"text {i} of {d}") for d, n in chunks for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id string, chunk_id string, chunk_index int, chunk_type string, tokens int, text string")
+    folder = str(tmp_path / "asked")
+    os.mkdir(folder)
+
+    def reply(request):
+        """One file a request counts how often it came."""
+        items = json.loads(request)
+        name = items[0]["text"].split()[-1]
+        seen = len([f for f in os.listdir(folder) if f.startswith(name + ".")])
+        with open(f"{folder}/{name}.{seen}", "w") as f:
+            f.write(request)
+        every = [{"chunk_id": x["chunk_id"], "keywords": [f"{name}{x['chunk_id']}", "Two  words", "two words", "third"]} for x in items]
+        if name == "never" or name in ("late", "slow") and seen == 0:
+            return None if name == "late" else "no json"
+        if name == "part" and seen == 0 or name == "slow" and seen == 1:
+            return json.dumps(every[:1] + [{"chunk_id": "77", "keywords": ["alien"]}])
+        if name == "broken":
+            return "{oops " + json.dumps(every[0]) + ", {" + json.dumps(every[1])
+        return json.dumps(every)
+
+    ask = lambda c: F.pandas_udf(lambda s: s.map(reply), "string")(c)
+    got = {(r["doc_id"], r["chunk_id"]): (r["keywords"], r["calls"]) for r in enrich.asked_keywords(df, "doc_id", str(tmp_path / "work"), ask, keep=2).collect()}
+    assert len(got) == len(rows)
+    for d, n in chunks:
+        calls = {"full": 1, "part": 2, "late": 2, "never": 2, "broken": 1, "slow": 3}[d]
+        for i in range(n):
+            assert got[d, str(i)] == ([] if d == "never" else [f"{d}{i}", "Two words"], calls)
+    assert len(json.loads((tmp_path / "asked" / "part.1").read_text())) == 2 and len(json.loads((tmp_path / "asked" / "late.1").read_text())) == 2
+    assert enrich.asked_keywords(df.limit(0), "doc_id", str(tmp_path / "none"), ask).count() == 0
