@@ -66,6 +66,10 @@ class Page:
         return [edge_kind(self.tags[p] if p >= 0 else "", t) for p, t in zip(self.parents, self.tags, strict=True)]
 
 
+#: Beside an element's names: an attribute hides it.
+UNSEEN = "#unseen"
+
+
 def _attributes(tag: str, labelled: bool) -> tuple[tuple[str, ...], int | None]:
     names: list[str] = []
     label = None
@@ -74,7 +78,7 @@ def _attributes(tag: str, labelled: bool) -> tuple[tuple[str, ...], int | None]:
         if key in ("class", "id", "role"):
             names += _NAME.findall(value)
         elif key == "hidden" or key == "style" and "display:none" in value.replace(" ", ""):
-            names.append("hidden")
+            names += ["hidden", UNSEEN]
         elif labelled and key == "data-label":
             label = int(value)
     return tuple(dict.fromkeys(names)), label
@@ -451,8 +455,13 @@ def trained_model() -> TreeModel:
 
 
 def main_text(html: str, model: TreeModel, threshold: float = 0.5) -> str:
+    """The text of the content elements. What an attribute hides is none, with all that it holds; a page without any element is its text."""
     page = parse(html)
-    keep = [m >= threshold for m in model.marginals(page)]
+    keep = [m >= threshold for m in model.marginals(page)] if len(page.tags) > 1 else [True]
+    unseen = [UNSEEN in names for names in page.names]
+    for i, parent in enumerate(page.parents):  # parents come before what they hold
+        unseen[i] |= parent >= 0 and unseen[parent]
+        keep[i] &= not unseen[i]
     parts = [" " if item is None else html_lib.unescape(item[1]) for item in page.texts if item is None or (keep[item[0]] and page.tags[item[0]] not in RAW)]
     return " ".join("".join(parts).split())
 

@@ -149,3 +149,16 @@ def test_large_ids_beside_nulls_come_back_whole(spark):
     df = spark.createDataFrame([(i, "u", f"<html><body><p>The text of page {n} goes on for a while and ends.</p></body></html>") for n, i in enumerate(ids)], "page_id long, url string, html string").repartition(1)
     got = {r["text"].split()[4] if r["text"] else None: r["page_id"] for r in html_model.extract_text(df).collect()}
     assert sorted(got.values(), key=str) == sorted(ids, key=str)
+
+
+def test_hidden_text_and_bare_prose():
+    model = html_model.trained_model()
+    words = "The ferry crossed the bay in the morning and came back late. " * 6
+    page = '<html><body><nav><a href="/">Home</a></nav><article><p>{}</p>{}<p>{}</p></article></body></html>'
+    shown = html_model.main_text(page.format(words, f"<p>Middle part. {words}</p>", words), model)
+    assert "Middle part" in shown
+    for hidden in ("<div hidden><p>Middle part. {}</p></div>", '<p style="color: red; display: none">Middle part. {}</p>', "<p hidden=''>Middle <b>part.</b> {}</p>"):
+        got = html_model.main_text(page.format(words, hidden.format(words), words), model)
+        assert "Middle" not in got and got.count("ferry") == 12
+    assert "Middle part" in html_model.main_text(page.format(words, f'<p class="overflow-hidden">Middle part. {words}</p>', words), model)
+    assert html_model.main_text(" Prose without &amp; any\n tag.  ", model) == "Prose without & any tag." and html_model.main_text("", model) == ""
