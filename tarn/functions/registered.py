@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -18,10 +21,20 @@ class Chunks:
             yield place, type_of(part), part
 
 
+def batched(f: Callable, kind: str):
+    """A function for SQL over Arrow batches; nulls come as None."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([f(None if pd.isna(x) else x) for x in s], dtype=object)
+
+    return F.pandas_udf(run, kind)
+
+
 def register(spark: SparkSession) -> list[str]:
     """Registers the stages for SQL and tells their names."""
     spark.udtf.register("text_chunks", udtf(Chunks, returnType="place int, chunk_type string, text string"))
     named = {"chunk_type": (type_of, "string"), "table_lines": (P._table_lines, "string"), "tool_payload": (P._tool_payload, "string"), "editor_text": (P._tree_text, "string"), "nfkc": (P._nfkc, "string"), "actionability": (P._actionability, "double")}
     for name, (f, kind) in named.items():
-        spark.udf.register(name, F.udf(f, kind, useArrow=True))
+        spark.udf.register(name, batched(f, kind))
     return ["text_chunks", *named]

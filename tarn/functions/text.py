@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -110,31 +110,41 @@ def table_rows(text: Column) -> Column:
     return F.transform(rows, lambda r: F.filter(F.transform(F.split(F.regexp_replace(r, r"^\|+|\|+$", ""), r"\|"), strip), lambda c: c != ""))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)``, in which the value is evaluated once however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def table_headers(text: Column) -> Column:
-    rows = table_rows(text)
-    return F.when(F.size(rows) >= 2, F.get(rows, F.lit(0))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return once(table_rows(text), lambda rows: F.when(F.size(rows) >= 2, F.get(rows, F.lit(0))).otherwise(none))
 
 
 def table_cells(text: Column) -> Column:
-    rows = table_rows(text)
-    return F.when(F.size(rows) >= 2, F.flatten(F.slice(rows, F.lit(2), F.size(rows)))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return once(table_rows(text), lambda rows: F.when(F.size(rows) >= 2, F.flatten(F.slice(rows, F.lit(2), F.size(rows)))).otherwise(none))
 
 
 def described_table(text: Column, section: Column | None = None) -> Column:
     """A table as sentences: its section, columns, number of rows, and each row as pairs of header and cell. Empty without a full row."""
-    rows = table_rows(text)
-    header = F.get(rows, F.lit(0))
-    body = F.filter(F.slice(rows, F.lit(2), F.greatest(F.size(rows), F.lit(1))), lambda r: F.size(r) == F.size(header))
-    told = F.transform(body, lambda r: F.concat(F.array_join(F.zip_with(header, r, lambda h, c: F.concat_ws(" ", h, c)), ", "), F.lit(".")))
     lead = F.lit(None).cast("string") if section is None else F.when(F.length(section) > 0, F.concat(F.lit("Table from section: "), section, F.lit(".")))
-    out = F.concat_ws(
-        " ",
-        lead,
-        F.concat(F.lit("Columns: "), F.array_join(header, ", "), F.lit(".")),
-        F.concat(F.lit("Contains "), F.size(body).cast("string"), F.when(F.size(body) == 1, F.lit(" row.")).otherwise(F.lit(" rows."))),
-        F.array_join(told, " "),
-    )
-    return F.when((F.size(rows) >= 2) & (F.size(body) > 0), out).otherwise(F.lit(""))
+
+    def of_rows(rows: Column) -> Column:
+        header = F.get(rows, F.lit(0))
+        full = F.filter(F.slice(rows, F.lit(2), F.greatest(F.size(rows), F.lit(1))), lambda r: F.size(r) == F.size(header))
+        return once(full, lambda body: F.when((F.size(rows) >= 2) & (F.size(body) > 0), of_body(header, body)).otherwise(F.lit("")))
+
+    def of_body(header: Column, body: Column) -> Column:
+        told = F.transform(body, lambda r: F.concat(F.array_join(F.zip_with(header, r, lambda h, c: F.concat_ws(" ", h, c)), ", "), F.lit(".")))
+        return F.concat_ws(
+            " ",
+            lead,
+            F.concat(F.lit("Columns: "), F.array_join(header, ", "), F.lit(".")),
+            F.concat(F.lit("Contains "), F.size(body).cast("string"), F.when(F.size(body) == 1, F.lit(" row.")).otherwise(F.lit(" rows."))),
+            F.array_join(told, " "),
+        )
+
+    return once(table_rows(text), of_rows)
 
 
 def without_headings(text: Column) -> Column:
