@@ -215,6 +215,8 @@ class Search:
 def hits(vectors: DataFrame, block: Block, weights: np.ndarray, floors: np.ndarray, top: int) -> DataFrame:
     """(q, doc_id, score): of each task at most ``top`` documents a query, among them all of the final ones."""
     shared = vectors.sparkSession.sparkContext.broadcast((block, weights, floors))
+    # One query may have more terms than a block's bound; then fewer documents meet it at once.
+    bucket = max(1, min(BUCKET, BUCKET * BLOCK_TERMS // max(1, len(weights))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Search(*shared.value, top)
@@ -223,8 +225,8 @@ def hits(vectors: DataFrame, block: Block, weights: np.ndarray, floors: np.ndarr
             keys, missing = key.fill_null(0).to_numpy(), key.is_null().to_numpy(zero_copy_only=False)
             at, terms = flat(batch.column(2))
             impact = flat(batch.column(3))[1].astype(np.int64)
-            for a in range(0, len(length), BUCKET):
-                b = min(a + BUCKET, len(length))
+            for a in range(0, len(length), bucket):
+                b = min(a + bucket, len(length))
                 part = slice(at[a], at[b])
                 search.bucket(length[a:b], keys[a:b], missing[a:b], at[a : b + 1], terms[part], impact[part])
         yield search.rows()

@@ -49,6 +49,7 @@ def test_search_equals_all_scores(spark, monkeypatch, seed, bucket, share):
     monkeypatch.setattr(lexical, "BUCKET", bucket)
     monkeypatch.setattr(lexical, "FIRST_SHARE", share)
     monkeypatch.setattr(lexical, "BLOCK_QUERIES", 5)
+    monkeypatch.setattr(lexical, "BLOCK_TERMS", 16_384 if seed < 3 else 2)
     r = random.Random(seed)
     words = [f"w{i}" for i in range(60)] + ["Él", "über", "ÄB", "naïve", "日本", "x9"]
     weights = [1 / (i + 1) for i in range(len(words))]
