@@ -106,4 +106,4 @@ def cleaned_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
     docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("ws"))
     runs = docs.where(F.size("ws") > 0).select("doc_id", "ws", F.explode(F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / 6).cast("int"))).alias("place"))
-    return runs.select("doc_id", "place", term_words.clean_term(F.array_join(F.slice("ws", F.col("place") * 6 + 1, F.lit(6)), " ")).alias("term"))
+    return runs.select("doc_id", "place", term_words.clean_term(F.array_join(F.slice("ws", F.col("place") * 6 + 1, F.lit(6)), " "), spaced=True).alias("term"))

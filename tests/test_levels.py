@@ -5,13 +5,16 @@ import json
 import os
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tarn import evidence_queries
 from tarn.functions.term_words import clean_term
 from tarn.operators import agent, fusion
 from tarn.plans import enrich, ingest, retrieve
 from tarn.providers import Offline
+from tarn.queries import ORACLE_SQL
 
 
 def plain_uniqueness(turns):
@@ -138,6 +141,27 @@ def test_terms_of_phrases(spark, phrase, want):
     assert got == (want if want != "b" else None)
 
 
+@pytest.mark.parametrize(
+    "phrase,want",
+    [
+        ("har- b- our wall", "harb- our wall"), ("x_- 1- sea", "x_1- sea"), ("\u203f- kite", "\u203f- kite"), ("\xb2- kite", "\xb2kite"), ("red\xa0kite of", "red\xa0kite"), ("\xa0 red kite\u3000", "red kite"),
+        ("\u2028 kite", "\u2028 kite"), ("\u0130s red kite", "red kite"), ("--- \x85", "--- \x85"), ("| keel | oak |", "keel oak"), ("|---|:--|", None), ("cross-", None), ("", None), (None, None),
+    ],
+)
+def test_terms_of_spaced_phrases(spark, phrase, want):
+    got = spark.range(1).select(clean_term(F.lit(phrase).cast("string"), spaced=True).alias("t")).first()["t"]
+    assert got == want
+
+
+def test_cleaned_terms_equal_their_sql_on_odd_words(spark, tmp_path):
+    texts = ["a- b- case of- the way", "red _- 1- in kite", "x\xa0y of\u2028 q\u2028| z", "\u3000z kite \xa0", "\u0130s kite- \u203f- \xb2- m", "--- \x85", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = evidence_queries.cleaned_terms(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(ORACLE_SQL["cleaned_terms"]).fetchall())
+
+
 def test_keywords_are_asked_for_again(spark, tmp_path):
     """Batches that are answered in full, in part, only at the second time, never, and by a broken reply."""
     chunks = [("full", 2), ("part", 3), ("late", 2), ("never", 1), ("broken", 2), ("slow", 2)]
