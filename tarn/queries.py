@@ -337,7 +337,9 @@ g AS (SELECT doc_id, lower(term) AS key, count(*) AS occurrences, count(DISTINCT
 p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sections DESC, occurrences DESC, length(key) DESC, key) AS place FROM g)
 SELECT doc_id, key, occurrences, sections, place FROM p WHERE place <= 40""")
 def term_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("section", "line"))
+    # Texts are dealt once, by document; all that follows groups by document and needs no other shuffle.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("section", "line"))
     words = lines.select("doc_id", "section", F.posexplode(F.regexp_extract_all("line", F.lit("[A-Za-z]+"), 0)).alias("at", "term"))
     placed = words.withColumn("position", F.struct("section", "at"))
     return terms.ranked_terms(placed, "doc_id", "section", "position").select("doc_id", "key", "occurrences", "sections", "place")

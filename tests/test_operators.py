@@ -93,3 +93,11 @@ def test_assist(spark):
     assert one(assist.usage_delta(F.create_map(F.lit("in"), F.lit(3)), F.create_map(F.lit("in"), F.lit(5), F.lit("out"), F.lit(2)))) == {"in": 2, "out": 2}
     assert one(assist.is_simple_query(F.lit("when is the regatta?"))) and not one(assist.is_simple_query(F.lit("compare the two hulls")))
     assert assist.rendered("Hi {name}", name="Ada") == "Hi Ada"
+
+
+def test_terms_of_documents_are_shuffled_once(spark):
+    """What is dealt are the texts: counts, sections and places of a document's terms need no other shuffle."""
+    from tarn.queries import term_rank
+
+    plan = term_rank(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
