@@ -645,7 +645,8 @@ def tokenizer(spark: SparkSession) -> tokens.BytePairs:
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each text, and its windows of 400 with 40 of the one before: how many, and a digest of them in order."""
     pairs = tokenizer(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", tokens.token_count(pairs, F.col("text")).alias("tokens"), tokens.token_windows(pairs, F.col("text"), 400, 40).alias("w"))
+    cut = tokens.counted_windows(pairs, F.col("text"), 400, 40).alias("cut")
+    docs = table(spark, sf_dir, "documents").select("doc_id", cut).select("doc_id", "cut.tokens", F.col("cut.windows").alias("w"))
     return docs.select("doc_id", "tokens", F.size("w").alias("windows"), F.sha2(F.array_join("w", "\n"), 256).alias("windows_sha256"))
 
 
