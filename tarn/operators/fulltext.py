@@ -7,7 +7,9 @@ with the table beyond about ``BLOCK_DOCS`` ids, however common its term is.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from tarn.functions.english import english_terms, terms
 
 #: Documents of a block, about.
 BLOCK_DOCS = 50_000
+#: Ids that a task holds in lists before it sends them, and rows that it sends at once.
+HELD_IDS, ROWS = 1_000_000, 20_000
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", blocks: int | None = None) -> DataFrame:
@@ -25,14 +29,37 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", blocks: i
     read little of it.
     """
     n = blocks or max(1, math.ceil(docs.count() / BLOCK_DOCS))
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.explode(english_terms(F.col(text))).alias("term"))
-    block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")
-    return rows.groupBy("term", block).agg(F.array_sort(F.collect_set("id")).alias("ids")).select("term", "block", F.size("ids").alias("n"), "ids")
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = rows.select("id", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"), "text")
+
+    def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[str, int], list] = {}
+        size = 0
+
+        def frames() -> Iterator[pd.DataFrame]:
+            found = list(held.items())
+            held.clear()
+            for i in range(0, len(found), ROWS):
+                yield pd.DataFrame([(*k, ids) for k, ids in found[i : i + ROWS]], columns=["term", "block", "part"])
+
+        for b in batches:
+            for i, block, t in zip(b["id"].tolist(), b["block"].tolist(), b["text"], strict=True):
+                for term in (found := terms(t)):
+                    held.setdefault((term, block), []).append(i)
+                size += len(found)
+                if size > HELD_IDS:
+                    yield from frames()
+                    size = 0
+        yield from frames()
+
+    parts = rows.mapInPandas(lists, f"term string, block int, part array<{docs.schema[key].dataType.simpleString()}>")
+    ids = F.array_sort(F.array_distinct(F.flatten(F.collect_list("part"))))
+    return parts.groupBy("term", "block").agg(ids.alias("ids")).select("term", "block", F.size("ids").alias("n"), "ids")
 
 
 def write_postings(index: DataFrame, path: str) -> DataFrame:
-    """The index as a table in order of its terms, so that a search reads the row groups of its own terms only."""
-    index.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(path)
+    """The index as a table whose files are each in order of their terms, so that a search reads the row groups of its own terms only."""
+    index.sortWithinPartitions("term", "block").write.mode("overwrite").parquet(path)
     return index.sparkSession.read.parquet(path)
 
 

@@ -68,3 +68,16 @@ def test_titles_or_texts(spark):
         found = lambda q: sorted(r["id"] for r in fulltext.title_or_text(notes, q, "id", "title", "body", using).collect())  # noqa: E731, B023
         assert found("KITE") == [1, 2] and found("red") == [1, 3] and found("flying kites") == [2] and found("nothing") == [] and found("0%") == [5]
         assert fulltext.title_or_text(notes, "kite", "id", "title", "body", using).columns == notes.columns
+
+
+def test_postings_are_listed_in_the_tasks(spark, monkeypatch):
+    """Ids of a repeated row count once, lists that a task sends in parts meet again, and writing them deals no rows anew."""
+    monkeypatch.setattr(fulltext, "HELD_IDS", 3)
+    rows = [(i, f"kite sea {'boat' if i % 2 else 'oar'}") for i in range(20)] + [(3, "kite sea boat"), (None, "kite"), (30, None)]
+    index = fulltext.postings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), blocks=2)
+    met = {}
+    for r in index.collect():
+        assert r["n"] == len(r["ids"]) and r["ids"] == sorted(set(r["ids"]))
+        met.setdefault(r["term"], []).extend(r["ids"])
+    assert {t: sorted(ids) for t, ids in met.items()} == {"kite": list(range(20)), "sea": list(range(20)), "boat": list(range(1, 20, 2)), "oar": list(range(0, 20, 2))}
+    assert "Generate" not in index._jdf.queryExecution().executedPlan().toString()
