@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -167,6 +168,13 @@ def fingerprint(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
+def uuid5(name: Column, namespace: uuid.UUID = uuid.NAMESPACE_URL) -> Column:
+    """The name's version 5 UUID."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.hex)), F.encode(name, "UTF-8")))
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab" * 4)
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+
 def headings_separated(text: Column) -> Column:
     """Heading lines and short labels as sentences, so that their words do not run into the next line's."""
     bare = lambda x: F.regexp_replace(strip(x), r"^\d+(?:\.\d+)*\.?\s+", "")

@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.functions.chunk_rules import type_of, with_chunk_type
-from tarn.functions.python_tier import mapped_list, merge_sections, opening_headings, prose_parts, table_lines, uuid5
+from tarn.functions.chunk_rules import heading_prefix, type_of
+from tarn.functions.python_tier import mapped_list, merge_sections, opening_headings, prose_runs, table_lines
 from tarn.functions.semantic import Splitter
-from tarn.functions.text import described_table, heading_prefix, repair_hyphenation, squeeze
+from tarn.functions.text import described_table, repair_hyphenation, squeeze, uuid5
 from tarn.functions.typed_split import Chunk, typed_split, with_paths
-from tarn.operators.context import linked
+from tarn.llm.common import bounded_batches
 from tarn.providers import Offline, Provider
 
 #: Chunks of fewer tokens are not indexed.
 LEAST_TOKENS = 10
 #: Words that a chunk holds at most; a sixteenth of it is the length from which prose is split.
 CHUNK_WORDS = 1600
+#: Texts of at most so many characters are split once if they come again, and so many of them are kept.
+SHORT_TEXT = 400
+KEPT_TEXTS = 20_000
 BARE_TYPES = ("faq", "glossary", "contact", "address", "code", "json")
 
 
@@ -30,11 +34,52 @@ def document_id(user: Column, note: Column) -> Column:
 
 
 CHUNKS = "array<struct<chunk_type:string,text:string,path:string>>"
+COUNTED_CHUNKS = "array<struct<chunk_type:string,text:string,path:string,tokens:long>>"
 
 
-def listed(chunks: DataFrame, doc: str) -> DataFrame:
+def listed(chunks: DataFrame, doc: str, more: Sequence[str] = ()) -> DataFrame:
     """One row a chunk, from one row a document with its ``chunks``."""
-    return chunks.select(doc, F.size("chunks").cast("long").alias("total"), F.posexplode("chunks").alias("chunk_index", "c")).select(doc, "chunk_index", "total", "c.chunk_type", "c.text", "c.path")
+    return chunks.select(doc, F.size("chunks").cast("long").alias("total"), F.posexplode("chunks").alias("chunk_index", "c")).select(doc, "chunk_index", "total", "c.chunk_type", "c.text", "c.path", *(f"c.{x}" for x in more))
+
+
+def chunk_lists(split: Callable[[list[str]], list[list[Chunk]]], text: Column, count: Callable[[str], int] | None = None) -> Column:
+    """The chunks that ``split`` makes of each text, with their ``tokens`` where there is a ``count``. Null counts as empty.
+
+    They go back as flat Arrow arrays. Batches are of a bounded number of texts, so that a worker's memory does not grow with the table.
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            lists = split(b.to_pylist())
+            flat = [c for chunks in lists for c in chunks]
+            columns = {"chunk_type": pa.array([c.kind for c in flat], pa.string()), "text": pa.array([c.text for c in flat], pa.string()), "path": pa.array([c.path for c in flat], pa.string())}
+            if count is not None:
+                columns["tokens"] = pa.array([count(c.text) for c in flat], pa.int64())
+            ends = pa.array(accumulate(map(len, lists), initial=0), pa.int32())
+            yield pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+
+    # As a deterministic function it would be run twice: for the rows, and for a filter that the optimizer puts before them, of lists that are not empty.
+    return F.arrow_udf(run, CHUNKS if count is None else COUNTED_CHUNKS).asNondeterministic()(F.coalesce(text, F.lit("")))
+
+
+def each(split: Callable[[str], list[Chunk]]) -> Callable[[list[str]], list[list[Chunk]]]:
+    """``split`` over texts; what it makes of short ones is kept, as far as the bounded memory goes, for those that come again."""
+    known: dict[str, list[Chunk]] = {}
+
+    def run(texts: list[str]) -> list[list[Chunk]]:
+        out = []
+        for t in texts:
+            found = known.get(t)
+            if found is None:
+                found = split(t)
+                if len(t) <= SHORT_TEXT:
+                    if len(known) >= KEPT_TEXTS:
+                        known.clear()
+                    known[t] = found
+            out.append(found)
+        return out
+
+    return run
 
 
 def typed_chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -45,12 +90,8 @@ def typed_chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
     dialogue and lists are gathered. Null and blank texts, and those of dividers alone, have no chunk; repeated rows and
     null ids are documents like others.
     """
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([[_row(c) for c in typed_split(t)] for t in s], dtype=object)
-
-    return listed(docs.select(doc, F.pandas_udf(run, CHUNKS)(F.coalesce(F.col(text), F.lit(""))).alias("chunks")), doc)
+    bounded_batches(docs.sparkSession)
+    return listed(docs.select(doc, chunk_lists(each(typed_split), F.col(text)).alias("chunks")), doc)
 
 
 def _row(c: Chunk) -> dict:
@@ -80,37 +121,56 @@ def split_documents(texts: list[str], splitter: Splitter) -> list[list[Chunk]]:
     return out
 
 
-def document_chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text", splitter: Splitter | None = None) -> DataFrame:
+def document_chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text", splitter: Splitter | None = None, counted: bool = False) -> DataFrame:
     """(doc, chunk_index, total, chunk_type, text, path) of the final chunks, from texts with their hyphenation repaired, in one pass without a shuffle.
 
     Null and blank texts have no chunk. An embedder of the splitter is asked by each worker for the prose of a batch of
     documents together; where it fails, that batch and those of a while after it are split by runs of sentences.
+    ``counted`` adds the ``tokens`` of each chunk, by the splitter's tokenizer.
     """
     chosen = splitter or Splitter()
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([[_row(c) for c in chunks] for chunks in split_documents(list(s), chosen)], dtype=object)
-
+    bounded_batches(docs.sparkSession)
     whole = repair_hyphenation(F.coalesce(F.col(text), F.lit("")))
-    return listed(docs.select(doc, F.pandas_udf(run, CHUNKS)(whole).alias("chunks")), doc)
+    split = chunk_lists(lambda texts: split_documents(texts, chosen), whole, chosen.tokenizer.count if counted else None)
+    return listed(docs.select(doc, split.alias("chunks")), doc, ("tokens",) if counted else ())
 
 
-def refined_chunks(chunks: DataFrame, doc: str = "doc_id", most: int = CHUNK_WORDS) -> DataFrame:
-    """``typed_chunks`` with long prose split into runs of sentences, each typed anew, and neighbours of one section and a like type joined.
+def refined(most: int) -> Callable[[list[Chunk]], list[Chunk]]:
+    """Of a document's typed chunks in order: long prose is split into runs of sentences, each typed anew, and neighbours of one section and a like type are joined.
 
-    The headings that open a chunk stay with its first part. What is gathered in one row are the chunks of one document.
+    The headings that open a chunk stay with its first part.
     """
-    own = F.when(F.col("chunk_type") == "content", heading_prefix(F.col("text")))
-    parted = chunks.withColumn("_own", own).withColumn("_parts", prose_parts(max(1, most // 16), max(6, most // 120), most)(F.col("_own.body")))
-    several = parted.where(F.size("_parts") > 1).select(doc, "chunk_index", F.posexplode("_parts").alias("part", "_text"), "_own", "path")
-    first = (F.col("part") == 0) & (F.col("_own.headings") != "")
-    several = several.select(doc, "chunk_index", "part", F.when(first, F.concat_ws("\n\n", "_own.headings", "_text")).otherwise(F.col("_text")).alias("text"), "path")
-    split = with_chunk_type(several, "text").unionByName(parted.where("_parts IS NULL OR size(_parts) <= 1").select(doc, "chunk_index", F.lit(0).alias("part"), "text", "path", "chunk_type"))
-    kind = "array<struct<chunk_index:int,part:int,text:string,path:string,chunk_type:string>>"
-    ordered = split.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col("chunk_index").cast("int").alias("chunk_index"), "part", "text", "path", "chunk_type"))).alias("chunks"))
-    merged = ordered.select(doc, mapped_list(merge_sections(most), kind)(F.col("chunks")).alias("chunks"))
-    return merged.select(doc, F.size("chunks").cast("long").alias("total"), F.posexplode("chunks").alias("chunk_index", "c")).select(doc, "chunk_index", "total", "c.chunk_type", "c.text", "c.path")
+    parts, merge = prose_runs(max(1, most // 16), max(6, most // 120), most), merge_sections(most)
+
+    def run(chunks: list[Chunk]) -> list[Chunk]:
+        expanded: list[Chunk] = []
+        for c in chunks:
+            headings, body = heading_prefix(c.text) if c.kind == "content" else ("", "")
+            several = parts(body)
+            if len(several) < 2:
+                expanded.append(c)
+                continue
+            first = f"{headings}\n\n{several[0]}" if headings else several[0]
+            expanded += [Chunk(p, type_of(p), c.path) for p in (first, *several[1:])]
+        return [Chunk(c["text"], c["chunk_type"], c["path"]) for c in merge([_row(c) for c in expanded])]
+
+    return run
+
+
+def refined_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", most: int = CHUNK_WORDS) -> DataFrame:
+    """``refined`` of the typed chunks of each text, in one pass without a shuffle; repeated and null ids are documents like others."""
+    bounded_batches(docs.sparkSession)
+    refine = refined(most)
+    return listed(docs.select(doc, chunk_lists(each(lambda t: refine(typed_split(t))), F.col(text)).alias("chunks")), doc)
+
+
+def refined_chunks(chunks: DataFrame, doc: str = "doc_id", most: int = CHUNK_WORDS) -> DataFrame:
+    """``refined`` of rows of ``typed_chunks``: what is gathered in one row are the chunks of one id."""
+    bounded_batches(chunks.sparkSession)
+    refine = refined(most)
+    ordered = chunks.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col("chunk_index").cast("int").alias("chunk_index"), "text", "path", "chunk_type"))).alias("chunks"))
+    run = mapped_list(lambda rows: [_row(c) for c in refine([Chunk(r["text"], r["chunk_type"], r["path"]) for r in rows])], CHUNKS)
+    return listed(ordered.select(doc, run(F.col("chunks")).alias("chunks")), doc)
 
 
 def skip_reason(kind: Column, tokens: Column, embed_text: Column, quality: Column, least: int = LEAST_TOKENS, index_code: bool = False, index_json: bool = False) -> Column:
@@ -126,17 +186,22 @@ def skip_reason(kind: Column, tokens: Column, embed_text: Column, quality: Colum
 
 def embed_text(kind: Column, text: Column, path: Column) -> Column:
     """A table as sentences; bare types and texts that begin with a heading as they are; else the heading path before the text."""
-    plain = squeeze(text)
     told = described_table(text, path)
-    return F.when((kind == "table") & (told != ""), squeeze(told)).when(kind == "table", squeeze(table_lines(text))).when(kind.isin(*BARE_TYPES) | plain.startswith("#") | (path == ""), plain).otherwise(squeeze(F.concat(path, F.lit("\n\n"), plain)))
+    bare = kind.isin(*BARE_TYPES) | F.rlike(text, F.lit(r"^\s*#")) | (path == "")
+    headed = F.concat(path, F.lit("\n\n"), F.regexp_replace(text, r"^\s+", ""))
+    return squeeze(F.when((kind == "table") & (told != ""), told).when(kind == "table", table_lines(F.when(kind == "table", text))).when(bare, text).otherwise(headed))
 
 
 def index_chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text", provider: Provider | None = None) -> DataFrame:
-    """Index chunks with ids, links, token counts, embedding texts and skip reasons."""
+    """Index chunks with ids, links, token counts, embedding texts and skip reasons, without a shuffle; links are within a document, whatever its id."""
     provider = provider or Offline()
-    chunks = document_chunks(docs, doc, text, provider.splitter()).withColumn("chunk_id", F.col("chunk_index").cast("string"))
-    out = linked(chunks, [doc], "chunk_index", "chunk_id").drop("ordinal")
-    out = out.withColumn("tokens", provider.count_tokens(F.col("text"))).withColumn("embed_text", embed_text(F.col("chunk_type"), F.col("text"), F.col("path")))
+    splitter = provider.splitter()
+    counted = splitter.tokenizer is getattr(provider, "tokenizer", None)
+    out = document_chunks(docs, doc, text, splitter, counted)
+    at, tokens = F.col("chunk_index"), F.col("tokens") if counted else provider.count_tokens(F.col("text"))
+    links = {"chunk_id": at, "prev_id": F.when(at > 0, at - 1), "next_id": F.when(at + 1 < F.col("total"), at + 1)}
+    out = out.select(doc, "chunk_index", "total", "chunk_type", "text", "path", *(c.cast("string").alias(name) for name, c in links.items()), tokens.alias("tokens"))
+    out = out.withColumn("embed_text", embed_text(F.col("chunk_type"), F.col("text"), F.col("path")))
     quality = F.when(F.rlike("text", F.lit(r"(?:\b\w\s){8,}")), F.lit("ocr_noise")).otherwise(F.lit(""))
     out = out.withColumn("skip_reason", skip_reason(F.col("chunk_type"), F.col("tokens"), F.col("embed_text"), quality))
     return out.withColumn("point_id", uuid5(F.concat_ws("-", F.col(doc).cast("string"), "chunk_id")))
