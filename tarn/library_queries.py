@@ -151,7 +151,7 @@ def scoped_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def refined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return ingest.refined_chunks(ingest.typed_chunks(docs)).select("doc_id", "chunk_index", "chunk_type", F.sha2("text", 256).alias("text_sha256"))
+    return ingest.refined_documents(docs).select("doc_id", "chunk_index", "chunk_type", F.sha2("text", 256).alias("text_sha256"))
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
