@@ -631,7 +631,8 @@ def typed_chunks_of_mixed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The typed split of texts of twelve lines, blank ones, dividers and table rows among them, drawn by the keys of orders."""
     samples = F.array(*[F.lit(x) for x in _BLOCK_SAMPLES])
     drawn = [F.element_at(samples, ((F.col("o_orderkey") * (2 * i + 1) + F.col("o_custkey") * i * i) % len(_BLOCK_SAMPLES) + 1).cast("int")) for i in range(1, 13)]
-    return ingest.typed_chunks(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat_ws("\n", *drawn).alias("text")))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition("o_orderkey")  # its files may be few
+    return ingest.typed_chunks(orders.select(F.col("o_orderkey").alias("doc_id"), F.concat_ws("\n", *drawn).alias("text")))
 
 
 def tokenizer(spark: SparkSession) -> tokens.BytePairs:
