@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
@@ -33,19 +34,40 @@ class Provider(Protocol):
     def entities(self, text: Column) -> Column: ...
 
 
+#: Words whose places a worker remembers.
+CACHED_WORDS = 200_000
+
+
+class _Places(dict):
+    """The place of each word among ``dim``, behind them again if its sign is negative; a bounded memory of them."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __reduce__(self):
+        return _Places, (self.dim,)
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        h = xxhash.xxh64_intdigest(word)
+        at = self[word] = h % self.dim + (0 if h >> 63 else self.dim)
+        return at
+
+
 def hashed_vectors(dim: int) -> Callable[[Sequence[str]], np.ndarray]:
     """Signed hashing of words into ``dim`` places, scaled to length 1; texts without words give zeros."""
 
+    places = _Places(dim)
+
     def embed(texts: Sequence[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim), dtype=np.float32)
-        for v, text in zip(out, texts, strict=True):
-            for w in (text or "").lower().split():
-                h = xxhash.xxh64_intdigest(w)
-                v[h % dim] += 1.0 if h >> 63 else -1.0
-            n = np.linalg.norm(v)
-            if n:
-                v /= n
-        return out
+        words = [(text or "").lower().split() for text in texts]
+        row = np.repeat(np.arange(len(words)) * 2 * dim, [len(w) for w in words])
+        found = np.bincount(row + np.fromiter(map(places.__getitem__, chain.from_iterable(words)), np.int64, len(row)), minlength=len(words) * 2 * dim).reshape(len(words), 2, dim)
+        out = (found[:, 0] - found[:, 1]).astype(np.float32)
+        norms = np.array([np.linalg.norm(v) for v in out], dtype=np.float32)
+        norms[norms == 0] = 1.0
+        return out / norms[:, None]
 
     return embed
 
