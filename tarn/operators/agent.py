@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.text import jaccard
+from tarn.llm.common import written
 
 WEIGHTS = {"relevance": 0.4, "freshness": 0.2, "uniqueness": 0.2, "actionability": 0.2}
 
@@ -38,6 +39,8 @@ def uniqueness_of(turns: DataFrame, key: str, order: str, own: str) -> DataFrame
     held = rows.select(key, order, F.size("_own").alias("_n"), F.explode("_own").alias("_word"))
     by_word = Window.partitionBy(key, "_word").orderBy(order)
     held = held.withColumn("_before", F.lag(order).over(by_word)).withColumn("_df", F.count("*").over(Window.partitionBy(key, "_word")))
+    # Words that no other turn has are counted in _n alone. What remains is read three times, so it is written once.
+    held = written(held.where("_df > 1").select(key, order, "_n", "_word", "_before", "_df"), "uniqueness-words", keep=True)
 
     def likest(pairs: DataFrame) -> DataFrame:
         """The best likeness of each turn among the pairs (turn, ``_other``)."""
@@ -48,7 +51,9 @@ def uniqueness_of(turns: DataFrame, key: str, order: str, own: str) -> DataFrame
     bound = likest(held.where(F.col("_before").isNotNull()).select(key, order, F.col("_before").alias("_other")).distinct())
     rarest = Window.partitionBy(key, order).orderBy("_df", "_word")
     # A word at place i of n, rarest first, can be the first shared one of a likeness L only if i <= n - L * n + 1.
-    ranked = held.join(bound, [key, order]).withColumn("_place", F.row_number().over(rarest))
+    # The words that no other turn has are the rarest of all; they come before the ones held here and need no row.
+    alone = F.col("_n") - F.count("*").over(Window.partitionBy(key, order))
+    ranked = held.join(bound, [key, order]).withColumn("_place", F.row_number().over(rarest) + alone)
     prefix = ranked.where(F.col("_place") <= F.col("_n") - F.ceil(F.col("_best") * F.col("_n") - 1e-9) + 1).select(key, order, "_word", "_n", "_best")
     every = held.select(key, "_word", F.col(order).alias("_other"), F.col("_n").alias("_m"))
     sizes = (F.least("_n", "_m") > F.col("_best") * F.greatest("_n", "_m"))

@@ -68,3 +68,16 @@ def test_short_and_long_words_end_alike(word):
 
 def test_uuid5_of_null(spark):
     assert spark.range(1).select(uuid5(F.lit(None).cast("string")).alias("u")).first()["u"] is None
+
+
+def test_words_of_one_turn_alone_are_not_kept(spark):
+    from tarn.operators import agent
+
+    words = [["a", "b", "c", "u1"], ["a", "b", "c", "u2", "u3"], ["x"], [], ["a", "b", "c", "u4", "u5"], ["c", "b", "v1", "v2", "v3", "v4"]]
+    turns = spark.createDataFrame([(1, i, w) for i, w in enumerate(words)] + [(2, 0, ["a"]), (2, 1, ["a"])], "conv long, turn int, own array<string>")
+    out = agent.uniqueness_of(turns, "conv", "turn", "own")
+    like = lambda a, b: len({*a} & {*b}) / len({*a} | {*b})
+    want = {(1, i): 1.0 if i == 0 else 0.5 if not w else 1 - max(like(w, x) for x in words[:i] if x) for i, w in enumerate(words)} | {(2, 0): 1.0, (2, 1): 0.0}
+    assert {(r["conv"], r["turn"]): round(r["uniqueness"], 9) for r in out.collect()} == {k: round(v, 9) for k, v in want.items()}
+    moved = spark.read.parquet(*{f for f in out.inputFiles() if "uniqueness-words" in f})
+    assert {r["_word"] for r in moved.select("_word").distinct().collect()} == {"a", "b", "c"}
