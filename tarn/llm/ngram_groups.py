@@ -525,7 +525,7 @@ def small_units(rows: DataFrame, visited: DataFrame | None) -> DataFrame:
     """A group of at most UNIT members is one unit, repeated for each chunk of its queries; the first chunk also compares the members."""
     counts = rows.where("NOT own").groupBy("to").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("chunks"))
     rows = rows.where("size > 1 OR NOT own").unionByName(rows.where("size = 1 AND own").join(counts.select("to"), "to", "left_semi"))
-    rows = salted_join(rows, counts, ["to"], ["s1", "s2"], "left", visited).withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    rows = written(salted_join(rows, counts, ["to"], ["s1", "s2"], "left", visited).select("s1", "s2", "to", "own", F.coalesce("chunks", F.lit(1)).alias("chunks")), "ngram-small")
     members = rows.where("own").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     members = members.withColumn("role", F.lit(0)).withColumn("whole", F.col("chunk") == 0)
     queries = rows.where("NOT own").withColumn("chunk", _slot(F.col("chunks"))).withColumn("role", F.lit(1)).withColumn("whole", F.lit(False))
@@ -542,7 +542,7 @@ def large_units(met: DataFrame, visited: DataFrame | None) -> DataFrame:
         F.count_if(~F.col("near") | ~F.col("own")).alias("all_visits"),
     )
     sized = counts.select("to", at_least(F.col("n_near")).alias("near_units"), F.ceil(F.col("n_far") / UNIT).cast("int").alias("far_units"), F.ceil(F.col("far_visits") / UNIT).cast("int").alias("near_chunks"), F.ceil(F.col("all_visits") / UNIT).cast("int").alias("far_chunks"))
-    rows = salted_join(met, sized, ["to"], ["s1", "s2"], hot=visited)
+    rows = written(salted_join(met, sized, ["to"], ["s1", "s2"], hot=visited).drop("size", "c1", "c2"), "ngram-large")
     span = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     near = rows.where("own AND near").withColumn("unit", _slot(F.col("near_units"))).withColumn("chunk", F.explode(span(F.col("near_chunks"))))
     far = rows.where("own AND NOT near").withColumn("unit", F.col("near_units") + _slot(F.greatest("far_units", F.lit(1)))).withColumn("chunk", F.explode(span(F.col("far_chunks"))))
@@ -563,7 +563,9 @@ def components(links: DataFrame) -> DataFrame:
     links and labels of very many sets are split over tasks.
     """
     a, b = F.struct(F.col("a1").alias("s1"), F.col("a2").alias("s2")), F.struct(F.col("b1").alias("s1"), F.col("b2").alias("s2"))
-    edges = written(links.select(a.alias("a"), b.alias("b")).unionByName(links.select(b.alias("a"), a.alias("b"))).where("a <> b").distinct(), "ngram-edges")
+    # Both directions from one pass: a union of the links with themselves would find them twice.
+    both = links.select(F.explode(F.array(F.struct(a.alias("a"), b.alias("b")), F.struct(b.alias("a"), a.alias("b")))).alias("edge")).select("edge.a", "edge.b")
+    edges = written(both.where("a <> b").distinct(), "ngram-edges")
     hubs = hot_keys(edges, ["b"])
     labels = written(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "ngram-labels")
     while True:

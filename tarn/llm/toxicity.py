@@ -199,8 +199,10 @@ def _fit(docs: DataFrame, labels: DataFrame, bound: int, counterfactual: float,
 
     got = sample.mapInPandas(index_rows, "y int, ids binary, other binary").collect()
     rows = [bytes(r["ids"]) for r in got]
-    pairs = [(bytes(r["ids"]), bytes(r["other"])) for r in got if r["other"] is not None]
-    w, bias = fit_rows(rows, np.array([r["y"] for r in got]), pairs, len(features), l2, counterfactual)
+    pairs = [(ids, bytes(r["other"])) for ids, r in zip(rows, got, strict=True) if r["other"] is not None]
+    y = np.array([r["y"] for r in got])
+    del got
+    w, bias = fit_rows(rows, y, pairs, len(features), l2, counterfactual)
     return ToxicityModel(features, w.tolist(), bias, swap, len(pairs))
 
 

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -540,3 +541,17 @@ def test_components_of_hot_labels(spark):
     got = {(r["s1"], r["s2"]): tuple(r["label"]) for r in ngram_groups.components(spark.createDataFrame(links, "a1 long, a2 long, b1 long, b2 long")).collect()}
     assert len(got) == 900 + 41 + 4
     assert {v for k, v in got.items() if k[0] < 5000} == {(0, 0)} and {v for k, v in got.items() if k[0] >= 5000} == {(5000, 0)}
+
+
+def test_links_are_found_once(spark, tmp_path):
+    kind = "a1 long, a2 long, b1 long, b2 long"
+
+    def found(batches):
+        for b in batches:
+            (tmp_path / uuid.uuid4().hex).write_text(str(len(b)))
+            yield b
+
+    links = spark.createDataFrame([(1, 1, 2, 2), (3, 3, 2, 2), (5, 5, 5, 5), (8, 8, 7, 7)], kind).coalesce(1).mapInPandas(found, kind)
+    got = {(r["s1"], r["s2"]): tuple(r["label"]) for r in ngram_groups.components(links).collect()}
+    assert got == {(1, 1): (1, 1), (2, 2): (1, 1), (3, 3): (1, 1), (7, 7): (7, 7), (8, 8): (7, 7)}
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == 4
